@@ -113,3 +113,246 @@ def _raw(source):
 
 register("daily_losses_raw", _raw_sql("events"))(_raw("events"))
 register("daily_losses_raw_lineitem", _raw_sql("lineitem"))(_raw("lineitem"))
+
+
+# ================================================================ equipment
+
+register("telemetry_daily_stats", O.with_(O.telemetry_ctes("stats"), f"""
+  SELECT reading_date, equipment_id, equipment_name, metric_name, unit, reading_count,
+         {R('avg_value', 3)} AS avg_value, {R('min_value', 3)} AS min_value,
+         {R('max_value', 3)} AS max_value, {R('stddev_value', 3)} AS stddev_value,
+         warning_count, maintenance_count, idle_count
+  FROM stats"""))(lambda spark, d: E.rounded_daily_stats(_m(spark, d).telemetry_stats))
+
+register("mart_equipment_health", O.with_(O.telemetry_ctes("health"), "SELECT * FROM health"))(
+    lambda spark, d: _m(spark, d).mart_equipment_health)
+
+
+# ================================================================ daily reports
+
+MONEY = "format('{{:,.2f}}', {})"
+
+
+def money_sql(expr: str) -> str:
+    return MONEY.format(R(expr, 2))
+
+
+def whole_sql(expr: str) -> str:
+    return f"cast(cast(round_even(cast({expr} as double), 0) as bigint) as varchar)"
+
+
+def one_decimal_sql(expr: str) -> str:
+    return f"printf('%.1f', {R(expr, 1)})"
+
+
+LOSSES_MARTS = f"""
+  SELECT event_date AS report_date, operation_name, role_name, event_count, avg_duration_sec,
+         norm_seconds, hourly_rate, delta_sec, total_loss,
+         {O.minutes('avg_duration_sec')} AS avg_duration_min, {O.minutes('norm_seconds')} AS norm_min
+  FROM mart"""
+TOTALS = f"""
+  SELECT report_date, {R('coalesce(sum(total_loss), 0.0)', 2)} AS total_loss,
+         cast(coalesce(sum(event_count), 0) as bigint) AS total_events
+  FROM losses GROUP BY report_date"""
+TOP = f"""
+  SELECT report_date, cast(rank as integer) AS rank, operation_name,
+         {R('avg_duration_sec', 1)} AS avg_duration_sec, cast(norm_seconds as integer) AS norm_seconds,
+         {R('delta_sec', 1)} AS delta_sec, cast(hourly_rate as double) AS hourly_rate,
+         cast(total_loss as double) AS total_loss, cast(event_count as bigint) AS event_count
+  FROM (SELECT *, row_number() OVER (PARTITION BY report_date
+                                     ORDER BY total_loss DESC, operation_name ASC) AS rank
+        FROM losses) WHERE rank <= {TOP_N}"""
+
+
+def marts_report_ctes() -> list[tuple[str, str]]:
+    return O.base_ctes() + [("losses", LOSSES_MARTS), ("totals", TOTALS), ("top", TOP)]
+
+
+def raw_report_ctes() -> list[tuple[str, str]]:
+    ts = RAW_REPORT_TS["events"]
+    raw = _raw_sql("events")
+    # the raw report losses as a CTE: reuse the raw query text as a subquery
+    body = raw[len("WITH "):]
+    return [("losses", f"""
+  WITH {body.split(chr(10) + '  SELECT p.operation_name')[0]}
+  SELECT DATE '{ts:%Y-%m-%d}' AS report_date, p.operation_name, p.event_count, p.avg_duration_sec,
+         d.norm_seconds, d.hourly_rate,
+         greatest(p.avg_duration_sec - cast(d.norm_seconds as double), 0.0::double) AS delta_sec,
+         {R('greatest(p.avg_duration_sec - cast(d.norm_seconds as double), 0.0::double) / 3600.0::double * d.hourly_rate * cast(p.event_count as double)', 2)} AS total_loss
+  FROM per_op p JOIN dims d ON p.operation_name = d.operation_name""")]
+
+
+def _marts_losses(spark, d):
+    return Rp.losses_from_mart(_m(spark, d).mart_daily_losses)
+
+
+def _raw_losses(spark, d):
+    m = _m(spark, d)
+    return Rp.losses_raw(m.event_logs, m.dims, RAW_REPORT_TS["events"])
+
+
+register("daily_report_losses_marts", O.with_(marts_report_ctes(), "SELECT * FROM losses"))(_marts_losses)
+
+register("daily_report_totals_marts", O.with_(marts_report_ctes(), "SELECT * FROM totals"))(
+    lambda spark, d: Rp.report_totals(_marts_losses(spark, d)))
+
+register("top_anomalies_marts", O.with_(marts_report_ctes(), "SELECT * FROM top"))(
+    lambda spark, d: Rp.top_anomalies(_marts_losses(spark, d), TOP_N))
+
+register("daily_report_totals_raw", O.with_(raw_report_ctes(), f"""
+  SELECT DATE '{RAW_REPORT_TS['events']:%Y-%m-%d}' AS report_date,
+         {R('coalesce(sum(total_loss), 0.0)', 2)} AS total_loss,
+         cast(coalesce(sum(event_count), 0) as bigint) AS total_events
+  FROM losses"""))(
+    lambda spark, d: Rp.report_totals(_raw_losses(spark, d), single=RAW_REPORT_TS["events"].date()))
+
+register("top_anomalies_raw", O.with_(raw_report_ctes() + [("top", TOP)], "SELECT * FROM top"))(
+    lambda spark, d: Rp.top_anomalies(_raw_losses(spark, d), TOP_N))
+
+
+def _pulse(spark, d):
+    losses = _marts_losses(spark, d)
+    return Rp.report_pulse(Rp.report_totals(losses), Rp.top_anomalies(losses, TOP_N))
+
+
+register("report_pulse", O.with_(marts_report_ctes(), f"""
+  SELECT t.report_date, t.total_loss, t.total_events,
+         coalesce(c.anomaly_count, 0) AS anomaly_count,
+         f.operation_name AS top_operation, f.total_loss AS top_loss,
+         {money_sql('t.total_loss')} AS total_loss_text,
+         CASE WHEN f.total_loss IS NULL THEN NULL ELSE {money_sql('f.total_loss')} END AS top_loss_text
+  FROM totals t
+  LEFT JOIN (SELECT report_date, cast(count(*) as bigint) AS anomaly_count FROM top GROUP BY report_date) c
+    ON t.report_date = c.report_date
+  LEFT JOIN (SELECT * FROM top WHERE rank = 1) f ON t.report_date = f.report_date"""))(_pulse)
+
+register("report_loss_table", O.with_(marts_report_ctes(), f"""
+  SELECT report_date, operation_name, avg_duration_min, norm_min, {R('delta_sec', 1)} AS delta_sec,
+         hourly_rate, cast(event_count as bigint) AS event_count, total_loss
+  FROM losses"""))(lambda spark, d: Rp.report_loss_table(_marts_losses(spark, d)))
+
+
+def _analysis(spark, d):
+    losses = _marts_losses(spark, d)
+    return Rp.report_analysis_lines(Rp.top_anomalies(losses, TOP_N), Rp.report_totals(losses))
+
+
+register("report_analysis_lines", O.with_(marts_report_ctes() + [("t1", "  SELECT * FROM top WHERE rank = 1")], f"""
+  SELECT report_date, 1 AS line_no, 'Operation: ' || operation_name AS line FROM t1
+  UNION ALL
+  SELECT report_date, 2, 'Actual: ' || {whole_sql('avg_duration_sec')} || ' s | Norm: '
+         || cast(norm_seconds as varchar) || ' s | Loss: ' || {money_sql('total_loss')} FROM t1
+  UNION ALL SELECT report_date, 3, 'Hypotheses:' FROM t1
+  UNION ALL SELECT report_date, 4, '[automated analysis unavailable]' FROM t1
+  UNION ALL
+  SELECT report_date, 5, 'Operation "' || operation_name || '" exceeds its norm by '
+         || {whole_sql('delta_sec')} || ' s.' FROM t1
+  UNION ALL SELECT report_date, 6, 'A manual root-cause review is recommended.' FROM t1
+  UNION ALL
+  SELECT report_date, 1, 'No anomalies found: no analysis needed.' FROM totals
+  WHERE report_date NOT IN (SELECT report_date FROM t1)"""))(_analysis)
+
+
+# ================================================================ report texts
+
+register("anomaly_prompt_text", O.with_(marts_report_ctes(), f"""
+  SELECT report_date, rank, operation_name,
+         'Anomaly: "' || operation_name || '"' || chr(10)
+         || 'Actual (mean): ' || {whole_sql('avg_duration_sec')} || ' s ('
+         || {one_decimal_sql('avg_duration_sec / 60.0::double')} || ' min)' || chr(10)
+         || 'Norm: ' || cast(norm_seconds as varchar) || ' s ('
+         || {one_decimal_sql('cast(norm_seconds as double) / 60.0::double')} || ' min)' || chr(10)
+         || 'Excess: +' || {whole_sql('delta_sec')} || ' s' || chr(10)
+         || 'Loss for the period: ' || {money_sql('total_loss')} || ' ('
+         || cast(event_count as varchar) || ' events)' AS prompt_text
+  FROM top"""))(lambda spark, d: N.anomaly_prompts(Rp.top_anomalies(_marts_losses(spark, d), TOP_N)))
+
+register("anomaly_fallback_text", O.with_(marts_report_ctes(), f"""
+  SELECT report_date, rank, operation_name,
+         '[automated analysis unavailable]' || chr(10)
+         || 'Operation "' || operation_name || '" exceeds its norm by ' || {whole_sql('delta_sec')} || ' s.'
+         || chr(10) || 'A manual root-cause review is recommended.' AS fallback_text
+  FROM top"""))(lambda spark, d: N.anomaly_fallbacks(Rp.top_anomalies(_marts_losses(spark, d), TOP_N)))
+
+register("report_caption", O.with_(marts_report_ctes(), f"""
+  SELECT report_date,
+         'Operations loss report' || chr(10) || 'Total labour-cost loss: ' || {money_sql('total_loss')}
+         || chr(10) || 'Details in the attached tables' AS caption
+  FROM totals"""))(lambda spark, d: N.report_captions(Rp.report_totals(_marts_losses(spark, d))))
+
+
+# ================================================================ weekly reports
+
+WEEKLY_MARTS = f"""
+  SELECT week_start, operation_name, role_name, event_count,
+         {R('_avg', 6)} AS avg_duration_sec, norm_seconds, hourly_rate,
+         {R('_delta', 6)} AS delta_sec, {R('_loss', 2)} AS total_loss,
+         {O.minutes('_avg')} AS avg_duration_min, {O.minutes('norm_seconds')} AS norm_min
+  FROM (SELECT cast(date_trunc('week', event_date) as date) AS week_start, operation_name,
+               arg_max(role_name, event_date) AS role_name,
+               cast(sum(event_count) as bigint) AS event_count,
+               avg(avg_duration_sec) AS _avg,
+               arg_max(norm_seconds, event_date) AS norm_seconds,
+               arg_max(hourly_rate, event_date) AS hourly_rate,
+               avg(delta_sec) AS _delta, sum(total_loss) AS _loss
+        FROM mart GROUP BY 1, 2)"""
+
+register("weekly_losses_marts", O.with_(O.base_ctes() + [("weekly", WEEKLY_MARTS)], "SELECT * FROM weekly"))(
+    lambda spark, d: Rp.weekly_losses_marts(_m(spark, d).mart_daily_losses))
+
+register("weekly_losses_raw", O.with_(O.base_ctes(upto="event_logs"), f"""
+  SELECT week_start, operation_name, '' AS role_name, event_count,
+         {R('_avg', 6)} AS avg_duration_sec, 0 AS norm_seconds, 0.0::double AS hourly_rate,
+         0.0::double AS delta_sec, 0.0::double AS total_loss,
+         {O.minutes('_avg')} AS avg_duration_min, 0.0::double AS norm_min
+  FROM (SELECT cast(date_trunc('week', start_time) as date) AS week_start, operation_name,
+               cast(count(*) as bigint) AS event_count, avg(duration_seconds) AS _avg
+        FROM event_logs GROUP BY 1, 2)"""))(
+    lambda spark, d: Rp.weekly_losses_raw(_m(spark, d).event_logs))
+
+register("weekly_totals", O.with_(O.base_ctes() + [("weekly", WEEKLY_MARTS)], f"""
+  SELECT week_start, {R('coalesce(sum(total_loss), 0.0)', 2)} AS total_loss,
+         cast(coalesce(sum(event_count), 0) as bigint) AS total_events
+  FROM weekly GROUP BY week_start"""))(
+    lambda spark, d: Rp.weekly_totals(Rp.weekly_losses_marts(_m(spark, d).mart_daily_losses)))
+
+register("weekly_top_anomalies", O.with_(
+    O.base_ctes() + [("weekly", WEEKLY_MARTS),
+                     ("losses", "  SELECT week_start AS report_date, * EXCLUDE (week_start) FROM weekly"),
+                     ("top", TOP)],
+    "SELECT report_date AS week_start, * EXCLUDE (report_date) FROM top"))(
+    lambda spark, d: Rp.top_anomalies(Rp.weekly_losses_marts(_m(spark, d).mart_daily_losses),
+                                      TOP_N, key="week_start"))
+
+
+# ================================================================ calibration
+
+def _calibration_sql(final: str) -> str:
+    since = CALIBRATION_ASOF - _dt.timedelta(days=C.LOOKBACK_DAYS)
+    stats = f"""
+  SELECT operation_name, event_count, mean_sec, median_sec, std_sec, p75_sec,
+         cast(round_even(median_sec + 0.5::double * std_sec, 0) as integer) AS recommended_norm_sec
+  FROM (SELECT operation_name, cast(count(*) as bigint) AS event_count,
+               {R('avg(duration_seconds)', 1)} AS mean_sec,
+               {R('median(duration_seconds)', 1)} AS median_sec,
+               {R('stddev_samp(duration_seconds)', 1)} AS std_sec,
+               {R('quantile_cont(duration_seconds, 0.75)', 1)} AS p75_sec
+        FROM event_logs
+        WHERE start_time >= TIMESTAMP '{since:%Y-%m-%d %H:%M:%S}'
+          AND duration_seconds > 0 AND duration_seconds < 86400
+        GROUP BY operation_name)"""
+    return O.with_(O.base_ctes(upto="stg_norms") + [("cal", stats)], final)
+
+
+def _cal_stats(spark, d):
+    return C.calibration_stats(C.calibration_window(_m(spark, d).event_logs, CALIBRATION_ASOF))
+
+
+register("calibration_stats", _calibration_sql("SELECT * FROM cal"))(_cal_stats)
+
+register("norm_calibration", _calibration_sql(f"""
+  SELECT c.*, n.norm_seconds AS current_norm_sec,
+         c.recommended_norm_sec - n.norm_seconds AS delta_sec,
+         {R('cast(c.recommended_norm_sec - n.norm_seconds as double) / nullif(cast(n.norm_seconds as double), 0.0) * 100.0::double', 1)} AS delta_pct
+  FROM cal c LEFT JOIN stg_norms n ON c.operation_name = n.operation_name"""))(
+    lambda spark, d: C.norm_calibration(_cal_stats(spark, d), _m(spark, d).stg_norms))
