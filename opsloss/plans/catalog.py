@@ -356,3 +356,174 @@ register("norm_calibration", _calibration_sql(f"""
          {R('cast(c.recommended_norm_sec - n.norm_seconds as double) / nullif(cast(n.norm_seconds as double), 0.0) * 100.0::double', 1)} AS delta_pct
   FROM cal c LEFT JOIN stg_norms n ON c.operation_name = n.operation_name"""))(
     lambda spark, d: C.norm_calibration(_cal_stats(spark, d), _m(spark, d).stg_norms))
+
+
+# ================================================================ data quality
+
+DQ_CTE = {
+    "stg_event_logs": "stg_events", "stg_process_norms": "stg_norms", "stg_rates": "stg_rates",
+    "stg_telemetry": "stg_telemetry", "int_operations_enriched": "enriched",
+    "int_telemetry_daily_stats": "stats", "mart_daily_losses": "mart", "mart_equipment_health": "health",
+}
+
+
+def _dq_ctes() -> list[tuple[str, str]]:
+    return O.base_ctes() + O.telemetry_ctes()
+
+
+def _not_null_sql(check_col: str = "null_count", with_check: bool = False) -> str:
+    parts = []
+    for model, cols in Q.NOT_NULL_TESTS.items():
+        for c in cols:
+            head = "'not_null' AS check_name, " if with_check else ""
+            parts.append(f"  SELECT {head}'{model}' AS model, '{c}' AS column_name, "
+                         f"cast(count(*) FILTER (WHERE {c} IS NULL) as bigint) AS {check_col} "
+                         f"FROM {DQ_CTE[model]}")
+    return "\n  UNION ALL\n".join(parts)
+
+
+def _dup_sql(model: str, cols: list[str], key_col: str, check: str | None = None) -> str:
+    key = f"cast({cols[0]} as varchar)" if len(cols) == 1 else \
+        "concat_ws('::', " + ", ".join(f"cast({c} as varchar)" for c in cols) + ")"
+    head = f"'{check}' AS check_name, " if check else ""
+    tail = "" if check else ", cast(coalesce(sum(n), 0) as bigint) AS duplicate_rows"
+    return (f"  SELECT {head}'{model}' AS model, '{'::'.join(cols)}' AS column_name, "
+            f"cast(count(*) as bigint) AS {key_col}{tail} "
+            f"FROM (SELECT {key} AS k, count(*) AS n FROM {DQ_CTE[model]} GROUP BY k HAVING count(*) > 1)")
+
+
+def _dq_models(spark, d):
+    return _m(spark, d).quality_models()
+
+
+def _dq_not_null(spark, d):
+    from functools import reduce
+    ms = _dq_models(spark, d)
+    return reduce(DataFrame.unionByName,
+                  [Q.null_counts(ms[m], m, cols) for m, cols in Q.NOT_NULL_TESTS.items()])
+
+
+register("dq_not_null", O.with_(_dq_ctes(), _not_null_sql()))(_dq_not_null)
+
+
+def _dq_composite(spark, d):
+    from functools import reduce
+    ms = _dq_models(spark, d)
+    return reduce(DataFrame.unionByName,
+                  [Q.duplicate_summary(ms[m], m, cols) for m, cols in Q.COMPOSITE_UNIQUE_TESTS.items()])
+
+
+register("dq_composite_unique", O.with_(_dq_ctes(), "\n  UNION ALL\n".join(
+    _dup_sql(m, cols, "duplicate_keys") for m, cols in Q.COMPOSITE_UNIQUE_TESTS.items())))(_dq_composite)
+
+register("dq_accepted_values", O.with_(O.telemetry_ctes("stg_telemetry"), """
+  SELECT equipment_state AS value, cast(count(*) as bigint) AS n FROM stg_telemetry
+  WHERE equipment_state NOT IN ('running', 'idle', 'warning', 'maintenance', 'error', 'off')
+  GROUP BY equipment_state"""))(
+    lambda spark, d: Q.unaccepted_values(_m(spark, d).stg_telemetry, "equipment_state"))
+
+register("dq_no_negative_losses", O.with_(O.base_ctes(), """
+  SELECT event_date, operation_name, total_loss FROM mart WHERE total_loss < 0"""))(
+    lambda spark, d: Q.negative_losses(_m(spark, d).mart_daily_losses))
+
+register("dq_duration_range", O.with_(O.base_ctes(upto="stg_events"), """
+  SELECT case_id, duration_seconds FROM stg_events
+  WHERE duration_seconds <= 0 OR duration_seconds >= 86400"""))(
+    lambda spark, d: Q.durations_out_of_range(_m(spark, d).stg_events))
+
+
+def _dq_summary_sql() -> str:
+    parts = [_not_null_sql("failures", with_check=True)]
+    for m, cols in Q.UNIQUE_TESTS.items():
+        parts += [_dup_sql(m, [c], "failures", "unique") for c in cols]
+    parts += [_dup_sql(m, cols, "failures", "unique_combination")
+              for m, cols in Q.COMPOSITE_UNIQUE_TESTS.items()]
+    parts.append("""  SELECT 'accepted_values', 'stg_telemetry', 'equipment_state', cast(count(*) as bigint)
+  FROM stg_telemetry
+  WHERE equipment_state NOT IN ('running', 'idle', 'warning', 'maintenance', 'error', 'off')""")
+    parts.append("""  SELECT 'no_negative_losses', 'mart_daily_losses', 'total_loss', cast(count(*) as bigint)
+  FROM mart WHERE total_loss < 0""")
+    parts.append("""  SELECT 'duration_in_range', 'stg_event_logs', 'duration_seconds', cast(count(*) as bigint)
+  FROM stg_events WHERE duration_seconds <= 0 OR duration_seconds >= 86400""")
+    return "\n  UNION ALL\n".join(parts)
+
+
+register("dq_summary", O.with_(_dq_ctes(), _dq_summary_sql()))(
+    lambda spark, d: Q.dq_summary(_dq_models(spark, d)))
+
+
+# ================================================================ ingest (batch and streaming)
+
+from ..session import fresh_dir  # noqa: E402
+from ..sources import ingest as I  # noqa: E402
+from ..sources import tables as T  # noqa: E402
+from ..sources.storage import MONTH  # noqa: E402
+from ..streaming import aggregates as SA  # noqa: E402
+from ..streaming import ingest as SI  # noqa: E402
+from .. import schemas as S  # noqa: E402
+from pyspark.sql.types import StringType, StructField, StructType  # noqa: E402
+
+
+def _event_batches(spark, d) -> str:
+    path = fresh_dir(spark, "requests_events")
+    I.write_event_batches(T.table(spark, d, "events"), path)
+    return path
+
+
+def _reading_batches(spark, d) -> str:
+    path = fresh_dir(spark, "requests_readings")
+    I.write_reading_batches(T.table(spark, d, "events"), path)
+    return path
+
+
+def _validated_readings(spark, d):
+    return I.validate(I.read_batches(spark, _reading_batches(spark, d), S.READING_BATCH),
+                      "readings", S.READING_REQUIRED)
+
+
+TELEMETRY_BATCHED = O.TELEMETRY.replace("SELECT ts,", "SELECT event_id // 100 AS batch_id, ts,", 1)
+BAD_BATCHES = """
+  SELECT batch_id, cast(count(*) as bigint) AS row_count FROM tb GROUP BY batch_id
+  HAVING count(*) FILTER (WHERE metric_value IS NULL) > 0"""
+TEL_COLS = ", ".join(f.name for f in S.TELEMETRY.fields)
+EVT_COLS = ", ".join(f.name for f in S.EVENT_LOGS.fields)
+
+register("ingest_events_json", O.with_(O.base_ctes(upto="event_logs"), f"SELECT {EVT_COLS} FROM event_logs"))(
+    lambda spark, d: I.accepted_events(I.validate(
+        I.read_batches(spark, _event_batches(spark, d), S.EVENT_BATCH), "rows", S.EVENT_REQUIRED)))
+
+register("ingest_telemetry_defaults", O.with_(
+    [("tb", TELEMETRY_BATCHED), ("bad", BAD_BATCHES)],
+    f"SELECT {TEL_COLS} FROM tb WHERE batch_id NOT IN (SELECT batch_id FROM bad)"))(
+    lambda spark, d: I.accepted_readings(_validated_readings(spark, d)))
+
+register("ingest_rejects", O.with_(
+    [("tb", TELEMETRY_BATCHED), ("bad", BAD_BATCHES)],
+    "SELECT batch_id, 'missing_required' AS reject_reason, row_count FROM bad"))(
+    lambda spark, d: I.rejected(_validated_readings(spark, d), "readings"))
+
+
+def _stream_ingest(kind):
+    def q(spark, d):
+        batches = _event_batches(spark, d) if kind == "events" else _reading_batches(spark, d)
+        acc, _ = SI.stream_ingest(spark, batches, fresh_dir(spark, f"stream_ingest_{kind}"), kind)
+        schema = S.EVENT_LOGS if kind == "events" else S.TELEMETRY
+        cols = [f.name for f in schema.fields]
+        full = StructType(list(schema.fields) + [StructField(MONTH, StringType())])
+        return spark.read.schema(full).parquet(acc).select(*cols, MONTH)
+    return q
+
+
+register("stream_event_ingest", O.with_(O.base_ctes(upto="event_logs"),
+         f"SELECT {EVT_COLS}, strftime(start_time, '%Y%m') AS month FROM event_logs"))(_stream_ingest("events"))
+
+register("stream_telemetry_ingest", O.with_(
+    [("tb", TELEMETRY_BATCHED), ("bad", BAD_BATCHES)],
+    f"SELECT {TEL_COLS}, strftime(ts, '%Y%m') AS month FROM tb "
+    "WHERE batch_id NOT IN (SELECT batch_id FROM bad)"))(_stream_ingest("readings"))
+
+register("stream_equipment_health", O.with_(O.telemetry_ctes("health"), "SELECT * FROM health"))(
+    lambda spark, d: SA.stream_equipment_health(spark, d))
+
+register("stream_daily_losses", O.with_(O.base_ctes(), "SELECT * FROM mart"))(
+    lambda spark, d: SA.stream_daily_losses(spark, d, _m(spark, d).dims))

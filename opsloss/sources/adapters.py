@@ -1,5 +1,7 @@
 """Adapters: provided test tables → the domain facts.
 
+``keep`` carries extra source columns through (e.g. a batch key).
+
 * ``event_logs`` from ``events`` (five operation types, 30 days) or from
   ``lineitem`` (six flag+status operations, ~7 years; the benchmark fact).
 * ``scada_telemetry`` from ``events`` with ``k`` taken from ``props``.
@@ -29,9 +31,10 @@ def _padded(prefix: str, c: Column, width: int) -> Column:
     return F.concat(F.lit(prefix), F.lpad(c.cast("string"), width, "0"))
 
 
-def events_to_event_logs(events: DataFrame) -> DataFrame:
+def events_to_event_logs(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     duration = F.floor((F.col("value") - F.lit(0.5)) * F.lit(200.0)).cast("int")
     return events.select(
+        *keep,
         _padded("CASE-", F.col("event_id"), CASE_WIDTH).alias("case_id"),
         F.col("event_type").alias("operation_name"),
         F.col("ts").alias("start_time"),
@@ -41,9 +44,10 @@ def events_to_event_logs(events: DataFrame) -> DataFrame:
     )
 
 
-def lineitem_to_event_logs(lineitem: DataFrame) -> DataFrame:
+def lineitem_to_event_logs(lineitem: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     duration = (F.col("l_quantity") * F.lit(60.0)).cast("int")
     return lineitem.select(
+        *keep,
         _padded("CASE-", F.col("l_orderkey"), CASE_WIDTH).alias("case_id"),
         F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("operation_name"),
         F.col("l_shipdate").alias("start_time"),
@@ -57,7 +61,7 @@ def _k() -> Column:
     return F.get_json_object(F.col("props"), "$.k").cast("int")
 
 
-def events_to_telemetry(events: DataFrame) -> DataFrame:
+def events_to_telemetry(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     k = _k()
     dev = F.col("user_id") % F.lit(DEVICES)
     unit = F.lit("")
@@ -68,6 +72,7 @@ def events_to_telemetry(events: DataFrame) -> DataFrame:
     for r, v in QUALITY_BY_K20.items():
         q = F.when(k % 20 == r, F.lit(v)).otherwise(q)
     return events.select(
+        *keep,
         F.col("ts").alias("ts"),
         _padded("EQ-", dev, 3).alias("equipment_id"),
         F.concat(F.lit("Device "), dev.cast("string")).alias("equipment_name"),
