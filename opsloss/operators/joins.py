@@ -16,8 +16,19 @@ DEFAULT_MAX_BROADCAST_ROWS = 200_000
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave it to a shuffle join.
+
+    The side is cached while it is counted, so the broadcast (and any other
+    query of the session over the same dimension plan) reads the cached
+    rows; a side found too large is unpersisted again. Lost cache blocks
+    are recomputed from lineage.
+    """
+    cached = df.cache()
+    n = cached.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df
 
 
 def norms_with_rates(norms: DataFrame, rates: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:

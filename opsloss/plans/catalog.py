@@ -29,7 +29,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Fixed parameters of the registered queries: each raw report window starts
 # at the first day of its table, so it spans the whole table.
 RAW_REPORT_TS = {"events": _dt.datetime(2024, 1, 2), "lineitem": _dt.datetime(1995, 1, 3)}
-CALIBRATION_ASOF = _dt.datetime(2024, 1, 31)
+# Calibration "now" and lookback per adapter: the events table spans 30 days
+# (the reference's default lookback); the lineitem table spans ~7 years.
+CALIBRATION = {"events": (_dt.datetime(2024, 1, 31), C.LOOKBACK_DAYS),
+               "lineitem": (_dt.datetime(2001, 11, 5), 2500)}
 TOP_N = Rp.DEFAULT_TOP_N
 
 _Q: dict[str, Query] = {}
@@ -300,6 +303,10 @@ WEEKLY_MARTS = f"""
 register("weekly_losses_marts", O.with_(O.base_ctes() + [("weekly", WEEKLY_MARTS)], "SELECT * FROM weekly"))(
     lambda spark, d: Rp.weekly_losses_marts(_m(spark, d).mart_daily_losses))
 
+register("weekly_losses_marts_lineitem",
+         O.with_(O.base_ctes("lineitem") + [("weekly", WEEKLY_MARTS)], "SELECT * FROM weekly"))(
+    lambda spark, d: Rp.weekly_losses_marts(_m(spark, d, "lineitem").mart_daily_losses))
+
 register("weekly_losses_raw", O.with_(O.base_ctes(upto="event_logs"), f"""
   SELECT week_start, operation_name, '' AS role_name, event_count,
          {R('_avg', 6)} AS avg_duration_sec, 0 AS norm_seconds, 0.0::double AS hourly_rate,
@@ -327,8 +334,9 @@ register("weekly_top_anomalies", O.with_(
 
 # ================================================================ calibration
 
-def _calibration_sql(final: str) -> str:
-    since = CALIBRATION_ASOF - _dt.timedelta(days=C.LOOKBACK_DAYS)
+def _calibration_sql(final: str, source: str = "events") -> str:
+    asof, lookback = CALIBRATION[source]
+    since = asof - _dt.timedelta(days=lookback)
     stats = f"""
   SELECT operation_name, event_count, mean_sec, median_sec, std_sec, p75_sec,
          cast(round_even(median_sec + 0.5::double * std_sec, 0) as integer) AS recommended_norm_sec
@@ -341,22 +349,28 @@ def _calibration_sql(final: str) -> str:
         WHERE start_time >= TIMESTAMP '{since:%Y-%m-%d %H:%M:%S}'
           AND duration_seconds > 0 AND duration_seconds < 86400
         GROUP BY operation_name)"""
-    return O.with_(O.base_ctes(upto="stg_norms") + [("cal", stats)], final)
+    return O.with_(O.base_ctes(source, upto="stg_norms") + [("cal", stats)], final)
 
 
-def _cal_stats(spark, d):
-    return C.calibration_stats(C.calibration_window(_m(spark, d).event_logs, CALIBRATION_ASOF))
+def _cal_stats(spark, d, source="events"):
+    asof, lookback = CALIBRATION[source]
+    return C.calibration_stats(C.calibration_window(_m(spark, d, source).event_logs, asof, lookback))
 
 
 register("calibration_stats", _calibration_sql("SELECT * FROM cal"))(_cal_stats)
 
-register("norm_calibration", _calibration_sql(f"""
+NORM_CALIBRATION_FINAL = f"""
   SELECT c.*, n.norm_seconds AS current_norm_sec,
          c.recommended_norm_sec - n.norm_seconds AS delta_sec,
          {R('cast(c.recommended_norm_sec - n.norm_seconds as double) / nullif(cast(n.norm_seconds as double), 0.0) * 100.0::double', 1)} AS delta_pct
-  FROM cal c LEFT JOIN stg_norms n ON c.operation_name = n.operation_name"""))(
+  FROM cal c LEFT JOIN stg_norms n ON c.operation_name = n.operation_name"""
+
+register("norm_calibration", _calibration_sql(NORM_CALIBRATION_FINAL))(
     lambda spark, d: C.norm_calibration(_cal_stats(spark, d), _m(spark, d).stg_norms))
 
+register("norm_calibration_lineitem", _calibration_sql(NORM_CALIBRATION_FINAL, "lineitem"))(
+    lambda spark, d: C.norm_calibration(_cal_stats(spark, d, "lineitem"), _m(spark, d, "lineitem").stg_norms))
+
 
 # ================================================================ data quality
 
@@ -367,8 +381,8 @@ DQ_CTE = {
 }
 
 
-def _dq_ctes() -> list[tuple[str, str]]:
-    return O.base_ctes() + O.telemetry_ctes()
+def _dq_ctes(source: str = "events") -> list[tuple[str, str]]:
+    return O.base_ctes(source) + O.telemetry_ctes()
 
 
 def _not_null_sql(check_col: str = "null_count", with_check: bool = False) -> str:
@@ -392,8 +406,8 @@ def _dup_sql(model: str, cols: list[str], key_col: str, check: str | None = None
             f"FROM (SELECT {key} AS k, count(*) AS n FROM {DQ_CTE[model]} GROUP BY k HAVING count(*) > 1)")
 
 
-def _dq_models(spark, d):
-    return _m(spark, d).quality_models()
+def _dq_models(spark, d, source="events"):
+    return _m(spark, d, source).quality_models()
 
 
 def _dq_not_null(spark, d):
@@ -451,6 +465,9 @@ def _dq_summary_sql() -> str:
 register("dq_summary", O.with_(_dq_ctes(), _dq_summary_sql()))(
     lambda spark, d: Q.dq_summary(_dq_models(spark, d)))
 
+register("dq_summary_lineitem", O.with_(_dq_ctes("lineitem"), _dq_summary_sql()))(
+    lambda spark, d: Q.dq_summary(_dq_models(spark, d, "lineitem")))
+
 
 # ================================================================ ingest (batch and streaming)
 

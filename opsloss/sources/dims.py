@@ -14,8 +14,6 @@ zero-loss clip is exercised. ``RF`` carries two versions with the same
 
 from __future__ import annotations
 
-import datetime as _dt
-
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
@@ -46,38 +44,49 @@ NORM_VERSIONS = [
 ]
 
 
-def _ts(s: str) -> _dt.datetime:
-    return _dt.datetime.strptime(s, "%Y-%m-%d %H:%M:%S")
+RATE_COLUMNS = ["id", "role_name", "hourly_rate", "updated_at"]
+RATE_TYPES = ["int", "string", "double", "timestamp"]
+NORM_COLUMNS = ["id", "operation_name", "norm_seconds", "role_id", "updated_at"]
+NORM_TYPES = ["int", "string", "int", "int", "timestamp"]
+
+
+def _local(spark: SparkSession, rows, columns, types, schema) -> DataFrame:
+    """A JVM-side local relation (no Python round trip); identical rows give
+    identical plans, so a cached dimension is reused across queries."""
+    df = spark.sql("SELECT * FROM " + values_sql(rows, columns, types, dialect="spark"))
+    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def rates_versioned(spark: SparkSession, rows=None) -> DataFrame:
     rows = RATE_VERSIONS if rows is None else rows
-    return spark.createDataFrame([(*r[:-1], _ts(r[-1])) for r in rows], schemas.RATES_VERSIONED)
+    return _local(spark, rows, RATE_COLUMNS, RATE_TYPES, schemas.RATES_VERSIONED)
 
 
 def norms_versioned(spark: SparkSession, rows=None) -> DataFrame:
     rows = NORM_VERSIONS if rows is None else rows
-    return spark.createDataFrame([(*r[:-1], _ts(r[-1])) for r in rows], schemas.NORMS_VERSIONED)
+    return _local(spark, rows, NORM_COLUMNS, NORM_TYPES, schemas.NORMS_VERSIONED)
 
 
-def values_sql(rows, columns: list[str], types: list[str]) -> str:
-    """The same literal rows as a SQL ``VALUES`` relation (for SQL oracles)."""
+def values_sql(rows, columns: list[str], types: list[str], dialect: str = "duckdb") -> str:
+    """The literal rows as a SQL ``VALUES`` relation (Spark or DuckDB dialect)."""
     def lit(v, t):
+        if v is None:
+            return f"CAST(NULL AS {t})"
         if t == "timestamp":
-            return f"TIMESTAMP '{v}'"
+            return f"TIMESTAMP_NTZ '{v}'" if dialect == "spark" else f"TIMESTAMP '{v}'"
         if t in ("varchar", "string"):
             return "'" + str(v).replace("'", "''") + "'"
         return f"CAST({v} AS {t})"
 
     body = ",\n  ".join("(" + ", ".join(lit(v, t) for v, t in zip(r, types)) + ")" for r in rows)
+    if dialect == "spark":
+        return f"VALUES\n  {body}\n AS t({', '.join(columns)})"
     return f"(VALUES\n  {body}\n) AS t({', '.join(columns)})"
 
 
 def rates_versioned_sql() -> str:
-    return values_sql(RATE_VERSIONS, ["id", "role_name", "hourly_rate", "updated_at"],
-                      ["integer", "varchar", "double", "timestamp"])
+    return values_sql(RATE_VERSIONS, RATE_COLUMNS, ["integer", "varchar", "double", "timestamp"])
 
 
 def norms_versioned_sql() -> str:
-    return values_sql(NORM_VERSIONS, ["id", "operation_name", "norm_seconds", "role_id", "updated_at"],
-                      ["integer", "varchar", "integer", "integer", "timestamp"])
+    return values_sql(NORM_VERSIONS, NORM_COLUMNS, ["integer", "varchar", "integer", "integer", "timestamp"])
