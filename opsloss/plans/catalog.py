@@ -544,3 +544,131 @@ register("stream_equipment_health", O.with_(O.telemetry_ctes("health"), "SELECT
 
 register("stream_daily_losses", O.with_(O.base_ctes(), "SELECT * FROM mart"))(
     lambda spark, d: SA.stream_daily_losses(spark, d, _m(spark, d).dims))
+
+
+# ================================================================ dimension load and versioning
+
+from ..operators import joins as J  # noqa: E402
+from ..operators import versioning as V  # noqa: E402
+from ..sources import adapters as A  # noqa: E402
+from ..sources import storage as ST  # noqa: E402
+
+# Fixed parameters: nations of this region are "missing" in the rate table,
+# so their suppliers' norms are rejected by the foreign-key check.
+DROPPED_REGION = 4
+SYNC_TIMES = (_dt.datetime(2024, 1, 1, 6, 0), _dt.datetime(2024, 1, 2, 6, 0))
+
+NATION_RATES = "  SELECT cast(n_nationkey as integer) AS id, n_name AS role_name, " \
+               "400.0::double + 20.0::double * n_regionkey AS hourly_rate FROM nation"
+SUPPLIER_NORMS = "  SELECT cast(s_suppkey as integer) AS id, s_name AS operation_name, " \
+                 "cast(trunc(abs(s_acctbal)) as integer) AS norm_seconds, " \
+                 "cast(s_nationkey as integer) AS role_id FROM supplier"
+
+
+def _bed(spark, d):
+    rates = A.nation_to_rates(T.table(spark, d, "nation"))
+    norms = A.supplier_to_norms(T.table(spark, d, "supplier"))
+    return rates, norms
+
+
+register("latest_order_per_customer", """
+  SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, o_orderdate FROM (
+    SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+    FROM orders) WHERE rn = 1""")(
+    lambda spark, d: V.latest_by_key(
+        T.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice",
+                                           "o_orderdate"),
+        "o_custkey", version="o_orderdate", tiebreak=["o_orderkey"], keep_version=True))
+
+
+def _resync(spark, d):
+    """C3 + A10 + S17: two snapshots of a source dimension appended to a
+    versioned log; the second misses the rows deleted at source. The latest
+    view keeps every row, at its newest version."""
+    src = T.table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    log = fresh_dir(spark, "dim_customer_log")
+    V.stamp_snapshot(src, SYNC_TIMES[0]).write.mode("append").parquet(log)
+    V.stamp_snapshot(src.filter(F.col("c_acctbal") >= 0), SYNC_TIMES[1]).write.mode("append").parquet(log)
+    return V.latest_by_key(spark.read.parquet(log), "c_custkey")
+
+
+register("dims_resync_idempotent",
+         "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")(_resync)
+
+
+def _fk(spark, d):
+    rates, norms = _bed(spark, d)
+    nation = T.table(spark, d, "nation").filter(F.col("n_regionkey") != DROPPED_REGION)
+    _, rejected = J.accept_with_parent(norms, rates.join(nation.select(F.col("n_nationkey").cast("int").alias("id")),
+                                                          "id", "left_semi"), "role_id", "id")
+    return rejected
+
+
+register("dim_fk_rejects", O.with_([("norms", SUPPLIER_NORMS)], f"""
+  SELECT * FROM norms WHERE role_id NOT IN (
+    SELECT cast(n_nationkey as integer) FROM nation WHERE n_regionkey <> {DROPPED_REGION})"""))(_fk)
+
+
+def _roles_with_norms(spark, d):
+    rates, norms = _bed(spark, d)
+    return J.children_per_parent(rates, norms, "id", "role_id", "norm_seconds")
+
+
+register("roles_with_norms", O.with_([("rates", NATION_RATES), ("norms", SUPPLIER_NORMS)], """
+  SELECT r.id, r.role_name, r.hourly_rate, coalesce(a.child_count, 0) AS child_count,
+         a.min_value, a.max_value
+  FROM rates r LEFT JOIN (SELECT role_id, cast(count(*) as bigint) AS child_count,
+                                 min(norm_seconds) AS min_value, max(norm_seconds) AS max_value
+                          FROM norms GROUP BY role_id) a ON r.id = a.role_id"""))(_roles_with_norms)
+
+
+def _bed_norms_with_rates(spark, d):
+    rates, norms = _bed(spark, d)
+    return J.norms_with_rates(norms, rates.withColumnRenamed("id", "tariff_id"))
+
+
+register("dim_norms_with_rates", O.with_([("rates", NATION_RATES), ("norms", SUPPLIER_NORMS)], """
+  SELECT n.operation_name, n.norm_seconds, n.role_id, r.role_name, r.hourly_rate
+  FROM norms n JOIN rates r ON n.role_id = r.id"""))(_bed_norms_with_rates)
+
+
+def _append_new_roles(spark, d):
+    rates, _ = _bed(spark, d)
+    requests = A.customer_to_rate_requests(T.table(spark, d, "customer"))
+    return J.new_rows_only(requests, rates, "role_name", order_col="request_seq")
+
+
+register("dim_append_new_roles", """
+  SELECT request_seq, role_name, hourly_rate FROM (
+    SELECT c_custkey AS request_seq, c_mktsegment AS role_name, c_acctbal AS hourly_rate,
+           row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn
+    FROM customer WHERE c_mktsegment NOT IN (SELECT n_name FROM nation)) WHERE rn = 1""")(_append_new_roles)
+
+
+def _dq_unique(spark, d):
+    from functools import reduce
+    rates, norms = _bed(spark, d)
+    m = _m(spark, d)
+    parts = [Q.duplicate_summary(m.stg_norms, "stg_process_norms", [c]) for c in ("norm_id", "operation_name")]
+    parts += [Q.duplicate_summary(m.stg_rates, "stg_rates", [c]) for c in ("tariff_id", "role_name")]
+    parts += [Q.duplicate_summary(norms, "supplier_norms", [c]) for c in ("id", "operation_name")]
+    parts += [Q.duplicate_summary(rates, "nation_rates", [c]) for c in ("id", "role_name")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _dq_unique_sql() -> str:
+    parts = []
+    for model, cte, cols in [("stg_process_norms", "stg_norms", ["norm_id", "operation_name"]),
+                             ("stg_rates", "stg_rates", ["tariff_id", "role_name"]),
+                             ("supplier_norms", "norms", ["id", "operation_name"]),
+                             ("nation_rates", "rates", ["id", "role_name"])]:
+        for c in cols:
+            parts.append(
+                f"  SELECT '{model}' AS model, '{c}' AS column_name, cast(count(*) as bigint) AS duplicate_keys, "
+                f"cast(coalesce(sum(n), 0) as bigint) AS duplicate_rows "
+                f"FROM (SELECT {c}, count(*) AS n FROM {cte} GROUP BY {c} HAVING count(*) > 1)")
+    return O.with_([("stg_norms", O.STG_NORMS), ("stg_rates", O.STG_RATES),
+                    ("rates", NATION_RATES), ("norms", SUPPLIER_NORMS)], "\n  UNION ALL\n".join(parts))
+
+
+register("dq_unique", _dq_unique_sql())(_dq_unique)

@@ -94,3 +94,35 @@ def event_logs(spark: SparkSession, sf_dir: str, source: str = "events") -> Data
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_to_telemetry(table(spark, sf_dir, "events"))
+
+
+# ---------------------------------------------------------------- dimension-load bed
+# The dimension-management operators (A5-A10, C1-C3, D1, D5, D6, L2, L8) are
+# exercised on provided tables that grow with the scale factor:
+#   roles/rates   ← nation    (id, name, a rate derived from the region)
+#   norms         ← supplier  (id, name, a norm derived from the balance, role = nation)
+#   role requests ← customer  (market segment as role name, balance as rate)
+
+def nation_to_rates(nation: DataFrame) -> DataFrame:
+    return nation.select(
+        F.col("n_nationkey").cast("int").alias("id"),
+        F.col("n_name").alias("role_name"),
+        (F.lit(400.0) + F.lit(20.0) * F.col("n_regionkey")).alias("hourly_rate"),
+    )
+
+
+def supplier_to_norms(supplier: DataFrame) -> DataFrame:
+    return supplier.select(
+        F.col("s_suppkey").cast("int").alias("id"),
+        F.col("s_name").alias("operation_name"),
+        F.abs(F.col("s_acctbal")).cast("int").alias("norm_seconds"),
+        F.col("s_nationkey").cast("int").alias("role_id"),
+    )
+
+
+def customer_to_rate_requests(customer: DataFrame) -> DataFrame:
+    return customer.select(
+        F.col("c_custkey").alias("request_seq"),
+        F.col("c_mktsegment").alias("role_name"),
+        F.col("c_acctbal").alias("hourly_rate"),
+    )
