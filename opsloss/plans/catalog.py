@@ -672,3 +672,55 @@ def _dq_unique_sql() -> str:
 
 
 register("dq_unique", _dq_unique_sql())(_dq_unique)
+
+
+# ================================================================ jobs and table maintenance
+
+from . import jobs as JB  # noqa: E402
+
+def _daily_etl(spark, d):
+    paths = JB.daily_run(spark, d)
+    return spark.read.parquet(paths["pulse"])
+
+
+def _weekly_etl(spark, d):
+    paths = JB.weekly_run(spark, d)
+    return spark.read.parquet(paths["losses"])
+
+
+register("daily_etl_run", _SQL["report_pulse"])(_daily_etl)
+register("weekly_etl_run", _SQL["weekly_losses_marts"])(_weekly_etl)
+
+# Fixed parameters: the month rebuilt by the partition-rewrite query and the
+# "now" of the retention query.
+REWRITE_MONTH = _dt.date(1998, 6, 1)
+RETENTION_ASOF = _dt.datetime(2025, 1, 15, 12, 0)
+
+
+def _partition_rewrite(spark, d):
+    """The full mart is written, then one month is rebuilt from the
+    facts of that month only; dynamic overwrite must leave every other month."""
+    m = _m(spark, d, "lineitem")
+    wh = JB.new_warehouse(spark)
+    ST.overwrite_partitions(m.mart_daily_losses, wh.mart_losses, "mart_daily_losses")
+    nxt = (REWRITE_MONTH.replace(day=28) + _dt.timedelta(days=4)).replace(day=1)
+    month = m.mart_daily_losses.filter((F.col("event_date") >= F.lit(REWRITE_MONTH)) &
+                                       (F.col("event_date") < F.lit(nxt)))
+    ST.overwrite_partitions(month, wh.mart_losses, "mart_daily_losses")
+    return JB.read_mart(spark, wh.mart_losses, S.MART_DAILY_LOSSES)
+
+
+register("mart_partition_rewrite", O.with_(O.base_ctes("lineitem"), "SELECT * FROM mart"))(_partition_rewrite)
+
+
+def _retention(spark, d):
+    wh = JB.new_warehouse(spark)
+    path = wh.path("raw", "scada_telemetry")
+    ST.append(_m(spark, d).telemetry, path, "scada_telemetry")
+    kept = JB.apply_retention(spark, path, RETENTION_ASOF)
+    return spark.read.parquet(kept).select(*[F.col(f.name).cast(f.dataType) for f in S.TELEMETRY.fields])
+
+
+register("retention_telemetry", O.with_(O.telemetry_ctes("telemetry"), f"""
+  SELECT * FROM telemetry
+  WHERE date_trunc('second', ts) + INTERVAL 1 YEAR > TIMESTAMP '{RETENTION_ASOF:%Y-%m-%d %H:%M:%S}'"""))(_retention)

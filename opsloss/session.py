@@ -86,4 +86,12 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return shared_dir(spark, "opsloss", kind, uuid.uuid4().hex)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through Hadoop's FileSystem, so it works for any
+    cluster file system (HDFS, object stores), not only local disk."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 _FALLBACK: dict[str, str] = {}
