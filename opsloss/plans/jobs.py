@@ -56,6 +56,14 @@ def new_warehouse(spark: SparkSession) -> Warehouse:
     return Warehouse(fresh_dir(spark, "warehouse"))
 
 
+def create_tables(spark: SparkSession, wh: Warehouse) -> None:
+    """The six tables exist (empty, with schema) before any job step runs."""
+    ST.create_if_absent(spark, wh.path("raw", "event_logs"), schemas.EVENT_LOGS)
+    ST.create_if_absent(spark, wh.path("raw", "scada_telemetry"), schemas.TELEMETRY)
+    ST.create_if_absent(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES)
+    ST.create_if_absent(spark, wh.mart_health, schemas.MART_EQUIPMENT_HEALTH)
+
+
 # ---------------------------------------------------------------- M15
 
 def current_dims(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -124,6 +132,7 @@ def daily_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None, rep
     ``report_date=None`` back-fills reports for every date of the mart.
     """
     wh = wh or new_warehouse(spark)
+    create_tables(spark, wh)
     if not path_exists(spark, wh.dim_norms):
         seed_dim_history(spark, wh)
     sync_dims(*current_dims(spark), wh, synced_at)
@@ -189,6 +198,14 @@ def norm_calibration_run(spark: SparkSession, sf_dir: str, asof: _dt.datetime, o
 
 # ---------------------------------------------------------------- A17
 
+def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
+    """A month-partitioned telemetry table with its fixed schema (also when empty)."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    full = StructType(list(schemas.TELEMETRY.fields) + [StructField(ST.MONTH, StringType())])
+    return spark.read.schema(full).parquet(path)
+
+
 def apply_retention(spark: SparkSession, path: str, asof: _dt.datetime, years: int = 1) -> str:
     """A17 on a month-partitioned telemetry table; returns the path of the retained table.
 
