@@ -62,4 +62,4 @@ def minus_hours(c: Column, hours: int) -> Column:
 
 
 def plus_seconds(c: Column | str, secs: Column | str) -> Column:
-    return col(c) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), col(secs).cast("decimal(18,6)"))
+    return F.timestamp_add("SECOND", col(secs), col(c))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import EQUIPMENT_STATES
@@ -154,3 +154,105 @@ def gate(summary: DataFrame) -> None:
     if failing:
         names = ", ".join(f"{r.check_name}:{r.model}.{r.column_name}={r.failures}" for r in failing)
         raise QualityGateError(f"data-quality checks failed: {names}")
+
+
+# ---------------------------------------------------------------- fused evaluation
+
+def _row_counts(df: DataFrame, specs: list[tuple[str, str, str, Column]]) -> DataFrame:
+    """Row-level checks of one frame in a single aggregation pass.
+
+    ``specs``: (check_name, model, column_name, failing-row predicate).
+    """
+    counts = df.agg(*[F.count_if(p).alias(f"_c{i}") for i, (_, _, _, p) in enumerate(specs)])
+    return _unpivot(counts, specs)
+
+
+def _unpivot(counts: DataFrame, specs) -> DataFrame:
+    pairs = ", ".join(f"'{c}', '{m}', '{col}', cast(`_c{i}` as bigint)" for i, (c, m, col, _) in enumerate(specs))
+    return counts.selectExpr(f"stack({len(specs)}, {pairs}) as (check_name, model, column_name, failures)")
+
+
+def dq_summary_fused(stg_events: DataFrame, dims: DataFrame, stg_norms: DataFrame, stg_rates: DataFrame,
+                     stg_telemetry: DataFrame, stats: DataFrame, mart: DataFrame,
+                     health: DataFrame | None = None) -> DataFrame:
+    """``dq_summary`` of the standard model graph with one pass per fact source.
+
+    * Staged and enriched events: one scan of the facts, pre-aggregated per
+      operation (null counts, row count, range violations), then joined to
+      the dimension rows. The enriched model is ``stg ⋈ dims`` on the
+      operation, so its counts are the per-operation counts summed over the
+      join — exact, including duplicate dimension rows — without scanning or
+      joining the facts a second time.
+    * Staged telemetry: null counts and accepted values in one scan.
+    * Stats and health: the health mart is a 1:1 projection of the stats, so
+      both are checked in one pass over the stats (``health`` may be given
+      when it is a stored table).
+    * Loss mart: null counts and negative losses in one pass; uniqueness as
+      grouped counts (partial aggregation).
+    """
+    parts: list[DataFrame] = []
+
+    # ---- events: staged + enriched + duration range
+    stg_cols = NOT_NULL_TESTS["stg_event_logs"]
+    enr_cols = NOT_NULL_TESTS["int_operations_enriched"]
+    d = F.col("duration_seconds")
+    fact_cols = [c for c in dict.fromkeys(stg_cols + [c for c in enr_cols if c in stg_events.columns])]
+    per_op = stg_events.groupBy("operation_name").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if((d <= MIN_DURATION_EXCLUSIVE) | (d >= MAX_DURATION_EXCLUSIVE)).alias("_range"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in fact_cols],
+    )
+    tot = per_op.agg(*[F.sum(f"_null_{c}").alias(f"_c{i}") for i, c in enumerate(stg_cols)],
+                     F.sum("_range").alias(f"_c{len(stg_cols)}"))
+    specs = [("not_null", "stg_event_logs", c, None) for c in stg_cols] + \
+            [("duration_in_range", "stg_event_logs", "duration_seconds", None)]
+    parts.append(_unpivot(tot, specs))
+
+    dim_cols = [c for c in enr_cols if c not in stg_events.columns]
+    from .joins import sized_broadcast
+    joined = per_op.join(sized_broadcast(dims.select("operation_name", *dim_cols)), "operation_name", "inner")
+    enr = []
+    for c in enr_cols:
+        enr.append(F.sum(f"_null_{c}") if c in fact_cols else F.sum(F.when(F.col(c).isNull(), F.col("_n"))))
+    etot = joined.agg(*[F.coalesce(e, F.lit(0)).alias(f"_c{i}") for i, e in enumerate(enr)])
+    parts.append(_unpivot(etot, [("not_null", "int_operations_enriched", c, None) for c in enr_cols]))
+
+    # ---- dimensions (tiny)
+    for model, frame in (("stg_process_norms", stg_norms), ("stg_rates", stg_rates)):
+        parts.append(_row_counts(frame, [("not_null", model, c, F.col(c).isNull())
+                                         for c in NOT_NULL_TESTS[model]]))
+        for c in UNIQUE_TESTS[model]:
+            parts.append(duplicate_summary(frame, model, [c]).select(
+                F.lit("unique").alias("check_name"), "model", "column_name",
+                F.col("duplicate_keys").alias("failures")))
+
+    # ---- telemetry staging + accepted values
+    tel_specs = [("not_null", "stg_telemetry", c, F.col(c).isNull()) for c in NOT_NULL_TESTS["stg_telemetry"]]
+    tel_specs.append(("accepted_values", "stg_telemetry", "equipment_state",
+                      ~F.col("equipment_state").isin(*EQUIPMENT_STATES)))
+    parts.append(_row_counts(stg_telemetry, tel_specs))
+
+    # ---- stats + health
+    st_specs = [("not_null", "int_telemetry_daily_stats", c, F.col(c).isNull())
+                for c in NOT_NULL_TESTS["int_telemetry_daily_stats"]]
+    h = health if health is not None else stats
+    h_specs = [("not_null", "mart_equipment_health", c, F.col(c).isNull())
+               for c in NOT_NULL_TESTS["mart_equipment_health"]]
+    if health is None:
+        parts.append(_row_counts(stats, st_specs + h_specs))
+    else:
+        parts += [_row_counts(stats, st_specs), _row_counts(health, h_specs)]
+    hk = COMPOSITE_UNIQUE_TESTS["mart_equipment_health"]
+    parts.append(duplicate_summary(h, "mart_equipment_health", hk).select(
+        F.lit("unique_combination").alias("check_name"), "model", "column_name",
+        F.col("duplicate_keys").alias("failures")))
+
+    # ---- loss mart
+    m_specs = [("not_null", "mart_daily_losses", c, F.col(c).isNull()) for c in NOT_NULL_TESTS["mart_daily_losses"]]
+    m_specs.append(("no_negative_losses", "mart_daily_losses", "total_loss", F.col("total_loss") < 0))
+    parts.append(_row_counts(mart, m_specs))
+    mk = COMPOSITE_UNIQUE_TESTS["mart_daily_losses"]
+    parts.append(duplicate_summary(mart, "mart_daily_losses", mk).select(
+        F.lit("unique_combination").alias("check_name"), "model", "column_name",
+        F.col("duplicate_keys").alias("failures")))
+    return reduce(DataFrame.unionByName, parts)

@@ -484,10 +484,10 @@ def _dq_summary_sql() -> str:
 
 
 register("dq_summary", O.with_(_dq_ctes(), _dq_summary_sql()))(
-    lambda spark, d: Q.dq_summary(_dq_models(spark, d)))
+    lambda spark, d: _m(spark, d).dq_summary())
 
 register("dq_summary_lineitem", O.with_(_dq_ctes("lineitem"), _dq_summary_sql()))(
-    lambda spark, d: Q.dq_summary(_dq_models(spark, d, "lineitem")))
+    lambda spark, d: _m(spark, d, "lineitem").dq_summary())
 
 
 # ================================================================ ingest (batch and streaming)

@@ -77,6 +77,13 @@ class Models:
     def mart_equipment_health(self) -> DataFrame:
         return equipment.mart_equipment_health(self.telemetry_stats)
 
+    def dq_summary(self) -> DataFrame:
+        """L1-L6 over this graph, one pass per fact source (``quality.dq_summary_fused``)."""
+        from ..operators.quality import dq_summary_fused
+
+        return dq_summary_fused(self.stg_events, self.dims, self.stg_norms, self.stg_rates,
+                                self.stg_telemetry, self.telemetry_stats, self.mart_daily_losses)
+
     def quality_models(self) -> dict[str, DataFrame]:
         return {
             "stg_event_logs": self.stg_events,

@@ -103,3 +103,39 @@ def test_negative_loss_and_duration_checks(spark):
     assert Q.negative_losses(mart).count() == 1
     ev = spark.createDataFrame([("c", 0), ("d", 5)], "case_id string, duration_seconds int")
     assert [r.case_id for r in Q.durations_out_of_range(ev).collect()] == ["c"]
+
+
+def test_fused_summary_equals_plain_summary(spark):
+    from opsloss.plans.models import Models
+    from tests.conftest import SF_SMALL
+    m = Models(spark, SF_SMALL, "lineitem")
+    a = Q.dq_summary(m.quality_models())
+    b = m.dq_summary()
+    assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_fused_summary_counts_defects(spark):
+    ev = spark.createDataFrame([("c1", "A", dt.date(2024, 1, 1), 5), (None, "A", dt.date(2024, 1, 1), 7),
+                                (None, "Z", dt.date(2024, 1, 1), 7)],
+                               "case_id string, operation_name string, event_date date, duration_seconds int")
+    dims = spark.createDataFrame([("A", 10, None), ("A", 12, 3.0)],
+                                 "operation_name string, norm_seconds int, hourly_rate double")
+    enriched = ev.join(dims, "operation_name")
+    empty_n = spark.createDataFrame([], "norm_id int, operation_name string, norm_seconds int")
+    empty_r = spark.createDataFrame([], "tariff_id int, role_name string, hourly_rate double")
+    tel = spark.createDataFrame([], TEL).withColumn("reading_date", F.to_date("ts"))
+    from opsloss.operators import equipment as E
+    stats = E.telemetry_daily_stats(tel)
+    mart = spark.createDataFrame([], "event_date date, operation_name string, event_count bigint, "
+                                 "avg_duration_sec double, norm_seconds int, total_loss double")
+    fused = {(r.model, r.column_name): r.failures for r in
+             Q.dq_summary_fused(ev, dims, empty_n, empty_r, tel, stats, mart).collect()}
+    plain = {(r.model, r.column_name): r.failures for r in
+             Q.null_counts(enriched, "int_operations_enriched",
+                           ["case_id", "operation_name", "event_date", "norm_seconds", "hourly_rate"])
+             .select("model", "column_name", F.col("null_count").alias("failures")).collect()}
+    for k, v in plain.items():
+        assert fused[k] == v
+    assert fused[("int_operations_enriched", "case_id")] == 2       # duplicate dim rows count twice
+    assert fused[("int_operations_enriched", "hourly_rate")] == 2
+    assert fused[("stg_event_logs", "case_id")] == 2
