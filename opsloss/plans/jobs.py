@@ -58,10 +58,12 @@ def new_warehouse(spark: SparkSession) -> Warehouse:
 
 def create_tables(spark: SparkSession, wh: Warehouse) -> None:
     """The six tables exist (empty, with schema) before any job step runs."""
-    ST.create_if_absent(spark, wh.path("raw", "event_logs"), schemas.EVENT_LOGS)
-    ST.create_if_absent(spark, wh.path("raw", "scada_telemetry"), schemas.TELEMETRY)
-    ST.create_if_absent(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES)
-    ST.create_if_absent(spark, wh.mart_health, schemas.MART_EQUIPMENT_HEALTH)
+    ST.run_concurrently([
+        lambda: ST.create_if_absent(spark, wh.path("raw", "event_logs"), schemas.EVENT_LOGS),
+        lambda: ST.create_if_absent(spark, wh.path("raw", "scada_telemetry"), schemas.TELEMETRY),
+        lambda: ST.create_if_absent(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES),
+        lambda: ST.create_if_absent(spark, wh.mart_health, schemas.MART_EQUIPMENT_HEALTH),
+    ])
 
 
 # ---------------------------------------------------------------- M15
@@ -75,8 +77,10 @@ def current_dims(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 def seed_dim_history(spark: SparkSession, wh: Warehouse) -> None:
     """The versioned logs as they stood before the first sync of a run."""
-    D.norms_versioned(spark).write.mode("append").parquet(wh.dim_norms)
-    D.rates_versioned(spark).write.mode("append").parquet(wh.dim_rates)
+    ST.run_concurrently([
+        lambda: D.norms_versioned(spark).write.mode("append").parquet(wh.dim_norms),
+        lambda: D.rates_versioned(spark).write.mode("append").parquet(wh.dim_rates),
+    ])
 
 
 def sync_dims(norms_src: DataFrame, rates_src: DataFrame, wh: Warehouse, synced_at: _dt.datetime) -> dict[str, int]:
@@ -113,8 +117,10 @@ def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None) ->
         lo = month_start(since)
         losses = losses.filter(F.col("event_date") >= F.lit(lo))
         health = health.filter(F.col("reading_date") >= F.lit(lo))
-    ST.overwrite_partitions(losses, wh.mart_losses, "mart_daily_losses")
-    ST.overwrite_partitions(health, wh.mart_health, "mart_equipment_health")
+    ST.run_concurrently([
+        lambda: ST.overwrite_partitions(losses, wh.mart_losses, "mart_daily_losses"),
+        lambda: ST.overwrite_partitions(health, wh.mart_health, "mart_equipment_health"),
+    ])
 
 
 def read_mart(spark: SparkSession, path: str, schema) -> DataFrame:

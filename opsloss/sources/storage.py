@@ -10,6 +10,8 @@ partition overwrite: only the months present in the new frame are replaced
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,11 +97,18 @@ def write_csv_report(df: DataFrame, out_dir: str, run_date: _dt.date) -> str:
     return path
 
 
+def run_concurrently(actions: list[Callable[[], object]], max_workers: int = 8) -> list[object]:
+    """Submit independent Spark actions (e.g. writes of separate tables) as
+    concurrent jobs, so small jobs share the cluster instead of queueing."""
+    if len(actions) <= 1:
+        return [a() for a in actions]
+    with ThreadPoolExecutor(max_workers=min(max_workers, len(actions))) as pool:
+        return [f.result() for f in [pool.submit(a) for a in actions]]
+
+
 def write_report_tables(tables: dict[str, DataFrame], out_dir: str, report_key: str) -> dict[str, str]:
     """A21 (re-aimed): the report's tables as Parquet under ``report=<key>``."""
-    paths = {}
-    for name, df in tables.items():
-        p = f"{out_dir}/{name}/report={report_key}"
-        df.write.mode("overwrite").parquet(p)
-        paths[name] = p
+    paths = {name: f"{out_dir}/{name}/report={report_key}" for name in tables}
+    run_concurrently([lambda df=df, p=paths[n]: df.write.mode("overwrite").parquet(p)
+                      for n, df in tables.items()])
     return paths
