@@ -738,8 +738,8 @@ def _retention(spark, d):
     wh = JB.new_warehouse(spark)
     path = wh.path("raw", "scada_telemetry")
     ST.append(_m(spark, d).telemetry, path, "scada_telemetry")
-    kept = JB.apply_retention(spark, path, RETENTION_ASOF)
-    return JB.read_telemetry(spark, kept).select(*[f.name for f in S.TELEMETRY.fields])
+    JB.apply_retention(spark, path, RETENTION_ASOF)
+    return JB.read_telemetry(spark, path).select(*[f.name for f in S.TELEMETRY.fields])
 
 
 register("retention_telemetry", O.with_(O.telemetry_ctes("telemetry"), f"""

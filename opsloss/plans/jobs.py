@@ -214,17 +214,46 @@ def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(full).parquet(path)
 
 
-def apply_retention(spark: SparkSession, path: str, asof: _dt.datetime, years: int = 1) -> str:
-    """A17 on a month-partitioned telemetry table; returns the path of the retained table.
-
-    Months wholly past the horizon are not read at all (partition pruning);
-    the boundary month is filtered row by row. The retained table is written
-    as a new generation next to the old one (copy-on-write), so readers of
-    the old generation are never disturbed and a failed run leaves it intact.
+def apply_retention(spark: SparkSession, path: str, asof: _dt.datetime, years: int = 1) -> dict[str, list[str]]:
+    """A17 on a month-partitioned telemetry table, in place; work is one month.
+
+    * months wholly past the horizon are dropped as partition folders (a
+      metadata operation, no data read);
+    * the one boundary month is filtered row by row: copied to a staging
+      folder, then written back over its own partition (dynamic overwrite);
+    * later months are not touched.
+    Re-running with the same ``asof`` is a no-op on the result.
     """
-    df = spark.read.parquet(path)
-    kept = ST.retention_filter(df, asof, years)
-    out = f"{path.rstrip('/')}__retained_{asof:%Y%m%d%H%M%S}"
-    kept.sortWithinPartitions(ST.MONTH, *ST.SORT_KEYS["scada_telemetry"]) \
-        .write.mode("overwrite").partitionBy(ST.MONTH).parquet(out)
-    return out
+    cutoff = asof.replace(year=asof.year - years)
+    boundary = cutoff.strftime("%Y%m")
+    months = list_months(spark, path)
+    expired = [m for m in months if m < boundary]
+    for m in expired:
+        _delete(spark, f"{path.rstrip('/')}/{ST.MONTH}={m}")
+    if boundary in months:
+        part = read_telemetry(spark, path).filter(F.col(ST.MONTH) == F.lit(boundary))
+        staging = fresh_dir(spark, "retention_staging")
+        ST.retention_filter(part, asof, years).write.mode("overwrite").parquet(staging)
+        kept = read_telemetry(spark, staging)
+        if kept.isEmpty():
+            _delete(spark, f"{path.rstrip('/')}/{ST.MONTH}={boundary}")
+        else:
+            ST.overwrite_partitions(kept, path, "scada_telemetry")
+    return {"dropped": expired, "rewritten": [boundary] if boundary in months else []}
+
+
+def list_months(spark: SparkSession, path: str) -> list[str]:
+    """Partition values of a month-partitioned table (a folder listing, bounded by months)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{ST.MONTH}="))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -34,9 +34,18 @@ def test_retention_drops_old_months(spark):
     from opsloss.sources.adapters import telemetry
     wh = JB.new_warehouse(spark)
     path = wh.path("raw", "scada_telemetry")
-    ST.append(telemetry(spark, SF_SMALL), path, "scada_telemetry")
-    kept = JB.apply_retention(spark, path, dt.datetime(2025, 3, 1))
-    assert JB.read_telemetry(spark, kept).count() == 0
-    assert JB.read_telemetry(spark, path).count() == 1000          # old generation untouched
-    part = JB.apply_retention(spark, path, dt.datetime(2025, 1, 15))
-    assert 0 < JB.read_telemetry(spark, part).count() < 1000
+    tel = telemetry(spark, SF_SMALL)
+    # three months: Dec 2023 (shifted copy), Jan 2024 (the data), Feb 2024 (shifted copy)
+    shift = lambda months: tel.withColumn("ts", F.col("ts") + F.make_ym_interval(F.lit(0), F.lit(months)))
+    ST.append(tel.unionByName(shift(-1)).unionByName(shift(1)), path, "scada_telemetry")
+    assert JB.list_months(spark, path) == ["202312", "202401", "202402"]
+    out = JB.apply_retention(spark, path, dt.datetime(2025, 1, 15, 12))
+    assert out == {"dropped": ["202312"], "rewritten": ["202401"]}
+    kept = JB.read_telemetry(spark, path)
+    jan = kept.filter(F.col("month") == "202401")
+    assert jan.filter(F.col("ts") <= F.lit(dt.datetime(2024, 1, 15, 12))).count() == 0
+    assert 0 < jan.count() < 1000 and kept.filter(F.col("month") == "202402").count() == 1000
+    again = JB.apply_retention(spark, path, dt.datetime(2025, 1, 15, 12))
+    assert again["dropped"] == [] and JB.read_telemetry(spark, path).count() == kept.count()
+    JB.apply_retention(spark, path, dt.datetime(2026, 1, 1))
+    assert JB.read_telemetry(spark, path).count() == 0
