@@ -24,13 +24,28 @@ def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -
     are recomputed from lineage.
     """
     cached = df.cache()
-    n = cached.limit(max_rows + 1).count()
+    key = _plan_key(cached)
+    n = _CHECKED.get(key)
+    if n is None or not cached.storageLevel.useMemory:
+        n = cached.limit(max_rows + 1).count()
+        _CHECKED[key] = n
     if n <= max_rows:
         return F.broadcast(cached)
     cached.unpersist()
     return df
 
 
+# Size checks already made in this process, by analysed-plan hash. An entry is
+# trusted only while the plan is still cached (``refreshByPath`` after a write
+# to a dimension's folder drops the cache and so forces a new count).
+_CHECKED: dict[tuple[str, int], int] = {}
+
+
+def _plan_key(df: DataFrame) -> tuple[str, int]:
+    qe = df._jdf.queryExecution()
+    return (df.sparkSession.sparkContext.applicationId, int(qe.analyzed().semanticHash()))
+
+
 def norms_with_rates(norms: DataFrame, rates: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Norms ⋈ rates on ``role_id = tariff_id`` (inner).
 

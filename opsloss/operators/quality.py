@@ -172,50 +172,65 @@ def _unpivot(counts: DataFrame, specs) -> DataFrame:
     return counts.selectExpr(f"stack({len(specs)}, {pairs}) as (check_name, model, column_name, failures)")
 
 
+def _keyed_checks(df: DataFrame, key_cols: Sequence[str], dup_model: str,
+                  specs: list[tuple[str, str, str, Column]]) -> DataFrame:
+    """Row checks and the composite-key uniqueness check of one frame, in one
+    grouped pass: count rows and failing rows per key (partial aggregation
+    before the shuffle), then sum; keys seen more than once are duplicates."""
+    key = F.concat_ws("::", *[F.col(c).cast("string") for c in key_cols])
+    g = df.groupBy(key.alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(p).alias(f"_g{i}") for i, (_, _, _, p) in enumerate(specs)])
+    totals = g.agg(*[F.sum(f"_g{i}").alias(f"_c{i}") for i in range(len(specs))],
+                   F.count_if(F.col("_n") > 1).alias(f"_c{len(specs)}"))
+    return _unpivot(totals, list(specs) + [("unique_combination", dup_model, "::".join(key_cols), None)])
+
+
 def dq_summary_fused(stg_events: DataFrame, dims: DataFrame, stg_norms: DataFrame, stg_rates: DataFrame,
                      stg_telemetry: DataFrame, stats: DataFrame, mart: DataFrame,
                      health: DataFrame | None = None) -> DataFrame:
-    """``dq_summary`` of the standard model graph with one pass per fact source.
+    """``dq_summary`` of the standard model graph, each input consumed once.
 
     * Staged and enriched events: one scan of the facts, pre-aggregated per
-      operation (null counts, row count, range violations), then joined to
-      the dimension rows. The enriched model is ``stg ⋈ dims`` on the
-      operation, so its counts are the per-operation counts summed over the
-      join — exact, including duplicate dimension rows — without scanning or
-      joining the facts a second time.
+      operation (row count, null counts, range violations). The enriched
+      model is ``stg ⋈ dims`` on the operation, so its counts are the
+      per-operation counts times the number of matching dimension rows
+      (pre-counted per operation), summed — exact, duplicates included —
+      without scanning or joining the facts a second time.
     * Staged telemetry: null counts and accepted values in one scan.
     * Stats and health: the health mart is a 1:1 projection of the stats, so
-      both are checked in one pass over the stats (``health`` may be given
-      when it is a stored table).
-    * Loss mart: null counts and negative losses in one pass; uniqueness as
-      grouped counts (partial aggregation).
+      both models' null checks and the health key's uniqueness come from one
+      grouped pass (``health`` may be given when it is a stored table).
+    * Loss mart: null counts, negative losses and key uniqueness in one
+      grouped pass.
     """
+    from .joins import sized_broadcast
+
     parts: list[DataFrame] = []
 
     # ---- events: staged + enriched + duration range
     stg_cols = NOT_NULL_TESTS["stg_event_logs"]
     enr_cols = NOT_NULL_TESTS["int_operations_enriched"]
     d = F.col("duration_seconds")
-    fact_cols = [c for c in dict.fromkeys(stg_cols + [c for c in enr_cols if c in stg_events.columns])]
+    fact_cols = list(dict.fromkeys(stg_cols + [c for c in enr_cols if c in stg_events.columns]))
+    dim_cols = [c for c in enr_cols if c not in stg_events.columns]
     per_op = stg_events.groupBy("operation_name").agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if((d <= MIN_DURATION_EXCLUSIVE) | (d >= MAX_DURATION_EXCLUSIVE)).alias("_range"),
         *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in fact_cols],
     )
-    tot = per_op.agg(*[F.sum(f"_null_{c}").alias(f"_c{i}") for i, c in enumerate(stg_cols)],
-                     F.sum("_range").alias(f"_c{len(stg_cols)}"))
+    dim_counts = dims.groupBy("operation_name").agg(
+        F.count(F.lit(1)).alias("_m"), *[F.count_if(F.col(c).isNull()).alias(f"_dnull_{c}") for c in dim_cols])
+    j = per_op.join(sized_broadcast(dim_counts), "operation_name", "left")
+    m = F.coalesce(F.col("_m"), F.lit(0))
+    aggs = [F.sum(f"_null_{c}") for c in stg_cols] + [F.sum("_range")]
     specs = [("not_null", "stg_event_logs", c, None) for c in stg_cols] + \
             [("duration_in_range", "stg_event_logs", "duration_seconds", None)]
-    parts.append(_unpivot(tot, specs))
-
-    dim_cols = [c for c in enr_cols if c not in stg_events.columns]
-    from .joins import sized_broadcast
-    joined = per_op.join(sized_broadcast(dims.select("operation_name", *dim_cols)), "operation_name", "inner")
-    enr = []
     for c in enr_cols:
-        enr.append(F.sum(f"_null_{c}") if c in fact_cols else F.sum(F.when(F.col(c).isNull(), F.col("_n"))))
-    etot = joined.agg(*[F.coalesce(e, F.lit(0)).alias(f"_c{i}") for i, e in enumerate(enr)])
-    parts.append(_unpivot(etot, [("not_null", "int_operations_enriched", c, None) for c in enr_cols]))
+        e = F.col(f"_null_{c}") * m if c in fact_cols else F.col("_n") * F.coalesce(F.col(f"_dnull_{c}"), F.lit(0))
+        aggs.append(F.sum(e))
+        specs.append(("not_null", "int_operations_enriched", c, None))
+    totals = j.agg(*[F.coalesce(a, F.lit(0)).alias(f"_c{i}") for i, a in enumerate(aggs)])
+    parts.append(_unpivot(totals, specs))
 
     # ---- dimensions (tiny)
     for model, frame in (("stg_process_norms", stg_norms), ("stg_rates", stg_rates)):
@@ -235,24 +250,17 @@ def dq_summary_fused(stg_events: DataFrame, dims: DataFrame, stg_norms: DataFram
     # ---- stats + health
     st_specs = [("not_null", "int_telemetry_daily_stats", c, F.col(c).isNull())
                 for c in NOT_NULL_TESTS["int_telemetry_daily_stats"]]
-    h = health if health is not None else stats
     h_specs = [("not_null", "mart_equipment_health", c, F.col(c).isNull())
                for c in NOT_NULL_TESTS["mart_equipment_health"]]
+    hk = COMPOSITE_UNIQUE_TESTS["mart_equipment_health"]
     if health is None:
-        parts.append(_row_counts(stats, st_specs + h_specs))
+        parts.append(_keyed_checks(stats, hk, "mart_equipment_health", st_specs + h_specs))
     else:
-        parts += [_row_counts(stats, st_specs), _row_counts(health, h_specs)]
-    hk = COMPOSITE_UNIQUE_TESTS["mart_equipment_health"]
-    parts.append(duplicate_summary(h, "mart_equipment_health", hk).select(
-        F.lit("unique_combination").alias("check_name"), "model", "column_name",
-        F.col("duplicate_keys").alias("failures")))
+        parts.append(_row_counts(stats, st_specs))
+        parts.append(_keyed_checks(health, hk, "mart_equipment_health", h_specs))
 
     # ---- loss mart
     m_specs = [("not_null", "mart_daily_losses", c, F.col(c).isNull()) for c in NOT_NULL_TESTS["mart_daily_losses"]]
     m_specs.append(("no_negative_losses", "mart_daily_losses", "total_loss", F.col("total_loss") < 0))
-    parts.append(_row_counts(mart, m_specs))
-    mk = COMPOSITE_UNIQUE_TESTS["mart_daily_losses"]
-    parts.append(duplicate_summary(mart, "mart_daily_losses", mk).select(
-        F.lit("unique_combination").alias("check_name"), "model", "column_name",
-        F.col("duplicate_keys").alias("failures")))
+    parts.append(_keyed_checks(mart, COMPOSITE_UNIQUE_TESTS["mart_daily_losses"], "mart_daily_losses", m_specs))
     return reduce(DataFrame.unionByName, parts)

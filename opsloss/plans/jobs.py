@@ -90,6 +90,8 @@ def sync_dims(norms_src: DataFrame, rates_src: DataFrame, wh: Warehouse, synced_
         if src.isEmpty():
             continue
         V.stamp_snapshot(src, synced_at).write.mode("append").parquet(path)
+        # drop any cached plan over the log, so readers see the new snapshot
+        src.sparkSession.catalog.refreshByPath(path)
         done[name] = 1
     return done
 
