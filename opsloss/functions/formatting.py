@@ -46,7 +46,8 @@ def numbered_lines(text: Column | str, pos_name: str = "line_no", line_name: str
     return [(F.col("pos") + 1).alias(pos_name), F.col("col").alias(line_name)]
 
 
-def blank_to(c: Column | str, default: str) -> Column:
-    """``(x or default)`` after trimming."""
+def blank_to(c: Column | str, default: str | Column) -> Column:
+    """``(x.strip() or default)``; ``default`` may be a column."""
     t = F.trim(_c(c))
-    return F.when(t.isNull() | (t == ""), F.lit(default)).otherwise(t)
+    d = default if isinstance(default, Column) else F.lit(default)
+    return F.when(t.isNull() | (t == ""), d).otherwise(t)

@@ -62,9 +62,12 @@ def accept_with_parent(child: DataFrame, parent: DataFrame, fk: str, pk: str) ->
     """Split child rows into (accepted, rejected) by parent existence.
 
     Left-semi / left-anti joins: each child row is emitted at most once, no
-    matter how many children one parent has.
+    matter how many children one parent has. The parent key set is a
+    dimension, broadcast after its size check, so a parent referenced by a
+    third of all children causes no skewed join partition; beyond the bound
+    the shuffle join relies on AQE's skew-join splitting.
     """
-    p = parent.select(F.col(pk).alias("_pk")).distinct()
+    p = sized_broadcast(parent.select(F.col(pk).alias("_pk")).distinct())
     cond = F.col(fk) == F.col("_pk")
     return child.join(p, cond, "left_semi"), child.join(p, cond, "left_anti")
 
@@ -97,6 +100,6 @@ def new_rows_only(incoming: DataFrame, existing: DataFrame, unique_col: str, ord
     rejecting the later inserts.
     """
     order_col = order_col or unique_col
-    fresh = incoming.join(existing.select(unique_col), unique_col, "left_anti")
+    fresh = incoming.join(sized_broadcast(existing.select(unique_col).distinct()), unique_col, "left_anti")
     firsts = fresh.groupBy(unique_col).agg(F.min_by(F.struct(*fresh.columns), F.col(order_col)).alias("_r"))
     return firsts.select(*[F.col(f"_r.{c}").alias(c) for c in fresh.columns])

@@ -240,7 +240,8 @@ def _pulse(spark, d):
 
 
 register("report_pulse", O.with_(marts_report_ctes(), f"""
-  SELECT t.report_date, t.total_loss, t.total_events,
+  SELECT t.report_date, 'Report for: ' || strftime(t.report_date, '%d.%m.%Y %H:%M') || ' UTC' AS report_title,
+         t.total_loss, t.total_events,
          coalesce(c.anomaly_count, 0) AS anomaly_count,
          f.operation_name AS top_operation, f.total_loss AS top_loss,
          {money_sql('t.total_loss')} AS total_loss_text,
