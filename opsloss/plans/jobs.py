@@ -186,6 +186,8 @@ def weekly_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None,
                             wh.mart_losses, "mart_daily_losses")
     mart = read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES)
     weekly = Rp.weekly_losses_marts(mart, week_start)
+    if weekly.isEmpty():          # S27: an empty week produces no report at all
+        return {}
     tables = {
         "losses": Rp.sort_weekly(weekly, "marts"),
         "totals": Rp.weekly_totals(weekly),

@@ -50,3 +50,10 @@ def test_retention_drops_old_months(spark):
     assert again["dropped"] == [] and JB.read_telemetry(spark, path).count() == n_kept
     JB.apply_retention(spark, path, dt.datetime(2026, 1, 1))
     assert JB.read_telemetry(spark, path).count() == 0
+
+
+def test_weekly_run_empty_week_writes_nothing(spark):
+    assert JB.weekly_run(spark, SF_SMALL, week_start=dt.date(2023, 6, 5)) == {}
+    paths = JB.weekly_run(spark, SF_SMALL, week_start=dt.date(2024, 1, 8))
+    (t,) = spark.read.parquet(paths["totals"]).collect()
+    assert t.week_start == dt.date(2024, 1, 8) and t.total_events > 0
