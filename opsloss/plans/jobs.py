@@ -261,3 +261,30 @@ def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+# ---------------------------------------------------------------- A1-A4 as a job
+
+def ingest_job(spark: SparkSession, batch_dir: str, wh: Warehouse, kind: str = "events") -> dict[str, int]:
+    """Validate request files, append accepted rows (month-partitioned), write
+    rejects; returns ``{"inserted": n, "rejected_batches": m}``.
+
+    The counts are collected with ``Observation`` during the writes
+    themselves, so no extra pass over the data is made for them.
+    """
+    from pyspark.sql import Observation
+
+    from ..sources import ingest as I
+
+    if kind == "events":
+        v = I.validate(I.read_batches(spark, batch_dir, schemas.EVENT_BATCH), "rows", schemas.EVENT_REQUIRED)
+        rows, field, table = I.accepted_events(v), "rows", "event_logs"
+    else:
+        v = I.validate(I.read_batches(spark, batch_dir, schemas.READING_BATCH), "readings",
+                       schemas.READING_REQUIRED)
+        rows, field, table = I.accepted_readings(v), "readings", "scada_telemetry"
+    inserted, rejected = Observation("inserted"), Observation("rejected")
+    ST.append(rows.observe(inserted, F.count(F.lit(1)).alias("n")), wh.path("raw", table), table)
+    I.rejected(v, field).observe(rejected, F.count(F.lit(1)).alias("n")) \
+        .write.mode("append").parquet(wh.path("rejects", table))
+    return {"inserted": int(inserted.get["n"]), "rejected_batches": int(rejected.get["n"])}

@@ -57,3 +57,17 @@ def test_weekly_run_empty_week_writes_nothing(spark):
     paths = JB.weekly_run(spark, SF_SMALL, week_start=dt.date(2024, 1, 8))
     (t,) = spark.read.parquet(paths["totals"]).collect()
     assert t.week_start == dt.date(2024, 1, 8) and t.total_events > 0
+
+
+def test_ingest_job_counts(spark):
+    from opsloss.sources import ingest as I
+    from opsloss.sources.tables import table
+    wh = JB.new_warehouse(spark)
+    d = fresh_dir(spark, "req")
+    I.write_event_batches(table(spark, SF_SMALL, "events"), d)
+    assert JB.ingest_job(spark, d, wh) == {"inserted": 1000, "rejected_batches": 0}
+    r = fresh_dir(spark, "req_r")
+    I.write_reading_batches(table(spark, SF_SMALL, "events"), r)
+    out = JB.ingest_job(spark, r, wh, kind="readings")
+    stored = JB.read_telemetry(spark, wh.path("raw", "scada_telemetry")).count()
+    assert out["inserted"] == stored and out["rejected_batches"] > 0
