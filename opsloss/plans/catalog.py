@@ -88,14 +88,7 @@ register("mart_daily_losses_lineitem", O.with_(O.base_ctes("lineitem"), "SELECT
     lambda spark, d: _m(spark, d, "lineitem").mart_daily_losses)
 
 
-def _raw_sql(source: str) -> str:
-    since = RAW_REPORT_TS[source] - _dt.timedelta(hours=24)
-    return O.with_(O.base_ctes(source, upto="dims") + [("per_op", f"""
-  SELECT operation_name, cast(count(*) as bigint) AS event_count,
-         avg(duration_seconds) AS avg_duration_sec,
-         cast(sum(duration_seconds) as bigint) AS total_duration_sec
-  FROM event_logs WHERE start_time >= TIMESTAMP '{since:%Y-%m-%d %H:%M:%S}'
-  GROUP BY operation_name""")], f"""
+RAW_SELECT = f"""
   SELECT p.operation_name, p.event_count, p.avg_duration_sec, p.total_duration_sec,
          d.norm_seconds, d.hourly_rate, d.role_name,
          greatest(p.avg_duration_sec - cast(d.norm_seconds as double), 0.0::double) AS delta_sec,
@@ -104,7 +97,21 @@ def _raw_sql(source: str) -> str:
          {R('greatest(p.avg_duration_sec - cast(d.norm_seconds as double), 0.0::double) / 3600.0::double * d.hourly_rate * cast(p.event_count as double)', 2)} AS total_loss,
          {O.minutes('p.avg_duration_sec')} AS avg_duration_min,
          {O.minutes('d.norm_seconds')} AS norm_min
-  FROM per_op p JOIN dims d ON p.operation_name = d.operation_name""")
+  FROM per_op p JOIN dims d ON p.operation_name = d.operation_name"""
+
+
+def _raw_ctes(source: str) -> list[tuple[str, str]]:
+    since = RAW_REPORT_TS[source] - _dt.timedelta(hours=24)
+    return O.base_ctes(source, upto="dims") + [("per_op", f"""
+  SELECT operation_name, cast(count(*) as bigint) AS event_count,
+         avg(duration_seconds) AS avg_duration_sec,
+         cast(sum(duration_seconds) as bigint) AS total_duration_sec
+  FROM event_logs WHERE start_time >= TIMESTAMP '{since:%Y-%m-%d %H:%M:%S}'
+  GROUP BY operation_name""")]
+
+
+def _raw_sql(source: str) -> str:
+    return O.with_(_raw_ctes(source), RAW_SELECT)
 
 
 def _raw(source):
@@ -194,16 +201,9 @@ def marts_report_ctes() -> list[tuple[str, str]]:
 
 def raw_report_ctes() -> list[tuple[str, str]]:
     ts = RAW_REPORT_TS["events"]
-    raw = _raw_sql("events")
-    # the raw report losses as a CTE: reuse the raw query text as a subquery
-    body = raw[len("WITH "):]
-    return [("losses", f"""
-  WITH {body.split(chr(10) + '  SELECT p.operation_name')[0]}
-  SELECT DATE '{ts:%Y-%m-%d}' AS report_date, p.operation_name, p.event_count, p.avg_duration_sec,
-         d.norm_seconds, d.hourly_rate,
-         greatest(p.avg_duration_sec - cast(d.norm_seconds as double), 0.0::double) AS delta_sec,
-         {R('greatest(p.avg_duration_sec - cast(d.norm_seconds as double), 0.0::double) / 3600.0::double * d.hourly_rate * cast(p.event_count as double)', 2)} AS total_loss
-  FROM per_op p JOIN dims d ON p.operation_name = d.operation_name""")]
+    return _raw_ctes("events") + [("losses", f"""
+  SELECT DATE '{ts:%Y-%m-%d}' AS report_date, * FROM ({RAW_SELECT}
+  )""")]
 
 
 def _marts_losses(spark, d):

@@ -48,13 +48,17 @@ def _upsert_sink(out_dir: str):
     return write
 
 
-def run_update_stream(agg: DataFrame, out_dir: str, checkpoint: str) -> None:
-    q = (agg.writeStream.outputMode("update")
+def run_update_stream(agg: DataFrame, out_dir: str, checkpoint: str, processing_time: str | None = None):
+    """Start the stream. By default it drains what is available and stops
+    (``availableNow``); with ``processing_time`` (e.g. ``"1 minute"``) it keeps
+    running and the started query is returned."""
+    w = (agg.writeStream.outputMode("update")
          .foreachBatch(_upsert_sink(out_dir))
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True)
-         .start())
-    q.awaitTermination()
+         .option("checkpointLocation", checkpoint))
+    if processing_time:
+        return w.trigger(processingTime=processing_time).start()
+    w.trigger(availableNow=True).start().awaitTermination()
+    return None
 
 
 def _latest(spark: SparkSession, out_dir: str, keys: list[str]) -> DataFrame:
