@@ -71,3 +71,11 @@ def test_ingest_job_counts(spark):
     out = JB.ingest_job(spark, r, wh, kind="readings")
     stored = JB.read_telemetry(spark, wh.path("raw", "scada_telemetry")).count()
     assert out["inserted"] == stored and out["rejected_batches"] > 0
+
+
+def test_cli_rejects_bad_date():
+    import pytest
+    from opsloss.__main__ import main
+    with pytest.raises(SystemExit) as e:
+        main(["daily", "--sf-dir", SF_SMALL, "--date", "10.01.2024"])
+    assert e.value.code == 1
