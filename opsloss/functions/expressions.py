@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .rounding import round_even, round_n
 
+# Fixed value: rates are per hour, durations in seconds.
 SECONDS_PER_HOUR = 3600.0
 
 

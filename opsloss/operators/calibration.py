@@ -19,6 +19,7 @@ from ..functions.expressions import percent_change, recommended_norm
 from ..functions.rounding import round_n
 from .joins import sized_broadcast
 
+# Fixed value: default calibration lookback in days (equals the reference's).
 LOOKBACK_DAYS = 30
 
 

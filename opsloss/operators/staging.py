@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from .versioning import latest_by_key
 
+# Staging bounds (equal the reference's): durations kept in (0, 86400) s,
+# telemetry kept from quality 64 up.
 MAX_DURATION = 86400
+MIN_QUALITY = 64
 
 
 def stg_event_logs(event_logs: DataFrame) -> DataFrame:
@@ -21,7 +24,7 @@ def stg_event_logs(event_logs: DataFrame) -> DataFrame:
 
 def stg_telemetry(telemetry: DataFrame) -> DataFrame:
     """B2: keep ``quality >= 64`` with a value; add ``reading_date``."""
-    return telemetry.filter((F.col("quality") >= 64) & F.col("metric_value").isNotNull()).select(
+    return telemetry.filter((F.col("quality") >= MIN_QUALITY) & F.col("metric_value").isNotNull()).select(
         "ts", "equipment_id", "equipment_name", "metric_name", "metric_value", "unit",
         "equipment_state", "source_system", "quality",
         F.to_date("ts").alias("reading_date"),
