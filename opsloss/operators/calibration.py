@@ -18,6 +18,7 @@ from ..functions.dates import ts_literal
 from ..functions.expressions import percent_change, recommended_norm
 from ..functions.rounding import round_n
 from .joins import sized_broadcast
+from .staging import MAX_DURATION
 
 # Fixed value: default calibration lookback in days (equals the reference's).
 LOOKBACK_DAYS = 30
@@ -27,7 +28,7 @@ def calibration_window(event_logs: DataFrame, asof: _dt.datetime, lookback_days:
     """``start_time >= asof - lookback`` and ``0 < duration < 86400``."""
     since = asof - _dt.timedelta(days=lookback_days)
     d = F.col("duration_seconds")
-    return event_logs.filter((F.col("start_time") >= ts_literal(since)) & (d > 0) & (d < 86400))
+    return event_logs.filter((F.col("start_time") >= ts_literal(since)) & (d > 0) & (d < MAX_DURATION))
 
 
 def calibration_stats(window: DataFrame) -> DataFrame:

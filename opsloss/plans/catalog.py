@@ -538,7 +538,7 @@ register("ingest_telemetry_defaults", O.with_(
 
 register("ingest_rejects", O.with_(
     [("tb", TELEMETRY_BATCHED), ("bad", BAD_BATCHES)],
-    "SELECT batch_id, 'missing_required' AS reject_reason, row_count FROM bad"))(
+    "SELECT batch_id, cast(0 as bigint) AS batch_part, 'missing_required' AS reject_reason, row_count FROM bad"))(
     lambda spark, d: I.rejected(_validated_readings(spark, d), "readings"))
 
 

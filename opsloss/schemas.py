@@ -54,8 +54,8 @@ READING = _struct(
     ("source_system", S), ("quality", I),
 )
 CORRUPT = "_corrupt_record"
-EVENT_BATCH = _struct(("batch_id", L), ("rows", T.ArrayType(EVENT_ROW)), (CORRUPT, S))
-READING_BATCH = _struct(("batch_id", L), ("readings", T.ArrayType(READING)), (CORRUPT, S))
+EVENT_BATCH = _struct(("batch_id", L), ("batch_part", L), ("rows", T.ArrayType(EVENT_ROW)), (CORRUPT, S))
+READING_BATCH = _struct(("batch_id", L), ("batch_part", L), ("readings", T.ArrayType(READING)), (CORRUPT, S))
 
 # Defaults of optional reading fields and required fields of
 # each request row (they must equal the reference's request models).

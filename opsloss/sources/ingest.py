@@ -27,14 +27,33 @@ ROWS_PER_BATCH = 100
 # ---------------------------------------------------------------- producer
 
 def batch_key(event_id: str = "event_id", rows_per_batch: int = ROWS_PER_BATCH) -> Column:
-    """Batch of a source row: ``event_id div n``. Event ids are unique, so a
-    batch never holds more than ``n`` rows, whatever the data size."""
+    """Batch of a source row: ``event_id div n`` (at most ``n`` rows while ids are unique)."""
     return F.expr(f"`{event_id}` div {int(rows_per_batch)}")
 
 
-def _write_batches(rows: DataFrame, field: str, out_dir: str, fields: list[str]) -> None:
-    batches = rows.groupBy("batch_id").agg(F.collect_list(F.struct(*fields)).alias(field))
-    batches.select(F.to_json(F.struct("batch_id", field), JSON_OPTIONS).alias("value")) \
+def _bounded_parts(rows: DataFrame, rows_per_batch: int) -> DataFrame:
+    """Add ``batch_part`` so that no (batch_id, batch_part) group exceeds ``rows_per_batch``.
+
+    Batches within the bound (all of them while ids are unique) keep part 0.
+    An oversized batch (duplicated ids: one id could cover a third of the
+    table) is found from a pre-aggregated count per batch and split by a
+    per-row unique id into parts of at most ``rows_per_batch`` rows, so no
+    request is ever collected beyond the bound.
+    """
+    from ..operators.joins import sized_broadcast
+
+    oversized = rows.groupBy("batch_id").count().filter(F.col("count") > rows_per_batch) \
+                    .select("batch_id", F.lit(True).alias("_big"))
+    tagged = rows.join(sized_broadcast(oversized), "batch_id", "left")
+    part = F.when(F.col("_big"), F.floor(F.monotonically_increasing_id() / F.lit(rows_per_batch)) + 1)
+    return tagged.withColumn("batch_part", F.coalesce(part, F.lit(0)).cast("bigint")).drop("_big")
+
+
+def _write_batches(rows: DataFrame, field: str, out_dir: str, fields: list[str],
+                   rows_per_batch: int = ROWS_PER_BATCH) -> None:
+    parts = _bounded_parts(rows, rows_per_batch)
+    batches = parts.groupBy("batch_id", "batch_part").agg(F.collect_list(F.struct(*fields)).alias(field))
+    batches.select(F.to_json(F.struct("batch_id", "batch_part", field), JSON_OPTIONS).alias("value")) \
            .write.mode("overwrite").text(out_dir)
 
 
@@ -42,7 +61,7 @@ def write_event_batches(events: DataFrame, out_dir: str, rows_per_batch: int = R
     """Request bodies for the event endpoint, built from the ``events`` table."""
     src = events.withColumn("batch_id", batch_key("event_id", rows_per_batch))
     rows = events_to_event_logs(src, keep=("batch_id",))
-    _write_batches(rows, "rows", out_dir, [f.name for f in S.EVENT_ROW.fields])
+    _write_batches(rows, "rows", out_dir, [f.name for f in S.EVENT_ROW.fields], rows_per_batch)
 
 
 def write_reading_batches(events: DataFrame, out_dir: str, rows_per_batch: int = ROWS_PER_BATCH) -> None:
@@ -54,7 +73,7 @@ def write_reading_batches(events: DataFrame, out_dir: str, rows_per_batch: int =
     for name, default in S.READING_DEFAULTS.items():
         rows = rows.withColumn(name, F.when(F.col(name) == F.lit(default), F.lit(None)).otherwise(F.col(name)))
     rows = rows.withColumn("quality", F.col("quality").cast("int"))
-    _write_batches(rows, "readings", out_dir, [f.name for f in S.READING.fields])
+    _write_batches(rows, "readings", out_dir, [f.name for f in S.READING.fields], rows_per_batch)
 
 
 # ---------------------------------------------------------------- ingest
@@ -96,12 +115,12 @@ def accepted_readings(validated: DataFrame) -> DataFrame:
 def rejected(validated: DataFrame, field: str) -> DataFrame:
     """A3/A4: one row per rejected batch with its reason and size."""
     return validated.filter(F.col("reject_reason").isNotNull()).select(
-        "batch_id", "reject_reason",
+        "batch_id", "batch_part", "reject_reason",
         F.coalesce(F.size(field), F.lit(0)).cast("bigint").alias("row_count"))
 
 
 def ingest_report(validated: DataFrame, field: str) -> DataFrame:
     """A3: per batch, ``inserted`` rows (0 when rejected)."""
     return validated.select(
-        "batch_id", F.col("reject_reason").isNull().alias("accepted"),
+        "batch_id", "batch_part", F.col("reject_reason").isNull().alias("accepted"),
         F.when(F.col("reject_reason").isNull(), F.size(field)).otherwise(F.lit(0)).cast("bigint").alias("inserted"))

@@ -75,3 +75,17 @@ def test_recommendation_rounds_half_even(spark):
     from opsloss.functions.expressions import recommended_norm
     df = spark.createDataFrame([(10.0, 1.0), (11.0, 1.0)], "m double, s double")
     assert [r[0] for r in df.select(recommended_norm("m", "s")).collect()] == [10, 12]
+
+
+def test_producer_bounds_batches_with_duplicate_ids(spark):
+    from pyspark.sql import functions as F
+    from opsloss.sources.tables import table
+    from tests.conftest import SF_SMALL
+    ev = table(spark, SF_SMALL, "events")
+    dup = ev.withColumn("event_id", F.when(F.col("event_id") < 400, F.lit(7)).otherwise(F.col("event_id")))
+    d = fresh_dir(spark, "dup_batches")
+    I.write_event_batches(dup, d, rows_per_batch=100)
+    b = I.read_batches(spark, d, S.EVENT_BATCH)
+    sizes = [r[0] for r in b.select(F.size("rows")).collect()]
+    assert max(sizes) <= 100 and sum(sizes) == 1000
+    assert b.filter("batch_id = 0").count() >= 4          # the hot batch was split into parts
