@@ -57,7 +57,18 @@ def run_update_stream(agg: DataFrame, out_dir: str, checkpoint: str, processing_
          .option("checkpointLocation", checkpoint))
     if processing_time:
         return w.trigger(processingTime=processing_time).start()
-    w.trigger(availableNow=True).start().awaitTermination()
+    # A drain-and-stop run needs no watermark-only batch at the end: it would
+    # only evict state, which the next run's first batch does anyway. The
+    # query clones the session conf at start, so the change is scoped to it.
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark = agg.sparkSession
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        q = w.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
+    q.awaitTermination()
     return None
 
 
