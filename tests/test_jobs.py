@@ -79,3 +79,19 @@ def test_cli_rejects_bad_date():
     with pytest.raises(SystemExit) as e:
         main(["daily", "--sf-dir", SF_SMALL, "--date", "10.01.2024"])
     assert e.value.code == 1
+
+
+def test_last_write_per_key_and_month_pruning(spark):
+    from opsloss.operators.versioning import last_write_per_key
+    rows = spark.createDataFrame([(dt.date(2024, 1, 1), "A", 1.0, 1), (dt.date(2024, 1, 1), "A", 2.0, 2),
+                                  (dt.date(2024, 2, 1), "A", 5.0, 1)],
+                                 "event_date date, operation_name string, total_loss double, load_id int")
+    got = {(r.event_date, r.operation_name): r.total_loss
+           for r in last_write_per_key(rows, ["event_date", "operation_name"]).collect()}
+    assert got == {(dt.date(2024, 1, 1), "A"): 2.0, (dt.date(2024, 2, 1), "A"): 5.0}
+    wh = JB.new_warehouse(spark)
+    ST.overwrite_partitions(rows.drop("load_id"), wh.mart_losses, "mart_daily_losses")
+    df = ST.read_months(spark, wh.mart_losses, since=dt.date(2024, 2, 1))
+    assert [r.total_loss for r in df.collect()] == [5.0]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
