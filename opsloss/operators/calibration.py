@@ -26,9 +26,11 @@ LOOKBACK_DAYS = 30
 
 def calibration_window(event_logs: DataFrame, asof: _dt.datetime, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """``start_time >= asof - lookback`` and ``0 < duration < 86400``."""
+    from ..sources.storage import month_bound
+
     since = asof - _dt.timedelta(days=lookback_days)
     d = F.col("duration_seconds")
-    return event_logs.filter((F.col("start_time") >= ts_literal(since)) & (d > 0) & (d < MAX_DURATION))
+    return month_bound(event_logs, since).filter((F.col("start_time") >= ts_literal(since)) & (d > 0) & (d < MAX_DURATION))
 
 
 def calibration_stats(window: DataFrame) -> DataFrame:

@@ -83,11 +83,14 @@ def raw_window(event_logs: DataFrame, report_ts, bounded: bool = False) -> DataF
     The reference window has no upper bound (S3); ``bounded=True`` adds
     ``start_time < report_ts`` as an opt-in.
     """
-    r = ts_literal(report_ts) if not hasattr(report_ts, "_jc") else report_ts
+    from ..sources.storage import month_bound
+
+    r = ts_literal(report_ts)
     cond = F.col("start_time") >= minus_hours(r, 24)
     if bounded:
         cond = cond & (F.col("start_time") < r)
-    return event_logs.filter(cond)
+    since = report_ts - _dt.timedelta(hours=24)
+    return month_bound(event_logs, since, report_ts if bounded else None).filter(cond)
 
 
 def calculate_losses(per_op: DataFrame, dims: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:

@@ -96,10 +96,27 @@ def sync_dims(norms_src: DataFrame, rates_src: DataFrame, wh: Warehouse, synced_
     return done
 
 
-def warehouse_models(spark: SparkSession, sf_dir: str, wh: Warehouse, source: str = "events") -> Models:
+def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The month-partitioned event log with its fixed schema (also when empty)."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    full = StructType(list(schemas.EVENT_LOGS.fields) + [StructField(ST.MONTH, StringType())])
+    return spark.read.schema(full).parquet(path)
+
+
+def warehouse_models(spark: SparkSession, sf_dir: str, wh: Warehouse, source: str = "events",
+                     stored_facts: bool = False) -> Models:
+    """Models over the warehouse dimensions; with ``stored_facts`` the facts
+    are the warehouse's month-partitioned tables (filled by ``ingest_job``)
+    instead of the adapters over ``sf_dir``."""
+    facts = tel = None
+    if stored_facts:
+        facts = read_event_logs(spark, wh.path("raw", "event_logs"))
+        tel = read_telemetry(spark, wh.path("raw", "scada_telemetry"))
     return Models(spark, sf_dir, source,
                   norms_versioned=spark.read.parquet(wh.dim_norms),
-                  rates_versioned=spark.read.parquet(wh.dim_rates))
+                  rates_versioned=spark.read.parquet(wh.dim_rates),
+                  event_logs=facts, telemetry=tel)
 
 
 # ---------------------------------------------------------------- marts
@@ -114,9 +131,16 @@ def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None) ->
     The fact predicate is snapped to a month start, so each rewritten month
     partition is complete; dynamic overwrite leaves other months alone.
     """
-    losses, health = models.mart_daily_losses, models.mart_equipment_health
     if since is not None:
         lo = month_start(since)
+        # month predicates prune a partitioned fact table; the date filters
+        # below also bound facts read through the adapters
+        models = Models(models.spark, models.sf_dir, models.source,
+                        norms_versioned=models.norms_versioned, rates_versioned=models.rates_versioned,
+                        event_logs=ST.month_bound(models.event_logs, lo),
+                        telemetry=ST.month_bound(models.telemetry, lo))
+    losses, health = models.mart_daily_losses, models.mart_equipment_health
+    if since is not None:
         losses = losses.filter(F.col("event_date") >= F.lit(lo))
         health = health.filter(F.col("reading_date") >= F.lit(lo))
     ST.run_concurrently([
@@ -126,25 +150,29 @@ def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None) ->
 
 
 def read_mart(spark: SparkSession, path: str, schema) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    """A stored mart with its fixed schema (an empty mart reads as empty)."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    full = StructType(list(schema.fields) + [StructField(ST.MONTH, StringType())])
+    return spark.read.schema(full).parquet(path).select(*[f.name for f in schema.fields])
 
 
 # ---------------------------------------------------------------- M16 / M17
 
 def daily_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None, report_date: _dt.date | None = None,
               synced_at: _dt.datetime = _dt.datetime(2024, 2, 1, 6, 0), source: str = "events",
-              top_n: int = Rp.DEFAULT_TOP_N) -> dict[str, str]:
+              top_n: int = Rp.DEFAULT_TOP_N, stored_facts: bool = False) -> dict[str, str]:
     """Sync → marts → checks → gate → report tables.
 
-    ``report_date=None`` back-fills reports for every date of the mart.
+    ``report_date=None`` back-fills reports for every date of the mart; with
+    a date only the months from that date's month on are rebuilt.
     """
     wh = wh or new_warehouse(spark)
     create_tables(spark, wh)
     if not path_exists(spark, wh.dim_norms):
         seed_dim_history(spark, wh)
     sync_dims(*current_dims(spark), wh, synced_at)
-    models = warehouse_models(spark, sf_dir, wh, source)
+    models = warehouse_models(spark, sf_dir, wh, source, stored_facts)
     build_marts(models, wh, None if report_date is None else report_date)
 
     mart = read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES)

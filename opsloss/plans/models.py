@@ -17,17 +17,25 @@ from ..sources import adapters, dims
 
 class Models:
     def __init__(self, spark: SparkSession, sf_dir: str, source: str = "events",
-                 norms_versioned: DataFrame | None = None, rates_versioned: DataFrame | None = None):
+                 norms_versioned: DataFrame | None = None, rates_versioned: DataFrame | None = None,
+                 event_logs: DataFrame | None = None, telemetry: DataFrame | None = None):
+        """``event_logs`` / ``telemetry`` replace the adapters, e.g. with the
+        month-partitioned warehouse tables (``jobs.warehouse_models``)."""
         self.spark, self.sf_dir, self.source = spark, sf_dir, source
         self._norms_v, self._rates_v = norms_versioned, rates_versioned
+        self._facts, self._tel = event_logs, telemetry
 
     # sources
     @cached_property
     def event_logs(self) -> DataFrame:
+        if self._facts is not None:
+            return self._facts
         return adapters.event_logs(self.spark, self.sf_dir, self.source)
 
     @cached_property
     def telemetry(self) -> DataFrame:
+        if self._tel is not None:
+            return self._tel
         return adapters.telemetry(self.spark, self.sf_dir)
 
     @cached_property

@@ -63,6 +63,19 @@ def create_if_absent(spark: SparkSession, path: str, schema, partitioned: bool =
     w.mode("ignore").parquet(path)
 
 
+def month_bound(df: DataFrame, since: _dt.date | _dt.datetime | None = None,
+                until: _dt.date | _dt.datetime | None = None) -> DataFrame:
+    """Add ``month`` predicates equivalent to a time window, so a
+    month-partitioned table is pruned (a no-op on frames without ``month``)."""
+    if MONTH not in df.columns:
+        return df
+    if since is not None:
+        df = df.filter(F.col(MONTH) >= F.lit(since.strftime("%Y%m")))
+    if until is not None:
+        df = df.filter(F.col(MONTH) <= F.lit(until.strftime("%Y%m")))
+    return df
+
+
 def read_months(spark: SparkSession, path: str, since: _dt.date | None = None,
                 until: _dt.date | None = None) -> DataFrame:
     """Read a month-partitioned table; bounds become partition predicates."""

@@ -95,3 +95,22 @@ def test_last_write_per_key_and_month_pruning(spark):
     assert [r.total_loss for r in df.collect()] == [5.0]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
+
+
+def test_stored_facts_are_month_pruned(spark):
+    from opsloss.operators import losses as L
+    from opsloss.sources import ingest as I
+    from opsloss.sources.tables import table
+    wh = JB.new_warehouse(spark)
+    d = fresh_dir(spark, "req_pruned")
+    I.write_event_batches(table(spark, SF_SMALL, "events"), d)
+    JB.ingest_job(spark, d, wh)
+    facts = JB.read_event_logs(spark, wh.path("raw", "event_logs"))
+    w = L.raw_window(facts, dt.datetime(2024, 1, 10))
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "(month#" in plan and ">= 202401" in plan
+    paths = JB.daily_run(spark, SF_SMALL, wh, report_date=dt.date(2024, 1, 10), stored_facts=True)
+    ref = JB.daily_run(spark, SF_SMALL, report_date=dt.date(2024, 1, 10))
+    cols = ["report_date", "total_loss", "total_events", "anomaly_count", "top_operation"]
+    assert spark.read.parquet(paths["pulse"]).select(cols).collect() == \
+        spark.read.parquet(ref["pulse"]).select(cols).collect()
