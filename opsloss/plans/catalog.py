@@ -12,15 +12,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from .. import schemas as S
 from ..functions.rounding import round_n
 from ..functions.rounding import sql_round_n as R
 from ..operators import calibration as C
 from ..operators import equipment as E
+from ..operators import joins as J
 from ..operators import losses as L
 from ..operators import narrative as N
 from ..operators import quality as Q
 from ..operators import reports as Rp
+from ..operators import versioning as V
+from ..session import fresh_dir
+from ..sources import adapters as A
+from ..sources import ingest as I
+from ..sources import storage as ST
+from ..sources import tables as T
+from ..sources.storage import MONTH
+from ..streaming import aggregates as SA
+from ..streaming import ingest as SI
+from . import jobs as JB
 from . import oracle as O
 from .models import Models
 
@@ -493,14 +506,6 @@ register("dq_summary_lineitem", O.with_(_dq_ctes("lineitem"), _dq_summary_sql())
 
 # ================================================================ ingest (batch and streaming)
 
-from ..session import fresh_dir  # noqa: E402
-from ..sources import ingest as I  # noqa: E402
-from ..sources import tables as T  # noqa: E402
-from ..sources.storage import MONTH  # noqa: E402
-from ..streaming import aggregates as SA  # noqa: E402
-from ..streaming import ingest as SI  # noqa: E402
-from .. import schemas as S  # noqa: E402
-from pyspark.sql.types import StringType, StructField, StructType  # noqa: E402
 
 
 def _event_batches(spark, d) -> str:
@@ -570,10 +575,6 @@ register("stream_daily_losses", O.with_(O.base_ctes(), "SELECT * FROM mart"))(
 
 # ================================================================ dimension load and versioning
 
-from ..operators import joins as J  # noqa: E402
-from ..operators import versioning as V  # noqa: E402
-from ..sources import adapters as A  # noqa: E402
-from ..sources import storage as ST  # noqa: E402
 
 # Fixed parameters: nations of this region are "missing" in the rate table,
 # so their suppliers' norms are rejected by the foreign-key check.
@@ -698,7 +699,6 @@ register("dq_unique", _dq_unique_sql())(_dq_unique)
 
 # ================================================================ jobs and table maintenance
 
-from . import jobs as JB  # noqa: E402
 
 def _daily_etl(spark, d):
     paths = JB.daily_run(spark, d)
