@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas as S
 from ..functions.rounding import round_n
@@ -550,14 +549,16 @@ register("ingest_rejects", O.with_(
 def _stream_ingest(kind):
     def q(spark, d):
         batches = _event_batches(spark, d) if kind == "events" else _reading_batches(spark, d)
-        acc, _ = SI.stream_ingest(spark, batches, fresh_dir(spark, f"stream_ingest_{kind}"), kind)
-        schema = S.EVENT_LOGS if kind == "events" else S.TELEMETRY
-        cols = [f.name for f in schema.fields]
-        full = StructType(list(schema.fields) + [StructField(MONTH, StringType())])
-        return spark.read.schema(full).parquet(acc).select(*cols, MONTH)
+        root = SI.stream_ingest(spark, batches, fresh_dir(spark, f"stream_ingest_{kind}"), kind)
+        return SI.ingested_rows(spark, root, kind)
     return q
 
 
+def _stream_rejects(spark, d):
+    root = SI.stream_ingest(spark, _reading_batches(spark, d), fresh_dir(spark, "stream_ingest_rej"), "readings")
+    return SI.ingested_rejects(spark, root, "readings")
+
+
 register("stream_event_ingest", O.with_(O.base_ctes(upto="event_logs"),
          f"SELECT {EVT_COLS}, strftime(start_time, '%Y%m') AS month FROM event_logs"))(_stream_ingest("events"))
 
@@ -566,6 +567,11 @@ register("stream_telemetry_ingest", O.with_(
     f"SELECT {TEL_COLS}, strftime(ts, '%Y%m') AS month FROM tb "
     "WHERE batch_id NOT IN (SELECT batch_id FROM bad)"))(_stream_ingest("readings"))
 
+register("stream_ingest_rejects", O.with_(
+    [("tb", TELEMETRY_BATCHED), ("bad", BAD_BATCHES)],
+    "SELECT batch_id, cast(0 as bigint) AS batch_part, 'missing_required' AS reject_reason, row_count FROM bad"))(
+    _stream_rejects)
+
 register("stream_equipment_health", O.with_(O.telemetry_ctes("health"), "SELECT * FROM health"))(
     lambda spark, d: SA.stream_equipment_health(spark, d))
 

@@ -1,20 +1,30 @@
 """Streaming ingest of request bodies.
 
-The request files land in a folder; a file stream reads them with the fixed
-batch schema, validates whole batches exactly like the batch path, and
-appends accepted rows to the month-partitioned table through Spark's
-exactly-once file sink. Rejected batches go to their own sink. Both queries
-keep their progress in checkpoints under the shared folder, so a restarted
-job resumes without duplicates.
+The request files land in a folder; one file stream reads them with the
+fixed batch schema and validates whole batches exactly like the batch path.
+Each batch then becomes either its rows (accepted) or a single reject
+record, in one ``explode``, and everything goes through Spark's exactly-once
+file sink into one table partitioned by ``kind`` (``row`` / ``reject``) and
+``month``. The files are read once; readers go through the table root so
+the sink's commit log decides which files are visible, and filter on
+``kind`` (partition pruning). The checkpoint lives under the shared folder,
+so a restarted job resumes without duplicates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .. import schemas as S
+from ..functions.dates import month_key
 from ..sources import ingest as I
-from ..sources.storage import MONTH, with_month
+from ..sources.storage import MONTH
+
+KIND = "kind"
+BATCH_FIELDS = [("batch_id", LongType()), ("batch_part", LongType()), ("reject_reason", StringType()),
+                ("row_count", LongType())]
 
 
 def batch_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -22,23 +32,61 @@ def batch_stream(spark: SparkSession, path: str, schema) -> DataFrame:
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", S.CORRUPT).json(path))
 
 
-def _run(df: DataFrame, out: str, checkpoint: str, partition: bool) -> None:
-    w = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint) \
-          .outputMode("append").trigger(availableNow=True)
-    if partition:
-        w = w.partitionBy(MONTH)
-    w.start().awaitTermination()
+def _item(kind: str, row: Column | None, row_schema: StructType, batch: dict[str, Column]) -> Column:
+    fields = [F.lit(kind).alias(KIND)]
+    fields += [batch.get(n, F.lit(None)).cast(t).alias(n) for n, t in BATCH_FIELDS]
+    fields += [(row[f.name] if row is not None else F.lit(None)).cast(f.dataType).alias(f.name)
+               for f in row_schema.fields]
+    return F.struct(*fields)
+
+
+def items(validated: DataFrame, field: str, row_schema: StructType) -> DataFrame:
+    """One record per accepted row, one per rejected batch (a single pass)."""
+    b = {"batch_id": F.col("batch_id"), "batch_part": F.col("batch_part")}
+    as_rows = F.transform(F.col(field), lambda r: _item("row", r, row_schema, b))
+    reject = _item("reject", None, row_schema, dict(b, reject_reason=F.col("reject_reason"),
+                                                    row_count=F.coalesce(F.size(field), F.lit(0))))
+    exploded = validated.select(F.explode(
+        F.when(F.col("reject_reason").isNull(), as_rows).otherwise(F.array(reject))).alias("i")).select("i.*")
+    return exploded
 
 
-def stream_ingest(spark: SparkSession, batch_dir: str, out_dir: str, kind: str = "events") -> tuple[str, str]:
-    """Run ingest to completion; returns (accepted table path, rejects path)."""
+def stream_ingest(spark: SparkSession, batch_dir: str, out_dir: str, kind: str = "events") -> str:
+    """Run ingest to completion; returns the table root (read with ``ingested_rows`` / ``ingested_rejects``)."""
     if kind == "events":
         v = I.validate(batch_stream(spark, batch_dir, S.EVENT_BATCH), "rows", S.EVENT_REQUIRED)
-        rows, field, table = I.accepted_events(v), "rows", "event_logs"
+        it, time_col = items(v, "rows", S.EVENT_ROW), "start_time"
     else:
         v = I.validate(batch_stream(spark, batch_dir, S.READING_BATCH), "readings", S.READING_REQUIRED)
-        rows, field, table = I.accepted_readings(v), "readings", "scada_telemetry"
-    acc, rej = f"{out_dir}/{table}", f"{out_dir}/rejects"
-    _run(with_month(rows, table), acc, f"{out_dir}/_checkpoints/accepted", True)
-    _run(I.rejected(v, field), rej, f"{out_dir}/_checkpoints/rejects", False)
-    return acc, rej
+        it, time_col = items(v, "readings", S.READING), "ts"
+        is_row = F.col(KIND) == "row"
+        for name, default in S.READING_DEFAULTS.items():
+            it = it.withColumn(name, F.when(is_row, F.coalesce(F.col(name), F.lit(default))).otherwise(F.col(name)))
+    it = it.withColumn(MONTH, month_key(time_col))
+    root = f"{out_dir}/ingested"
+    (it.writeStream.format("parquet").option("path", root)
+       .option("checkpointLocation", f"{out_dir}/_checkpoint")
+       .partitionBy(KIND, MONTH).outputMode("append").trigger(availableNow=True)
+       .start().awaitTermination())
+    return root
+
+
+def _read(spark: SparkSession, root: str, row_schema: StructType) -> DataFrame:
+    full = StructType([StructField(n, t) for n, t in BATCH_FIELDS]
+                      + list(row_schema.fields)
+                      + [StructField(KIND, StringType()), StructField(MONTH, StringType())])
+    return spark.read.schema(full).parquet(root)
+
+
+def ingested_rows(spark: SparkSession, root: str, kind: str = "events") -> DataFrame:
+    """Accepted rows in the table schema, with ``month``."""
+    schema = S.EVENT_LOGS if kind == "events" else S.TELEMETRY
+    row_schema = S.EVENT_ROW if kind == "events" else S.READING
+    df = _read(spark, root, row_schema).filter(F.col(KIND) == "row")
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields], MONTH)
+
+
+def ingested_rejects(spark: SparkSession, root: str, kind: str = "events") -> DataFrame:
+    row_schema = S.EVENT_ROW if kind == "events" else S.READING
+    return _read(spark, root, row_schema).filter(F.col(KIND) == "reject") \
+        .select(*[n for n, _ in BATCH_FIELDS])

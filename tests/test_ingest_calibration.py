@@ -89,3 +89,18 @@ def test_producer_bounds_batches_with_duplicate_ids(spark):
     sizes = [r[0] for r in b.select(F.size("rows")).collect()]
     assert max(sizes) <= 100 and sum(sizes) == 1000
     assert b.filter("batch_id = 0").count() >= 4          # the hot batch was split into parts
+
+
+def test_stream_ingest_single_pass_and_restart(spark):
+    from opsloss.streaming import ingest as SI
+    d = _write(spark, [json.dumps({"batch_id": 1, "batch_part": 0, "rows": [EVENT]}),
+                       json.dumps({"batch_id": 2, "batch_part": 0, "rows": []}),
+                       "garbage"])
+    out = fresh_dir(spark, "stream_ingest_test")
+    root = SI.stream_ingest(spark, d, out, "events")
+    assert SI.ingested_rows(spark, root).count() == 1
+    assert {r.reject_reason for r in SI.ingested_rejects(spark, root).collect()} == {"empty", "corrupt"}
+    with open(os.path.join(d, "part2.json"), "w") as f:                 # a new request arrives
+        f.write(json.dumps({"batch_id": 3, "batch_part": 0, "rows": [EVENT, EVENT]}) + "\n")
+    SI.stream_ingest(spark, d, out, "events")                           # restart from the checkpoint
+    assert SI.ingested_rows(spark, root).count() == 3                  # old files not re-ingested
