@@ -184,16 +184,14 @@ def daily_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None, rep
     summary.write.mode("overwrite").parquet(wh.path("checks", "dq_summary"))
     Q.gate(spark.read.parquet(wh.path("checks", "dq_summary")))
 
-    losses = Rp.losses_from_mart(mart, report_date)
-    totals = Rp.report_totals(losses, single=report_date) if report_date else Rp.report_totals(losses)
-    top = Rp.top_anomalies(losses, top_n)
+    r = Rp.build_daily_report("marts", report_date, top_n, mart=mart)
     tables = {
-        "pulse": Rp.report_pulse(totals, top),
-        "losses": Rp.report_loss_table(losses),
-        "analysis": Rp.report_analysis_lines(top, totals),
-        "anomalies": top,
-        "prompts": N.anomaly_prompts(top),
-        "captions": N.report_captions(totals),
+        "pulse": r.pulse,
+        "losses": r.loss_table,
+        "analysis": r.analysis,
+        "anomalies": r.anomalies,
+        "prompts": N.anomaly_prompts(r.anomalies),
+        "captions": N.report_captions(r.totals),
     }
     key = "all" if report_date is None else f"{report_date:%Y-%m-%d}"
     return ST.write_report_tables(tables, wh.path("reports", "daily"), key)
@@ -213,14 +211,10 @@ def weekly_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None,
                             models.mart_daily_losses.filter(F.col("event_date") >= F.lit(month_start(week_start))),
                             wh.mart_losses, "mart_daily_losses")
     mart = read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES)
-    weekly = Rp.weekly_losses_marts(mart, week_start)
-    if weekly.isEmpty():          # S27: an empty week produces no report at all
+    r = Rp.build_weekly_report("marts", week_start, top_n, mart=mart)
+    if r.losses.isEmpty():        # S27: an empty week produces no report at all
         return {}
-    tables = {
-        "losses": Rp.sort_weekly(weekly, "marts"),
-        "totals": Rp.weekly_totals(weekly),
-        "anomalies": Rp.top_anomalies(weekly, top_n, key="week_start"),
-    }
+    tables = dict(r)
     key = "all" if week_start is None else f"{week_start:%Y-%m-%d}"
     return ST.write_report_tables(tables, wh.path("reports", "weekly"), key)
 
