@@ -149,12 +149,17 @@ def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None) ->
     ])
 
 
-def read_mart(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A stored mart with its fixed schema (an empty mart reads as empty)."""
+def read_mart(spark: SparkSession, path: str, schema, keep_month: bool = False) -> DataFrame:
+    """A stored mart with its fixed schema (an empty mart reads as empty).
+
+    ``keep_month`` keeps the partition column, so date filters applied later
+    (``month_bound`` in the report readers) prune whole months.
+    """
     from pyspark.sql.types import StringType, StructField, StructType
 
     full = StructType(list(schema.fields) + [StructField(ST.MONTH, StringType())])
-    return spark.read.schema(full).parquet(path).select(*[f.name for f in schema.fields])
+    cols = [f.name for f in schema.fields] + ([ST.MONTH] if keep_month else [])
+    return spark.read.schema(full).parquet(path).select(*cols)
 
 
 # ---------------------------------------------------------------- M16 / M17
@@ -175,7 +180,7 @@ def daily_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None, rep
     models = warehouse_models(spark, sf_dir, wh, source, stored_facts)
     build_marts(models, wh, None if report_date is None else report_date)
 
-    mart = read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES)
+    mart = read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES, keep_month=True)
     health = read_mart(spark, wh.mart_health, schemas.MART_EQUIPMENT_HEALTH)
     # staging checks scan the facts once each; mart checks read the stored marts, and the
     # stats model is checked through the stored health mart (a 1:1 projection of it)
@@ -210,7 +215,7 @@ def weekly_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None,
     ST.overwrite_partitions(models.mart_daily_losses if week_start is None else
                             models.mart_daily_losses.filter(F.col("event_date") >= F.lit(month_start(week_start))),
                             wh.mart_losses, "mart_daily_losses")
-    mart = read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES)
+    mart = read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES, keep_month=True)
     r = Rp.build_weekly_report("marts", week_start, top_n, mart=mart)
     if r.losses.isEmpty():        # S27: an empty week produces no report at all
         return {}

@@ -114,3 +114,21 @@ def test_stored_facts_are_month_pruned(spark):
     cols = ["report_date", "total_loss", "total_events", "anomaly_count", "top_operation"]
     assert spark.read.parquet(paths["pulse"]).select(cols).collect() == \
         spark.read.parquet(ref["pulse"]).select(cols).collect()
+
+
+def test_stored_mart_reads_prune_months(spark):
+    from opsloss.operators import reports as Rp
+    from opsloss.plans.models import Models
+    from opsloss import schemas
+    wh = JB.new_warehouse(spark)
+    ST.overwrite_partitions(Models(spark, SF_SMALL, "lineitem").mart_daily_losses, wh.mart_losses,
+                            "mart_daily_losses")
+    mart = JB.read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES, keep_month=True)
+    first = mart.filter(F.col("month") == "199806").agg(F.min("event_date")).first()[0]
+    assert first is not None and first.strftime("%Y%m") == "199806"
+    day = Rp.losses_from_mart(mart, first)
+    week = Rp.weekly_losses_marts(mart, dt.date(1998, 6, 8))
+    for df in (day, week):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(month" in plan and "199806" in plan
+    assert day.count() > 0 and week.count() > 0
