@@ -12,10 +12,6 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def to_day(c: Column | str) -> Column:
-    """timestamp → calendar date (session zone is UTC, columns are NTZ)."""
-    return F.to_date(col(c))
-
 
 def month_key(c: Column | str) -> Column:
     """monthly partition key ``yyyyMM`` of a timestamp or date."""

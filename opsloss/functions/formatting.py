@@ -37,12 +37,9 @@ def stamp(c: Column | str) -> Column:
     return F.date_format(_c(c), "dd.MM.yyyy HH:mm")
 
 
-def numbered_lines(text: Column | str, pos_name: str = "line_no", line_name: str = "line") -> list[Column]:
-    """one row per ``\\n``-separated line with its 1-based number.
-
-    Use as ``df.select(*keys, F.posexplode(F.split(text, '\\n')))``; this
-    helper returns the two output columns after a ``posexplode``.
-    """
+def numbered_lines(pos_name: str = "line_no", line_name: str = "line") -> list[Column]:
+    """the two output columns of ``posexplode(split(text, '\\n'))``:
+    the 1-based line number and the line."""
     return [(F.col("pos") + 1).alias(pos_name), F.col("col").alias(line_name)]
 
 

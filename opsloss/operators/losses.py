@@ -144,7 +144,3 @@ def daily_losses_raw_by_day(event_logs: DataFrame, dims: DataFrame) -> DataFrame
     """
     ev = event_logs.withColumn("report_date", F.date_add(F.to_date("start_time"), 1))
     return calculate_losses(aggregate_per_operation(ev, "report_date"), dims)
-
-
-def report_since(report_ts: _dt.datetime) -> _dt.datetime:
-    return report_ts - _dt.timedelta(hours=24)
