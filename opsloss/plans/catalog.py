@@ -29,7 +29,6 @@ from ..sources import adapters as A
 from ..sources import ingest as I
 from ..sources import storage as ST
 from ..sources import tables as T
-from ..sources.storage import MONTH
 from ..streaming import aggregates as SA
 from ..streaming import ingest as SI
 from . import jobs as JB
