@@ -32,13 +32,19 @@ WATERMARK = "1 day"
 BATCH_COL = "_batch_id"
 
 
+def file_stream(spark: SparkSession, directory: str, schema, glob: str = "*.parquet",
+                max_files: int | None = None) -> DataFrame:
+    """Parquet file stream over a landing folder with a fixed schema."""
+    r = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return r.parquet(directory)
+
+
 def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_files: int | None = None) -> DataFrame:
     """File stream over one provided table (schema taken from the files once, then fixed)."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    return file_stream(spark, sf_dir, schema, f"{name}.parquet", max_files)
 
 
 def _upsert_sink(out_dir: str):
