@@ -103,3 +103,28 @@ def test_stream_health_restart_equals_batch(spark):
     b = sorted(ref.select(*E.STATS_KEYS, *cols, round_n("avg_value", 6).alias("avg")).collect())
     assert a == b and len(a) > 0
     assert spark.read.parquet(f"{out}/data").select("_batch_id").distinct().count() == 2
+
+
+def test_stream_losses_restart_equals_batch(spark):
+    from opsloss.plans.models import Models
+    from opsloss.session import fresh_dir
+    from opsloss.streaming import aggregates as SA
+    from tests.conftest import SF_SMALL
+
+    m = Models(spark, SF_SMALL)
+    src = fresh_dir(spark, "stream_src_losses")
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    later = ev.withColumn("event_id", F.col("event_id") + 1_000_000).withColumn("value", F.col("value") * 1.5)
+    out = fresh_dir(spark, "stream_out_losses")
+    for part in (ev, later):
+        part.write.mode("append").parquet(src)
+        SA.run_update_stream(SA.daily_losses_stream(SA.file_stream(spark, src, ev.schema), m.dims),
+                             f"{out}/data", f"{out}/_checkpoint")
+    got = SA._latest(spark, f"{out}/data", L.MART_KEYS)
+    from opsloss.sources.adapters import events_to_event_logs
+    ref = L.mart_daily_losses(L.ops_enriched(staging.stg_event_logs(events_to_event_logs(ev.unionByName(later))),
+                                             m.dims))
+    a = sorted(got.select("event_date", "operation_name", "event_count",
+                          round_n(F.col("_sum_delta") / 3600.0 * F.col("hourly_rate"), 2).alias("loss")).collect())
+    b = sorted(ref.select("event_date", "operation_name", "event_count", F.col("total_loss").alias("loss")).collect())
+    assert a == b and len(a) > 0
