@@ -15,7 +15,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def _norm(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else repr(round(v, 9))
+        return "nan" if math.isnan(v) else repr(v)
     if isinstance(v, dt.datetime):
         return v.strftime("%Y-%m-%d %H:%M:%S.%f")
     if isinstance(v, dt.date):
