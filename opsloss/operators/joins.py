@@ -103,3 +103,24 @@ def new_rows_only(incoming: DataFrame, existing: DataFrame, unique_col: str, ord
     fresh = incoming.join(sized_broadcast(existing.select(unique_col).distinct()), unique_col, "left_anti")
     firsts = fresh.groupBy(unique_col).agg(F.min_by(F.struct(*fresh.columns), F.col(order_col)).alias("_r"))
     return firsts.select(*[F.col(f"_r.{c}").alias(c) for c in fresh.columns])
+
+
+def assign_ids(new_rows: DataFrame, existing: DataFrame, id_col: str = "id", order_col: str | None = None,
+               max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Ids for created dimension rows, continuing after the largest existing id.
+
+    Within the size bound (checked with a bounded count) the ids are dense,
+    in ``order_col`` order, from one ordered window over at most ``max_rows``
+    rows. Beyond it they are unique but not dense (``monotonically_increasing_id``),
+    so no unbounded set is ever ordered in a single task.
+    """
+    from pyspark.sql import Window
+
+    top = existing.agg(F.max(id_col)).first()[0]          # one scalar
+    base = F.lit(int(top) if top is not None else 0).cast("bigint")
+    n = new_rows.limit(max_rows + 1).count()
+    if n <= max_rows:
+        seq = F.row_number().over(Window.orderBy(order_col or new_rows.columns[0])).cast("bigint")
+    else:
+        seq = F.monotonically_increasing_id() + F.lit(1)
+    return new_rows.select((base + seq).alias(id_col), *new_rows.columns)

@@ -663,11 +663,13 @@ register("dim_norms_with_rates", O.with_([("rates", NATION_RATES), ("norms", SUP
 def _append_new_roles(spark, d):
     rates, _ = _bed(spark, d)
     requests = A.customer_to_rate_requests(T.table(spark, d, "customer"))
-    return J.new_rows_only(requests, rates, "role_name", order_col="request_seq")
+    new = J.new_rows_only(requests, rates, "role_name", order_col="request_seq")
+    return J.assign_ids(new, rates, "id", order_col="request_seq")
 
 
 register("dim_append_new_roles", """
-  SELECT request_seq, role_name, hourly_rate FROM (
+  SELECT cast((SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY request_seq) as bigint) AS id,
+         request_seq, role_name, hourly_rate FROM (
     SELECT c_custkey AS request_seq, c_mktsegment AS role_name, c_acctbal AS hourly_rate,
            row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn
     FROM customer WHERE c_mktsegment NOT IN (SELECT n_name FROM nation)) WHERE rn = 1""")(_append_new_roles)

@@ -139,3 +139,13 @@ def test_fused_summary_counts_defects(spark):
     assert fused[("int_operations_enriched", "case_id")] == 2       # duplicate dim rows count twice
     assert fused[("int_operations_enriched", "hourly_rate")] == 2
     assert fused[("stg_event_logs", "case_id")] == 2
+
+
+def test_assign_ids_dense_then_unique(spark):
+    existing = spark.createDataFrame([(3, "r1"), (7, "r2")], "id int, role_name string")
+    new = spark.createDataFrame([(20, "b"), (10, "a"), (30, "c")], "seq long, role_name string")
+    got = sorted((r.id, r.role_name) for r in J.assign_ids(new, existing, "id", "seq").collect())
+    assert got == [(8, "a"), (9, "b"), (10, "c")]
+    big = J.assign_ids(new, existing, "id", "seq", max_rows=2).collect()        # beyond the bound
+    ids = [r.id for r in big]
+    assert len(set(ids)) == 3 and min(ids) > 7
