@@ -527,8 +527,10 @@ TELEMETRY_BATCHED = O.TELEMETRY.replace("SELECT ts,", "SELECT event_id // 100 AS
 BAD_BATCHES = """
   SELECT batch_id, cast(count(*) as bigint) AS row_count FROM tb GROUP BY batch_id
   HAVING count(*) FILTER (WHERE metric_value IS NULL) > 0"""
-TEL_COLS = ", ".join(f.name for f in S.TELEMETRY.fields)
-EVT_COLS = ", ".join(f.name for f in S.EVENT_LOGS.fields)
+TEL_COLS = ", ".join(f"date_trunc('millisecond', ts) AS ts" if f.name == "ts" else f.name
+                     for f in S.TELEMETRY.fields)
+EVT_COLS = ", ".join(f"date_trunc('second', {f.name}) AS {f.name}" if f.name in ("start_time", "end_time")
+                     else f.name for f in S.EVENT_LOGS.fields)
 
 register("ingest_events_json", O.with_(O.base_ctes(upto="event_logs"), f"SELECT {EVT_COLS} FROM event_logs"))(
     lambda spark, d: I.accepted_events(I.validate(

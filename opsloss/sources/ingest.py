@@ -92,6 +92,20 @@ def reject_reason(field: str, required: list[str]) -> Column:
              .when(missing, F.lit("missing_required")))
 
 
+# Precision of the stored time columns (seconds for the event
+# log, milliseconds for telemetry); finer input is truncated on ingest.
+TIME_PRECISION = {"start_time": "second", "end_time": "second", "ts": "millisecond"}
+
+
+def to_storage_precision(df: DataFrame) -> DataFrame:
+    """Truncate time columns to the precision of the stored table (UTC session,
+    so the round trip through TIMESTAMP keeps the wall-clock value)."""
+    for c, unit in TIME_PRECISION.items():
+        if c in df.columns:
+            df = df.withColumn(c, F.date_trunc(unit, F.col(c).cast("timestamp")).cast("timestamp_ntz"))
+    return df
+
+
 def validate(batches: DataFrame, field: str, required: list[str]) -> DataFrame:
     return batches.withColumn("reject_reason", reject_reason(field, required))
 
@@ -99,8 +113,8 @@ def validate(batches: DataFrame, field: str, required: list[str]) -> DataFrame:
 def accepted_events(validated: DataFrame) -> DataFrame:
     """A1: rows of accepted event batches, in the event_logs schema."""
     ok = validated.filter(F.col("reject_reason").isNull())
-    return ok.select(F.explode("rows").alias("r")).select(
-        *[F.col(f"r.{f.name}").cast(f.dataType).alias(f.name) for f in S.EVENT_LOGS.fields])
+    return to_storage_precision(ok.select(F.explode("rows").alias("r")).select(
+        *[F.col(f"r.{f.name}").cast(f.dataType).alias(f.name) for f in S.EVENT_LOGS.fields]))
 
 
 def accepted_readings(validated: DataFrame) -> DataFrame:
@@ -109,7 +123,7 @@ def accepted_readings(validated: DataFrame) -> DataFrame:
     r = ok.select(F.explode("readings").alias("r")).select("r.*")
     for name, default in S.READING_DEFAULTS.items():
         r = r.withColumn(name, F.coalesce(F.col(name), F.lit(default)))
-    return r.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.TELEMETRY.fields])
+    return to_storage_precision(r.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.TELEMETRY.fields]))
 
 
 def rejected(validated: DataFrame, field: str) -> DataFrame:

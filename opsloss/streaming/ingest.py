@@ -62,7 +62,7 @@ def stream_ingest(spark: SparkSession, batch_dir: str, out_dir: str, kind: str =
         is_row = F.col(KIND) == "row"
         for name, default in S.READING_DEFAULTS.items():
             it = it.withColumn(name, F.when(is_row, F.coalesce(F.col(name), F.lit(default))).otherwise(F.col(name)))
-    it = it.withColumn(MONTH, month_key(time_col))
+    it = I.to_storage_precision(it).withColumn(MONTH, month_key(time_col))
     root = f"{out_dir}/ingested"
     (it.writeStream.format("parquet").option("path", root)
        .option("checkpointLocation", f"{out_dir}/_checkpoint")
