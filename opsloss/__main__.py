@@ -40,6 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     d.add_argument("--date")
     d.add_argument("--warehouse")
     d.add_argument("--source", default="events", choices=["events", "lineitem"])
+    d.add_argument("--report-format", default="parquet", choices=["parquet", "csv"])
     d.add_argument("--stored-facts", action="store_true",
                    help="read facts from the warehouse tables filled by `ingest` instead of --sf-dir")
     w = sub.add_parser("weekly")
@@ -72,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
     wh = J.Warehouse(a.warehouse) if getattr(a, "warehouse", None) else None
     if a.cmd == "daily":
         out = J.daily_run(spark, a.sf_dir, wh, report_date=report_date, source=a.source,
-                          stored_facts=a.stored_facts)
+                          stored_facts=a.stored_facts, report_format=a.report_format)
     elif a.cmd == "weekly":
         out = J.weekly_run(spark, a.sf_dir, wh, week_start=week, source=a.source)
     elif a.cmd == "calibrate":

@@ -166,7 +166,8 @@ def read_mart(spark: SparkSession, path: str, schema, keep_month: bool = False)
 
 def daily_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None, report_date: _dt.date | None = None,
               synced_at: _dt.datetime = _dt.datetime(2024, 2, 1, 6, 0), source: str = "events",
-              top_n: int = Rp.DEFAULT_TOP_N, stored_facts: bool = False) -> dict[str, str]:
+              top_n: int = Rp.DEFAULT_TOP_N, stored_facts: bool = False,
+              report_format: str = "parquet") -> dict[str, str]:
     """Sync → marts → checks → gate → report tables.
 
     ``report_date=None`` back-fills reports for every date of the mart; with
@@ -199,7 +200,7 @@ def daily_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None, rep
         "captions": N.report_captions(r.totals),
     }
     key = "all" if report_date is None else f"{report_date:%Y-%m-%d}"
-    return ST.write_report_tables(tables, wh.path("reports", "daily"), key)
+    return ST.write_report_tables(tables, wh.path("reports", "daily"), key, report_format)
 
 
 def weekly_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None,

@@ -119,9 +119,19 @@ def run_concurrently(actions: list[Callable[[], object]], max_workers: int = 8)
         return [f.result() for f in [pool.submit(a) for a in actions]]
 
 
-def write_report_tables(tables: dict[str, DataFrame], out_dir: str, report_key: str) -> dict[str, str]:
-    """A21 (re-aimed): the report's tables as Parquet under ``report=<key>``."""
+def write_report_tables(tables: dict[str, DataFrame], out_dir: str, report_key: str,
+                        fmt: str = "parquet") -> dict[str, str]:
+    """A21 (re-aimed): the report's tables under ``<table>/report=<key>``, as
+    Parquet (for further processing) or CSV with a header (for people);
+    rerunning a report replaces it."""
     paths = {name: f"{out_dir}/{name}/report={report_key}" for name in tables}
-    run_concurrently([lambda df=df, p=paths[n]: df.write.mode("overwrite").parquet(p)
-                      for n, df in tables.items()])
+
+    def write(df: DataFrame, path: str) -> None:
+        w = df.write.mode("overwrite")
+        if fmt == "csv":
+            w.option("header", True).csv(path)
+        else:
+            w.parquet(path)
+
+    run_concurrently([lambda df=df, p=paths[n]: write(df, p) for n, df in tables.items()])
     return paths

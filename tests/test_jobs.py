@@ -132,3 +132,9 @@ def test_stored_mart_reads_prune_months(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(month" in plan and "199806" in plan
     assert day.count() > 0 and week.count() > 0
+
+
+def test_daily_reports_as_csv(spark):
+    paths = JB.daily_run(spark, SF_SMALL, report_date=dt.date(2024, 1, 10), report_format="csv")
+    rows = spark.read.option("header", True).csv(paths["analysis"]).collect()
+    assert rows and rows[0].asDict().keys() >= {"report_date", "line_no", "line"}
