@@ -144,16 +144,8 @@ register("daily_losses_raw_bounded_by_day", O.with_(O.base_ctes(upto="dims") + [
   SELECT cast(start_time as date) + 1 AS report_date, operation_name, cast(count(*) as bigint) AS event_count,
          avg(duration_seconds) AS avg_duration_sec,
          cast(sum(duration_seconds) as bigint) AS total_duration_sec
-  FROM event_logs GROUP BY 1, 2""")], f"""
-  SELECT p.report_date, p.operation_name, p.event_count, p.avg_duration_sec, p.total_duration_sec,
-         d.norm_seconds, d.hourly_rate, d.role_name,
-         greatest(p.avg_duration_sec - cast(d.norm_seconds as double), 0.0::double) AS delta_sec,
-         greatest(p.avg_duration_sec - cast(d.norm_seconds as double), 0.0::double) / 3600.0::double
-           * d.hourly_rate AS loss_per_event,
-         {R('greatest(p.avg_duration_sec - cast(d.norm_seconds as double), 0.0::double) / 3600.0::double * d.hourly_rate * cast(p.event_count as double)', 2)} AS total_loss,
-         {O.minutes('p.avg_duration_sec')} AS avg_duration_min,
-         {O.minutes('d.norm_seconds')} AS norm_min
-  FROM per_op p JOIN dims d ON p.operation_name = d.operation_name"""))(_raw_by_day)
+  FROM event_logs GROUP BY 1, 2""")], RAW_SELECT.replace("SELECT p.operation_name", "SELECT p.report_date, p.operation_name", 1)))(
+    _raw_by_day)
 register("daily_losses_raw_lineitem", _raw_sql("lineitem"))(_raw("lineitem"))
 
 
