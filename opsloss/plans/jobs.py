@@ -125,6 +125,17 @@ def month_start(d: _dt.date) -> _dt.date:
     return d.replace(day=1)
 
 
+def bounded_models(models: Models, since: _dt.date) -> Models:
+    """The same model graph over facts from ``since``'s month on: month
+    predicates prune a partitioned fact table (adapter facts are bounded by
+    the date filters applied to the marts)."""
+    lo = month_start(since)
+    return Models(models.spark, models.sf_dir, models.source,
+                  norms_versioned=models.norms_versioned, rates_versioned=models.rates_versioned,
+                  event_logs=ST.month_bound(models.event_logs, lo),
+                  telemetry=ST.month_bound(models.telemetry, lo))
+
+
 def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None) -> None:
     """Rebuild both marts for every month from ``since``'s month on (all when None).
 
@@ -133,12 +144,7 @@ def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None) ->
     """
     if since is not None:
         lo = month_start(since)
-        # month predicates prune a partitioned fact table; the date filters
-        # below also bound facts read through the adapters
-        models = Models(models.spark, models.sf_dir, models.source,
-                        norms_versioned=models.norms_versioned, rates_versioned=models.rates_versioned,
-                        event_logs=ST.month_bound(models.event_logs, lo),
-                        telemetry=ST.month_bound(models.telemetry, lo))
+        models = bounded_models(models, since)
     losses, health = models.mart_daily_losses, models.mart_equipment_health
     if since is not None:
         losses = losses.filter(F.col("event_date") >= F.lit(lo))
@@ -170,8 +176,9 @@ def daily_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None, rep
               report_format: str = "parquet") -> dict[str, str]:
     """Sync → marts → checks → gate → report tables.
 
-    ``report_date=None`` back-fills reports for every date of the mart; with
-    a date only the months from that date's month on are rebuilt.
+    ``report_date=None`` back-fills reports for every date of the mart and
+    checks all facts; with a date only the months from that date's month on
+    are rebuilt and their facts checked (the stored marts are checked whole).
     """
     wh = wh or new_warehouse(spark)
     create_tables(spark, wh)
@@ -179,7 +186,11 @@ def daily_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None, rep
         seed_dim_history(spark, wh)
     sync_dims(*current_dims(spark), wh, synced_at)
     models = warehouse_models(spark, sf_dir, wh, source, stored_facts)
-    build_marts(models, wh, None if report_date is None else report_date)
+    if report_date is not None:
+        # staging checks cover what this run rebuilds (earlier months were
+        # checked by earlier runs); a back-fill (no date) checks everything
+        models = bounded_models(models, report_date)
+    build_marts(models, wh, report_date)
 
     mart = read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES, keep_month=True)
     health = read_mart(spark, wh.mart_health, schemas.MART_EQUIPMENT_HEALTH)
