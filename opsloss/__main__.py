@@ -48,6 +48,7 @@ def main(argv: list[str] | None = None) -> int:
     w.add_argument("--week-start")
     w.add_argument("--warehouse")
     w.add_argument("--source", default="events", choices=["events", "lineitem"])
+    w.add_argument("--stored-facts", action="store_true")
     c = sub.add_parser("calibrate")
     c.add_argument("--sf-dir", required=True)
     c.add_argument("--out", required=True)
@@ -75,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
         out = J.daily_run(spark, a.sf_dir, wh, report_date=report_date, source=a.source,
                           stored_facts=a.stored_facts, report_format=a.report_format)
     elif a.cmd == "weekly":
-        out = J.weekly_run(spark, a.sf_dir, wh, week_start=week, source=a.source)
+        out = J.weekly_run(spark, a.sf_dir, wh, week_start=week, source=a.source, stored_facts=a.stored_facts)
     elif a.cmd == "calibrate":
         out = {"csv": J.norm_calibration_run(spark, a.sf_dir, asof, a.out, a.lookback_days, a.source)}
     else:

@@ -217,16 +217,19 @@ def daily_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None, rep
 def weekly_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None,
                week_start: _dt.date | None = None,
                synced_at: _dt.datetime = _dt.datetime(2024, 2, 5, 8, 0), source: str = "events",
-               top_n: int = Rp.DEFAULT_TOP_N) -> dict[str, str]:
+               top_n: int = Rp.DEFAULT_TOP_N, stored_facts: bool = False) -> dict[str, str]:
     """Sync → loss mart → weekly report (no quality gate, as scheduled)."""
     wh = wh or new_warehouse(spark)
     if not path_exists(spark, wh.dim_norms):
         seed_dim_history(spark, wh)
     sync_dims(*current_dims(spark), wh, synced_at)
-    models = warehouse_models(spark, sf_dir, wh, source)
-    ST.overwrite_partitions(models.mart_daily_losses if week_start is None else
-                            models.mart_daily_losses.filter(F.col("event_date") >= F.lit(month_start(week_start))),
-                            wh.mart_losses, "mart_daily_losses")
+    models = warehouse_models(spark, sf_dir, wh, source, stored_facts)
+    if week_start is None:
+        mart_rows = models.mart_daily_losses
+    else:
+        mart_rows = bounded_models(models, week_start).mart_daily_losses \
+            .filter(F.col("event_date") >= F.lit(month_start(week_start)))
+    ST.overwrite_partitions(mart_rows, wh.mart_losses, "mart_daily_losses")
     mart = read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES, keep_month=True)
     r = Rp.build_weekly_report("marts", week_start, top_n, mart=mart)
     if r.losses.isEmpty():        # S27: an empty week produces no report at all
