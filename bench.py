@@ -29,6 +29,15 @@ HEADLINE = [
 ]
 
 
+def _driver_memory() -> str:
+    """Half of physical memory, between 1 and 8 GiB (local mode: the driver is the executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(8, int(total / 2**30 * 0.5)))}g"
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -41,7 +50,7 @@ def main() -> None:
     scratch = tempfile.mkdtemp(prefix="opsloss-bench-")
     spark = build_session(
         f"local[{cpus}]", shuffle_partitions=cpus,
-        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g"),
+        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", _driver_memory()),
                "spark.checkpoint.dir": os.path.join(scratch, "shared")},
     )
     qs = queries()
