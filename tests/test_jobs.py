@@ -138,3 +138,13 @@ def test_daily_reports_as_csv(spark):
     paths = JB.daily_run(spark, SF_SMALL, report_date=dt.date(2024, 1, 10), report_format="csv")
     rows = spark.read.option("header", True).csv(paths["analysis"]).collect()
     assert rows and rows[0].asDict().keys() >= {"report_date", "line_no", "line"}
+
+
+def test_create_tables_keeps_existing_data(spark):
+    from opsloss.plans.models import Models
+    wh = JB.new_warehouse(spark)
+    JB.create_tables(spark, wh)
+    assert JB.read_telemetry(spark, wh.path("raw", "scada_telemetry")).count() == 0
+    ST.append(Models(spark, SF_SMALL).telemetry, wh.path("raw", "scada_telemetry"), "scada_telemetry")
+    JB.create_tables(spark, wh)                                   # a rerun must not clobber data
+    assert JB.read_telemetry(spark, wh.path("raw", "scada_telemetry")).count() == 1000
