@@ -37,7 +37,7 @@ from opsloss.llm.tokenfile import Pieces, spread, token_file
 from opsloss.session import fresh_dir
 
 LEXICON = 50_000
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 COUNTED = 300_000          # distinct pre-tokens a counting task holds before it passes them on
 CACHE = 300_000            # words merged by hand that a worker remembers
 
@@ -260,22 +260,21 @@ class Encoder:
         raw, offset, cuts = pretokens.split(docs)
         words, index = pretokens.distinct(raw, offset)
         at = self.lexicon.find(words)
-        if len(self.merged.begin) > CACHE:
+        if len(self.merged) > CACHE:
             self.merged.clear()
-        known, new = self.merged.known, np.flatnonzero(at < 0)
-        for i in new.tolist():
-            if words[i] not in known:
-                self.merged.add(words[i], self.vocabulary.merge(words[i]))
+        known, unseen = self.merged.known, np.flatnonzero(at < 0)
+        own = [words[i] for i in unseen.tolist()]
+        new = [w for w in own if w not in known]
+        self.merged.add(new, [self.vocabulary.merge(w) for w in new])
         # one table of ids: the lexicon's, then those merged here
-        flat = np.concatenate([self.lexicon.ids, self.merged.flat[:self.merged.used]])
+        flat = np.concatenate([self.lexicon.ids, self.merged.flat[:self.merged.used()]])
         begin, size = np.empty(len(words), dtype=np.int64), np.empty(len(words), dtype=np.int64)
         old = np.flatnonzero(at >= 0)
         begin[old] = self.lexicon.begin[at[old]]
         size[old] = self.lexicon.begin[at[old] + 1] - begin[old]
-        place = np.fromiter((known[words[i]] for i in new.tolist()), dtype=np.int64, count=len(new))
-        if len(new):
-            b, e = np.array(self.merged.begin, dtype=np.int64), np.array(self.merged.end, dtype=np.int64)
-            begin[new], size[new] = b[place] + len(self.lexicon.ids), (e - b)[place]
+        place = np.fromiter(map(known.__getitem__, own), dtype=np.int64, count=len(own))
+        begin[unseen] = self.merged.edge[place] + len(self.lexicon.ids)
+        size[unseen] = self.merged.edge[place + 1] - self.merged.edge[place]
         ids, where = spread(flat, begin[index], size[index])
         return ids.astype(np.int32), where[cuts]
 

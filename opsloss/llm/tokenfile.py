@@ -33,9 +33,9 @@ from opsloss.llm.common import MIN_LONG, id_bounds, shuffle_partitions, slices,
 from opsloss.session import fresh_dir
 
 BLOCK = 1 << 16
-IMAGE_IDS = 1 << 22
-CHUNK = 1 << 22
-CACHE = 400_000
+IMAGE_IDS = 1 << 21
+CHUNK = 1 << 21
+CACHE = 600_000
 MAGIC = b"FWBP"
 
 
@@ -107,7 +107,7 @@ def token_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Pieces:
-    """Ids of pre-tokens: an append-only array and the place of each known piece in it."""
+    """Ids of pre-tokens, one after the other in an array that grows, and each known piece's number."""
 
     def __init__(self):
         self.clear()
@@ -115,18 +115,25 @@ class Pieces:
     def clear(self):
         self.known: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, dtype=np.int32)
-        self.begin, self.end = [], []
-        self.used = 0
+        self.edge = np.zeros(1 << 14, dtype=np.int64)      # piece i: flat[edge[i]:edge[i + 1]]
 
-    def add(self, piece: bytes, ids) -> None:
-        n = len(ids)
-        if self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(n, len(self.flat)), dtype=np.int32)])
-        self.flat[self.used:self.used + n] = ids
-        self.known[piece] = len(self.begin)
-        self.begin.append(self.used)
-        self.used += n
-        self.end.append(self.used)
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def add(self, pieces: list[bytes], ids: list[list[int]]) -> None:
+        n, size = len(self.known), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        while n + len(ids) + 1 > len(self.edge):
+            self.edge = np.concatenate([self.edge, np.zeros_like(self.edge)])
+        edge = self.edge[n] + np.cumsum(size)
+        while len(ids) and edge[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        if len(ids):
+            self.flat[self.edge[n]:edge[-1]] = [i for x in ids for i in x]
+            self.edge[n + 1:n + 1 + len(ids)] = edge
+            self.known.update(zip(pieces, range(n, n + len(ids))))
+
+    def used(self) -> int:
+        return int(self.edge[len(self.known)])
 
 
 def spread(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,26 +156,21 @@ class LibraryEncoder:
         self.tok.no_padding()
         self.vocabulary = self.tok.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.newline = self.tok.encode("\n", add_special_tokens=False).ids[0]
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        letters = sorted(ByteLevel.alphabet())              # the byte-level alphabet: printable Latin-1 stands for itself
+        own = [c for c in letters if ord(c) < 256]
+        self.letter = {ord(c): c for c in own} | dict(zip((b for b in range(256) if chr(b) not in own),
+                                                          (c for c in letters if ord(c) > 255)))
         self.pieces, self.cache = Pieces(), cache
 
     def whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
     def learn(self, new: list[bytes]) -> None:
-        """Encode unknown pieces: those without inner white space many at a time, a newline between them."""
-        plain = [p for p in new if not any(c.isspace() for c in p.decode("utf-8", "surrogatepass")[-1:])]
-        for i in range(0, len(plain), 5000):
-            part = plain[i:i + 5000]
-            ids = np.array(self.whole("\n".join(p.decode("utf-8", "surrogatepass") for p in part)), dtype=np.int32)
-            cut = np.flatnonzero(ids == self.newline)
-            if len(cut) != len(part) - 1:
-                raise RuntimeError("pre-tokens did not encode one by one")
-            for p, a, b in zip(part, [0, *(cut + 1)], [*cut, len(ids)]):
-                self.pieces.add(p, ids[a:b])
-        for p in new:
-            if p not in self.pieces.known:
-                self.pieces.add(p, self.whole(p.decode("utf-8", "surrogatepass")))
+        """Encode unknown pieces by the library's model, which takes one pre-token at a time."""
+        tokenize, letter = self.tok.model.tokenize, self.letter
+        self.pieces.add(new, [[t.id for t in tokenize(w.decode("latin-1").translate(letter))] for w in new])
 
     def encode(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (and the end)."""
@@ -184,15 +186,15 @@ class LibraryEncoder:
             return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         raw, offset, cuts = pretokens.split(docs)
         words, index = pretokens.distinct(raw, offset)
-        if len(self.pieces.begin) > self.cache:
+        if len(self.pieces) > self.cache:
             self.pieces.clear()
         known = self.pieces.known
         new = [w for w in words if w not in known]
         if new:
             self.learn(new)
-        place = np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))[index]
-        begin, end = np.array(self.pieces.begin, dtype=np.int64), np.array(self.pieces.end, dtype=np.int64)
-        ids, where = spread(self.pieces.flat, begin[place], (end - begin)[place])
+        place = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))[index]
+        begin = self.pieces.edge[place]
+        ids, where = spread(self.pieces.flat, begin, self.pieces.edge[place + 1] - begin)
         return ids, where[cuts]
 
 
