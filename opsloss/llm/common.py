@@ -12,9 +12,20 @@ from opsloss.session import fresh_dir
 MIN_LONG = -(2**63)
 
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+         "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers some megabytes at a time, so that long texts do not pile up there."""
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """The two columns every operator reads; a null text is the empty text.
     Selecting them first keeps other columns, whatever their names, out of the way."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
 

@@ -33,7 +33,7 @@ WORDS = 5
 THRESHOLD = 0.8
 HASHES = 64
 ITEMS = 20_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _ODD = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1))
 
 

@@ -37,8 +37,8 @@ from opsloss.llm.tokenfile import Pieces, spread, token_file
 from opsloss.session import fresh_dir
 
 LEXICON = 50_000
-CHUNK = 1 << 21
-COUNTED = 300_000          # distinct pre-tokens a counting task holds before it passes them on
+CHUNK = 1 << 20
+COUNTED = 200_000          # distinct pre-tokens a counting task holds before it passes them on
 CACHE = 300_000            # words merged by hand that a worker remembers
 
 

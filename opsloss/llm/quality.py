@@ -31,7 +31,7 @@ WIDTH = 16
 EPOCHS = 4
 RATE = 0.4
 GRAMS = (3, 4, 5)
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _CLASS = np.zeros(256, dtype=np.uint64)
 _CLASS[ord("a"):ord("z") + 1] = 1

@@ -34,8 +34,8 @@ from opsloss.session import fresh_dir
 
 BLOCK = 1 << 16
 IMAGE_IDS = 1 << 21
-CHUNK = 1 << 21
-CACHE = 600_000
+CHUNK = 1 << 20
+CACHE = 400_000
 MAGIC = b"FWBP"
 
 

@@ -34,7 +34,7 @@ RATE = 0.1
 RIDGE = 1e-4
 SCALE = 0.25
 ROUNDS = 3
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def windows(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
