@@ -35,7 +35,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the digests of ids and decoded text, and the ids themselves."""
-    return lexicon.digest(lexicon.encode(docs), with_ids=True)
+    return lexicon.round_trip(docs, with_ids=True)
 
 
 STAGES = [

@@ -38,8 +38,8 @@ from opsloss.session import fresh_dir
 
 LEXICON = 50_000
 CHUNK = 1 << 20
-COUNTED = 200_000          # distinct pre-tokens a counting task holds before it passes them on
-CACHE = 300_000            # words merged by hand that a worker remembers
+COUNTED = 100_000          # distinct pre-tokens a counting task holds before it passes them on
+CACHE = 150_000            # words merged by hand that a worker remembers
 
 
 # ------------------------------------------------------------------ vocabulary
@@ -346,22 +346,33 @@ def decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFram
     return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
 
 
-def digest(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of (doc_id, ids): decoded and checked where the ids are."""
+def digests(ids: np.ndarray, cuts: np.ndarray, v: Vocabulary) -> tuple[list[str], list[str]]:
+    """SHA-256 of each document's decimal ids joined by commas, and of the text its ids decode to."""
+    of_ids, of_text = [], []
+    for a, b in zip(cuts, cuts[1:]):
+        own = ids[a:b]
+        of_ids.append(hashlib.sha256(",".join([v.decimal[i] for i in own.tolist()]).encode()).hexdigest())
+        of_text.append(hashlib.sha256(v.decode(own).decode("utf-8", "replace").encode("utf-8")).hexdigest())
+    return of_ids, of_text
+
+
+def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: int = LEXICON,
+               with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encoded, and decoded from the ids, in one pass."""
+    name = build_lexicon(docs, tokenizer, size)
+
     def run(batches):
-        v = vocabulary(tokenizer)
+        enc = worker(name, tokenizer)
         for batch in batches:
-            names, lists = batch.column(0), batch.column(1)
-            cuts, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
-            n, ids_sha, text_sha = np.diff(cuts), [], []
-            for a, b in zip(cuts, cuts[1:]):
-                own = ids[a:b]
-                ids_sha.append(hashlib.sha256(",".join([v.decimal[i] for i in own.tolist()]).encode()).hexdigest())
-                text = v.decode(own).decode("utf-8", "replace")
-                text_sha.append(hashlib.sha256(text.encode("utf-8")).hexdigest())
-            out = [names, pa.array(n, type=pa.int64()), pa.array(ids_sha, type=pa.string()), pa.array(text_sha, type=pa.string())]
-            yield pa.RecordBatch.from_arrays(out + [lists] * with_ids,
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+            names, rows = batch.column(0), batch.column(1).to_pylist()
+            for lo, hi in slices([len(t) for t in rows], CHUNK):
+                ids, cuts = enc.encode(rows[lo:hi])
+                of_ids, of_text = digests(ids, cuts, enc.vocabulary)
+                out = {"doc_id": names.slice(lo, hi - lo), "n_tokens": pa.array(np.diff(cuts), type=pa.int64()),
+                       "ids_sha256": pa.array(of_ids, type=pa.string()), "decoded_sha256": pa.array(of_text, type=pa.string())}
+                if with_ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids, type=pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+    return texts(docs).mapInArrow(run, schema)

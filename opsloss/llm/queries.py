@@ -36,7 +36,7 @@ def op6_simhash_near_dedup(spark, sf_dir):
 
 
 def op7_bpe_lexicon(spark, sf_dir):
-    return lexicon.digest(lexicon.encode(read_table(spark, sf_dir, "documents")))
+    return lexicon.round_trip(read_table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark, sf_dir):

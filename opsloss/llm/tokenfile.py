@@ -33,9 +33,9 @@ from opsloss.llm.common import MIN_LONG, id_bounds, shuffle_partitions, slices,
 from opsloss.session import fresh_dir
 
 BLOCK = 1 << 16
-IMAGE_IDS = 1 << 21
+IMAGE_IDS = 1 << 19
 CHUNK = 1 << 20
-CACHE = 400_000
+CACHE = 200_000
 MAGIC = b"FWBP"
 
 
@@ -272,11 +272,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for part, start, raw in zip(pdf["part"], pdf["part_start"], pdf["image"]):
                 image = Image(raw)
-                ids = [image.document(i) for i in range(len(image.doc_ids))]
+                crc = [zlib.crc32(image.document(i).astype("<u4").tobytes()) for i in range(len(image.doc_ids))]
                 frame = pd.DataFrame({"doc_id": pd.array(image.doc_ids, dtype="Int64"),
                                       "start": base[part] + start + image.first[:-1],
-                                      "n_tokens": np.diff(image.first),
-                                      "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]})
+                                      "n_tokens": np.diff(image.first), "ids_crc32": crc})
                 frame.loc[image.doc_ids == MIN_LONG, "doc_id"] = pd.NA
                 yield frame
 
