@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-The corpus is counted once (pre-tokens, all documents); its ``LEXICON`` most frequent ones (a bound
-that does not grow with the corpus) are compiled, with the ids the merges give them, into a minimal
+The corpus is counted once (pre-tokens, all documents); its most frequent ones, ``LEXICON`` at most (a
+bound that does not grow with the corpus; equally frequent ones are all in or all out) are compiled, with the ids the merges give them, into a minimal
 acyclic automaton whose states share suffixes. An arc carries the number of words that sort before
 those behind it, so the outputs along a path add up to the word's index, and the index points at the
 word's ids. The automaton is a handful of integer arrays in one file, which Spark ships to the
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsloss.llm import pretokens
-from opsloss.llm.common import slices, texts
+from opsloss.llm.common import cut, slices, texts
 from opsloss.llm.tokenfile import Pieces, spread, token_file
 from opsloss.session import fresh_dir
 
@@ -234,7 +234,15 @@ def build_lexicon(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: i
     """Compile the most frequent pre-tokens and ship the file; returns its name for ``SparkFiles``."""
     spark = docs.sparkSession
     vocabulary = Vocabulary(token_file(tokenizer))
-    top = count_pretokens(docs).orderBy(F.desc("n"), "piece").limit(size).collect()
+    # the cut-off from a histogram of the counts (some hundred rows), so that the driver gets the chosen words only
+    counted = cut(count_pretokens(docs), "pretokens")
+    level = F.floor(F.log2("n") * 64).cast("int")
+    at, room = None, size
+    for r in counted.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():
+        if r["words"] > room:
+            break
+        at, room = r["level"], room - r["words"]
+    top = counted.filter(level >= at).collect() if at is not None else []
     raw = Transducer.compile({bytes(r["piece"]): vocabulary.merge(bytes(r["piece"])) for r in top}).to_bytes()
     return ship(spark, raw)
 
