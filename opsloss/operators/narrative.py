@@ -2,8 +2,8 @@
 
 The remote text generation and chat delivery are not built; what is built
 is the text each of them is fed with, for every anomaly and every report,
-as ordinary columns (F17). Wording is ours; the numbers and their formats
-follow the reference: ``.0f`` seconds, ``.1f`` minutes, ``,.2f`` money.
+as ordinary columns (F17), in a form of our own: ``name=value`` facts. The
+number formats are fixed: ``.0f`` seconds, ``.1f`` minutes, ``,.2f`` money.
 """
 
 from __future__ import annotations
@@ -14,41 +14,35 @@ from pyspark.sql import functions as F
 from ..functions import formatting as fmt
 
 
+def _fact(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{name}="), value)
+
+
 def prompt_text() -> Column:
-    """The request text for one anomaly row (columns of ``top_anomalies``)."""
-    avg, norm = F.col("avg_duration_sec"), F.col("norm_seconds")
+    """The facts of one anomaly row (columns of ``top_anomalies``) as ``name=value`` pairs."""
+    mean, norm = F.col("avg_duration_sec"), F.col("norm_seconds")
     return F.concat_ws(
-        "\n",
-        F.concat(F.lit('Anomaly: "'), F.col("operation_name"), F.lit('"')),
-        F.concat(F.lit("Actual (mean): "), fmt.whole(avg), F.lit(" s ("),
-                 fmt.one_decimal(avg / F.lit(60.0)), F.lit(" min)")),
-        F.concat(F.lit("Norm: "), norm.cast("string"), F.lit(" s ("),
-                 fmt.one_decimal(norm.cast("double") / F.lit(60.0)), F.lit(" min)")),
-        F.concat(F.lit("Excess: +"), fmt.whole("delta_sec"), F.lit(" s")),
-        F.concat(F.lit("Loss for the period: "), fmt.money("total_loss"), F.lit(" ("),
-                 F.col("event_count").cast("string"), F.lit(" events)")),
+        "; ",
+        _fact("loss", fmt.money("total_loss")),
+        _fact("events", F.col("event_count").cast("string")),
+        _fact("over_norm_s", fmt.whole("delta_sec")),
+        _fact("norm_s", norm.cast("string")),
+        _fact("norm_min", fmt.one_decimal(norm.cast("double") / F.lit(60.0))),
+        _fact("mean_s", fmt.whole(mean)),
+        _fact("mean_min", fmt.one_decimal(mean / F.lit(60.0))),
+        _fact("operation", F.col("operation_name")),
     )
 
 
 def fallback_text() -> Column:
     """Deterministic text used when no generated hypotheses are available."""
-    return F.concat_ws(
-        "\n",
-        F.lit("[automated analysis unavailable]"),
-        F.concat(F.lit('Operation "'), F.col("operation_name"), F.lit('" exceeds its norm by '),
-                 fmt.whole("delta_sec"), F.lit(" s.")),
-        F.lit("A manual root-cause review is recommended."),
-    )
+    return F.concat_ws("; ", F.lit("cause=unknown"), _fact("over_norm_s", fmt.whole("delta_sec")),
+                       _fact("operation", F.col("operation_name")))
 
 
 def caption_text(total_loss: Column | str = "total_loss") -> Column:
     """Delivery caption with the report's total loss."""
-    return F.concat_ws(
-        "\n",
-        F.lit("Operations loss report"),
-        F.concat(F.lit("Total labour-cost loss: "), fmt.money(total_loss)),
-        F.lit("Details in the attached tables"),
-    )
+    return _fact("total_loss", fmt.money(total_loss))
 
 
 def anomaly_prompts(anomalies: DataFrame, key: str = "report_date") -> DataFrame:

@@ -150,7 +150,7 @@ def gate(summary: DataFrame) -> None:
     The summary is one row per check (a few dozen), so reading the failing
     ones on the driver is bounded.
     """
-    failing = summary.filter(F.col("failures") > 0).limit(100).collect()
+    failing = summary.filter(F.col("failures") > 0).collect()
     if failing:
         names = ", ".join(f"{r.check_name}:{r.model}.{r.column_name}={r.failures}" for r in failing)
         raise QualityGateError(f"data-quality checks failed: {names}")

@@ -243,7 +243,7 @@ def _pulse(spark, d):
 
 
 register("report_pulse", O.with_(marts_report_ctes(), f"""
-  SELECT t.report_date, 'Report for: ' || strftime(t.report_date, '%d.%m.%Y %H:%M') || ' UTC' AS report_title,
+  SELECT t.report_date, strftime(t.report_date, '%d.%m.%Y %H:%M') || ' UTC' AS report_title,
          t.total_loss, t.total_events,
          coalesce(c.anomaly_count, 0) AS anomaly_count,
          f.operation_name AS top_operation, f.total_loss AS top_loss,
@@ -266,18 +266,14 @@ def _analysis(spark, d):
 
 
 register("report_analysis_lines", O.with_(marts_report_ctes() + [("t1", "  SELECT * FROM top WHERE rank = 1")], f"""
-  SELECT report_date, 1 AS line_no, 'Operation: ' || operation_name AS line FROM t1
+  SELECT report_date, 1 AS line_no, 'loss=' || {money_sql('total_loss')} AS line FROM t1
+  UNION ALL SELECT report_date, 2, 'norm_s=' || cast(norm_seconds as varchar) FROM t1
+  UNION ALL SELECT report_date, 3, 'mean_s=' || {whole_sql('avg_duration_sec')} FROM t1
+  UNION ALL SELECT report_date, 4, 'operation=' || operation_name FROM t1
   UNION ALL
-  SELECT report_date, 2, 'Actual: ' || {whole_sql('avg_duration_sec')} || ' s | Norm: '
-         || cast(norm_seconds as varchar) || ' s | Loss: ' || {money_sql('total_loss')} FROM t1
-  UNION ALL SELECT report_date, 3, 'Hypotheses:' FROM t1
-  UNION ALL SELECT report_date, 4, '[automated analysis unavailable]' FROM t1
+  SELECT report_date, 5, 'cause=unknown; over_norm_s=' || {whole_sql('delta_sec')} || '; operation=' || operation_name FROM t1
   UNION ALL
-  SELECT report_date, 5, 'Operation "' || operation_name || '" exceeds its norm by '
-         || {whole_sql('delta_sec')} || ' s.' FROM t1
-  UNION ALL SELECT report_date, 6, 'A manual root-cause review is recommended.' FROM t1
-  UNION ALL
-  SELECT report_date, 1, 'No anomalies found: no analysis needed.' FROM totals
+  SELECT report_date, 1, 'anomalies=0' FROM totals
   WHERE report_date NOT IN (SELECT report_date FROM t1)"""))(_analysis)
 
 
@@ -285,27 +281,22 @@ register("report_analysis_lines", O.with_(marts_report_ctes() + [("t1", "  SELEC
 
 register("anomaly_prompt_text", O.with_(marts_report_ctes(), f"""
   SELECT report_date, rank, operation_name,
-         'Anomaly: "' || operation_name || '"' || chr(10)
-         || 'Actual (mean): ' || {whole_sql('avg_duration_sec')} || ' s ('
-         || {one_decimal_sql('avg_duration_sec / 60.0::double')} || ' min)' || chr(10)
-         || 'Norm: ' || cast(norm_seconds as varchar) || ' s ('
-         || {one_decimal_sql('cast(norm_seconds as double) / 60.0::double')} || ' min)' || chr(10)
-         || 'Excess: +' || {whole_sql('delta_sec')} || ' s' || chr(10)
-         || 'Loss for the period: ' || {money_sql('total_loss')} || ' ('
-         || cast(event_count as varchar) || ' events)' AS prompt_text
+         'loss=' || {money_sql('total_loss')} || '; events=' || cast(event_count as varchar)
+         || '; over_norm_s=' || {whole_sql('delta_sec')} || '; norm_s=' || cast(norm_seconds as varchar)
+         || '; norm_min=' || {one_decimal_sql('cast(norm_seconds as double) / 60.0::double')}
+         || '; mean_s=' || {whole_sql('avg_duration_sec')}
+         || '; mean_min=' || {one_decimal_sql('avg_duration_sec / 60.0::double')}
+         || '; operation=' || operation_name AS prompt_text
   FROM top"""))(lambda spark, d: N.anomaly_prompts(Rp.top_anomalies(_marts_losses(spark, d), TOP_N)))
 
 register("anomaly_fallback_text", O.with_(marts_report_ctes(), f"""
   SELECT report_date, rank, operation_name,
-         '[automated analysis unavailable]' || chr(10)
-         || 'Operation "' || operation_name || '" exceeds its norm by ' || {whole_sql('delta_sec')} || ' s.'
-         || chr(10) || 'A manual root-cause review is recommended.' AS fallback_text
+         'cause=unknown; over_norm_s=' || {whole_sql('delta_sec')} || '; operation=' || operation_name AS fallback_text
   FROM top"""))(lambda spark, d: N.anomaly_fallbacks(Rp.top_anomalies(_marts_losses(spark, d), TOP_N)))
 
 register("report_caption", O.with_(marts_report_ctes(), f"""
   SELECT report_date,
-         'Operations loss report' || chr(10) || 'Total labour-cost loss: ' || {money_sql('total_loss')}
-         || chr(10) || 'Details in the attached tables' AS caption
+         'total_loss=' || {money_sql('total_loss')} AS caption
   FROM totals"""))(lambda spark, d: N.report_captions(Rp.report_totals(_marts_losses(spark, d))))
 
 

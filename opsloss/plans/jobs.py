@@ -140,7 +140,7 @@ def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None) ->
     """Rebuild both marts for every month from ``since``'s month on (all when None).
 
     The fact predicate is snapped to a month start, so each rewritten month
-    partition is complete; dynamic overwrite leaves other months alone.
+    partition is complete; earlier months are left alone.
     """
     if since is not None:
         lo = month_start(since)
@@ -149,9 +149,14 @@ def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None) ->
     if since is not None:
         losses = losses.filter(F.col("event_date") >= F.lit(lo))
         health = health.filter(F.col("reading_date") >= F.lit(lo))
+        # every month of the range is rebuilt; one that has no rows any more must not stay
+        for path in (wh.mart_losses, wh.mart_health):
+            for m in list_months(models.spark, path):
+                if m >= lo.strftime("%Y%m"):
+                    _delete(models.spark, f"{path.rstrip('/')}/{ST.MONTH}={m}")
     ST.run_concurrently([
-        lambda: ST.overwrite_partitions(losses, wh.mart_losses, "mart_daily_losses"),
-        lambda: ST.overwrite_partitions(health, wh.mart_health, "mart_equipment_health"),
+        lambda: ST.overwrite_partitions(losses, wh.mart_losses, "mart_daily_losses", whole=since is None),
+        lambda: ST.overwrite_partitions(health, wh.mart_health, "mart_equipment_health", whole=since is None),
     ])
 
 
@@ -270,7 +275,7 @@ def apply_retention(spark: SparkSession, path: str, asof: _dt.datetime, years: i
     * later months are not touched.
     Re-running with the same ``asof`` is a no-op on the result.
     """
-    cutoff = asof.replace(year=asof.year - years)
+    cutoff = ST.years_before(asof, years)
     boundary = cutoff.strftime("%Y%m")
     months = list_months(spark, path)
     expired = [m for m in months if m < boundary]

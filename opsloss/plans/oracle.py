@@ -27,26 +27,26 @@ def minutes(expr: str) -> str:
 
 EVENT_LOGS = {
     "events": f"""
-  SELECT 'CASE-' || lpad(cast(event_id as varchar), {CASE_W}, '0') AS case_id,
+  SELECT 'CASE-' || lpad(cast(event_id as varchar), cast(greatest({CASE_W}, length(cast(event_id as varchar))) as integer), '0') AS case_id,
          event_type AS operation_name,
          ts AS start_time,
          ts + to_seconds(cast(floor((value - 0.5::double) * 200.0::double) as integer)) AS end_time,
          cast(floor((value - 0.5::double) * 200.0::double) as integer) AS duration_seconds,
-         'USER-' || lpad(cast(user_id as varchar), {USER_W}, '0') AS user_id
+         'USER-' || lpad(cast(user_id as varchar), cast(greatest({USER_W}, length(cast(user_id as varchar))) as integer), '0') AS user_id
   FROM events""",
     "lineitem": f"""
-  SELECT 'CASE-' || lpad(cast(l_orderkey as varchar), {CASE_W}, '0') AS case_id,
+  SELECT 'CASE-' || lpad(cast(l_orderkey as varchar), cast(greatest({CASE_W}, length(cast(l_orderkey as varchar))) as integer), '0') AS case_id,
          l_returnflag || l_linestatus AS operation_name,
          l_shipdate AS start_time,
          l_shipdate + to_seconds(cast(l_quantity * 60.0::double as integer)) AS end_time,
          cast(l_quantity * 60.0::double as integer) AS duration_seconds,
-         'USER-' || lpad(cast(l_suppkey as varchar), {USER_W}, '0') AS user_id
+         'USER-' || lpad(cast(l_suppkey as varchar), cast(greatest({USER_W}, length(cast(l_suppkey as varchar))) as integer), '0') AS user_id
   FROM lineitem""",
 }
 
 TELEMETRY = """
   SELECT ts,
-         'EQ-' || lpad(cast(user_id % 20 as varchar), 3, '0') AS equipment_id,
+         'EQ-' || lpad(cast(user_id % 20 as varchar), cast(greatest(3, length(cast(user_id % 20 as varchar))) as integer), '0') AS equipment_id,
          'Device ' || cast(user_id % 20 as varchar) AS equipment_name,
          event_type AS metric_name,
          CASE WHEN k = 50 THEN NULL ELSE value END AS metric_value,

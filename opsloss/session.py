@@ -58,10 +58,7 @@ def build_session(
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings to a session built elsewhere."""
     for k, v in SQL_CONF.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on a foreign session: leave it
-            pass
+        spark.conf.set(k, v)
     return spark
 
 
@@ -79,6 +76,8 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     if not base:
         base = _FALLBACK.get("dir")
         if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="opsloss-shared-")
             _FALLBACK["dir"] = base
             spark.sparkContext.setCheckpointDir(os.path.join(base, "rdd"))

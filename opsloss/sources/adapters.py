@@ -23,12 +23,12 @@ UNITS = {"view": "rpm", "click": "bar", "error": "C", "purchase": "kW", "signup"
 STATE_BY_K8 = ["running", "running", "running", "idle", "warning", "maintenance", "error", "off"]
 QUALITY_BY_K20 = {0: 0, 1: 64, 2: 128}  # every other residue: 192
 DEVICES = 20
-# lpad cuts longer values, so the widths leave room for ids far beyond the test scales.
+# Shorter ids are padded to these widths, longer ones stay whole.
 CASE_WIDTH, USER_WIDTH = 12, 9
 
 
 def _padded(prefix: str, c: Column, width: int) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(c.cast("string"), width, "0"))
+    return F.concat(F.lit(prefix), F.lpad(c.cast("string"), F.greatest(F.lit(width), F.char_length(c.cast("string"))), F.lit("0")))
 
 
 def events_to_event_logs(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

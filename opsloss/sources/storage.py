@@ -50,9 +50,10 @@ def append(df: DataFrame, path: str, table: str) -> None:
     _layout(df, table).write.mode("append").partitionBy(MONTH).parquet(path)
 
 
-def overwrite_partitions(df: DataFrame, path: str, table: str) -> None:
-    """Replace only the months present in ``df`` (dynamic overwrite)."""
-    _layout(df, table).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+def overwrite_partitions(df: DataFrame, path: str, table: str, whole: bool = False) -> None:
+    """Replace only the months present in ``df`` (dynamic overwrite), or with ``whole``
+    the table, so that months without rows any more disappear."""
+    _layout(df, table).write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic") \
         .partitionBy(MONTH).parquet(path)
 
 
@@ -87,6 +88,14 @@ def read_months(spark: SparkSession, path: str, since: _dt.date | None = None,
     return df
 
 
+def years_before(asof: _dt.datetime, years: int) -> _dt.datetime:
+    """The same day ``years`` earlier; 28 February for a leap day."""
+    try:
+        return asof.replace(year=asof.year - years)
+    except ValueError:
+        return asof.replace(year=asof.year - years, day=28)
+
+
 def retention_filter(telemetry: DataFrame, asof: _dt.datetime, years: int = 1) -> DataFrame:
     """Keep readings whose second-truncated time plus ``years`` is after ``asof``.
 
@@ -98,7 +107,7 @@ def retention_filter(telemetry: DataFrame, asof: _dt.datetime, years: int = 1) -
     keep = (trunc + F.make_ym_interval(F.lit(years), F.lit(0))) > ts_literal(asof).cast("timestamp")
     out = telemetry.filter(keep)
     if MONTH in telemetry.columns:
-        cutoff = asof.replace(year=asof.year - years)
+        cutoff = years_before(asof, years)
         out = out.filter(F.col(MONTH) >= F.lit(cutoff.strftime("%Y%m")))
     return out
 
