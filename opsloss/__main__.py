@@ -1,14 +1,18 @@
 """Command line for the scheduled jobs.
 
-    python -m opsloss daily     --sf-dir DIR [--date YYYY-MM-DD] [--warehouse DIR] [--source events|lineitem]
-    python -m opsloss weekly    --sf-dir DIR [--week-start YYYY-MM-DD] [--warehouse DIR]
+    python -m opsloss daily     --norms N --rates R [--date YYYY-MM-DD | --all-dates] [--mode raw|marts] ...
+    python -m opsloss weekly    --norms N --rates R [--week-start YYYY-MM-DD] [--mode raw|marts] ...
+    python -m opsloss retain    --warehouse DIR [--asof YYYY-MM-DD]
     python -m opsloss calibrate --sf-dir DIR --out DIR [--asof YYYY-MM-DD] [--lookback-days 30]
     python -m opsloss ingest    --batches DIR --warehouse DIR [--kind events|readings]
 
 Run it with ``spark-submit`` on a cluster (the master comes from there) or
 with ``--master local[N]``. Dates are parsed strictly (F16); a bad date exits
-with status 1. Without ``--date`` the daily job back-fills every date;
-without ``--week-start`` the weekly job reports last week (F15).
+with status 1. Without ``--date`` the daily job reports today, with
+``--all-dates`` it back-fills every date of the marts; without ``--week-start``
+the weekly job reports last week (F15). ``--norms`` and ``--rates`` are folders
+in the format ``--dims-format``, or tables of ``--jdbc-url``. Facts come from
+``--sf-dir``, or with ``--stored-facts`` from the warehouse.
 """
 
 from __future__ import annotations
@@ -36,19 +40,26 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--master", default=None)
     sub = p.add_subparsers(dest="cmd", required=True)
     d = sub.add_parser("daily")
-    d.add_argument("--sf-dir", required=True)
     d.add_argument("--date")
-    d.add_argument("--warehouse")
-    d.add_argument("--source", default="events", choices=["events", "lineitem"])
+    d.add_argument("--all-dates", action="store_true")
     d.add_argument("--report-format", default="parquet", choices=["parquet", "csv"])
-    d.add_argument("--stored-facts", action="store_true",
-                   help="read facts from the warehouse tables filled by `ingest` instead of --sf-dir")
     w = sub.add_parser("weekly")
-    w.add_argument("--sf-dir", required=True)
     w.add_argument("--week-start")
-    w.add_argument("--warehouse")
-    w.add_argument("--source", default="events", choices=["events", "lineitem"])
-    w.add_argument("--stored-facts", action="store_true")
+    for job in (d, w):
+        facts = job.add_mutually_exclusive_group(required=True)
+        facts.add_argument("--sf-dir")
+        facts.add_argument("--stored-facts", action="store_true",
+                           help="read facts from the warehouse tables filled by `ingest`")
+        job.add_argument("--warehouse")
+        job.add_argument("--source", default="events", choices=["events", "lineitem"])
+        job.add_argument("--mode", default="raw", choices=["raw", "marts"])
+        job.add_argument("--norms", required=True)
+        job.add_argument("--rates", required=True)
+        job.add_argument("--dims-format", default="parquet")
+        job.add_argument("--jdbc-url")
+    t = sub.add_parser("retain")
+    t.add_argument("--warehouse", required=True)
+    t.add_argument("--asof")
     c = sub.add_parser("calibrate")
     c.add_argument("--sf-dir", required=True)
     c.add_argument("--out", required=True)
@@ -63,20 +74,30 @@ def main(argv: list[str] | None = None) -> int:
 
     # arguments are validated before any Spark work starts
     today = _dt.datetime.now(_dt.timezone.utc).date()
-    report_date = _date(getattr(a, "date", None))
+    if a.cmd == "daily" and a.all_dates and (a.date or a.mode == "raw"):
+        p.error("--all-dates needs --mode marts and no --date")
+    report_date = None if getattr(a, "all_dates", False) else _date(getattr(a, "date", None)) or today
     week = _date(getattr(a, "week_start", None)) or previous_week_monday(today)
     asof = _dt.datetime.combine(_date(getattr(a, "asof", None)) or today, _dt.time())
 
     from .plans import jobs as J
     from .session import build_session
+    from .sources.dims import read_source
 
     spark = build_session(a.master)
     wh = J.Warehouse(a.warehouse) if getattr(a, "warehouse", None) else None
+    if a.cmd in ("daily", "weekly"):
+        now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        dims = read_source(spark, a.norms, a.rates, *(("jdbc",) if a.jdbc_url else (a.dims_format,)),
+                           **({"url": a.jdbc_url} if a.jdbc_url else {}))
     if a.cmd == "daily":
-        out = J.daily_run(spark, a.sf_dir, wh, report_date=report_date, source=a.source,
-                          stored_facts=a.stored_facts, report_format=a.report_format)
+        out = J.daily_run(spark, a.sf_dir, now, dims, wh, report_date=report_date, source=a.source,
+                          stored_facts=a.stored_facts, report_format=a.report_format, mode=a.mode)
     elif a.cmd == "weekly":
-        out = J.weekly_run(spark, a.sf_dir, wh, week_start=week, source=a.source, stored_facts=a.stored_facts)
+        out = J.weekly_run(spark, a.sf_dir, now, dims, wh, week_start=week, source=a.source,
+                           stored_facts=a.stored_facts, mode=a.mode)
+    elif a.cmd == "retain":
+        out = J.apply_retention(spark, wh.path("raw", "scada_telemetry"), asof)
     elif a.cmd == "calibrate":
         out = {"csv": J.norm_calibration_run(spark, a.sf_dir, asof, a.out, a.lookback_days, a.source)}
     else:

@@ -1,58 +1,46 @@
 """Joins with dimensions (D1-D6) and the size-checked broadcast.
 
 Dimensions are small by nature, but "small" is checked, not assumed:
-``sized_broadcast`` counts at most ``max_rows + 1`` rows of the side (a
-bounded, cheap job on a dimension) and only then hints a broadcast. Beyond
-the bound the side is returned unhinted and Spark plans a shuffle join,
-which AQE may still turn into a broadcast from runtime sizes.
+``sized_broadcast`` adds up the bytes of everything the side reads, as the
+plan's statistics tell them, and only then hints a broadcast. No job runs and
+nothing is cached while a plan is built, so a dimension that another writer
+changes is read anew by the next query. Beyond the bound the side is returned
+unhinted and Spark plans a shuffle join, which AQE may still turn into a
+broadcast from runtime sizes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
+from ..session import fresh_dir
 
+DEFAULT_MAX_BROADCAST_BYTES = 32 << 20
 
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave it to a shuffle join.
-
-    The side is cached while it is counted, so the broadcast (and any other
-    query of the session over the same dimension plan) reads the cached
-    rows; a side found too large is unpersisted again. Lost cache blocks
-    are recomputed from lineage.
-    """
-    cached = df.cache()
-    key = _plan_key(cached)
-    n = _CHECKED.get(key)
-    if n is None or not cached.storageLevel.useMemory:
-        n = cached.limit(max_rows + 1).count()
-        _CHECKED[key] = n
-    if n <= max_rows:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return df
 
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the files and local rows that ``df`` reads (plan statistics, no job)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
 
-# Size checks already made in this process, by analysed-plan hash. An entry is
-# trusted only while the plan is still cached (``refreshByPath`` after a write
-# to a dimension's folder drops the cache and so forces a new count).
-_CHECKED: dict[tuple[str, int], int] = {}
 
+def sized_broadcast(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if its sources hold at most ``max_bytes``, else leave it to a shuffle join.
 
-def _plan_key(df: DataFrame) -> tuple[str, int]:
-    qe = df._jdf.queryExecution()
-    return (df.sparkSession.sparkContext.applicationId, int(qe.analyzed().semanticHash()))
+    For sides that have no more rows than their sources: versions reduced to
+    the latest, distinct keys, a dimension joined to another by its unique id.
+    """
+    return F.broadcast(df) if source_bytes(df) <= max_bytes else df
 
 
-def norms_with_rates(norms: DataFrame, rates: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def norms_with_rates(norms: DataFrame, rates: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Norms ⋈ rates on ``role_id = tariff_id`` (inner).
 
     ``norms`` carries ``operation_name, norm_seconds, role_id``; ``rates``
     carries ``tariff_id, role_name, hourly_rate`` (staged names, B3/B4).
     """
-    r = sized_broadcast(rates.select("tariff_id", "role_name", "hourly_rate"), max_rows)
+    r = sized_broadcast(rates.select("tariff_id", "role_name", "hourly_rate"), max_bytes)
     return norms.join(r, norms["role_id"] == r["tariff_id"], "inner").select(
         "operation_name", "norm_seconds", "role_id", "role_name", "hourly_rate"
     )
@@ -105,22 +93,24 @@ def new_rows_only(incoming: DataFrame, existing: DataFrame, unique_col: str, ord
     return firsts.select(*[F.col(f"_r.{c}").alias(c) for c in fresh.columns])
 
 
-def assign_ids(new_rows: DataFrame, existing: DataFrame, id_col: str = "id", order_col: str | None = None,
-               max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Ids for created dimension rows, continuing after the largest existing id.
+def assign_ids(new_rows: DataFrame, existing: DataFrame, id_col: str = "id", order_col: str | None = None) -> DataFrame:
+    """Dense ids for created dimension rows, after the largest existing id, in ``order_col`` order.
 
-    Within the size bound (checked with a bounded count) the ids are dense,
-    in ``order_col`` order, from one ordered window over at most ``max_rows``
-    rows. Beyond it they are unique but not dense (``monotonically_increasing_id``),
-    so no unbounded set is ever ordered in a single task.
+    One way at every size: the rows are dealt over ranges of ``order_col``
+    and written to the shared folder; a row's id is the number of rows in the
+    ranges before its own plus its place within it. Only the per-range counts
+    (one row for each task) are summed up in a single task.
     """
-    from pyspark.sql import Window
-
+    spark = new_rows.sparkSession
+    order = order_col or new_rows.columns[0]
+    path = fresh_dir(spark, "new_rows")
+    new_rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order, *[c for c in new_rows.columns if c != order]))
     top = existing.agg(F.max(id_col)).first()[0]          # one scalar
     base = F.lit(int(top) if top is not None else 0).cast("bigint")
-    n = new_rows.limit(max_rows + 1).count()
-    if n <= max_rows:
-        seq = F.row_number().over(Window.orderBy(order_col or new_rows.columns[0])).cast("bigint")
-    else:
-        seq = F.monotonically_increasing_id() + F.lit(1)
-    return new_rows.select((base + seq).alias(id_col), *new_rows.columns)
+    return rows.withColumn("_place", place).join(offsets, "_range").select(
+        (base + F.col("_before") + F.col("_place")).cast("bigint").alias(id_col), *new_rows.columns)

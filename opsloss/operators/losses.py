@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import minus_hours, ts_literal
 from ..functions.expressions import clipped_delta, clipped_delta_int, loss, minutes, z_score
 from ..functions.rounding import round_n
-from .joins import DEFAULT_MAX_BROADCAST_ROWS, norms_with_rates, sized_broadcast
+from .joins import DEFAULT_MAX_BROADCAST_BYTES, norms_with_rates, sized_broadcast
 
 
 def dims_joined(norms_staged: DataFrame, rates_staged: DataFrame) -> DataFrame:
@@ -32,13 +32,13 @@ def dims_joined(norms_staged: DataFrame, rates_staged: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- M2 / M3
 
-def ops_enriched(stg_events: DataFrame, dims: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def ops_enriched(stg_events: DataFrame, dims: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """M2 (D3, F2, F3): each staged event with norm, role, rate, delta and loss.
 
     The two inner joins of the model (events ⋈ norms ⋈ rates) are done as
     norms ⋈ rates first (tiny) and one broadcast join onto the facts.
     """
-    d = sized_broadcast(dims, max_rows)
+    d = sized_broadcast(dims, max_bytes)
     j = stg_events.join(d, "operation_name", "inner")
     delta = clipped_delta("duration_seconds", "norm_seconds")
     return j.select(
@@ -93,14 +93,14 @@ def raw_window(event_logs: DataFrame, report_ts, bounded: bool = False) -> DataF
     return month_bound(event_logs, since, report_ts if bounded else None).filter(cond)
 
 
-def calculate_losses(per_op: DataFrame, dims: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def calculate_losses(per_op: DataFrame, dims: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Per-operation aggregates ⋈ norms → losses, sorted.
 
     ``per_op`` has ``operation_name, event_count, avg_duration_sec,
     total_duration_sec`` (and optionally grouping columns such as
     ``report_date``, carried through).
     """
-    d = sized_broadcast(dims.select("operation_name", "norm_seconds", "hourly_rate", "role_name"), max_rows)
+    d = sized_broadcast(dims.select("operation_name", "norm_seconds", "hourly_rate", "role_name"), max_bytes)
     j = per_op.join(d, "operation_name", "inner")
     delta = clipped_delta("avg_duration_sec", "norm_seconds")
     per_event = loss(delta, "hourly_rate")

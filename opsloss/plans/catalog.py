@@ -26,6 +26,7 @@ from ..operators import reports as Rp
 from ..operators import versioning as V
 from ..session import fresh_dir
 from ..sources import adapters as A
+from ..sources import dims as D
 from ..sources import ingest as I
 from ..sources import storage as ST
 from ..sources import tables as T
@@ -111,8 +112,8 @@ RAW_SELECT = f"""
   FROM per_op p JOIN dims d ON p.operation_name = d.operation_name"""
 
 
-def _raw_ctes(source: str) -> list[tuple[str, str]]:
-    since = RAW_REPORT_TS[source] - _dt.timedelta(hours=24)
+def _raw_ctes(source: str, ts: _dt.datetime | None = None) -> list[tuple[str, str]]:
+    since = (ts or RAW_REPORT_TS[source]) - _dt.timedelta(hours=24)
     return O.base_ctes(source, upto="dims") + [("per_op", f"""
   SELECT operation_name, cast(count(*) as bigint) AS event_count,
          avg(duration_seconds) AS avg_duration_sec,
@@ -238,11 +239,10 @@ register("top_anomalies_raw", O.with_(raw_report_ctes() + [("top", TOP)], "SELEC
 
 
 def _pulse(spark, d):
-    losses = _marts_losses(spark, d)
-    return Rp.report_pulse(Rp.report_totals(losses), Rp.top_anomalies(losses, TOP_N))
+    return Rp.report_pulse(_marts_losses(spark, d), TOP_N)
 
 
-register("report_pulse", O.with_(marts_report_ctes(), f"""
+PULSE = f"""
   SELECT t.report_date, strftime(t.report_date, '%d.%m.%Y %H:%M') || ' UTC' AS report_title,
          t.total_loss, t.total_events,
          coalesce(c.anomaly_count, 0) AS anomaly_count,
@@ -252,7 +252,8 @@ register("report_pulse", O.with_(marts_report_ctes(), f"""
   FROM totals t
   LEFT JOIN (SELECT report_date, cast(count(*) as bigint) AS anomaly_count FROM top GROUP BY report_date) c
     ON t.report_date = c.report_date
-  LEFT JOIN (SELECT * FROM top WHERE rank = 1) f ON t.report_date = f.report_date"""))(_pulse)
+  LEFT JOIN (SELECT * FROM top WHERE rank = 1) f ON t.report_date = f.report_date"""
+register("report_pulse", O.with_(marts_report_ctes(), PULSE))(_pulse)
 
 register("report_loss_table", O.with_(marts_report_ctes(), f"""
   SELECT report_date, operation_name, avg_duration_min, norm_min, {R('delta_sec', 1)} AS delta_sec,
@@ -261,11 +262,11 @@ register("report_loss_table", O.with_(marts_report_ctes(), f"""
 
 
 def _analysis(spark, d):
-    losses = _marts_losses(spark, d)
-    return Rp.report_analysis_lines(Rp.top_anomalies(losses, TOP_N), Rp.report_totals(losses))
+    return Rp.report_analysis_lines(_marts_losses(spark, d))
 
 
-register("report_analysis_lines", O.with_(marts_report_ctes() + [("t1", "  SELECT * FROM top WHERE rank = 1")], f"""
+TOP_ROW = ("t1", "  SELECT * FROM top WHERE rank = 1")
+ANALYSIS = f"""
   SELECT report_date, 1 AS line_no, 'loss=' || {money_sql('total_loss')} AS line FROM t1
   UNION ALL SELECT report_date, 2, 'norm_s=' || cast(norm_seconds as varchar) FROM t1
   UNION ALL SELECT report_date, 3, 'mean_s=' || {whole_sql('avg_duration_sec')} FROM t1
@@ -274,7 +275,8 @@ register("report_analysis_lines", O.with_(marts_report_ctes() + [("t1", "  SELEC
   SELECT report_date, 5, 'cause=unknown; over_norm_s=' || {whole_sql('delta_sec')} || '; operation=' || operation_name FROM t1
   UNION ALL
   SELECT report_date, 1, 'anomalies=0' FROM totals
-  WHERE report_date NOT IN (SELECT report_date FROM t1)"""))(_analysis)
+  WHERE report_date NOT IN (SELECT report_date FROM t1)"""
+register("report_analysis_lines", O.with_(marts_report_ctes() + [TOP_ROW], ANALYSIS))(_analysis)
 
 
 # ================================================================ report texts
@@ -323,14 +325,15 @@ register("weekly_losses_marts_lineitem",
          O.with_(O.base_ctes("lineitem") + [("weekly", WEEKLY_MARTS)], "SELECT * FROM weekly"))(
     lambda spark, d: Rp.weekly_losses_marts(_m(spark, d, "lineitem").mart_daily_losses))
 
-register("weekly_losses_raw", O.with_(O.base_ctes(upto="event_logs"), f"""
+WEEKLY_RAW = f"""
   SELECT week_start, operation_name, '' AS role_name, event_count,
          {R('_avg', 6)} AS avg_duration_sec, 0 AS norm_seconds, 0.0::double AS hourly_rate,
          0.0::double AS delta_sec, 0.0::double AS total_loss,
          {O.minutes('_avg')} AS avg_duration_min, 0.0::double AS norm_min
   FROM (SELECT cast(date_trunc('week', start_time) as date) AS week_start, operation_name,
                cast(count(*) as bigint) AS event_count, avg(duration_seconds) AS _avg
-        FROM event_logs GROUP BY 1, 2)"""))(
+        FROM event_logs GROUP BY 1, 2)"""
+register("weekly_losses_raw", O.with_(O.base_ctes(upto="event_logs"), WEEKLY_RAW))(
     lambda spark, d: Rp.weekly_losses_raw(_m(spark, d).event_logs))
 
 register("weekly_totals", O.with_(O.base_ctes() + [("weekly", WEEKLY_MARTS)], f"""
@@ -339,13 +342,46 @@ register("weekly_totals", O.with_(O.base_ctes() + [("weekly", WEEKLY_MARTS)], f"
   FROM weekly GROUP BY week_start"""))(
     lambda spark, d: Rp.weekly_totals(Rp.weekly_losses_marts(_m(spark, d).mart_daily_losses)))
 
-register("weekly_top_anomalies", O.with_(
-    O.base_ctes() + [("weekly", WEEKLY_MARTS),
-                     ("losses", "  SELECT week_start AS report_date, * EXCLUDE (week_start) FROM weekly"),
-                     ("top", TOP)],
-    "SELECT report_date AS week_start, * EXCLUDE (report_date) FROM top"))(
-    lambda spark, d: Rp.top_anomalies(Rp.weekly_losses_marts(_m(spark, d).mart_daily_losses),
-                                      TOP_N, key="week_start"))
+WEEKLY_CTES = O.base_ctes() + [
+    ("weekly", WEEKLY_MARTS),
+    ("losses", "  SELECT week_start AS report_date, * EXCLUDE (week_start) FROM weekly"),
+    ("totals", TOTALS), ("top", TOP), TOP_ROW]
+
+
+def _by_week(select: str) -> str:
+    return O.with_(WEEKLY_CTES, f"SELECT report_date AS week_start, * EXCLUDE (report_date) FROM ({select})")
+
+
+def _weekly_report(spark, d):
+    return Rp.build_weekly_report("marts", top_n=TOP_N, mart=_m(spark, d).mart_daily_losses)
+
+
+register("weekly_top_anomalies", _by_week("SELECT * FROM top"))(lambda spark, d: _weekly_report(spark, d).anomalies)
+register("weekly_pulse", _by_week(PULSE))(lambda spark, d: _weekly_report(spark, d).pulse)
+register("weekly_analysis_lines", _by_week(ANALYSIS))(lambda spark, d: _weekly_report(spark, d).analysis)
+
+
+# One report time, day and week inside the data, so that the predicates drop rows.
+INSIDE_TS, INSIDE_DAY, INSIDE_WEEK = _dt.datetime(2024, 1, 17, 9, 30), _dt.date(2024, 1, 10), _dt.date(2024, 1, 8)
+
+
+def _raw_inside(spark, d):
+    m = _m(spark, d)
+    return L.daily_losses_raw(m.event_logs, m.dims, INSIDE_TS)
+
+
+register("daily_losses_raw_inside", O.with_(_raw_ctes("events", INSIDE_TS), RAW_SELECT))(_raw_inside)
+register("daily_report_pulse_one_date", O.with_(
+    O.base_ctes() + [("losses", f"SELECT * FROM ({LOSSES_MARTS}) WHERE report_date = DATE '{INSIDE_DAY}'"),
+                     ("totals", TOTALS), ("top", TOP)], PULSE))(
+    lambda spark, d: Rp.build_daily_report("marts", INSIDE_DAY, TOP_N, mart=_m(spark, d).mart_daily_losses).pulse)
+register("weekly_losses_marts_one_week", O.with_(
+    O.base_ctes() + [("weekly", WEEKLY_MARTS)], f"SELECT * FROM weekly WHERE week_start = DATE '{INSIDE_WEEK}'"))(
+    lambda spark, d: Rp.weekly_losses_marts(_m(spark, d).mart_daily_losses, INSIDE_WEEK))
+register("weekly_losses_raw_one_week", O.with_(
+    O.base_ctes(upto="event_logs") + [("weekly", WEEKLY_RAW)],
+    f"SELECT * FROM weekly WHERE week_start = DATE '{INSIDE_WEEK}'"))(
+    lambda spark, d: Rp.sort_weekly(Rp.weekly_losses_raw(_m(spark, d).event_logs, INSIDE_WEEK), "raw"))
 
 
 # ================================================================ calibration
@@ -485,6 +521,46 @@ register("dq_summary_lineitem", O.with_(_dq_ctes("lineitem"), _dq_summary_sql())
     lambda spark, d: _m(spark, d, "lineitem").dq_summary())
 
 
+def _dq_violations(spark, d):
+    """L1-L6 over frames that break the rules: unstaged facts, orders as if one per customer, balances as losses."""
+    from functools import reduce
+    m, orders, cols = _m(spark, d), T.table(spark, d, "orders"), ("check_name", "model", "column_name", "failures")
+    seconds = F.col("duration_seconds")
+    parts = [
+        Q.null_counts(m.telemetry, "telemetry", ["metric_value", "equipment_id"])
+         .select(F.lit("not_null").alias("check_name"), "model", "column_name", F.col("null_count").alias("failures")),
+        Q._row_counts(m.event_logs, [("duration_in_range", "event_logs", "duration_seconds",
+                                      (seconds <= Q.MIN_DURATION_EXCLUSIVE) | (seconds >= Q.MAX_DURATION_EXCLUSIVE))]),
+        Q._summary_row("accepted_values", "telemetry", "equipment_state",
+                       Q.unaccepted_values(m.telemetry, "equipment_state", ["running", "idle"]), "n"),
+        Q._summary_row("no_negative_losses", "customer", "c_acctbal", Q.negative_losses(
+            T.table(spark, d, "customer").select(F.lit(None).cast("date").alias("event_date"),
+                                                 F.col("c_name").alias("operation_name"),
+                                                 F.col("c_acctbal").alias("total_loss")))),
+    ]
+    for check, keys in (("unique", ["o_custkey"]), ("unique_combination", ["o_custkey", "o_orderpriority"])):
+        parts.append(Q.duplicate_summary(orders, "orders", keys).select(
+            F.lit(check).alias("check_name"), "model", "column_name", F.col("duplicate_keys").alias("failures")))
+    return reduce(DataFrame.unionByName, [p.select(*cols) for p in parts]) \
+        .withColumn("blocks_reports", F.col("failures") > 0)
+
+
+register("dq_violations", O.with_(O.base_ctes(upto="event_logs") + O.telemetry_ctes("telemetry"), """
+  SELECT *, failures > 0 AS blocks_reports FROM (
+  SELECT 'not_null' AS check_name, 'telemetry' AS model, 'metric_value' AS column_name,
+         cast(count(*) as bigint) AS failures FROM telemetry WHERE metric_value IS NULL
+  UNION ALL SELECT 'not_null', 'telemetry', 'equipment_id', count(*) FROM telemetry WHERE equipment_id IS NULL
+  UNION ALL SELECT 'duration_in_range', 'event_logs', 'duration_seconds', count(*) FROM event_logs
+    WHERE NOT (duration_seconds > 0 AND duration_seconds < 86400)
+  UNION ALL SELECT 'accepted_values', 'telemetry', 'equipment_state', count(*) FROM telemetry
+    WHERE equipment_state NOT IN ('running', 'idle')
+  UNION ALL SELECT 'no_negative_losses', 'customer', 'c_acctbal', count(*) FROM customer WHERE c_acctbal < 0
+  UNION ALL SELECT 'unique', 'orders', 'o_custkey', count(*) FROM (
+    SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'unique_combination', 'orders', 'o_custkey::o_orderpriority', count(*) FROM (
+    SELECT o_custkey, o_orderpriority FROM orders GROUP BY 1, 2 HAVING count(*) > 1))"""))(_dq_violations)
+
+
 # ================================================================ ingest (batch and streaming)
 
 
@@ -609,6 +685,38 @@ register("dims_resync_idempotent",
          "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")(_resync)
 
 
+def _resync_changed(spark, d):
+    """The second snapshot carries other values, so the older version must lose."""
+    src = T.table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    log = fresh_dir(spark, "dim_customer_changed")
+    later = src.filter(F.col("c_acctbal") >= 0).withColumn("c_acctbal", F.col("c_acctbal") - 10000.0)
+    V.stamp_snapshot(later, SYNC_TIMES[1]).write.mode("append").parquet(log)
+    V.stamp_snapshot(src, SYNC_TIMES[0]).write.mode("append").parquet(log)
+    return V.latest_by_key(spark.read.parquet(log), "c_custkey")
+
+
+register("dims_resync_changed", """
+  SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal - 10000.0::double ELSE c_acctbal END AS c_acctbal
+  FROM customer""")(_resync_changed)
+
+
+def _create_rates(spark, d):
+    """A5 + A6: the nations' rates are stored, the customers' segments requested as roles, all listed."""
+    rates, norms = _bed(spark, d)
+    wh = JB.new_warehouse(spark)
+    JB.sync_dims(norms, rates, wh, SYNC_TIMES[0])
+    JB.create_rates(spark, A.customer_to_rate_requests(T.table(spark, d, "customer")), wh, SYNC_TIMES[1])
+    return JB.list_rates(spark, wh)
+
+
+register("rates_created_and_listed", O.with_([("rates", NATION_RATES)], """
+  SELECT * FROM rates UNION ALL
+  SELECT cast((SELECT max(id) FROM rates) + row_number() OVER (ORDER BY c_custkey) as integer),
+         c_mktsegment, c_acctbal FROM (
+    SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn
+    FROM customer WHERE c_mktsegment NOT IN (SELECT role_name FROM rates)) WHERE rn = 1"""))(_create_rates)
+
+
 def _fk(spark, d):
     rates, norms = _bed(spark, d)
     nation = T.table(spark, d, "nation").filter(F.col("n_regionkey") != DROPPED_REGION)
@@ -692,17 +800,37 @@ register("dq_unique", _dq_unique_sql())(_dq_unique)
 # ================================================================ jobs and table maintenance
 
 
+def _synced_before(spark):
+    """A warehouse whose dimensions were synced at the first of ``SYNC_TIMES`` with other norms and
+    rates, which the job's own sync must replace."""
+    wh = JB.new_warehouse(spark)
+    norms, rates = D.sample_rows(spark)
+    JB.sync_dims(norms.withColumn("norm_seconds", F.col("norm_seconds") * 2),
+                 rates.withColumn("hourly_rate", F.col("hourly_rate") + 100), wh, SYNC_TIMES[0])
+    return wh
+
+
 def _daily_etl(spark, d):
-    paths = JB.daily_run(spark, d)
+    paths = JB.daily_run(spark, d, SYNC_TIMES[1], D.sample_rows(spark), _synced_before(spark))
+    return spark.read.parquet(paths["pulse"])
+
+
+def _daily_etl_raw(spark, d):
+    paths = JB.daily_run(spark, d, SYNC_TIMES[1], D.sample_rows(spark), _synced_before(spark),
+                         report_date=INSIDE_DAY, mode="raw")
     return spark.read.parquet(paths["pulse"])
 
 
 def _weekly_etl(spark, d):
-    paths = JB.weekly_run(spark, d)
+    paths = JB.weekly_run(spark, d, SYNC_TIMES[1], D.sample_rows(spark), _synced_before(spark))
     return spark.read.parquet(paths["losses"])
 
 
 register("daily_etl_run", _SQL["report_pulse"])(_daily_etl)
+register("daily_etl_run_raw", O.with_(
+    _raw_ctes("events", _dt.datetime.combine(INSIDE_DAY, _dt.time())) +
+    [("losses", f"  SELECT DATE '{INSIDE_DAY}' AS report_date, * FROM ({RAW_SELECT})"), ("totals", TOTALS), ("top", TOP)],
+    PULSE))(_daily_etl_raw)
 register("weekly_etl_run", _SQL["weekly_losses_marts"])(_weekly_etl)
 
 # Fixed parameters: the month rebuilt by the partition-rewrite query and the
@@ -727,6 +855,40 @@ def _partition_rewrite(spark, d):
 register("mart_partition_rewrite", O.with_(O.base_ctes("lineitem"), "SELECT * FROM mart"))(_partition_rewrite)
 
 
+REBUILD_BEFORE = _dt.date(1997, 1, 1)
+
+
+def _rebuild(spark, d):
+    """The marts are stored, then rebuilt from facts that lack all later months; those must go."""
+    m = _m(spark, d, "lineitem")
+    wh = JB.new_warehouse(spark)
+    JB.build_marts(m, wh)
+    left = m.event_logs.filter(F.col("start_time") < F.lit(REBUILD_BEFORE).cast("timestamp_ntz"))
+    JB.build_marts(Models(spark, d, "lineitem", event_logs=left), wh)
+    return JB.read_mart(spark, wh.mart_losses, S.MART_DAILY_LOSSES)
+
+
+register("mart_rebuild_from_fewer_facts", O.with_(
+    O.base_ctes("lineitem"), f"SELECT * FROM mart WHERE event_date < DATE '{REBUILD_BEFORE}'"))(_rebuild)
+
+
+def _stream_late(spark, d):
+    """J3 over four runs, the newest days first, so that every later run brings late readings only."""
+    ev = T.table(spark, d, "events")
+    src, out = fresh_dir(spark, "stream_late_in"), fresh_dir(spark, "stream_late_out")
+    cuts = [None, _dt.datetime(2024, 1, 8), _dt.datetime(2024, 1, 15), _dt.datetime(2024, 1, 23), None]
+    for lo, hi in reversed(list(zip(cuts, cuts[1:]))):
+        part = ev if lo is None else ev.filter(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
+        part = part if hi is None else part.filter(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
+        part.write.mode("append").parquet(src)
+        SA.run_update_stream(SA.health_stats_stream(SA.file_stream(spark, src, ev.schema)),
+                             f"{out}/data", f"{out}/_checkpoint")
+    return SA.health_mart(spark, out)
+
+
+register("stream_health_late_days", O.with_(O.telemetry_ctes("health"), "SELECT * FROM health"))(_stream_late)
+
+
 def _retention(spark, d):
     wh = JB.new_warehouse(spark)
     path = wh.path("raw", "scada_telemetry")

@@ -22,8 +22,8 @@ from ..operators import quality as Q
 from ..operators import reports as Rp
 from ..operators import narrative as N
 from ..operators import versioning as V
-from ..session import fresh_dir, path_exists
-from ..sources import dims as D
+from ..operators import joins as J
+from ..session import fresh_dir
 from ..sources import storage as ST
 from .models import Models
 
@@ -63,39 +63,61 @@ def create_tables(spark: SparkSession, wh: Warehouse) -> None:
         lambda: ST.create_if_absent(spark, wh.path("raw", "scada_telemetry"), schemas.TELEMETRY),
         lambda: ST.create_if_absent(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES),
         lambda: ST.create_if_absent(spark, wh.mart_health, schemas.MART_EQUIPMENT_HEALTH),
+        lambda: ST.create_if_absent(spark, wh.dim_norms, schemas.NORMS_VERSIONED, partitioned=False),
+        lambda: ST.create_if_absent(spark, wh.dim_rates, schemas.RATES_VERSIONED, partitioned=False),
     ])
 
 
 # ---------------------------------------------------------------- M15
 
-def current_dims(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """The OLTP-side current rows (A9): latest norm and rate per id, no version."""
-    n = V.latest_by_key(D.norms_versioned(spark), "id")
-    r = V.latest_by_key(D.rates_versioned(spark), "id")
-    return n, r
-
-
-def seed_dim_history(spark: SparkSession, wh: Warehouse) -> None:
-    """The versioned logs as they stood before the first sync of a run."""
-    ST.run_concurrently([
-        lambda: D.norms_versioned(spark).write.mode("append").parquet(wh.dim_norms),
-        lambda: D.rates_versioned(spark).write.mode("append").parquet(wh.dim_rates),
-    ])
-
-
 def sync_dims(norms_src: DataFrame, rates_src: DataFrame, wh: Warehouse, synced_at: _dt.datetime) -> dict[str, int]:
-    """M15 (A10, E10): append a stamped snapshot of each non-empty source."""
+    """M15 (A10, E10): append a stamped snapshot of each non-empty source; the rows written of each."""
+    from pyspark.sql import Observation
+
     done = {}
     for src, path, name in ((rates_src, wh.dim_rates, "rates"), (norms_src, wh.dim_norms, "norms")):
         if src.isEmpty():
             continue
-        V.stamp_snapshot(src, synced_at).write.mode("append").parquet(path)
-        # drop any cached plan over the log, so readers see the new snapshot
-        src.sparkSession.catalog.refreshByPath(path)
-        done[name] = 1
+        seen = Observation(name)
+        V.stamp_snapshot(src, synced_at).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+        done[name] = int(seen.get["n"])
     return done
 
 
+# ---------------------------------------------------------------- A5-A8
+
+def list_rates(spark: SparkSession, wh: Warehouse) -> DataFrame:
+    """The current rates by id."""
+    return V.latest_by_key(spark.read.schema(schemas.RATES_VERSIONED).parquet(wh.dim_rates), "id").orderBy("id")
+
+
+def list_norms(spark: SparkSession, wh: Warehouse) -> DataFrame:
+    """The current norms by id."""
+    return V.latest_by_key(spark.read.schema(schemas.NORMS_VERSIONED).parquet(wh.dim_norms), "id").orderBy("id")
+
+
+def _create(requests: DataFrame, existing: DataFrame, unique: str, schema, path: str, at: _dt.datetime) -> int:
+    from pyspark.sql import Observation
+
+    new = J.assign_ids(J.new_rows_only(requests, existing, unique, "request_seq"), existing, "id", "request_seq")
+    rows = V.stamp_snapshot(new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]), at)
+    seen = Observation("created")
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return int(seen.get["n"])
+
+
+def create_rates(spark: SparkSession, requests: DataFrame, wh: Warehouse, at: _dt.datetime) -> int:
+    """A5: append the requested rates (``request_seq, role_name, hourly_rate``) whose role is new; how many."""
+    return _create(requests, list_rates(spark, wh), "role_name", schemas.RATES, wh.dim_rates, at)
+
+
+def create_norms(spark: SparkSession, requests: DataFrame, wh: Warehouse, at: _dt.datetime) -> int:
+    """Append the requested norms (``request_seq, operation_name, norm_seconds, role_id``) whose role
+    exists and whose operation is new; how many."""
+    accepted, _ = J.accept_with_parent(requests, list_rates(spark, wh), "role_id", "id")
+    return _create(accepted, list_norms(spark, wh), "operation_name", schemas.NORMS, wh.dim_norms, at)
+
+
 def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
     """The month-partitioned event log with its fixed schema (also when empty)."""
     from pyspark.sql.types import StringType, StructField, StructType
@@ -114,8 +136,8 @@ def warehouse_models(spark: SparkSession, sf_dir: str, wh: Warehouse, source: st
         facts = read_event_logs(spark, wh.path("raw", "event_logs"))
         tel = read_telemetry(spark, wh.path("raw", "scada_telemetry"))
     return Models(spark, sf_dir, source,
-                  norms_versioned=spark.read.parquet(wh.dim_norms),
-                  rates_versioned=spark.read.parquet(wh.dim_rates),
+                  norms_versioned=spark.read.schema(schemas.NORMS_VERSIONED).parquet(wh.dim_norms),
+                  rates_versioned=spark.read.schema(schemas.RATES_VERSIONED).parquet(wh.dim_rates),
                   event_logs=facts, telemetry=tel)
 
 
@@ -175,22 +197,25 @@ def read_mart(spark: SparkSession, path: str, schema, keep_month: bool = False)
 
 # ---------------------------------------------------------------- M16 / M17
 
-def daily_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None, report_date: _dt.date | None = None,
-              synced_at: _dt.datetime = _dt.datetime(2024, 2, 1, 6, 0), source: str = "events",
+def daily_run(spark: SparkSession, sf_dir: str | None, synced_at: _dt.datetime, dims: tuple[DataFrame, DataFrame],
+              wh: Warehouse | None = None, report_date: _dt.date | None = None, source: str = "events",
               top_n: int = Rp.DEFAULT_TOP_N, stored_facts: bool = False,
-              report_format: str = "parquet") -> dict[str, str]:
+              report_format: str = "parquet", mode: str = "marts") -> dict[str, str]:
     """Sync → marts → checks → gate → report tables.
 
+    ``dims``: the source's current (norms, rates), synced with the stamp ``synced_at``. ``mode``: the
+    report reads the ``marts`` or the ``raw`` log (one date only).
+
     ``report_date=None`` back-fills reports for every date of the mart and
     checks all facts; with a date only the months from that date's month on
     are rebuilt and their facts checked (the stored marts are checked whole).
     """
+    if mode == "raw" and report_date is None:
+        raise ValueError("raw mode needs a report date")
     wh = wh or new_warehouse(spark)
     create_tables(spark, wh)
-    if not path_exists(spark, wh.dim_norms):
-        seed_dim_history(spark, wh)
-    sync_dims(*current_dims(spark), wh, synced_at)
-    models = warehouse_models(spark, sf_dir, wh, source, stored_facts)
+    sync_dims(*dims, wh, synced_at)
+    models = every = warehouse_models(spark, sf_dir, wh, source, stored_facts)
     if report_date is not None:
         # staging checks cover what this run rebuilds (earlier months were
         # checked by earlier runs); a back-fill (no date) checks everything
@@ -206,7 +231,7 @@ def daily_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None, rep
     summary.write.mode("overwrite").parquet(wh.path("checks", "dq_summary"))
     Q.gate(spark.read.parquet(wh.path("checks", "dq_summary")))
 
-    r = Rp.build_daily_report("marts", report_date, top_n, mart=mart)
+    r = Rp.build_daily_report(mode, report_date, top_n, mart=mart, event_logs=every.event_logs, dims=every.dims)
     tables = {
         "pulse": r.pulse,
         "losses": r.loss_table,
@@ -219,27 +244,21 @@ def daily_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None, rep
     return ST.write_report_tables(tables, wh.path("reports", "daily"), key, report_format)
 
 
-def weekly_run(spark: SparkSession, sf_dir: str, wh: Warehouse | None = None,
-               week_start: _dt.date | None = None,
-               synced_at: _dt.datetime = _dt.datetime(2024, 2, 5, 8, 0), source: str = "events",
-               top_n: int = Rp.DEFAULT_TOP_N, stored_facts: bool = False) -> dict[str, str]:
-    """Sync → loss mart → weekly report (no quality gate, as scheduled)."""
+def weekly_run(spark: SparkSession, sf_dir: str | None, synced_at: _dt.datetime, dims: tuple[DataFrame, DataFrame],
+               wh: Warehouse | None = None, week_start: _dt.date | None = None, source: str = "events",
+               top_n: int = Rp.DEFAULT_TOP_N, stored_facts: bool = False, mode: str = "marts") -> dict[str, str]:
+    """Sync → marts → weekly report (no quality gate, as scheduled); arguments as in ``daily_run``."""
     wh = wh or new_warehouse(spark)
-    if not path_exists(spark, wh.dim_norms):
-        seed_dim_history(spark, wh)
-    sync_dims(*current_dims(spark), wh, synced_at)
+    create_tables(spark, wh)
+    sync_dims(*dims, wh, synced_at)
     models = warehouse_models(spark, sf_dir, wh, source, stored_facts)
-    if week_start is None:
-        mart_rows = models.mart_daily_losses
-    else:
-        mart_rows = bounded_models(models, week_start).mart_daily_losses \
-            .filter(F.col("event_date") >= F.lit(month_start(week_start)))
-    ST.overwrite_partitions(mart_rows, wh.mart_losses, "mart_daily_losses")
+    build_marts(models, wh, week_start)
     mart = read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES, keep_month=True)
-    r = Rp.build_weekly_report("marts", week_start, top_n, mart=mart)
+    r = Rp.build_weekly_report(mode, week_start, top_n, mart=mart, event_logs=models.event_logs)
     if r.losses.isEmpty():        # S27: an empty week produces no report at all
         return {}
-    tables = dict(r)
+    tables = dict(r) | {"prompts": N.anomaly_prompts(r.anomalies, "week_start"),
+                        "captions": N.report_captions(r.totals, "week_start")}
     key = "all" if week_start is None else f"{week_start:%Y-%m-%d}"
     return ST.write_report_tables(tables, wh.path("reports", "weekly"), key)
 

@@ -57,6 +57,25 @@ def _local(spark: SparkSession, rows, columns, types, schema) -> DataFrame:
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def sample_rows(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(norms, rates): the latest of the literal rows, as a source without versions would hold them."""
+    from ..operators.versioning import latest_by_key
+
+    return latest_by_key(norms_versioned(spark), "id"), latest_by_key(rates_versioned(spark), "id")
+
+
+def read_source(spark: SparkSession, norms: str, rates: str, fmt: str = "parquet",
+                **options: str) -> tuple[DataFrame, DataFrame]:
+    """The current norms and rates of a user's source: two Parquet (or CSV with header, ...)
+    folders, or with ``fmt="jdbc"`` two tables of the database that ``options`` (``url``, ...) name."""
+    def one(place: str, schema) -> DataFrame:
+        r = spark.read.format(fmt).options(**({"header": "true"} if fmt == "csv" else {}), **options)
+        df = r.option("dbtable", place).load() if fmt == "jdbc" else r.load(place)
+        return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+
+    return one(norms, schemas.NORMS), one(rates, schemas.RATES)
+
+
 def rates_versioned(spark: SparkSession, rows=None) -> DataFrame:
     rows = RATE_VERSIONS if rows is None else rows
     return _local(spark, rows, RATE_COLUMNS, RATE_TYPES, schemas.RATES_VERSIONED)

@@ -1,7 +1,7 @@
 """Structured Streaming forms of the daily models.
 
-Both run a 1-day tumbling window over event time with a watermark, in
-``update`` mode, and persist each micro-batch's updated groups with
+Both run a 1-day tumbling window over event time without a watermark (late
+rows of any age count), in ``update`` mode, and persist each micro-batch's updated groups with
 ``foreachBatch`` into an append-only result table tagged by the batch id.
 The read side takes the latest batch per group key (C1), so a group that is
 updated by several micro-batches ends with its final value, and a replayed
@@ -9,7 +9,7 @@ batch after a failure writes identical rows (idempotent on read). With
 ``trigger(availableNow=True)`` the result equals the batch model on the
 same rows.
 
-Watermarks need a TIMESTAMP column; the NTZ event time is cast to it in the
+Windows need a TIMESTAMP column; the NTZ event time is cast to it in the
 UTC session zone (a no-op on the value).
 """
 
@@ -107,6 +107,11 @@ def stream_equipment_health(spark: SparkSession, sf_dir: str, out_dir: str | Non
     """J3 end to end: run the stream to completion, return the health mart it built."""
     out_dir = out_dir or fresh_dir(spark, "stream_health")
     run_update_stream(health_stats_stream(event_stream(spark, sf_dir)), f"{out_dir}/data", f"{out_dir}/_checkpoint")
+    return health_mart(spark, out_dir)
+
+
+def health_mart(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The health mart that the stream writing to ``out_dir`` has built so far."""
     s = _latest(spark, f"{out_dir}/data", STATS_KEYS)
     return s.select(
         *STATS_KEYS, "reading_count",

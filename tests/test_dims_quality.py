@@ -49,8 +49,8 @@ def test_fk_split_and_new_rows(spark):
 def test_sized_broadcast_falls_back(spark):
     small = spark.range(5)
     big = spark.range(50)
-    j1 = spark.range(100).join(J.sized_broadcast(small, 10), "id")
-    j2 = spark.range(100).join(J.sized_broadcast(big, 10), "id")
+    j1 = spark.range(100).join(J.sized_broadcast(small, 100), "id")
+    j2 = spark.range(100).join(J.sized_broadcast(big, 100), "id")
     assert j1.count() == 5 and j2.count() == 50
     plan_small = j1._jdf.queryExecution().optimizedPlan().toString()
     plan_big = j2._jdf.queryExecution().optimizedPlan().toString()
@@ -141,11 +141,32 @@ def test_fused_summary_counts_defects(spark):
     assert fused[("stg_event_logs", "case_id")] == 2
 
 
-def test_assign_ids_dense_then_unique(spark):
+def test_assign_ids_dense_at_every_size(spark):
     existing = spark.createDataFrame([(3, "r1"), (7, "r2")], "id int, role_name string")
     new = spark.createDataFrame([(20, "b"), (10, "a"), (30, "c")], "seq long, role_name string")
     got = sorted((r.id, r.role_name) for r in J.assign_ids(new, existing, "id", "seq").collect())
     assert got == [(8, "a"), (9, "b"), (10, "c")]
-    big = J.assign_ids(new, existing, "id", "seq", max_rows=2).collect()        # beyond the bound
-    ids = [r.id for r in big]
-    assert len(set(ids)) == 3 and min(ids) > 7
+    many = spark.range(300_000).select((F.lit(300_000) - F.col("id")).alias("seq"))
+    ids = J.assign_ids(many, existing, "id", "seq")
+    assert ids.filter(F.col("id") != F.col("seq") + 7).count() == 0 and ids.count() == 300_000
+    assert J.assign_ids(new.limit(0), existing, "id", "seq").count() == 0
+
+
+def test_a_changed_dimension_is_read_anew(spark):
+    from opsloss.session import fresh_dir
+    path = fresh_dir(spark, "dim_changing")
+    cols = "operation_name string, norm_seconds int"
+    spark.createDataFrame([("A", 1)], cols).write.parquet(path)
+    facts = spark.createDataFrame([("A",), ("B",)], "operation_name string")
+    joined = lambda: facts.join(J.sized_broadcast(spark.read.parquet(path)), "operation_name").count()
+    assert joined() == 1
+    spark.createDataFrame([("B", 2)], cols).write.mode("append").parquet(path)
+    assert joined() == 2
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_rounding_keeps_non_finite_and_large(spark):
+    from opsloss.functions.rounding import round_n
+    rows = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e16,), (1e300,), (None,), (1.2345,)], "x double")
+    got = [r[0] for r in rows.select(round_n("x", 3)).collect()]
+    assert got[0] != got[0] and got[1:] == [float("inf"), 1e16, 1e300, None, 1.235]

@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from opsloss.plans import jobs as JB
 from opsloss.session import fresh_dir
+from opsloss.sources import dims as D
 from opsloss.sources import storage as ST
 from tests.conftest import SF_SMALL
 
+STAMP = dt.datetime(2024, 2, 1, 6)
+
 
 def test_daily_run_single_date(spark):
     wh = JB.new_warehouse(spark)
-    paths = JB.daily_run(spark, SF_SMALL, wh, report_date=dt.date(2024, 1, 10))
+    paths = JB.daily_run(spark, SF_SMALL, STAMP, D.sample_rows(spark), wh, report_date=dt.date(2024, 1, 10))
     (p,) = spark.read.parquet(paths["pulse"]).collect()
     assert p.report_date == dt.date(2024, 1, 10) and p.anomaly_count <= 3
     # tables created up front (A18) and dims synced twice stay idempotent on read
     assert os.path.isdir(wh.path("raw", "event_logs"))
-    JB.daily_run(spark, SF_SMALL, wh, report_date=dt.date(2024, 1, 10))
+    JB.daily_run(spark, SF_SMALL, STAMP, D.sample_rows(spark), wh, report_date=dt.date(2024, 1, 10))
     assert spark.read.parquet(wh.dim_norms).count() > 0
 
 
@@ -53,10 +56,11 @@ def test_retention_drops_old_months(spark):
 
 
 def test_weekly_run_empty_week_writes_nothing(spark):
-    assert JB.weekly_run(spark, SF_SMALL, week_start=dt.date(2023, 6, 5)) == {}
-    paths = JB.weekly_run(spark, SF_SMALL, week_start=dt.date(2024, 1, 8))
+    assert JB.weekly_run(spark, SF_SMALL, STAMP, D.sample_rows(spark), week_start=dt.date(2023, 6, 5)) == {}
+    paths = JB.weekly_run(spark, SF_SMALL, STAMP, D.sample_rows(spark), week_start=dt.date(2024, 1, 8))
     (t,) = spark.read.parquet(paths["totals"]).collect()
     assert t.week_start == dt.date(2024, 1, 8) and t.total_events > 0
+    assert {"pulse", "loss_table", "analysis", "prompts", "captions"} <= paths.keys()
 
 
 def test_ingest_job_counts(spark):
@@ -77,7 +81,7 @@ def test_cli_rejects_bad_date():
     import pytest
     from opsloss.__main__ import main
     with pytest.raises(SystemExit) as e:
-        main(["daily", "--sf-dir", SF_SMALL, "--date", "10.01.2024"])
+        main(["daily", "--sf-dir", SF_SMALL, "--norms", "n", "--rates", "r", "--date", "10.01.2024"])
     assert e.value.code == 1
 
 
@@ -109,8 +113,8 @@ def test_stored_facts_are_month_pruned(spark):
     w = L.raw_window(facts, dt.datetime(2024, 1, 10))
     plan = w._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan and "(month#" in plan and ">= 202401" in plan
-    paths = JB.daily_run(spark, SF_SMALL, wh, report_date=dt.date(2024, 1, 10), stored_facts=True)
-    ref = JB.daily_run(spark, SF_SMALL, report_date=dt.date(2024, 1, 10))
+    paths = JB.daily_run(spark, SF_SMALL, STAMP, D.sample_rows(spark), wh, report_date=dt.date(2024, 1, 10), stored_facts=True)
+    ref = JB.daily_run(spark, SF_SMALL, STAMP, D.sample_rows(spark), report_date=dt.date(2024, 1, 10))
     cols = ["report_date", "total_loss", "total_events", "anomaly_count", "top_operation"]
     assert spark.read.parquet(paths["pulse"]).select(cols).collect() == \
         spark.read.parquet(ref["pulse"]).select(cols).collect()
@@ -135,7 +139,8 @@ def test_stored_mart_reads_prune_months(spark):
 
 
 def test_daily_reports_as_csv(spark):
-    paths = JB.daily_run(spark, SF_SMALL, report_date=dt.date(2024, 1, 10), report_format="csv")
+    paths = JB.daily_run(spark, SF_SMALL, STAMP, D.sample_rows(spark), report_date=dt.date(2024, 1, 10),
+                         report_format="csv")
     rows = spark.read.option("header", True).csv(paths["analysis"]).collect()
     assert rows and rows[0].asDict().keys() >= {"report_date", "line_no", "line"}
 
@@ -144,7 +149,32 @@ def test_create_tables_keeps_existing_data(spark):
     from opsloss.plans.models import Models
     wh = JB.new_warehouse(spark)
     JB.create_tables(spark, wh)
+    assert all(os.path.isdir(p) for p in (wh.dim_norms, wh.dim_rates, wh.mart_losses, wh.mart_health))
+    assert JB.list_rates(spark, wh).count() == 0
     assert JB.read_telemetry(spark, wh.path("raw", "scada_telemetry")).count() == 0
     ST.append(Models(spark, SF_SMALL).telemetry, wh.path("raw", "scada_telemetry"), "scada_telemetry")
     JB.create_tables(spark, wh)                                   # a rerun must not clobber data
     assert JB.read_telemetry(spark, wh.path("raw", "scada_telemetry")).count() == 1000
+
+
+def test_dims_from_files_lowered_norm_and_created_rows(spark):
+    wh = JB.new_warehouse(spark)
+    JB.create_tables(spark, wh)
+    place = fresh_dir(spark, "dims_src")
+    norms, rates = D.sample_rows(spark)
+    norms.write.parquet(f"{place}/norms")
+    rates.write.parquet(f"{place}/rates")
+    n, r = D.read_source(spark, f"{place}/norms", f"{place}/rates")
+    assert JB.sync_dims(n, r, wh, STAMP) == {"rates": 3, "norms": 9}
+    JB.sync_dims(n.withColumn("norm_seconds", F.lit(7)), r, wh, STAMP + dt.timedelta(days=1))
+    assert {x.norm_seconds for x in JB.list_norms(spark, wh).collect()} == {7}
+    at = STAMP + dt.timedelta(days=2)
+    asked = spark.createDataFrame([(1, "picker", 1.0), (2, "driver", 2.0), (3, "driver", 3.0)],
+                                  "request_seq long, role_name string, hourly_rate double")
+    assert JB.create_rates(spark, asked, wh, at) == 1
+    assert [(x.id, x.role_name, x.hourly_rate) for x in JB.list_rates(spark, wh).collect()][-1] == (4, "driver", 2.0)
+    asked = spark.createDataFrame([(1, "pack", 60, 4), (2, "pack", 70, 4), (3, "lift", 5, 99), (4, "view", 1, 1)],
+                                  "request_seq long, operation_name string, norm_seconds int, role_id int")
+    assert JB.create_norms(spark, asked, wh, at) == 1
+    last = JB.list_norms(spark, wh).collect()[-1]
+    assert (last.id, last.operation_name, last.norm_seconds, last.role_id) == (10, "pack", 60, 4)
