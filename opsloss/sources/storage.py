@@ -52,8 +52,10 @@ def append(df: DataFrame, path: str, table: str) -> None:
 
 def overwrite_partitions(df: DataFrame, path: str, table: str, whole: bool = False) -> None:
     """Replace only the months present in ``df`` (dynamic overwrite), or with ``whole``
-    the table, so that months without rows any more disappear."""
-    _layout(df, table).write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic") \
+    the table, so that months without rows any more disappear. Rows are dealt by month first (AQE splits a
+    large month), so a month is a few files, not one for each task."""
+    d = df if MONTH in df.columns else with_month(df, table)
+    _layout(d.hint("rebalance", MONTH), table).write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic") \
         .partitionBy(MONTH).parquet(path)
 
 
