@@ -64,7 +64,7 @@ class Index:
         for item_id, text in items:
             s = shingles(text or "", words)
             if s:
-                k = max(2, (len(s) - 1).bit_length())
+                k = max(2, (len(s) - 1).bit_length()) if len(s) > 1 else 0      # one shingle: windows of two
                 by_class.setdefault(k, []).append(len(self.ids))
                 self.ids.append(item_id)
                 self.sets.append(s)

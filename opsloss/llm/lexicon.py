@@ -7,7 +7,9 @@ those behind it, so the outputs along a path add up to the word's index, and the
 word's ids. The automaton is a handful of integer arrays in one file, which Spark ships to the
 executors and every worker memory-maps. Batches are encoded by their distinct pre-tokens: all of them
 walk the automaton together, one numpy step for each byte. A word that is not in it is merged exactly,
-pair by pair in rank order, as byte-pair encoding defines.
+pair by pair in rank order, as byte-pair encoding defines; pairs wait in a heap, so that a word of a
+million bytes (no blanks in a whole text) takes n log n steps. Words above ``WORD`` bytes
+never enter the lexicon, which bounds the file and what the driver holds in bytes.
 
 Decoding concatenates the ids' bytes and reads them as UTF-8 (invalid sequences become U+FFFD, as in
 the library); special tokens stand as their text.
@@ -20,6 +22,7 @@ gives an empty result (and an empty lexicon).
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import uuid
@@ -38,8 +41,10 @@ from opsloss.session import fresh_dir
 
 LEXICON = 50_000
 CHUNK = 1 << 20
+WORD = 64                  # bytes of the longest word in the lexicon
 COUNTED = 100_000          # distinct pre-tokens a counting task holds before it passes them on
-CACHE = 150_000            # words merged by hand that a worker remembers
+CACHE = 150_000            # words merged by hand that a worker remembers,
+CACHE_IDS = 1 << 22        # and the most ids of them
 
 
 # ------------------------------------------------------------------ vocabulary
@@ -77,6 +82,8 @@ class Vocabulary:
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-token: the pair of lowest rank is merged, leftmost first, until none is left."""
         s, merges = [self.letters[b] for b in word], self.merges
+        if len(s) > WORD:
+            return self._merge_long(s)
         while len(s) > 1:
             best, at = None, 0
             for i, pair in enumerate(zip(s, s[1:])):
@@ -88,6 +95,27 @@ class Vocabulary:
             s[at:at + 2] = [best[1]]
         return s
 
+    def _merge_long(self, s: list[int]) -> list[int]:
+        """The same order of merges by a heap of (rank, place); a merged id stands at its pair's first place."""
+        n, merges = len(s), self.merges
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(m[0], i) for i, pair in enumerate(zip(s, s[1:])) if (m := merges.get(pair))]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            m = merges.get((s[i], s[j])) if s[i] >= 0 and j < n else None
+            if m is None or m[0] != rank:                  # one of the pair was merged meanwhile
+                continue
+            s[i], s[j] = m[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right < n and (m := merges.get((s[left], s[right]))):
+                    heapq.heappush(heap, (m[0], left))
+        return [x for x in s if x >= 0]
+
     def decode(self, ids: np.ndarray) -> bytes:
         return spread(self.flat, self.begin[ids], self.size[ids])[0].tobytes()
 
@@ -205,7 +233,8 @@ class Transducer:
 # ------------------------------------------------------------------ Spark
 
 def count_pretokens(docs: DataFrame) -> DataFrame:
-    """(piece, n) over all documents; each task adds up before it passes counts on."""
+    """(piece, n) of the pre-tokens of at most ``WORD`` bytes over all documents; each task adds up
+    before it passes counts on."""
     def run(batches):
         seen: dict[bytes, int] = {}
 
@@ -219,7 +248,8 @@ def count_pretokens(docs: DataFrame) -> DataFrame:
                 raw, offset, _ = pretokens.split(rows[lo:hi])
                 words, index = pretokens.distinct(raw, offset)
                 for w, n in zip(words, np.bincount(index, minlength=len(words)).tolist()):
-                    seen[w] = seen.get(w, 0) + n
+                    if len(w) <= WORD:
+                        seen[w] = seen.get(w, 0) + n
                 if len(seen) > COUNTED:
                     yield give()
                     seen = {}
@@ -268,7 +298,7 @@ class Encoder:
         raw, offset, cuts = pretokens.split(docs)
         words, index = pretokens.distinct(raw, offset)
         at = self.lexicon.find(words)
-        if len(self.merged) > CACHE:
+        if len(self.merged) > CACHE or self.merged.used() > CACHE_IDS:
             self.merged.clear()
         known, unseen = self.merged.known, np.flatnonzero(at < 0)
         own = [words[i] for i in unseen.tolist()]

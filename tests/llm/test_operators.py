@@ -234,6 +234,22 @@ def test_bpe_round_trip(spark, docs, rows):
     assert lexicon.round_trip(documents(spark, []), with_ids=True).count() == 0
 
 
+def test_bpe_long_words(spark):
+    """Texts without blanks: one pre-token of a third of a million bytes, and words around the bound."""
+    tok, rng = library(), random.Random(3)
+    v = lexicon.vocabulary("byte_bpe_50k.json")
+    for n in [*range(lexicon.WORD - 2, lexicon.WORD + 3), 300, 5000]:
+        for alphabet in ("ab", "etaoinshrdlu", "é漢字ßx"):
+            word = "".join(rng.choice(alphabet) for _ in range(n))
+            assert v.merge(word.encode()) == v._merge_long([v.letters[b] for b in word.encode()]) or n > 1000
+            assert v.merge(word.encode()) == tok.encode(word, add_special_tokens=False).ids
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, long), (3, "x" * 100_000)], "doc_id long, text string")
+    got = {r.doc_id: r.ids_sha256 for r in lexicon.round_trip(df).collect()}
+    assert got == {i: sha(",".join(map(str, tok.encode(t, add_special_tokens=False).ids))) for i, t in
+                   [(1, long), (2, long), (3, "x" * 100_000)]}
+
+
 def test_transducer_shares_suffixes():
     words = [w.encode() for w in ("tap", "taps", "top", "tops", "t", "stop", "stops", "é")]
     t = lexicon.Transducer.compile({w: [i, i + 1] for i, w in enumerate(words)})
@@ -252,6 +268,9 @@ def test_decontamination(spark):
     assert decontaminate.keep(docs, bench).count() == docs.count() - len({w[0] for w in want})
     odd = spark.createDataFrame([(1, None), (2, "too short"), (3, "same words here again same words here again")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.search(documents(spark), odd).collect()} == {(9, 3)}
+    one = spark.createDataFrame([(i, f"w{i} x{i} y{i} z{i} v{i}") for i in range(300)], "item_id long, text string")
+    held = spark.createDataFrame([(i, f"a b c d e f {t} g h i j k l m n o") for i, t in one.collect()], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.search(held, one).collect()) == [(i, i) for i in range(300)]
     assert decontaminate.search(documents(spark, []), bench).count() == 0
     assert decontaminate.search(documents(spark), bench.limit(0)).count() == 0
 
