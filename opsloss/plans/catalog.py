@@ -882,7 +882,7 @@ def _stream_late(spark, d):
         part = part if hi is None else part.filter(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
         part.write.mode("append").parquet(src)
         SA.run_update_stream(SA.health_stats_stream(SA.file_stream(spark, src, ev.schema)),
-                             f"{out}/data", f"{out}/_checkpoint")
+                             f"{out}/data", f"{out}/_checkpoint", E.STATS_KEYS, compact_every=3)
     return SA.health_mart(spark, out)
 
 

@@ -147,41 +147,50 @@ def month_start(d: _dt.date) -> _dt.date:
     return d.replace(day=1)
 
 
-def bounded_models(models: Models, since: _dt.date) -> Models:
-    """The same model graph over facts from ``since``'s month on: month
-    predicates prune a partitioned fact table (adapter facts are bounded by
+def bounded_models(models: Models, since: _dt.date, until: _dt.date | None = None) -> Models:
+    """The same model graph over facts from ``since``'s month to ``until``'s month (to the end when None):
+    month predicates prune a partitioned fact table (adapter facts are bounded by
     the date filters applied to the marts)."""
     lo = month_start(since)
     return Models(models.spark, models.sf_dir, models.source,
                   norms_versioned=models.norms_versioned, rates_versioned=models.rates_versioned,
-                  event_logs=ST.month_bound(models.event_logs, lo),
-                  telemetry=ST.month_bound(models.telemetry, lo))
+                  event_logs=ST.month_bound(models.event_logs, lo, until),
+                  telemetry=ST.month_bound(models.telemetry, lo, until))
 
 
-def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None) -> None:
-    """Rebuild both marts for every month from ``since``'s month on (all when None).
+def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None, until: _dt.date | None = None) -> None:
+    """Rebuild both marts for the months of ``since`` to ``until`` (all when ``since`` is None, to the last
+    one when ``until`` is None).
 
-    The fact predicate is snapped to a month start, so each rewritten month
-    partition is complete; earlier months are left alone.
+    The range is snapped to whole months, so each rewritten month partition is complete; other
+    months are left alone.
     """
     if since is not None:
-        lo = month_start(since)
-        models = bounded_models(models, since)
+        models = bounded_models(models, since, until)
     losses, health = models.mart_daily_losses, models.mart_equipment_health
     if since is not None:
-        losses = losses.filter(F.col("event_date") >= F.lit(lo))
-        health = health.filter(F.col("reading_date") >= F.lit(lo))
+        lo, last = month_start(since), until.strftime("%Y%m") if until else None
+        losses = _in_months(losses, "event_date", lo, until)
+        health = _in_months(health, "reading_date", lo, until)
         # every month of the range is rebuilt; one that has no rows any more must not stay
         for path in (wh.mart_losses, wh.mart_health):
             for m in list_months(models.spark, path):
-                if m >= lo.strftime("%Y%m"):
-                    _delete(models.spark, f"{path.rstrip('/')}/{ST.MONTH}={m}")
+                if m >= lo.strftime("%Y%m") and (last is None or m <= last):
+                    ST.delete_path(models.spark, f"{path.rstrip('/')}/{ST.MONTH}={m}")
     ST.run_concurrently([
         lambda: ST.overwrite_partitions(losses, wh.mart_losses, "mart_daily_losses", whole=since is None),
         lambda: ST.overwrite_partitions(health, wh.mart_health, "mart_equipment_health", whole=since is None),
     ])
 
 
+def _in_months(mart: DataFrame, day: str, since: _dt.date, until: _dt.date | None) -> DataFrame:
+    """Rows from the month of ``since`` to the month of ``until``, whole months."""
+    mart = mart.filter(F.col(day) >= F.lit(since))
+    if until is None:
+        return mart
+    return mart.filter(F.col(day) < F.lit(month_start(month_start(until) + _dt.timedelta(days=31))))
+
+
 def read_mart(spark: SparkSession, path: str, schema, keep_month: bool = False) -> DataFrame:
     """A stored mart with its fixed schema (an empty mart reads as empty).
 
@@ -207,8 +216,8 @@ def daily_run(spark: SparkSession, sf_dir: str | None, synced_at: _dt.datetime,
     report reads the ``marts`` or the ``raw`` log (one date only).
 
     ``report_date=None`` back-fills reports for every date of the mart and
-    checks all facts; with a date only the months from that date's month on
-    are rebuilt and their facts checked (the stored marts are checked whole).
+    checks all facts; with a date only that date's month is rebuilt and its
+    facts checked (the stored marts are checked whole).
     """
     if mode == "raw" and report_date is None:
         raise ValueError("raw mode needs a report date")
@@ -219,8 +228,8 @@ def daily_run(spark: SparkSession, sf_dir: str | None, synced_at: _dt.datetime,
     if report_date is not None:
         # staging checks cover what this run rebuilds (earlier months were
         # checked by earlier runs); a back-fill (no date) checks everything
-        models = bounded_models(models, report_date)
-    build_marts(models, wh, report_date)
+        models = bounded_models(models, report_date, report_date)
+    build_marts(models, wh, report_date, report_date)
 
     mart = read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES, keep_month=True)
     health = read_mart(spark, wh.mart_health, schemas.MART_EQUIPMENT_HEALTH)
@@ -252,7 +261,7 @@ def weekly_run(spark: SparkSession, sf_dir: str | None, synced_at: _dt.datetime,
     create_tables(spark, wh)
     sync_dims(*dims, wh, synced_at)
     models = warehouse_models(spark, sf_dir, wh, source, stored_facts)
-    build_marts(models, wh, week_start)
+    build_marts(models, wh, week_start, week_start + _dt.timedelta(days=6) if week_start else None)
     mart = read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES, keep_month=True)
     r = Rp.build_weekly_report(mode, week_start, top_n, mart=mart, event_logs=models.event_logs)
     if r.losses.isEmpty():        # S27: an empty week produces no report at all
@@ -299,14 +308,14 @@ def apply_retention(spark: SparkSession, path: str, asof: _dt.datetime, years: i
     months = list_months(spark, path)
     expired = [m for m in months if m < boundary]
     for m in expired:
-        _delete(spark, f"{path.rstrip('/')}/{ST.MONTH}={m}")
+        ST.delete_path(spark, f"{path.rstrip('/')}/{ST.MONTH}={m}")
     if boundary in months:
         part = read_telemetry(spark, path).filter(F.col(ST.MONTH) == F.lit(boundary))
         staging = fresh_dir(spark, "retention_staging")
         ST.retention_filter(part, asof, years).write.mode("overwrite").parquet(staging)
         kept = read_telemetry(spark, staging)
         if kept.isEmpty():
-            _delete(spark, f"{path.rstrip('/')}/{ST.MONTH}={boundary}")
+            ST.delete_path(spark, f"{path.rstrip('/')}/{ST.MONTH}={boundary}")
         else:
             ST.overwrite_partitions(kept, path, "scada_telemetry")
     return {"dropped": expired, "rewritten": [boundary] if boundary in months else []}
@@ -314,19 +323,7 @@ def apply_retention(spark: SparkSession, path: str, asof: _dt.datetime, years: i
 
 def list_months(spark: SparkSession, path: str) -> list[str]:
     """Partition values of a month-partitioned table (a folder listing, bounded by months)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
-    return sorted(n.split("=", 1)[1] for n in names if n.startswith(f"{ST.MONTH}="))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return [n.split("=", 1)[1] for n in ST.list_dirs(spark, path) if n.startswith(f"{ST.MONTH}=")]
 
 
 # ---------------------------------------------------------------- A1-A4 as a job

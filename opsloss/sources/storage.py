@@ -90,6 +90,27 @@ def read_months(spark: SparkSession, path: str, since: _dt.date | None = None,
     return df
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def list_dirs(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, sorted (none if it does not exist)."""
+    fs, p = _file_system(spark, path)
+    return sorted(st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()) if fs.exists(p) else []
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def years_before(asof: _dt.datetime, years: int) -> _dt.datetime:
     """The same day ``years`` earlier; 28 February for a leap day."""
     try:

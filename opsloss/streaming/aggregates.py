@@ -2,10 +2,12 @@
 
 Both run a 1-day tumbling window over event time without a watermark (late
 rows of any age count), in ``update`` mode, and persist each micro-batch's updated groups with
-``foreachBatch`` into an append-only result table tagged by the batch id.
+``foreachBatch`` into a result table tagged by the batch id, one folder per batch.
 The read side takes the latest batch per group key (C1), so a group that is
 updated by several micro-batches ends with its final value, and a replayed
-batch after a failure writes identical rows (idempotent on read). With
+batch after a failure replaces its own folder. Every ``COMPACT_EVERY`` batches the
+table is reduced to the latest row per group, so it stays within the mart's
+size plus the updates of that many batches however long the stream runs. With
 ``trigger(availableNow=True)`` the result equals the batch model on the
 same rows.
 
@@ -26,9 +28,12 @@ from ..operators.losses import MART_KEYS
 from ..operators.versioning import latest_by_key
 from ..session import fresh_dir
 from ..sources.adapters import events_to_event_logs, events_to_telemetry
+from ..sources.storage import delete_path, list_dirs, path_exists
 from ..operators.staging import stg_event_logs, stg_telemetry
 
 BATCH_COL = "_batch_id"
+PART_COL = "_part"
+COMPACT_EVERY = 20
 
 
 def file_stream(spark: SparkSession, directory: str, schema, glob: str = "*.parquet",
@@ -46,19 +51,40 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_fil
     return file_stream(spark, sf_dir, schema, f"{name}.parquet", max_files)
 
 
-def _upsert_sink(out_dir: str):
+def _upsert_sink(out_dir: str, keys: list[str], compact_every: int = COMPACT_EVERY):
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn(BATCH_COL, F.lit(batch_id).cast("bigint")) \
-             .write.mode("append").parquet(out_dir)
+             .write.mode("overwrite").parquet(f"{out_dir}/{PART_COL}=b{batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            compact(batch.sparkSession, out_dir, keys, batch_id)
     return write
 
 
-def run_update_stream(agg: DataFrame, out_dir: str, checkpoint: str, processing_time: str | None = None):
-    """Start the stream. By default it drains what is available and stops
+def compact(spark: SparkSession, out_dir: str, keys: list[str], batch_id: int) -> None:
+    """One folder with the latest row per group in place of all others.
+
+    Folders are removed only after the new one is complete. A failure in between leaves rows
+    twice, which the read side takes once; a second call finishes the work.
+    """
+    own = f"{PART_COL}=c{batch_id}"
+    parts = [p for p in list_dirs(spark, out_dir) if p.startswith(f"{PART_COL}=")]
+    old = [f"{out_dir}/{p}" for p in parts if p != own]
+    if not (own in parts and path_exists(spark, f"{out_dir}/{own}/_SUCCESS")):
+        rows = spark.read.option("basePath", out_dir).parquet(*old).drop(PART_COL)
+        # the batch id stays, so that later updates and repeated rows are told apart as before
+        last = latest_by_key(rows.withColumn("_kept", F.col(BATCH_COL)), keys, version=BATCH_COL)
+        last.withColumnRenamed("_kept", BATCH_COL).write.mode("overwrite").parquet(f"{out_dir}/{own}")
+    for path in old:
+        delete_path(spark, path)
+
+
+def run_update_stream(agg: DataFrame, out_dir: str, checkpoint: str, keys: list[str],
+                      processing_time: str | None = None, compact_every: int = COMPACT_EVERY):
+    """Start the stream over groups of ``keys``. By default it drains what is available and stops
     (``availableNow``); with ``processing_time`` (e.g. ``"1 minute"``) it keeps
     running and the started query is returned."""
     w = (agg.writeStream.outputMode("update")
-         .foreachBatch(_upsert_sink(out_dir))
+         .foreachBatch(_upsert_sink(out_dir, keys, compact_every))
          .option("checkpointLocation", checkpoint))
     if processing_time:
         return w.trigger(processingTime=processing_time).start()
@@ -78,7 +104,7 @@ def run_update_stream(agg: DataFrame, out_dir: str, checkpoint: str, processing_
 
 
 def _latest(spark: SparkSession, out_dir: str, keys: list[str]) -> DataFrame:
-    return latest_by_key(spark.read.parquet(out_dir), keys, version=BATCH_COL)
+    return latest_by_key(spark.read.parquet(out_dir).drop(PART_COL), keys, version=BATCH_COL)
 
 
 # ---------------------------------------------------------------- J3
@@ -106,7 +132,8 @@ def health_stats_stream(events: DataFrame) -> DataFrame:
 def stream_equipment_health(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> DataFrame:
     """J3 end to end: run the stream to completion, return the health mart it built."""
     out_dir = out_dir or fresh_dir(spark, "stream_health")
-    run_update_stream(health_stats_stream(event_stream(spark, sf_dir)), f"{out_dir}/data", f"{out_dir}/_checkpoint")
+    run_update_stream(health_stats_stream(event_stream(spark, sf_dir)), f"{out_dir}/data", f"{out_dir}/_checkpoint",
+                      STATS_KEYS)
     return health_mart(spark, out_dir)
 
 
@@ -142,7 +169,7 @@ def stream_daily_losses(spark: SparkSession, sf_dir: str, dims: DataFrame, out_d
     """J4 end to end; the result has the mart's columns and values."""
     out_dir = out_dir or fresh_dir(spark, "stream_losses")
     run_update_stream(daily_losses_stream(event_stream(spark, sf_dir), dims),
-                      f"{out_dir}/data", f"{out_dir}/_checkpoint")
+                      f"{out_dir}/data", f"{out_dir}/_checkpoint", MART_KEYS)
     a = _latest(spark, f"{out_dir}/data", MART_KEYS)
     return a.select(
         "event_date", "operation_name", "role_name", "event_count",

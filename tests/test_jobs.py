@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from opsloss.plans import jobs as JB
+from opsloss.plans.models import Models
 from opsloss.session import fresh_dir
 from opsloss.sources import dims as D
 from opsloss.sources import storage as ST
@@ -25,6 +26,20 @@ def test_daily_run_single_date(spark):
     assert spark.read.parquet(wh.dim_norms).count() > 0
 
 
+def test_dated_build_leaves_other_months(spark):
+    wh = JB.new_warehouse(spark)
+    JB.create_tables(spark, wh)
+    models = Models(spark, SF_SMALL, "lineitem")
+    JB.build_marts(models, wh)
+    full = {str(r.month): r["count"] for r in spark.read.parquet(wh.mart_losses).groupBy("month").count().collect()}
+    some = sorted(full)[2]
+    day = dt.date(int(some[:4]), int(some[4:]), 28)
+    fewer = Models(spark, SF_SMALL, "lineitem", event_logs=models.event_logs.filter(F.col("start_time") < F.lit(dt.datetime(day.year, day.month, 15))))
+    JB.build_marts(fewer, wh, day, day)
+    now = {str(r.month): r["count"] for r in spark.read.parquet(wh.mart_losses).groupBy("month").count().collect()}
+    assert now[some] < full[some] and {m: n for m, n in now.items() if m != some} == {m: n for m, n in full.items() if m != some}
+
+
 def test_calibration_csv(spark):
     out = fresh_dir(spark, "calib")
     path = JB.norm_calibration_run(spark, SF_SMALL, dt.datetime(2024, 1, 31), out)

@@ -90,11 +90,11 @@ def test_stream_health_restart_equals_batch(spark):
     ev.write.mode("append").parquet(src)
     out = fresh_dir(spark, "stream_out")
     stream = lambda: SA.health_stats_stream(SA.file_stream(spark, src, ev.schema))      # noqa: E731
-    SA.run_update_stream(stream(), f"{out}/data", f"{out}/_checkpoint")
+    SA.run_update_stream(stream(), f"{out}/data", f"{out}/_checkpoint", E.STATS_KEYS)
     later = ev.withColumn("event_id", F.col("event_id") + 1_000_000) \
               .withColumn("value", F.col("value") + 1.0)                      # same days, new readings
     later.write.mode("append").parquet(src)
-    SA.run_update_stream(stream(), f"{out}/data", f"{out}/_checkpoint")
+    SA.run_update_stream(stream(), f"{out}/data", f"{out}/_checkpoint", E.STATS_KEYS)
     got = SA._latest(spark, f"{out}/data", E.STATS_KEYS)
     both = ev.unionByName(later)
     ref = E.telemetry_daily_stats(staging.stg_telemetry(events_to_telemetry(both)))
@@ -106,6 +106,7 @@ def test_stream_health_restart_equals_batch(spark):
 
 
 def test_stream_losses_restart_equals_batch(spark):
+    from opsloss.sources import storage as ST
     from opsloss.plans.models import Models
     from opsloss.session import fresh_dir
     from opsloss.streaming import aggregates as SA
@@ -119,7 +120,11 @@ def test_stream_losses_restart_equals_batch(spark):
     for part in (ev, later):
         part.write.mode("append").parquet(src)
         SA.run_update_stream(SA.daily_losses_stream(SA.file_stream(spark, src, ev.schema), m.dims),
-                             f"{out}/data", f"{out}/_checkpoint")
+                             f"{out}/data", f"{out}/_checkpoint", L.MART_KEYS, compact_every=2)
+    # two batches, then one folder with one row per group; compacting again changes nothing
+    assert ST.list_dirs(spark, f"{out}/data") == ["_part=c1"]
+    SA.compact(spark, f"{out}/data", L.MART_KEYS, 1)
+    assert spark.read.parquet(f"{out}/data").count() == SA._latest(spark, f"{out}/data", L.MART_KEYS).count()
     got = SA._latest(spark, f"{out}/data", L.MART_KEYS)
     from opsloss.sources.adapters import events_to_event_logs
     ref = L.mart_daily_losses(L.ops_enriched(staging.stg_event_logs(events_to_event_logs(ev.unionByName(later))),
