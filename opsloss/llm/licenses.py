@@ -1,30 +1,25 @@
-"""License scans with DataFrame operations only: MinHash bands over overlapping text windows.
+"""License scans with DataFrame operations only: exact containment of whole license texts.
 
-Words are runs of letters and digits, lower-cased; shingles are ``WORDS`` words. Templates (license_id,
-text) are cut into passages of at most ``PASSAGE`` shingles, which overlap by ``WORDS - 1`` words so that
-every shingle of the template lies in one passage. Passages belong to size classes: 1, 2 to 8, and then
-s / 2 + 1 to s shingles for each power of two s. For class s a document is cut into blocks of s shingles,
-and each window of two neighbouring blocks is signed by its bottom-k MinHash sketch: the k least of its
-distinct shingle hashes, each value a band of its own. A passage that stands in a document lies whole in
-some window, and every value of the window's sketch that belongs to the passage is in the passage's own
-sketch too; k is such that a passage contained to ``THRESHOLD`` shares one with probability above 1 - ``MISS``
-(up to 8 shingles k is the whole window: certain). The windows retrieved are verified by exact containment.
+Words are runs of letters and digits, lower-cased; shingles are ``WORDS`` words. A license is found in a
+document if the document holds at least ``THRESHOLD`` of the distinct shingles of one of its templates
+(license_id, text), wherever they stand. Each template is judged by itself; of several under one
+license_id the best contained is reported.
 
-A passage is found in a document if a window contains at least ``THRESHOLD`` of its distinct shingles;
-a license is found if the passages found hold at least ``THRESHOLD`` of the template's shingles.
+Every distinct shingle of a template is a retrieval value of its own (a MinHash sketch of all values,
+without windows): a document that shares one is a candidate, and its shared values are counted. So no
+document is missed, and edits count by the shingles they change, not by where they fall.
 
-Signing and retrieval happen in the row of the document; only matches are shuffled. The templates are a
-list of license texts, bounded by ``MAX_PASSAGES`` (more raise an error), so they may be broadcast.
+Retrieval happens in the row of the document; only counts of shared shingles are shuffled. The templates
+are a list of license texts, bounded by ``MAX_PASSAGES`` passages of ``PASSAGE`` shingles (more raise an
+error), so they may be broadcast.
 
 Defined cases: a null or empty text and a text of fewer than five words match nothing, a template of fewer
-than five words is never found; repeated templates are one; rows that repeat a doc_id are reported once,
-with their best windows; empty tables give an empty result.
+than five words is never found; repeated templates are one; rows that repeat a doc_id are judged each by
+itself and reported once, by the best; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +28,6 @@ from opsloss.llm.common import texts
 WORDS = 5
 PASSAGE = 32
 THRESHOLD = 0.8
-MISS = 1e-3
 MAX_PASSAGES = 5_000
 
 # Notices of common licenses, in their published wording.
@@ -86,73 +80,33 @@ def with_shingles(df: DataFrame) -> DataFrame:
     return df.withColumn("h", shingles_of("w")).drop("w")
 
 
-def size_class(n: int) -> int:
-    return 1 if n <= 1 else max(8, 1 << (n - 1).bit_length())
-
-
-def bands_of(size: int) -> int:
-    """Values of a sketch: enough for the smallest passage of the class in a full window."""
-    if size <= 8:
-        return 2 * size
-    share = math.ceil(THRESHOLD * (size // 2 + 1)) / (2 * size)
-    return min(2 * size, math.ceil(math.log(MISS) / math.log(1 - share)))
-
-
-def sketch(hashes: str, k: int) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)
-
-
-def passages(spark: SparkSession, found: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(bands to passages, passage counts by license, size classes in use)."""
-    t = found.select(F.col("license_id").alias("license_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    t = with_shingles(t)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size("h"), F.lit(1)) - 1) / PASSAGE).cast("int")),
-                      lambda i: F.array_distinct(F.slice("h", i * PASSAGE + 1, PASSAGE)))
-    p = t.select("license_id", "text", F.posexplode(cut).alias("nth", "h")).filter(F.size("h") > 0)
-    p = p.select("license_id", F.xxhash64("license_id", "text", "nth").alias("passage"), F.size("h").alias("n"), "h")
-    rows = p.collect()                                     # a list of license texts: bounded
-    if len(rows) > MAX_PASSAGES:
-        raise ValueError(f"{len(rows)} passages; at most {MAX_PASSAGES} can be scanned for at once")
-    p = spark.createDataFrame(rows, p.schema)
-    total = p.groupBy("license_id").agg(F.sum("n").alias("n_shingles"))
-    return p, total, sorted({size_class(r["n"]) for r in rows})
+def template_shingles(found: DataFrame) -> DataFrame:
+    """(license_id, template, n_shingles, v): the distinct shingles v of each template."""
+    t = found.select("license_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    t = with_shingles(t).withColumn("h", F.array_distinct("h"))
+    return t.select("license_id", F.xxhash64("license_id", "text").alias("template"),
+                    F.size("h").cast("long").alias("n_shingles"), F.explode("h").alias("v"))
 
 
 def matches(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, license_id, passage, n, shared): windows that contain a passage, verified."""
-    spark = docs.sparkSession
-    p, _, sizes = passages(spark, found)
-    size_of = F.when(F.col("n") <= 1, 1).otherwise(F.greatest(F.lit(8), F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int")))
-    out = None
+    """(doc_id, row, license_id, template, n_shingles, n_shared) of each text and template that share a shingle."""
+    own = template_shingles(found)
+    n = own.count()                                        # a list of license texts: bounded
+    if n > MAX_PASSAGES * PASSAGE:
+        raise ValueError(f"{n} shingles; at most {MAX_PASSAGES * PASSAGE} can be scanned for at once")
     # explode_outer, and no filter on computed arrays: a filter would be pushed below the projections
     # that compute them, and the arrays would then be computed anew for every element
-    base = with_shingles(texts(docs)).select("doc_id", "h")
-    for size in sizes:
-        own = p.filter(size_of == size)
-        if size == 1:
-            window = base.select("doc_id", F.explode_outer("h").alias("v")).withColumn("s", F.array("v"))
-            sign = own.select("license_id", "passage", "n", "h", F.get("h", F.lit(0)).alias("v"))
-        else:
-            k = bands_of(size)
-            last = F.greatest(F.ceil(F.size("h") / size).cast("int") - 2, F.lit(0))
-            cuts = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice("h", b * size + 1, F.lit(2 * size)))
-            window = base.select("doc_id", F.explode_outer(cuts).alias("s"))
-            window = window.select("doc_id", "s", F.explode_outer(sketch("s", k)).alias("v"))
-            sign = own.select("license_id", "passage", "n", "h", F.explode(sketch("h", k)).alias("v"))
-        hit = window.join(F.broadcast(sign), "v")
-        hit = hit.withColumn("shared", F.size(F.array_intersect("h", "s"))).filter(F.col("shared") >= THRESHOLD * F.col("n"))
-        hit = hit.select("doc_id", "license_id", "passage", "n", "shared")
-        out = hit if out is None else out.unionByName(hit)
-    if out is None:
-        return spark.createDataFrame([], "doc_id long, license_id string, passage long, n int, shared int")
-    return out
+    base = with_shingles(texts(docs)).select("doc_id", F.xxhash64("text").alias("row"), F.array_distinct("h").alias("h"),
+                                             F.monotonically_increasing_id().alias("copy"))
+    base = base.select("doc_id", "row", "copy", F.explode_outer("h").alias("v"))
+    key = ["doc_id", "row", "license_id", "template", "n_shingles"]
+    held = base.join(F.broadcast(own), "v").groupBy(*key, "copy").agg(F.count("*").alias("n_shared"))
+    return held.groupBy(*key).agg(F.max("n_shared").alias("n_shared"))
 
 
 def scan(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, license_id, n_shared, n_shingles, containment of each license found in a document."""
-    _, total, _ = passages(docs.sparkSession, found)
-    best = matches(docs, found).groupBy("doc_id", "license_id", "passage").agg(F.max("shared").alias("shared"))
-    held = best.groupBy("doc_id", "license_id").agg(F.sum("shared").alias("n_shared"))
-    return (held.join(F.broadcast(total), "license_id").filter(F.col("n_shared") >= THRESHOLD * F.col("n_shingles"))
-            .select("doc_id", "license_id", "n_shared", "n_shingles",
-                    (F.col("n_shared") / F.col("n_shingles")).alias("containment")))
+    m = matches(docs, found).filter(F.col("n_shared") >= THRESHOLD * F.col("n_shingles"))
+    best = F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shared", "n_shingles"))
+    return m.groupBy("doc_id", "license_id").agg(best.alias("b")).select(
+        "doc_id", "license_id", "b.n_shared", "b.n_shingles", "b.containment")

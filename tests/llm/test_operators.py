@@ -285,6 +285,45 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark), licenses.templates(spark).limit(0)).count() == 0
 
 
+def brute_licenses(rows, found):
+    def shingles(text):
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    held, out = [(license_id, shingles(text)) for license_id, text in found], {}
+    for doc_id, text in rows:
+        have = shingles(text)
+        for license_id, t in held:
+            if t and 10 * len(t & have) >= 8 * len(t):
+                new = (len(t & have) / len(t), len(t & have), len(t))
+                out[doc_id, license_id] = max(out.get((doc_id, license_id), new), new)
+    return {(*k, *v) for k, v in out.items()}
+
+
+def scanned_licenses(docs, found):
+    return {(r.doc_id, r.license_id, r.containment, r.n_shared, r.n_shingles) for r in licenses.scan(docs, found).collect()}
+
+
+def test_licenses_with_edits_anywhere(spark, docs, rows):
+    t = dict(licenses.TEMPLATES)
+    word = re.findall(r"\S+", t["Apache-2.0-header"])
+    texts = [(i, " ".join([*word[:i], "changed", *word[i + 1:]])) for i in range(len(word))]
+    rng = random.Random(3)
+    for i in range(200):
+        a, b = rng.sample(range(len(word)), 2)
+        texts.append((1000 + i, " ".join("changed" if j in (a, b) else w for j, w in enumerate(word))))
+    far = " ".join(f"word{i}" for i in range(300))
+    grant = t["MIT-grant"].split()
+    texts += [(2000, " ".join([*grant[:20], far, *grant[20:45], far, *grant[45:]])), (2001, None), (None, t["GPL-3.0"]),
+              (2002, t["MIT"]), (2002, t["MIT"]), (2002, t["MPL-2.0-header"]), (2002, t["MPL-2.0-header"][:200])]
+    want = brute_licenses(texts, licenses.TEMPLATES)
+    assert {k[:2] for k in want} >= {(i, "Apache-2.0-header") for i in (*range(60, 75), 2)} | {(2000, "MIT-grant")}
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert scanned_licenses(df, licenses.templates(spark)) == want
+    want = brute_licenses([(r.doc_id, r.text) for r in rows], licenses.TEMPLATES)
+    assert want and scanned_licenses(docs, licenses.templates(spark)) == want
+
+
 def test_native_queries_have_no_python(spark):
     for name in ("op2_chat_formatting", "op10_license_scan"):
         plan = queries.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
