@@ -10,8 +10,10 @@ without windows): a document that shares one is a candidate, and its shared valu
 document is missed, and edits count by the shingles they change, not by where they fall.
 
 Retrieval happens in the row of the document; only counts of shared shingles are shuffled. The templates
-are a list of license texts, bounded by ``MAX_PASSAGES`` passages of ``PASSAGE`` shingles (more raise an
-error), so they may be broadcast.
+go to the tasks in sets of at most about ``MAX_PASSAGES`` passages of ``PASSAGE`` shingles, one pass over the
+documents each, and the counts of the sets are added up, so what is sent stays bounded for a list of any length.
+Texts that differ in a few words (GPL-2.0-header and GPL-3.0-header) are both found where one stands; the
+containment tells them apart.
 
 Defined cases: a null or empty text and a text of fewer than five words match nothing, a template of fewer
 than five words is never found; repeated templates are one; rows that repeat a doc_id are judged each by
@@ -20,17 +22,33 @@ itself and reported once, by the best; empty tables give an empty result.
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloss.llm.common import texts
+from opsloss.llm.common import cut, texts
 
 WORDS = 5
 PASSAGE = 32
 THRESHOLD = 0.8
 MAX_PASSAGES = 5_000
 
-# Notices of common licenses, in their published wording.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+    "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+    "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND "
+    "CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER "
+    "OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+    "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR "
+    "TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF "
+    "THE POSSIBILITY OF SUCH DAMAGE.")
+
+# Notices and texts of common licenses, in their published wording.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -56,7 +74,56 @@ TEMPLATES = [
     ("MPL-2.0-header",
      "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
      "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("GPL-2.0-header",
+     "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+     "General Public License as published by the Free Software Foundation; either version 2 of the License, or "
+     "(at your option) any later version."),
+    ("LGPL-2.1-header",
+     "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+     "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+     "(at your option) any later version."),
+    ("LGPL-3.0-header",
+     "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+     "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+     "(at your option) any later version."),
+    ("AGPL-3.0-header",
+     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+     "General Public License as published by the Free Software Foundation, either version 3 of the License, or "
+     "(at your option) any later version."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-4.0-notice",
+     "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0-notice",
+     "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0-notice",
+     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("MIT-text",
+     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+     "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+     "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+     "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+     "following conditions: The above copyright notice and this permission notice shall be included in all copies "
+     "or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, "
+     "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+     "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+     "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
+     "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC-text",
+     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+     "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+     "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+     "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+     "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+     "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+     "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause-text", _BSD.format("")),
+    ("BSD-3-Clause-text", _BSD.format(
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission. ")),
 ]
+TEMPLATES += [(f"{name}-text", pkgutil.get_data("opsloss.llm", f"license_texts/{name}.txt").decode()) for name in (
+    "Apache-2.0", "CC0-1.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0")]
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -83,30 +150,42 @@ def with_shingles(df: DataFrame) -> DataFrame:
 def template_shingles(found: DataFrame) -> DataFrame:
     """(license_id, template, n_shingles, v): the distinct shingles v of each template."""
     t = found.select("license_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    # explode_outer: the filter that explode implies would be pushed below the projections (see matches)
     t = with_shingles(t).withColumn("h", F.array_distinct("h"))
     return t.select("license_id", F.xxhash64("license_id", "text").alias("template"),
-                    F.size("h").cast("long").alias("n_shingles"), F.explode("h").alias("v"))
+                    F.size("h").cast("long").alias("n_shingles"), F.explode_outer("h").alias("v"))
 
 
-def matches(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, row, license_id, template, n_shingles, n_shared) of each text and template that share a shingle."""
+def template_sets(found: DataFrame, size: int):
+    """The shingles of the templates in sets of about ``size``."""
     own = template_shingles(found)
-    n = own.count()                                        # a list of license texts: bounded
-    if n > MAX_PASSAGES * PASSAGE:
-        raise ValueError(f"{n} shingles; at most {MAX_PASSAGES * PASSAGE} can be scanned for at once")
+    parts = max(1, -(-own.count() // size))
+    if parts == 1:
+        yield own
+        return
+    own = cut(own, "licenses")
+    for i in range(parts):
+        yield own.filter(F.pmod(F.xxhash64("template", "v"), F.lit(parts)) == i)
+
+
+def matches(docs: DataFrame, found: DataFrame, size: int = MAX_PASSAGES * PASSAGE) -> DataFrame:
+    """(doc_id, row, license_id, template, n_shingles, n_shared) of each text and template that share a shingle."""
     # explode_outer, and no filter on computed arrays: a filter would be pushed below the projections
     # that compute them, and the arrays would then be computed anew for every element
     base = with_shingles(texts(docs)).select("doc_id", F.xxhash64("text").alias("row"), F.array_distinct("h").alias("h"),
                                              F.monotonically_increasing_id().alias("copy"))
     base = base.select("doc_id", "row", "copy", F.explode_outer("h").alias("v"))
-    key = ["doc_id", "row", "license_id", "template", "n_shingles"]
-    held = base.join(F.broadcast(own), "v").groupBy(*key, "copy").agg(F.count("*").alias("n_shared"))
-    return held.groupBy(*key).agg(F.max("n_shared").alias("n_shared"))
+    key, out = ["doc_id", "row", "license_id", "template", "n_shingles"], None
+    for own in template_sets(found, size):
+        held = base.join(F.broadcast(own), "v").groupBy(*key, "copy").agg(F.count("*").alias("n_shared"))
+        held = held.groupBy(*key).agg(F.max("n_shared").alias("n_shared"))
+        out = held if out is None else out.unionByName(held)
+    return out.groupBy(*key).agg(F.sum("n_shared").alias("n_shared"))
 
 
-def scan(docs: DataFrame, found: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, found: DataFrame, size: int = MAX_PASSAGES * PASSAGE) -> DataFrame:
     """doc_id, license_id, n_shared, n_shingles, containment of each license found in a document."""
-    m = matches(docs, found).filter(F.col("n_shared") >= THRESHOLD * F.col("n_shingles"))
+    m = matches(docs, found, size).filter(F.col("n_shared") >= THRESHOLD * F.col("n_shingles"))
     best = F.max(F.struct((F.col("n_shared") / F.col("n_shingles")).alias("containment"), "n_shared", "n_shingles"))
     return m.groupBy("doc_id", "license_id").agg(best.alias("b")).select(
         "doc_id", "license_id", "b.n_shared", "b.n_shingles", "b.containment")

@@ -324,6 +324,20 @@ def test_licenses_with_edits_anywhere(spark, docs, rows):
     assert want and scanned_licenses(docs, licenses.templates(spark)) == want
 
 
+def test_licenses_long_lists_and_variants(spark):
+    """A list cut into sets, two variants under one license_id, and each known license in its own text."""
+    variants = [("two", "the first wording of this license has a number of words here"),
+                ("two", "another text altogether that says the same thing in its way"), *licenses.TEMPLATES]
+    rows = [(1, "x " + variants[0][1]), (2, variants[1][1] + " x"), (3, None),
+            *[(10 + i, text) for i, (_, text) in enumerate(licenses.TEMPLATES)]]
+    want = brute_licenses(rows, variants)
+    assert {(1, "two"), (2, "two")} | {(10 + i, name) for i, (name, _) in enumerate(licenses.TEMPLATES)} <= {k[:2] for k in want}
+    df, found = (spark.createDataFrame(x, s) for x, s in ((rows, "doc_id long, text string"), (variants, "license_id string, text string")))
+    for size in (licenses.MAX_PASSAGES * licenses.PASSAGE, 9000):
+        got = {(r.doc_id, r.license_id, r.containment, r.n_shared, r.n_shingles) for r in licenses.scan(df, found, size).collect()}
+        assert got == want
+
+
 def test_native_queries_have_no_python(spark):
     for name in ("op2_chat_formatting", "op10_license_scan"):
         plan = queries.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
