@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloss.llm.common import cut, texts
+from opsloss.llm.common import MIN_LONG, cut, texts
 from opsloss.llm.components import components
 
 RADIUS = 4
@@ -73,6 +73,17 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return texts(docs).mapInPandas(run, "doc_id long, fp long")
 
 
+def keyed_fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, digest, fp): with the digest of the text, which tells rows of one doc_id apart."""
+    def run(batches):
+        for pdf in batches:
+            fp = np.array([fingerprint(t, words) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": pdf["digest"], "fp": fp})
+
+    rows = texts(docs).withColumn("digest", F.md5("text"))
+    return rows.mapInPandas(run, "doc_id long, digest string, fp long")
+
+
 def blocks_for(n: int, radius: int) -> tuple[int, int]:
     """(blocks, agreeing blocks): the fewest blocks whose cells hold about a tile or less."""
     k = 1
@@ -208,12 +219,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, c
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row of each group stays, the one with the smallest doc_id, every column kept. Among rows
-    that repeat this id the one with the smallest text stays; rows without an id stay."""
-    stay = (near_duplicates(docs, words, radius).filter(F.col("doc_id") == F.col("component_id"))
-            .select(F.col("doc_id").alias("__keep")).distinct())
-    one = Window.partitionBy("__keep").orderBy(F.col("text").asc_nulls_first())
-    kept = (docs.join(stay, docs["doc_id"] == stay["__keep"])
-            .withColumn("__nth", F.row_number().over(one)).filter("__nth = 1"))
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+def keep(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+    """One row of each group stays, every column kept: the one with the smallest doc_id (null ids come
+    last) and, among rows that repeat it, the smallest digest of the text; of equal rows one stays."""
+    own = cut(keyed_fingerprints(docs, words), "simhash")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    first = cut(own.groupBy("fp").agg(F.min(row).alias("first")), "simhash_distinct")
+    root = components(links(first.select("fp"), radius, cell))
+    stay = (first.join(root, first["fp"] == root["node"], "left").groupBy(F.coalesce("root", "fp").alias("root"))
+            .agg(F.min("first").alias("first"))
+            .select(F.coalesce("first.doc_id", F.lit(MIN_LONG)).alias("__keep"), F.col("first.digest").alias("__digest")))
+    key = ["__keep", "__digest"]
+    one = Window.partitionBy(*key).orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
+    keyed = (docs.withColumn("__keep", F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG)))
+             .withColumn("__digest", F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    return (keyed.join(stay, key).withColumn("__nth", F.row_number().over(one)).filter("__nth = 1")
+            .select(*docs.columns))

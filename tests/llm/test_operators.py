@@ -285,6 +285,18 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark), licenses.templates(spark).limit(0)).count() == 0
 
 
+def test_simhash_keeps_rows_not_ids(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, a), (3, c), (None, a), (None, d), (None, d), (4, None), (5, "")]
+    fps = {t: simhash.fingerprint(t or "") for _, t in rows}
+    assert min((fps[x] ^ fps[y]).bit_count() for x in (a, b, c, d, "") for y in (a, b, c, d, "") if x != y) > simhash.RADIUS
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep(df).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (3, c), (None, d), (4, None)], key=str)
+
+
 def brute_licenses(rows, found):
     def shingles(text):
         w = re.findall(r"[^\W_]+", (text or "").lower())
