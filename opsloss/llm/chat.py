@@ -105,7 +105,12 @@ def read_back(blocks: DataFrame) -> DataFrame:
 
 
 def digest(blocks: DataFrame) -> DataFrame:
-    """One row for each conversation, from its rendered blocks."""
+    """One row for each conversation, from its rendered blocks.
+
+    The digest runs over the whole conversation in order, so its blocks are gathered in one row of one
+    task. That bounds a conversation: its roles, texts and line ends, and its assistant texts once more,
+    must stay below 2^31 - 1 bytes (2 GB) together, and the task must have memory for them several times.
+    ``render`` and ``read_back`` work by block and have no such limit."""
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     b = read_back(blocks).select("conv_id", "block", F.size("turns").alias("n"), lines.alias("lines"), "masked", "n_chars")
     c = b.groupBy("conv_id").agg(
