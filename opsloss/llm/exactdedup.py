@@ -118,13 +118,13 @@ def with_hits(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def compare(spark: SparkSession, path: str, groups: DataFrame, width: int = WIDTH) -> DataFrame:
-    """digest (once each): those under which some row's text is not the text at the entry's locator."""
+    """digest of each row whose text is not the text at the entry's locator."""
     rows = content(spark.read, path).withColumn("sha256", sha256(F.col("text")))
     hits = with_hits(rows.select("text", "file", "row", key(width)), groups)
     at = groups.filter(F.col("size") > 1).select("digest", F.col("keep.file").alias("file"), F.col("keep.row").alias("row"))
     keepers = hits.join(at, ["digest", "file", "row"]).select("digest", F.col("text").alias("kept_text"))
     return (hits.select("digest", "text").join(keepers, "digest")
-            .filter(F.col("text") != F.col("kept_text")).select("digest").distinct())
+            .filter(F.col("text") != F.col("kept_text")).select("digest"))
 
 
 def resolve(spark: SparkSession, path: str, odd: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -142,7 +142,8 @@ def deduplicate(spark: SparkSession, path: str, folder: str | None = None, width
     folder = folder or fresh_dir(spark, "exact_dedup")
     ingest(spark, path, folder, width, files)
     groups = cut(entries(spark, folder), "exact_groups")
-    odd = cut(compare(spark, path, groups, width), "exact_odd")
+    # written before it is made distinct: an aggregation on the join's key would keep AQE from splitting a large group
+    odd = cut(compare(spark, path, groups, width), "exact_odd").distinct()
     rows, columns = index(spark, folder).withColumn("digest", key(width)), ("doc_id", "sha256", "file", "row", "size", "keep")
     out = rows.join(groups, "digest")
     if not odd.isEmpty():               # unlike texts under one digest: their groups are those of the texts
