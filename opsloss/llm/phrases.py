@@ -8,14 +8,15 @@ one full cycle from the scan where it first occurred as a candidate, which gives
 no phrase is within its cycle any more. A phrase that reaches the threshold in all has subphrases that do,
 and is counted for a whole cycle after they have.
 
-* The notes that tasks need are a table of ``SLOTS`` bytes (fixed size, by hash of language and words):
-  the last scan before which a phrase with this hash reached the threshold. A collision only counts a
-  phrase that need not be counted; its count is exact as well and stays below the threshold.
+* The notes that tasks need are a table of bytes (by hash of language and words): the last scan before which
+  a phrase with this hash reached the threshold. It grows with the noted phrases, by fours, up to ``SLOTS`` bytes. A collision
+  only counts a phrase that need not be counted; its count is exact as well and stays below the threshold.
 * The state (lang, words, phrase, start, count, reached) is a written table, renewed with every scan by
   one aggregation of the old state and the scan's counts. Tasks add up their own counts first, so a word
   or pair in every document costs a row a task. Phrases that stayed below the threshold for their whole
   cycle leave the state.
-* The driver sees the notes as bit maps of fixed size (SLOTS bits) and never a phrase.
+* The driver sees the notes as bit maps (at most SLOTS bits a scan) and never a phrase. A scan's state and broadcast go when
+  the next state is written.
 
 ``collocations`` then joins each candidate's cuts with the counts of their parts, all of which are in the
 state, in exact decimal arithmetic, and drops candidates covered by a longer one.
@@ -36,13 +37,16 @@ from pyspark.sql.types import DecimalType
 from opsloss.llm.common import cut, small_batches
 from opsloss.llm.textvec import U, mix
 from opsloss.llm.tokens import Tokens, byte_class
+from opsloss.session import fresh_dir
+from opsloss.sources.snapshots import delete_path
 
 LONGEST = 5
 LEAST = 100
 TOP = 2000
 COVER = 100                 # per cent of a candidate's count that a longer one needs to cover it
 SHARDS = 4
-SLOTS = 1 << 24             # bytes of the table of notes
+SLOTS = 1 << 26             # most bytes of the table of notes
+FIRST = 1 << 16             # its first size
 BLOCK = 4 << 20             # bytes of text counted together in a task
 SPREAD = 64                 # buckets of the first ranking step
 BREAK = byte_class(b".,;:!?\x0a\x0b\x0c\x0d")
@@ -91,7 +95,7 @@ class Block:
                 at = np.arange(len(self.code))
             else:
                 m = len(self.fits[k])
-                note = notes[(self.h[k - 1] & U(SLOTS - 1)).astype(np.int64)]
+                note = notes[(self.h[k - 1] & U(len(notes) - 1)).astype(np.int64)]
                 a, b = note[:m], note[1:m + 1]
                 at = np.flatnonzero(self.fits[k] & (a > 0) & (b > 0) & (np.maximum(a, b).astype(np.int64) - 1 + cycle > step))
             if not len(at):
@@ -118,9 +122,8 @@ class Block:
                 ["lang", "words", "phrase", "h", "hits"])
 
 
-def scan(shard: DataFrame, step: int, notes: np.ndarray, lengths: list[int], cycle: int) -> DataFrame:
-    shared = shard.sparkSession.sparkContext.broadcast(notes)
-
+def scan(shard: DataFrame, step: int, shared, lengths: list[int], cycle: int) -> DataFrame:
+    """The counts of one shard; ``shared``: the broadcast notes."""
     def run(batches):
         held, size = [], 0
         for b in batches:
@@ -155,30 +158,45 @@ def merge(state: DataFrame | None, counted: DataFrame, step: int, cycle: int, le
             .select("lang", "words", "phrase", "h", "start", "count", "reached"))
 
 
-def note(state: DataFrame, step: int, notes: np.ndarray) -> list[int]:
-    """Enter the phrases that the scan brought to the threshold; their lengths. Bit maps reach the driver, no phrases."""
-    slot = F.pmod(F.col("h"), F.lit(SLOTS))
-    maps = (state.filter((F.col("reached") == step + 1) & F.col("words").between(1, LONGEST - 1))
-            .groupBy("words", F.bitmap_bucket_number(slot).alias("bucket"))
+def note(state: DataFrame, notes: np.ndarray, since: int) -> tuple[np.ndarray, list[int]]:
+    """The notes with the phrases that reached the threshold from scan ``since`` on, and their lengths. Bit maps reach
+    the driver, no phrases. A table that would get more than an eighth full is made anew, four times as large."""
+    slot = F.pmod(F.col("h"), F.lit(len(notes)))
+    maps = (state.filter((F.col("reached") >= since) & F.col("words").between(1, LONGEST - 1))
+            .groupBy("words", "reached", F.bitmap_bucket_number(slot).alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect())
-    for r in maps:
+    new = notes.copy()
+    for r in sorted(maps, key=lambda r: r.reached):
         bits = np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8), bitorder="little")
+        # value v > 0 has bucket 1 + (v - 1) div size; value 0 is alone in bucket 0
         at = (r.bucket - 1) * len(bits) + np.flatnonzero(bits) + 1 if r.bucket else np.zeros(1, np.int64)
-        notes[at % SLOTS] = step + 2                    # one more than the first scan that may use it
-    return sorted({r.words for r in maps})
+        new[at % len(new)] = r.reached + 1
+    if np.count_nonzero(new) * 8 > len(new) and len(new) < SLOTS:
+        lengths = sorted({r.words for r in maps})
+        return note(state, np.zeros(min(SLOTS, 4 * len(new)), dtype=np.uint8), 0)[0], lengths
+    return new, sorted({r.words for r in maps})
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cycle: int = SHARDS) -> DataFrame:
     """lang, words, phrase, count: every phrase with at least ``least`` occurrences; words 0: all words of lang."""
-    dealt, state, notes = shards(docs, cycle), None, np.zeros(SLOTS, dtype=np.uint8)
+    spark = docs.sparkSession
+    dealt, state, old, notes = shards(docs, cycle), None, None, np.zeros(min(FIRST, SLOTS), dtype=np.uint8)
     last = {1: cycle}                                   # each length is scanned before this step
     step = 0
     while step < max(last.values()):
         lengths = [k for k in sorted(last) if step < last[k]]
         if lengths:
-            counted = scan(dealt.filter(F.col("shard") == step % cycle), step, notes, lengths, cycle)
-            state = cut(merge(state, counted, step, cycle, least), "phrase_state")
-            for k in note(state, step, notes):
+            shared = spark.sparkContext.broadcast(notes)
+            counted = scan(dealt.filter(F.col("shard") == step % cycle), step, shared, lengths, cycle)
+            place = fresh_dir(spark, "phrase_state")
+            merge(state, counted, step, cycle, least).write.parquet(place)
+            state = spark.read.schema(STATE).parquet(place)
+            shared.destroy()                            # the state is written; nothing is computed from them again
+            if old is not None:
+                delete_path(spark, old)
+            old = place
+            notes, found = note(state, notes, step + 1)
+            for k in found:
                 if k < longest:
                     last[k + 1] = step + 1 + cycle
         step += 1
