@@ -123,7 +123,7 @@ FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles"""
 
 
 def _words(table: str, key: str) -> str:
-    return f"""SELECT {key}, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM (
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS s FROM (
     SELECT {key}, w, unnest(generate_series(1, len(w) - 4)) AS i FROM (
       SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}))"""
 
@@ -131,26 +131,11 @@ def _words(table: str, key: str) -> str:
 _TEMPLATES = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in licenses.TEMPLATES)
 OP10 = f"""
 WITH templates(license_id, text) AS (VALUES {_TEMPLATES}),
-t AS (SELECT DISTINCT license_id, pos // {licenses.PASSAGE} AS nth, s FROM ({_words("templates", "license_id")})),
-p AS (SELECT license_id, nth, count(*) AS n,
-        CASE WHEN count(*) <= 1 THEN 1 ELSE greatest(8, cast(pow(2, ceil(log2(count(*)))) AS bigint)) END AS size
-      FROM t GROUP BY license_id, nth),
-d AS ({_words("documents", "doc_id")}),
-b AS (SELECT doc_id, max(pos) + 1 AS total FROM d GROUP BY doc_id),
-hit AS (SELECT d.doc_id, pos, s, license_id, nth, n, size FROM d JOIN t USING (s) JOIN p USING (license_id, nth)),
-win AS (
-  SELECT *, pos // size AS win FROM hit
-  UNION ALL SELECT *, pos // size - 1 FROM hit WHERE size > 1 AND pos >= size),
-ok AS (
-  SELECT doc_id, license_id, nth, win, count(DISTINCT s) AS shared, any_value(n) AS n
-  FROM win JOIN b USING (doc_id)
-  WHERE size = 1 OR win <= greatest((total + size - 1) // size - 2, 0) GROUP BY doc_id, license_id, nth, win),
-best AS (SELECT doc_id, license_id, nth, max(shared) AS shared FROM ok WHERE shared >= 0.8 * n GROUP BY doc_id, license_id, nth),
-whole AS (SELECT license_id, cast(sum(n) AS bigint) AS n_shingles FROM p GROUP BY license_id)
-SELECT doc_id, license_id, cast(sum(shared) AS bigint) AS n_shared, any_value(n_shingles) AS n_shingles,
-  sum(shared) / any_value(n_shingles) AS containment
-FROM best JOIN whole USING (license_id) GROUP BY doc_id, license_id HAVING sum(shared) >= 0.8 * any_value(n_shingles)"""
-
+t AS ({_words("templates", "license_id")}), d AS ({_words("documents", "doc_id")}),
+n AS (SELECT license_id, count(*) AS n_shingles FROM t GROUP BY license_id),
+m AS (SELECT doc_id, license_id, count(*) AS n_shared FROM d JOIN t USING (s) GROUP BY doc_id, license_id)
+SELECT doc_id, license_id, n_shared, n_shingles, n_shared / n_shingles AS containment
+FROM m JOIN n USING (license_id) WHERE n_shared >= 0.8 * n_shingles"""
 
 OP11 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
