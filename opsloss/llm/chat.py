@@ -1,7 +1,7 @@
 """Chat formatting from an event log, with DataFrame operations only.
 
 A log holds one row for each event: conv_id, seq, message (any id, unique in its conversation), kind,
-role, text. Kinds:
+role, text. A conversation's events are folded in the order of seq; kinds:
 
 * ``open``: a message of ``role`` begins; its place among the messages is this event's seq.
 * ``delta``: ``text`` is appended to the message (a streamed piece).
@@ -10,8 +10,13 @@ role, text. Kinds:
   and before this event are taken back with it.
 * ``drop``: the message is deleted.
 
-``reconstruct`` folds the log into final messages: events are grouped by conversation and message, the
-last event that resets a message is an aggregate, and the texts from it on are joined by seq. ``render``
+A message that was deleted or taken back is gone: none of its later events does anything.
+
+``reconstruct`` partitions the log twice, since only regenerations depend on other messages. (1) By conversation: its
+regenerations are sorted and folded into the stretches of the log that they take back. A regeneration has an effect if its message is still
+there, that is not dropped before and not inside a stretch already taken back; a stretch that lies in a later one is
+merged into it. Only regenerations, not messages or texts, meet in that fold. (2) By message: its deltas and
+edits are sorted and folded from the last reset on; dropped messages and those opened inside a stretch go. ``render``
 writes messages in the template, one row for each block of a conversation (messages whose places agree
 after division by ``SPAN``), so that a conversation of any length is a number of bounded rows,
 dealt over tasks by conversation and block. ``read_back`` parses them again.
@@ -22,8 +27,9 @@ reversible. The loss mask is a list of spans (start, length in code points of th
 covers the written text of each assistant message and nothing else.
 
 Defined cases: a null role or text is empty; a null kind or an unknown one is ignored; a message without
-``open`` takes its first event's place and an empty role; events that repeat a seq within a message join
-in text order; messages at the same place are ordered by role, then text, repeated ones all stay; a null
+``open`` takes its first event's place and an empty role, of several opens the first counts; events that repeat a seq
+within a message are folded in the order open, regenerate, edit, delta, drop, then by text; regenerations at one seq are
+folded by their messages' places; messages at the same place are ordered by role, then text, repeated ones all stay; a null
 conv_id is a conversation of its own; an empty log gives an empty result.
 """
 
@@ -47,25 +53,48 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("~2"), F.lit("[")), F.lit("~1"), F.lit("<")), F.lit("~0"), F.lit("~"))
 
 
+STRETCH = "array<struct<from:bigint,to:bigint>>"
+
+
+def _stretches(messages: DataFrame) -> DataFrame:
+    """(conv_id, taken): the stretches (from, to) of each conversation with regenerations: what was opened inside, ends
+    excluded, is taken back. Stretches do not overlap."""
+    again = messages.filter(F.size("again") > 0).select("conv_id", "place", "dropped", F.explode("again").alias("seq"))
+    again = again.filter(F.col("dropped").isNull() | (F.col("seq") <= F.col("dropped")))
+    events = again.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "place"))).alias("e"))
+
+    def step(taken: Column, e: Column) -> Column:
+        gone = F.exists(taken, lambda x: (x["from"] < e["place"]) & (e["place"] < x["to"]))
+        left = F.filter(taken, lambda x: x["from"] < e["place"])          # the others lie inside the new one
+        return F.when(gone, taken).otherwise(F.concat(left, F.array(F.struct(
+            e["place"].alias("from"), e["seq"].alias("to")))))
+
+    return events.select("conv_id", F.aggregate("e", F.array().cast(STRETCH), step).alias("taken"))
+
+
 def reconstruct(log: DataFrame) -> DataFrame:
     """(conv_id, place, role, text) of the messages that remain."""
     seq, kind = F.col("seq"), F.col("kind")
-    body = F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))
+    piece = F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))
     m = (log.filter(kind.isin("open", "delta", "edit", "regenerate", "drop")).groupBy("conv_id", "message").agg(
         F.coalesce(F.min(F.when(kind == "open", seq)), F.min("seq")).alias("place"),
         F.coalesce(F.min_by(F.when(kind == "open", F.col("role")), F.when(kind == "open", seq)), F.lit("")).alias("role"),
-        F.max(F.when(kind.isin("edit", "regenerate"), seq)).alias("reset"),
-        F.max(F.when(kind == "regenerate", seq)).alias("again"),
-        F.bool_or(kind == "drop").alias("gone"),
-        F.collect_list(F.when(kind.isin("delta", "edit"), body)).alias("body")))
-    # what a reset leaves: the events from the last one on, in the order of the log
-    left = F.filter("body", lambda x: F.col("reset").isNull() | (x["seq"] >= F.col("reset")))
-    text = F.array_join(F.transform(F.array_sort(left), lambda x: x["text"]), "")
-    m = m.filter(~F.col("gone")).select("conv_id", "place", "role", text.alias("text"), "again")
-    redone = m.filter(F.col("again").isNotNull()).select(
-        F.col("conv_id").alias("c"), F.col("place").alias("from"), F.col("again").alias("to"))
-    taken = m["conv_id"].eqNullSafe(redone["c"]) & (m["place"] > redone["from"]) & (m["place"] < redone["to"])
-    return m.join(redone, taken, "left_anti").select("conv_id", "place", "role", "text")
+        F.collect_set(F.when(kind == "regenerate", seq)).alias("again"),
+        F.min(F.when(kind == "drop", seq)).alias("dropped"),
+        F.max(F.when(kind == "edit", piece)).alias("edit"),
+        F.collect_list(F.when(kind == "delta", piece)).alias("pieces")))
+    # an edit or a regeneration empties the text so far: only the last one and what follows it count
+    last = F.greatest("edit.seq", F.array_max("again"))
+    head = F.when(F.col("edit.seq") == last, F.col("edit.text")).otherwise(F.lit(""))
+    left = F.filter("pieces", lambda x: last.isNull() | (x["seq"] >= last))
+    text = F.concat(head, F.array_join(F.transform(F.array_sort(left), lambda x: x["text"]), ""))
+    m = m.withColumn("text", text)
+    taken = _stretches(m.select("conv_id", "place", "again", "dropped"))
+    m = m.filter(F.col("dropped").isNull()).select("conv_id", "place", "role", "text")
+    t = taken.select(F.col("conv_id").alias("c"), "taken")
+    m = m.join(t, m["conv_id"].eqNullSafe(t["c"]), "left")
+    gone = F.exists("taken", lambda x: (x["from"] < F.col("place")) & (F.col("place") < x["to"]))
+    return m.filter(~F.coalesce(gone, F.lit(False))).select("conv_id", "place", "role", "text")
 
 
 def render(messages: DataFrame, span: int = SPAN) -> DataFrame:
@@ -124,22 +153,40 @@ def digest(blocks: DataFrame) -> DataFrame:
 
 
 def replay(conversations: DataFrame) -> DataFrame:
-    """The event log of a table of finished turns: each row is opened and then streamed in pieces of
-    ``PIECE`` code points. A null turn comes before all others; rows that repeat a turn are messages of
-    their own."""
-    seq = F.coalesce(F.col("turn").cast("long"), F.lit(-1)) * STRIDE
+    """The event log of a table of finished turns, as a chat service would have written it.
+
+    Each row is opened and streamed in pieces of ``PIECE`` code points. By a hash of its conversation, turn and length a row also has a
+    history that leads to the same end: (1) a wrong draft, edited away; (2) a wrong draft and an answer
+    opened after it, both taken back by a regeneration; (3) an answer opened after it and dropped; (0) none.
+    A null turn comes before all others; rows that repeat a turn are messages of their own."""
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
     rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), seq.alias("at"),
-        F.monotonically_increasing_id().alias("message"),
+        F.col("conv_id").cast("long").alias("conv_id"), (turn * STRIDE).alias("at"),
+        (F.monotonically_increasing_id() * 2).alias("message"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.floor((F.char_length("text") + PIECE - 1) / PIECE).cast("int")),
-        lambda i: F.struct(
-            (F.col("at") + i).alias("seq"), F.when(i == 0, "open").otherwise("delta").alias("kind"),
-            F.when(i == 0, F.col("role")).alias("role"),
-            F.when(i > 0, F.substring(F.col("text"), (i - 1) * PIECE + 1, F.lit(PIECE))).alias("text")))
-    return rows.select("conv_id", "message", F.explode(pieces).alias("e")).select(
-        "conv_id", "e.seq", "message", "e.kind", "e.role", "e.text")
+    rows = rows.withColumn("history", F.pmod(F.xxhash64("conv_id", "at", F.char_length("text")), F.lit(4)))
+
+    def event(step, kind, text=None, role=None, other=False):
+        return F.struct((F.col("at") + step).alias("seq"), (F.col("message") + (1 if other else 0)).alias("message"),
+                        F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"),
+                        (F.lit(None).cast("string") if text is None else text).alias("text"))
+
+    piece = lambda i: F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE))
+    draft, other = F.lit("a wrong draft"), F.lit("an answer to it")
+    edited = F.array(event(1, "delta", draft), event(2, "edit", piece(0)))
+    again = F.array(event(1, "delta", draft), event(2, "open", role=F.lit(TRAINED), other=True),
+                    event(3, "delta", other, other=True), event(4, "regenerate"))
+    dropped = F.array(event(1, "open", role=F.lit(TRAINED), other=True), event(2, "delta", other, other=True),
+                      event(3, "drop", other=True))
+    before = (F.when(F.col("history") == 1, edited).when(F.col("history") == 2, again)
+              .when(F.col("history") == 3, dropped).otherwise(F.slice(edited, 1, 0)))
+    # the first piece of an edited message is in its edit
+    first = F.when(F.col("history") == 1, 1).otherwise(0)
+    last = F.floor((F.char_length("text") + PIECE - 1) / PIECE).cast("int") - 1
+    pieces = F.when(last >= first, F.transform(F.sequence(first, F.greatest(last, first)), lambda i: event(
+        F.lit(5) + i, "delta", piece(i)))).otherwise(F.slice(edited, 1, 0))
+    log = F.concat(F.array(event(0, "open", role=F.col("role"))), before, pieces)
+    return rows.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.seq", "e.message", "e.kind", "e.role", "e.text")
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
