@@ -9,8 +9,9 @@ Two groups of lanes:
 
 * ``WIDE`` lanes modulo 2^64, uniformly random for each paragraph: equal exactly when the multisets
   of paragraphs are (but for chance, about 2^-1024).
-* ``SIGNS`` lanes modulo 2^16, +1 or -1 for each group of ``GROUP`` words of a paragraph: sums stay
-  far below the modulus, so the squared length of a difference estimates in how many groups two
+* ``SIGNS`` lanes modulo 2^32, +1 or -1 for each group of ``GROUP`` words of a paragraph. A text has
+  less than 2^31 bytes and a group of a full paragraph takes at least seven of them (its last one may take two, with
+  its line end), so sums stay below 2^30 and never wrap, however often a group repeats; the squared length of a difference estimates in how many groups two
   documents differ. ``likeness`` is 1 - |a - b|^2 / (|a|^2 + |b|^2), cut to 0..1; its standard
   error is about 0.09, and equal fingerprints have likeness exactly 1.
 
@@ -67,7 +68,7 @@ def _signs(paragraphs: list[bytes]) -> np.ndarray:
             flush()
     if groups:
         flush()
-    return (2 * out - n).astype(np.uint16)
+    return (2 * out - n).astype(np.uint32)
 
 
 def fingerprint(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -88,19 +89,19 @@ def subtract(a, b):
 def likeness(a, b) -> float:
     if np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]):
         return 1.0
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
-    d = (a[1] - b[1]).view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
+    d = (a[1] - b[1]).view(np.int32).astype(np.float64)
     total = x @ x + y @ y
     return float(min(1.0, max(0.0, 1.0 - (d @ d) / total))) if total else 0.0
 
 
 def encode(fp) -> str:
-    return base64.b64encode(fp[0].astype("<u8").tobytes() + fp[1].astype("<u2").tobytes()).decode()
+    return base64.b64encode(fp[0].astype("<u8").tobytes() + fp[1].astype("<u4").tobytes()).decode()
 
 
 def decode(s: str):
     raw = base64.b64decode(s)
-    return np.frombuffer(raw[:8 * WIDE], "<u8").astype(U), np.frombuffer(raw[8 * WIDE:], "<u2").astype(np.uint16)
+    return np.frombuffer(raw[:8 * WIDE], "<u8").astype(U), np.frombuffer(raw[8 * WIDE:], "<u4").astype(np.uint32)
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
