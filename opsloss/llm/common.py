@@ -67,6 +67,11 @@ def with_part(df: DataFrame, bounds: list[int], col: str = "doc_id", out: str =
     return df.withColumn(out, part_of(F.coalesce(F.col(col), F.lit(MIN_LONG))))
 
 
+def nested(df: DataFrame) -> DataFrame:
+    """All columns in one struct column ``row``, so that no name of theirs can clash with one added."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 def learn_row(doc_id: str, mod: int, held: int):
     """Boolean column: the row is held out when crc32 of its id as text, mod ``mod``, is ``held``."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod == held
@@ -81,8 +86,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     """Texts, their 0/1 labels and the counts of all learnable rows by label.
 
     A bounded sample: about ``rows`` documents of each class, taken by a hash of the id, and no
-    more than ``size`` bytes in all; held-out rows never enter. A document labelled twice counts
-    with its larger label; rows with a null id or a label other than 0 and 1 are ignored.
+    more than ``size`` bytes in all; held-out rows never enter. The driver first gets ids, digests and lengths (one row
+    an id, however many rows share it), and only then the texts that fit. A document labelled twice counts
+    with its larger label; of several texts under one id the one with the smallest digest counts; rows with a null id or
+    a label other than 0 and 1 are ignored.
     """
     spark = docs.sparkSession
     lab = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -94,16 +101,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     share = [min(scale, int(scale * rows / max(1, c)) + 1) for c in counts]
     picked = lab.withColumn("h", F.xxhash64("doc_id")).filter(
         F.pmod(F.col("h"), F.lit(scale)) < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
-    got = (texts(docs).join(F.broadcast(picked), "doc_id")
-           .select("h", "doc_id", "y", "text").collect() if sum(counts) else [])
-    out_x, out_y, used = [], [], 0
-    for r in sorted(got, key=lambda r: (r["h"], r["doc_id"], r["text"])):
-        n = len(r["text"])
-        if used + n <= size:
-            used += n
-            out_x.append(r["text"])
-            out_y.append(r["y"])
-    return out_x, np.array(out_y, dtype=np.int64), counts
+    # one text an id (the one with the smallest digest), and no text before it is known which ones fit
+    held = texts(docs).join(F.broadcast(picked), "doc_id")
+    one = F.min(F.struct(F.md5("text").alias("digest"), F.octet_length("text").alias("bytes"))).alias("x")
+    found = (held.groupBy("h", "doc_id", "y").agg(one).select("h", "doc_id", "y", "x.*").collect() if sum(counts) else [])
+    chosen, used = {}, 0
+    for r in sorted(found, key=lambda r: (r["h"], r["doc_id"])):
+        if used + r["bytes"] <= size:
+            used += r["bytes"]
+            chosen[r["doc_id"]] = r
+    if not chosen:
+        return [], np.zeros(0, dtype=np.int64), counts
+    want = spark.createDataFrame([(d, r["digest"]) for d, r in chosen.items()], "doc_id long, digest string")
+    rows_of = (texts(docs).withColumn("digest", F.md5("text")).join(F.broadcast(want), ["doc_id", "digest"])
+               .groupBy("doc_id").agg(F.min("text").alias("text")).collect())
+    text_of = {r["doc_id"]: r["text"] for r in rows_of}
+    ids = [d for d in chosen if d in text_of]
+    return [text_of[d] for d in ids], np.array([chosen[d]["y"] for d in ids], dtype=np.int64), counts
 
 
 def slices(sizes, limit: int):

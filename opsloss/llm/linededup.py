@@ -11,13 +11,14 @@ least ``MIN_CHARS`` code points count. State:
 * ``filters(shard, filter)``: a cuckoo filter for each shard of the keys held by at least ``MIN_DOCS``
   documents (the shard count follows the number of keys, so a shard has a bounded size). Filters
   support single insertions and deletions (``update_filters``), so a batch that makes keys repeated, or
-  no longer repeated, changes the shards it touches in place.
+  no longer repeated, changes the shards it touches in place; a shard that has become too full for its size is
+  built anew, larger, from the exact reference table.
 
 Applying: holdings stream through the filter of their shard (no false negatives; a line that occurs
 too rarely passes no further, but for one in some thousands), survivors are checked against the
 reference table by an exact join, and the lines to drop go back to their documents. Shards are salted
-by document, so a key held by a third of all documents is dealt over several tasks; a filter is
-repeated for each salt, which is small.
+by document, with as many salts as it takes for about ``TASK_ROWS`` holdings a task, so a key held by a third of
+all documents is dealt over tasks in proportion; a filter is repeated for each salt.
 
 Defined cases: a null or empty text is one empty line; documents are told apart by doc_id, rows that
 repeat an id count as one document and all keep (or lose) the line; a null id is a document smaller
@@ -33,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsloss.llm.common import MIN_LONG, cut, texts
+from opsloss.llm.common import MIN_LONG, cut, nested, texts
 from opsloss.llm.textvec import U, mix
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 SHARD_KEYS = 50_000
-SALTS = 4
+TASK_ROWS = 100_000
 HELD = "k1 long, k2 long, doc_id long"
 
 
@@ -56,6 +57,13 @@ class Cuckoo:
         self.tags = np.zeros((size, self.SLOTS), dtype=np.uint16) if tags is None else tags
         self.stash = list(stash or [])
 
+    def held(self) -> int:
+        return int(np.count_nonzero(self.tags)) + len(self.stash)
+
+    def room(self) -> int:
+        """Keys that fit without long chains of moves."""
+        return int(self.tags.size * 0.9)
+
     def _place(self, k: np.ndarray):
         h = mix(k.astype(np.int64).view(U) + U(0x51ED270B))
         tag = ((h >> U(48)).astype(np.uint16) | np.uint16(1))
@@ -169,10 +177,10 @@ def _shard(shards: int):
     return F.pmod(F.xxhash64("k1", "k2"), F.lit(shards)).cast("int")
 
 
-def build_filters(keys: DataFrame, shards: int) -> DataFrame:
-    """(shard, filter): a cuckoo filter of each shard's keys(k1, k2)."""
+def build_filters(keys: DataFrame, shards: int, room: float = 1.0) -> DataFrame:
+    """(shard, filter): a cuckoo filter of each shard's keys(k1, k2), with room for ``room`` times as many."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = Cuckoo(len(pdf))
+        f = Cuckoo(int(len(pdf) * room))
         f.insert(np.sort(pdf["k1"].to_numpy()))
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "filter": [f.to_bytes()]})
 
@@ -180,25 +188,48 @@ def build_filters(keys: DataFrame, shards: int) -> DataFrame:
             .applyInPandas(run, "shard int, filter binary"))
 
 
-def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, shards: int) -> DataFrame:
-    """Filters after keys became repeated (``added``) or ceased to be (``removed``)."""
+def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, shards: int, often: DataFrame) -> DataFrame:
+    """Filters after keys became repeated (``added``) or ceased to be (``removed``).
+
+    ``often(k1, k2)``: all repeated keys after the change. Shards whose new keys do not fit their filter's size are built
+    from it with room for twice their keys; all others change in place."""
     def run(old: pd.DataFrame, change: pd.DataFrame) -> pd.DataFrame:
         shard = (old if len(old) else change)["shard"].iloc[0]
-        f = Cuckoo.from_bytes(old["filter"].iloc[0]) if len(old) else Cuckoo(len(change))
-        f.delete(change.loc[change["sign"] < 0, "k1"].to_numpy())
-        f.insert(change.loc[change["sign"] > 0, "k1"].to_numpy())
-        return pd.DataFrame({"shard": [shard], "filter": [f.to_bytes()]})
+        f = Cuckoo.from_bytes(old["filter"].iloc[0]) if len(old) else None
+        gone, new = (change.loc[change["sign"] == x, "k1"].to_numpy() for x in (-1, 1))
+        if f is not None:
+            f.delete(gone)
+        if len(new) and (f is None or f.held() + len(new) > f.room()):
+            return pd.DataFrame({"shard": [shard], "filter": [None]})
+        if len(new):
+            f.insert(new)
+        return pd.DataFrame({"shard": [shard], "filter": [f.to_bytes()] if f is not None else [None]})
 
     change = added.select(_shard(shards).alias("shard"), "k1", F.lit(1).alias("sign")).unionByName(
         removed.select(_shard(shards).alias("shard"), "k1", F.lit(-1).alias("sign")))
-    return (filters.groupBy("shard").cogroup(change.groupBy("shard"))
-            .applyInPandas(run, "shard int, filter binary"))
+    done = cut(filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(run, "shard int, filter binary"),
+               "line_filters")
+    full = done.filter("filter IS NULL").select("shard")
+    own = often.select("k1", "k2", _shard(shards).alias("shard")).join(F.broadcast(full), "shard", "left_semi")
+    return done.filter("filter IS NOT NULL").unionByName(build_filters(own, shards, 2.0))
+
+
+def reshard(shards: int, keys: int) -> int:
+    """The shard count for ``keys`` repeated keys: unchanged until a shard would pass twice its share. After a change all
+    filters are built anew (``build_filters``), since a key's shard depends on the count."""
+    want = max(1, -(-keys // SHARD_KEYS))
+    return want if want > 2 * shards or 2 * want < shards else shards
+
+
+def salts_for(rows: int, shards: int) -> int:
+    """Salts a shard needs for about ``TASK_ROWS`` holdings a task."""
+    return max(1, -(-rows // (shards * TASK_ROWS)))
 
 
-def probe(held: DataFrame, filters: DataFrame, shards: int, salts: int = SALTS) -> DataFrame:
+def probe(held: DataFrame, filters: DataFrame, shards: int, salts: int) -> DataFrame:
     """The holdings whose key may be repeated: each streams through its shard's filter, which comes
     first in the sorted task, so one filter and one batch are in memory at a time."""
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(salts)).cast("int")
     rows = held.select(_shard(shards).alias("shard"), salt.alias("salt"), F.lit(1).alias("kind"),
                        "k1", "k2", "doc_id", F.lit(None).cast("binary").alias("filter"))
     each = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
@@ -230,18 +261,17 @@ def lines_to_drop(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     held = cut(holdings(docs), "line_holdings")
     often = cut(repeated(references(held), min_docs), "line_references")
     shards = max(1, -(-often.count() // SHARD_KEYS))
-    maybe = probe(held, build_filters(often, shards), shards)
+    maybe = probe(held, build_filters(often, shards), shards, salts_for(held.count(), shards))
     return (maybe.join(often.select("k1", "k2", "last_doc"), ["k1", "k2"])
             .filter("doc_id < last_doc").select("doc_id", "k1", "k2"))
 
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Every row of ``docs`` with ``kept`` (its remaining lines, joined by newlines), ``n_lines`` (before)
-    and ``n_dropped`` as struct column ``__lines``; other columns as they are."""
-    lost = (lines_to_drop(docs, min_docs).groupBy("doc_id")
-            .agg(F.collect_list(F.struct("k1", "k2")).alias("__lost")).withColumnRenamed("doc_id", "__id"))
-    joined = (docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG)))
-              .join(lost, F.col("__key") == F.col("__id"), "left"))
+    """``row`` (a struct of all columns of ``docs``, so that no name clashes) and ``lines``: ``kept`` (the remaining lines,
+    joined by newlines), ``n_lines`` (before) and ``n_dropped`` of every row."""
+    lost = lines_to_drop(docs, min_docs).groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("lost"))
+    joined = (nested(docs).withColumn("doc_id", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(MIN_LONG)))
+              .join(lost, "doc_id", "left"))
 
     @F.pandas_udf("kept string, n_lines long, n_dropped long")
     def remaining(text: pd.Series, lost: pd.Series) -> pd.DataFrame:
@@ -256,20 +286,20 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             out.append(("\n".join(stay), len(lines), len(lines) - len(stay)))
         return pd.DataFrame(out, columns=["kept", "n_lines", "n_dropped"])
 
-    return joined.withColumn("__lines", remaining(F.coalesce(F.col("text"), F.lit("")), "__lost")).drop("__lost", "__id", "__key")
+    return joined.select("row", remaining(F.coalesce(F.col("row.text"), F.lit("")), "lost").alias("lines"))
 
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text`` and ``n_chars`` to match, the columns as before."""
-    out = dedup(docs, min_docs)
-    changed = F.col("__lines.n_dropped") > 0
-    new = {"text": F.when(changed, F.col("__lines.kept")).otherwise(F.col("text"))}
+    """``docs`` with the repeated lines taken out of ``text`` and ``n_chars`` to match, the columns as before. Other columns
+    may have any names."""
+    changed = F.col("lines.n_dropped") > 0
+    new = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    new["text"] = F.when(changed, F.col("lines.kept")).otherwise(new["text"])
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.char_length("__lines.kept")).otherwise(F.col("n_chars")).cast(
-            docs.schema["n_chars"].dataType)
-    return out.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(changed, F.char_length("lines.kept")).otherwise(new["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return dedup(docs, min_docs).select(*[new[c].alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return dedup(texts(docs)).select("doc_id", "__lines.n_lines", "__lines.n_dropped",
-                                     F.sha2(F.col("__lines.kept"), 256).alias("kept_sha256"))
+    return dedup(texts(docs)).select("row.doc_id", "lines.n_lines", "lines.n_dropped",
+                                     F.sha2(F.col("lines.kept"), 256).alias("kept_sha256"))

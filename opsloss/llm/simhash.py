@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsloss.llm.common import MIN_LONG, cut, texts
+from opsloss.llm.common import MIN_LONG, cut, nested, texts
 from opsloss.llm.components import components
 
 RADIUS = 4
@@ -228,10 +228,10 @@ def keep(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, cell: int =
     root = components(links(first.select("fp"), radius, cell))
     stay = (first.join(root, first["fp"] == root["node"], "left").groupBy(F.coalesce("root", "fp").alias("root"))
             .agg(F.min("first").alias("first"))
-            .select(F.coalesce("first.doc_id", F.lit(MIN_LONG)).alias("__keep"), F.col("first.digest").alias("__digest")))
-    key = ["__keep", "__digest"]
-    one = Window.partitionBy(*key).orderBy(F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
-    keyed = (docs.withColumn("__keep", F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG)))
-             .withColumn("__digest", F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    return (keyed.join(stay, key).withColumn("__nth", F.row_number().over(one)).filter("__nth = 1")
-            .select(*docs.columns))
+            .select(F.coalesce("first.doc_id", F.lit(MIN_LONG)).alias("keep"), F.col("first.digest").alias("digest")))
+    key = ["keep", "digest"]
+    one = Window.partitionBy(*key).orderBy(F.col("row.doc_id").asc_nulls_last(), F.col("row.text").asc_nulls_first())
+    keyed = (nested(docs).withColumn("keep", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(MIN_LONG)))
+             .withColumn("digest", F.md5(F.coalesce(F.col("row.text"), F.lit("")))))
+    return (keyed.join(stay, key).withColumn("nth", F.row_number().over(one)).filter("nth = 1")
+            .select(*[F.col(f"row.`{c}`") for c in docs.columns]))
