@@ -3,23 +3,28 @@
 The corpus is dealt into ``SHARDS`` written shards, which are scanned in a cycle, one job a shard. All
 words are counted from the first scan on. After each scan the phrases that have reached the threshold
 so far are noted; from the next scan on a phrase of k words is counted as soon as both its subphrases of
-k - 1 words have reached it. So all lengths are interleaved, and each phrase is counted through exactly
-one full cycle from the scan where it first occurred as a candidate, which gives its exact count. Mining ends when
-no phrase is within its cycle any more. A phrase that reaches the threshold in all has subphrases that do,
+k - 1 words have reached it. So all lengths are interleaved, and each phrase is counted through
+one full cycle from the scan where it first occurred as a candidate. The cycles end when
+no phrase is within its own any more. A phrase that reaches the threshold in all has subphrases that do,
 and is counted for a whole cycle after they have.
 
+* While it is open which phrases are frequent, they are told apart by their length and a 64-bit hash. Two phrases with one hash
+  have their counts added; a last scan (``recount``) counts the words themselves of all that passed, which
+  makes every reported count exact. A frequent phrase could only be lost if it shares its hash with one whose cycle began earlier
+  and has few occurrences in each of both cycles: for 10^11 candidates, a few hundred of which share a hash at all,
+  the chance is below 1 in 100.
 * The notes that tasks need are a table of bytes (by hash of language and words): the last scan before which
   a phrase with this hash reached the threshold. It grows with the noted phrases, by fours, up to ``SLOTS`` bytes. A collision
-  only counts a phrase that need not be counted; its count is exact as well and stays below the threshold.
-* The state (lang, words, phrase, start, count, reached) is a written table, renewed with every scan by
+  only counts a phrase that need not be counted.
+* The state (h, words, start, count, reached) is a written table, renewed with every scan by
   one aggregation of the old state and the scan's counts. Tasks add up their own counts first, so a word
   or pair in every document costs a row a task. Phrases that stayed below the threshold for their whole
   cycle leave the state.
 * The driver sees the notes as bit maps (at most SLOTS bits a scan) and never a phrase. A scan's state and broadcast go when
   the next state is written.
 
-``collocations`` then joins each candidate's cuts with the counts of their parts, all of which are in the
-state, in exact decimal arithmetic, and drops candidates covered by a longer one.
+``collocations`` then joins each candidate's cuts with the counts of their parts, all of which are frequent
+themselves, in exact decimal arithmetic, and drops candidates covered by a longer one.
 
 Defined cases: null texts are empty, a null lang is ``und``, repeated rows count as often as they stand
 there, ties are broken by count and phrase bytes, empty tables give an empty result.
@@ -51,8 +56,10 @@ BLOCK = 4 << 20             # bytes of text counted together in a task
 SPREAD = 64                 # buckets of the first ranking step
 BREAK = byte_class(b".,;:!?\x0a\x0b\x0c\x0d")
 WORD = ~(BREAK | byte_class(b" \t"))
-STATE = "lang string, words int, phrase string, h long, start int, count long, reached int"
-COUNTED = "lang string, words int, phrase string, h long, hits long"
+SPARE = 32                  # slots for a phrase in the table of the last scan
+STATE = "h long, words int, start int, count long, reached int"
+COUNTED = "h long, words int, hits long"
+NAMED = "lang string, words int, phrase string, hits long"
 
 
 def shards(docs: DataFrame, n: int) -> DataFrame:
@@ -92,12 +99,22 @@ class Block:
         """Record batches of COUNTED: the phrases of the given lengths that are within their cycle."""
         for k in lengths:
             if k == 1:
-                at = np.arange(len(self.code))
+                keys = self.h[1]
             else:
                 m = len(self.fits[k])
                 note = notes[(self.h[k - 1] & U(len(notes) - 1)).astype(np.int64)]
                 a, b = note[:m], note[1:m + 1]
-                at = np.flatnonzero(self.fits[k] & (a > 0) & (b > 0) & (np.maximum(a, b).astype(np.int64) - 1 + cycle > step))
+                keys = self.h[k][self.fits[k] & (a > 0) & (b > 0) & (np.maximum(a, b).astype(np.int64) - 1 + cycle > step)]
+            if len(keys):
+                h, hits = np.unique(keys, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(np.full(len(h), k), pa.int32()), pa.array(hits, pa.int64())],
+                    ["h", "words", "hits"])
+
+    def name(self, noted: np.ndarray, longest: int):
+        """Record batches of NAMED: the phrases whose hash is noted, as words, and the number of all words (words 0)."""
+        for k in range(1, longest + 1):
+            at = np.flatnonzero(self.fits[k] & noted[(self.h[k] & U(len(noted) - 1)).astype(np.int64)])
             if not len(at):
                 continue
             ids = self.lang[at]                         # exact number of the phrase: language, then word by word
@@ -108,34 +125,43 @@ class Block:
             _, first, hits = np.unique(ids, return_index=True, return_counts=True)
             where = at[first]
             parts = [[self.words[c] for c in self.code[where + i]] for i in range(k)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([self.langs[x] for x in self.lang[where]], pa.string()),
-                 pa.array(np.full(len(where), k), pa.int32()),
-                 pa.array([b" ".join(x).decode() for x in zip(*parts)], pa.string()),
-                 pa.array(self.h[k][where].astype(np.int64)), pa.array(hits, pa.int64())],
-                ["lang", "words", "phrase", "h", "hits"])
-        if 1 in lengths and len(self.lang):             # all words of a language, as its phrase of no words
-            n = np.bincount(self.lang, minlength=len(self.langs))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(self.langs, pa.string()), pa.array(np.zeros(len(n)), pa.int32()),
-                 pa.array([""] * len(n), pa.string()), pa.array(np.zeros(len(n)), pa.int64()), pa.array(n, pa.int64())],
-                ["lang", "words", "phrase", "h", "hits"])
+            yield self._named([self.langs[x] for x in self.lang[where]], k, [b" ".join(x).decode() for x in zip(*parts)], hits)
+        if len(self.lang):
+            yield self._named(self.langs, 0, [""] * len(self.langs), np.bincount(self.lang, minlength=len(self.langs)))
 
+    @staticmethod
+    def _named(langs, k, phrases, hits):
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([k] * len(langs), pa.int32()),
+                                           pa.array(phrases, pa.string()), pa.array(hits, pa.int64())],
+                                          ["lang", "words", "phrase", "hits"])
 
-def scan(shard: DataFrame, step: int, shared, lengths: list[int], cycle: int) -> DataFrame:
-    """The counts of one shard; ``shared``: the broadcast notes."""
+
+def _over_blocks(shard: DataFrame, work, schema: str) -> DataFrame:
+    """``work(Block)`` for some megabytes of text at a time."""
     def run(batches):
         held, size = [], 0
         for b in batches:
             held.append(b)
             size += b.nbytes
             if size >= BLOCK:
-                yield from _block(held).count(step, shared.value, lengths, cycle)
+                yield from work(_block(held))
                 held, size = [], 0
         if held:
-            yield from _block(held).count(step, shared.value, lengths, cycle)
+            yield from work(_block(held))
+
+    return shard.select("lang", "text").mapInArrow(run, schema)
+
+
+def scan(shard: DataFrame, step: int, shared, lengths: list[int], cycle: int) -> DataFrame:
+    """The counts of one shard; ``shared``: the broadcast notes."""
+    return _over_blocks(shard, lambda block: block.count(step, shared.value, lengths, cycle), COUNTED)
 
-    return shard.select("lang", "text").mapInArrow(run, COUNTED)
+
+def recount(dealt: DataFrame, shared, longest: int, least: int) -> DataFrame:
+    """lang, words, phrase, count of the frequent phrases, by their words; words 0: all words of lang."""
+    named = _over_blocks(dealt, lambda block: block.name(shared.value, longest), NAMED)
+    counts = named.groupBy("lang", "words", "phrase").agg(F.sum("hits").alias("count"))
+    return counts.filter((F.col("count") >= least) | (F.col("words") == 0))
 
 
 def _block(batches) -> Block:
@@ -144,37 +170,43 @@ def _block(batches) -> Block:
 
 def merge(state: DataFrame | None, counted: DataFrame, step: int, cycle: int, least: int) -> DataFrame:
     """The state after a scan: hits count while the phrase is within the cycle that began with its first scan."""
-    new = counted.select("lang", "words", "phrase", "h", F.lit(None).cast("int").alias("start"), F.lit(0).cast("long").alias("count"),
+    new = counted.select("h", "words", F.lit(None).cast("int").alias("start"), F.lit(0).cast("long").alias("count"),
                          F.lit(None).cast("int").alias("reached"), "hits")
     if state is not None:
         new = state.withColumn("hits", F.lit(0).cast("long")).unionByName(new)
-    one = new.groupBy("lang", "words", "phrase").agg(
-        F.max("h").alias("h"), F.coalesce(F.max("start"), F.lit(step)).alias("start"),
+    one = new.groupBy("h", "words").agg(
+        F.coalesce(F.max("start"), F.lit(step)).alias("start"),
         F.sum("count").alias("count"), F.max("reached").alias("reached"), F.sum("hits").alias("hits"))
     one = one.withColumn("count", F.col("count") + F.when(F.col("start") + cycle > step, F.col("hits")).otherwise(0))
-    over = (F.col("words") > 0) & (F.col("start") + cycle <= step + 1) & (F.col("count") < least)
+    over = (F.col("start") + cycle <= step + 1) & (F.col("count") < least)
     return (one.filter(~over)
-            .withColumn("reached", F.coalesce("reached", F.when((F.col("count") >= least) & (F.col("words") > 0), step + 1)))
-            .select("lang", "words", "phrase", "h", "start", "count", "reached"))
+            .withColumn("reached", F.coalesce("reached", F.when(F.col("count") >= least, step + 1)))
+            .select("h", "words", "start", "count", "reached"))
 
 
-def note(state: DataFrame, notes: np.ndarray, since: int) -> tuple[np.ndarray, list[int]]:
-    """The notes with the phrases that reached the threshold from scan ``since`` on, and their lengths. Bit maps reach
-    the driver, no phrases. A table that would get more than an eighth full is made anew, four times as large."""
-    slot = F.pmod(F.col("h"), F.lit(len(notes)))
-    maps = (state.filter((F.col("reached") >= since) & F.col("words").between(1, LONGEST - 1))
-            .groupBy("words", "reached", F.bitmap_bucket_number(slot).alias("bucket"))
+def _maps(state: DataFrame, size: int):
+    """Rows (words, reached, slots) of the noted phrases: the distinct slots of a table of ``size``, made of bit maps."""
+    slot = F.pmod(F.col("h"), F.lit(size))
+    maps = (state.groupBy("words", "reached", F.bitmap_bucket_number(slot).alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect())
-    new = notes.copy()
-    for r in sorted(maps, key=lambda r: r.reached):
+    for r in maps:
         bits = np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8), bitorder="little")
         # value v > 0 has bucket 1 + (v - 1) div size; value 0 is alone in bucket 0
         at = (r.bucket - 1) * len(bits) + np.flatnonzero(bits) + 1 if r.bucket else np.zeros(1, np.int64)
-        new[at % len(new)] = r.reached + 1
+        yield r.words, r.reached, at % size
+
+
+def note(state: DataFrame, notes: np.ndarray, since: int) -> tuple[np.ndarray, list[int]]:
+    """The notes with the phrases that reached the threshold from scan ``since`` on, and their lengths. Bit maps reach
+    the driver, no phrases. A table that would get more than an eighth full is made anew, four times as large."""
+    new, lengths = notes.copy(), set()
+    found = _maps(state.filter((F.col("reached") >= since) & (F.col("words") < LONGEST)), len(notes))
+    for words, reached, at in sorted(found, key=lambda x: x[1]):
+        lengths.add(words)
+        new[at] = reached + 1
     if np.count_nonzero(new) * 8 > len(new) and len(new) < SLOTS:
-        lengths = sorted({r.words for r in maps})
-        return note(state, np.zeros(min(SLOTS, 4 * len(new)), dtype=np.uint8), 0)[0], lengths
-    return new, sorted({r.words for r in maps})
+        return note(state, np.zeros(min(SLOTS, 4 * len(new)), dtype=np.uint8), 0)[0], sorted(lengths)
+    return new, sorted(lengths)
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cycle: int = SHARDS) -> DataFrame:
@@ -200,7 +232,14 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, c
                 if k < longest:
                     last[k + 1] = step + 1 + cycle
         step += 1
-    return state.filter((F.col("count") >= least) | (F.col("words") == 0)).select("lang", "words", "phrase", "count")
+    frequent = state.filter(F.col("reached").isNotNull())
+    size, want = 1, SPARE * frequent.count()
+    while size < min(want, SLOTS):
+        size *= 2
+    noted = np.zeros(size, dtype=bool)
+    for _, _, at in _maps(frequent, size):
+        noted[at] = True
+    return recount(dealt, spark.sparkContext.broadcast(noted), longest, least)
 
 
 def _cuts(cand: DataFrame, longest: int) -> DataFrame:
