@@ -35,17 +35,57 @@ def library():
     return Tokenizer.from_file(tokenfile.token_file())
 
 
-@pytest.mark.parametrize("module, label, mod, held, least", [(quality, "quality", 4, 2, 0.9), (toxicity, "toxic", 5, 0, 0.8)])
-def test_classifiers(spark, module, label, mod, held, least):
+@pytest.mark.parametrize("module, label, mod, held, found, alarms",
+                         [(quality, "quality", 4, 2, 0.95, 0.05), (toxicity, "toxic", 5, 0, 0.9, 0.02)])
+def test_classifiers(spark, module, label, mod, held, found, alarms):
+    """Of the held-out rows, the share of label 1 found and of label 0 taken for it; a constant answer fails one of them."""
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     out = {r.doc_id: r for r in module.classify(docs, labels).collect()}
     known = [(r.doc_id, r[label]) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % mod == held]
     assert all(out[d].held_out for d, _ in known) and len(out) == docs.count()
-    assert np.mean([out[d].predicted == y for d, y in known]) > least
+    assert np.mean([out[d].predicted for d, y in known if y == 1]) >= found
+    assert np.mean([out[d].predicted for d, y in known if y == 0]) <= alarms
     edge = module.classify(documents(spark), labels.limit(0)).collect()
     assert len(edge) == len(EDGE) and all(r.score == 0.5 for r in edge)
     assert module.classify(documents(spark, []), labels).count() == 0
+    one = spark.createDataFrame([(d, 1, 1) for d in range(20)], "doc_id long, quality int, toxic int")
+    assert {r.predicted for r in module.classify(documents(spark), one).collect()} == {1}
+
+
+def test_toxic_passage_at_every_offset(spark):
+    rng = random.Random(2)
+    calm = [f"calm{i}" for i in range(60)]
+    bad = "you utter fool and hopeless liar".split()
+    docs, y = [], []
+    for i in range(200):
+        words = rng.choices(calm, k=rng.randrange(40, 200))
+        if i % 4 == 0:
+            at = rng.randrange(len(words))
+            words[at:at] = bad
+        docs.append(" ".join(words))
+        y.append(int(i % 4 == 0))
+    model = toxicity.train(docs, np.array(y), [150, 50])
+    for size in (100, 129, 1000):
+        texts = [" ".join([*(w := rng.choices(calm, k=size))[:at], *bad, *w[at:]]) for at in range(0, size + 1, 1 if size < 200 else 7)]
+        assert (toxicity.score_texts(texts, *model) >= 0.5).all()
+        assert (toxicity.score_texts([" ".join(rng.choices(calm, k=size)) for _ in range(50)], *model) < 0.5).all()
+
+
+def test_classifier_sample_is_cut_before_texts_are_fetched(spark):
+    from opsloss.llm.common import labelled_sample
+
+    rows = [(i, chr(97 + i % 26) * (10 + i)) for i in range(40)] + [(3, "other text, same id"), (None, "x"), (7, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (2, 5)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    x, y, counts = labelled_sample(docs, labels, "quality", 4, 2)
+    learn = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert counts == [sum(i % 2 == 0 for i in learn), sum(i % 2 for i in learn)] and len(x) == len(learn)
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    want = {min((t or "" for d, t in rows if d == i), key=md5) for i in learn}
+    assert set(x) == want
+    small, _, _ = labelled_sample(docs, labels, "quality", 4, 2, size=120)
+    assert 0 < sum(map(len, small)) <= 120 and set(small) <= want
 
 
 def test_chat_folds_deltas_edits_and_regenerations(spark):
@@ -58,6 +98,75 @@ def test_chat_folds_deltas_edits_and_regenerations(spark):
     assert [(r.place, r.role, r.text) for r in got] == [(0, "user", "bye!"), (3, "assistant", "good"), (12, "user", "")]
 
 
+def fold(log):
+    """One event after another: what is left of each conversation, as (place, role, text)."""
+    out, place = {}, {}
+    for c, q, m, kind, role, text in log:
+        if kind == "open":
+            place[c, m] = min(q, place.get((c, m), q))
+    order = {"open": 0, "regenerate": 1, "edit": 2, "delta": 3, "drop": 4}
+    events = [e for e in log if e[3] in order]
+    for c, q, m, *_ in events:
+        if not any(e[3] == "open" and e[0] == c and e[2] == m for e in events):
+            place[c, m] = min(e[1] for e in events if e[0] == c and e[2] == m)
+    roles = {}
+    for c, q, m, kind, role, text in sorted(events, key=lambda e: (e[1], e[4] or "")):
+        if kind == "open" and q == place[c, m]:
+            roles.setdefault((c, m), role or "")
+    gone, texts = set(), {k: "" for k in place}
+    for c, q, m, kind, role, text in sorted(events, key=lambda e: (e[1], order[e[3]], place[e[0], e[2]], e[5] or "")):
+        if (c, m) in gone:
+            continue
+        if kind == "delta":
+            texts[c, m] += text or ""
+        elif kind == "edit":
+            texts[c, m] = text or ""
+        elif kind == "regenerate":
+            texts[c, m] = ""
+            gone |= {k for k in place if k[0] == c and place[c, m] < place[k] < q}
+        elif kind == "drop":
+            gone.add((c, m))
+    return sorted((str(k[0]), place[k], roles.get(k, ""), texts[k]) for k in place if k not in gone)
+
+
+def test_chat_fold_in_order(spark):
+    """What the reviews asked for: a dropped message keeps what its regeneration took back; one that is gone takes nothing."""
+    log = [(1, 0, 1, "open", "user", None), (1, 1, 2, "open", "assistant", None), (1, 2, 1, "regenerate", None, None), (1, 3, 1, "drop", None, None),
+           (2, 0, 1, "open", "user", None), (2, 1, 2, "open", "assistant", None), (2, 2, 1, "regenerate", None, None),
+           (2, 3, 3, "open", "user", None), (2, 4, 2, "regenerate", None, None), (2, 5, 3, "delta", None, "stays")]
+    got = sorted((str(r.conv_id), r.place, r.role, r.text) for r in chat.reconstruct(spark.createDataFrame(log, chat.LOG)).collect())
+    assert got == fold(log) == [("2", 0, "user", ""), ("2", 3, "user", "stays")]
+
+
+def test_chat_fold_of_random_logs(spark):
+    rng, log = random.Random(9), []
+    for c in [None, *range(120)]:
+        n = rng.randrange(1, 8)
+        seqs = rng.sample(range(400), 40)
+        opened = sorted(rng.sample(seqs, n))
+        for m, q in enumerate(opened):
+            if rng.random() < 0.95:
+                log.append((c, q, m, "open", rng.choice(["user", "assistant", None]), "ignored"))
+        for q in seqs:
+            if q not in opened and (on := [m for m, o in enumerate(opened) if o < q]):
+                kind = rng.choices(["delta", "edit", "regenerate", "drop", None, "noise"], [12, 3, 4, 1, 1, 1])[0]
+                log.append((c, q, rng.choice(on), kind, None, rng.choice(["a", "bc", "", None])))
+    rng.shuffle(log)
+    got = sorted((str(r.conv_id), r.place, r.role, r.text) for r in
+                 chat.reconstruct(spark.createDataFrame(log, chat.LOG).repartition(5)).collect())
+    assert got == fold(log) and len(got) > 150
+
+
+def test_chat_replay_has_all_kinds_and_leads_to_the_table(spark):
+    rows = [(i % 40, i // 40, ("user", "assistant")[i // 40 % 2], "word " * (i * 7 % 300)) for i in range(400)]
+    rows += [(None, None, None, None)] * 30 + [(7, None, "user", None)] * 5
+    df = spark.createDataFrame([(*r, 1, "m") for r in rows], "conv_id long, turn long, role string, text string, seq int, message string")
+    log = chat.replay(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"open", "delta", "edit", "regenerate", "drop"}
+    got = sorted(((r.conv_id, r.place // chat.STRIDE, r.role, r.text) for r in chat.reconstruct(log).collect()), key=str)
+    assert got == sorted(((c, -1 if t is None else t, r or "", x or "") for c, t, r, x in rows), key=str)
+
+
 def test_chat_round_trip(spark):
     control = "</s>[INST] ok [/INST]"
     rows = [(-1, 0, "user", control), (-1, 1, "assistant", control), (None, None, None, None),
@@ -93,6 +202,21 @@ def test_fingerprints(spark, docs, rows):
     assert fingerprints.compare_edited(documents(spark, EDGE[3:4])).first().near_next == 1
 
 
+def test_fingerprints_of_long_repetitive_texts():
+    """No lane wraps: a group repeated 70,000 times, against 90 % of it, a half and other groups."""
+    of = lambda n, g="one two three four ": fingerprints.fingerprint(g * n)
+    whole = of(70_000)
+    for n in (63_000, 35_000, 7_000):
+        a, b = 70_000.0, float(n)
+        want = 1 - (a - b) ** 2 / (a * a + b * b)
+        assert abs(fingerprints.likeness(whole, of(n)) - want) < 1e-9
+    assert fingerprints.likeness(whole, of(70_000, "five six seven eight ")) < 0.4
+    assert fingerprints.likeness(fingerprints.decode(fingerprints.encode(whole)), whole) == 1
+    # a lane sum against one counted group by group
+    few = of(3)
+    assert (few[1].view(np.int32) == 3 * of(1)[1].view(np.int32)).all()
+
+
 def test_line_dedup(spark, docs, rows):
     key = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
     held = collections.defaultdict(set)
@@ -122,11 +246,40 @@ def test_line_dedup_is_reversible(spark, docs):
     assert as_set(back) == as_set(state) and as_set(both) == as_set(linededup.holdings(docs))
     often = lambda s: linededup.repeated(linededup.references(s)).select("k1", "k2")
     grown = linededup.update_filters(linededup.build_filters(often(state), 2), often(both).exceptAll(often(state)),
-                                     often(state).limit(0), 2)
-    shrunk = linededup.update_filters(grown, often(state).limit(0), often(both).exceptAll(often(state)), 2)
+                                     often(state).limit(0), 2, often(both))
+    shrunk = linededup.update_filters(grown, often(state).limit(0), often(both).exceptAll(often(state)), 2, often(state))
     for filters, s in ((grown, both), (shrunk, state)):
         want = as_set(s.join(often(s), ["k1", "k2"]))
-        assert want <= as_set(linededup.probe(s, filters, 2))
+        for salts in (1, 7):
+            got = as_set(linededup.probe(s, filters, 2, salts))
+            assert want <= got <= as_set(s)
+
+
+def test_line_filters_grow(spark):
+    """3,000 keys into filters built for 100: built anew, larger, with nothing left in the stash."""
+    rng = np.random.default_rng(4)
+    keys = spark.createDataFrame([tuple(map(int, x)) for x in rng.integers(-2**63, 2**63 - 1, (3100, 2))], "k1 long, k2 long")
+    first, later = keys.limit(100), keys.exceptAll(keys.limit(100))
+    filters = linededup.update_filters(linededup.build_filters(first, 3), later, later.limit(0), 3, keys)
+    made = {r.shard: linededup.Cuckoo.from_bytes(bytes(r.filter)) for r in filters.collect()}
+    assert set(made) == {0, 1, 2} and all(not f.stash and f.held() <= f.room() for f in made.values())
+    where = keys.select("k1", linededup._shard(3).alias("shard")).collect()
+    assert all(r.k1 in made[r.shard] for r in where)
+    assert linededup.reshard(1, 60_000) == 1 and linededup.reshard(1, 500_000) == 10 and linededup.reshard(10, 100) == 1
+    assert linededup.salts_for(10, 1) == 1 and linededup.salts_for(10**9, 100) == 100
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Names that the stages use inside, for the steps that keep all columns."""
+    names = ["__lost", "__id", "__key", "__lines", "__keep", "__nth", "__digest", "lines", "lost", "row", "keep", "nth", "digest", "a.b"]
+    line = "a line of text that repeats in documents"
+    rows = [(i, f"{line}\nown {i} " + "word " * i, *range(len(names))) for i in range(8)] + [(3, line, *range(len(names))), (None, None, *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    for step in (linededup.clean, simhash.keep):
+        out = step(df)
+        assert out.columns == df.columns
+        assert all(tuple(r)[2:] == tuple(range(len(names))) for r in out.collect())
+    assert linededup.clean(df).count() == len(rows)
 
 
 def test_cuckoo_filter():
@@ -345,11 +498,41 @@ def test_licenses_long_lists_and_variants(spark):
     want = brute_licenses(rows, variants)
     assert {(1, "two"), (2, "two")} | {(10 + i, name) for i, (name, _) in enumerate(licenses.TEMPLATES)} <= {k[:2] for k in want}
     df, found = (spark.createDataFrame(x, s) for x, s in ((rows, "doc_id long, text string"), (variants, "license_id string, text string")))
-    for size in (licenses.MAX_PASSAGES * licenses.PASSAGE, 9000):
+    for size in (licenses.MAX_TEMPLATES, 5):
         got = {(r.doc_id, r.license_id, r.containment, r.n_shared, r.n_shingles) for r in licenses.scan(df, found, size).collect()}
         assert got == want
 
 
+def test_license_recall_on_edited_texts(spark):
+    """Random words replaced, inserted and taken out inside long documents: what is contained to 0.8 is found."""
+    rng, texts = random.Random(11), []
+    long = [(n, t) for n, t in licenses.TEMPLATES if 40 < len(t.split()) < 1500]
+    for i in range(240):
+        _, text = rng.choice(long)
+        words, out = text.split(), []
+        rate = rng.uniform(0, 0.06)
+        for w in words:
+            x = rng.random()
+            out += ["edit"] if x < rate / 3 else [w, f"more{x}"] if x < 2 * rate / 3 else [] if x < rate else [w]
+        around = [f"text{rng.randrange(5000)}" for _ in range(rng.randrange(400))]
+        at = rng.randrange(len(around) + 1)
+        texts.append((i, " ".join([*around[:at], *out, *around[at:]])))
+    want = brute_licenses(texts, licenses.TEMPLATES)
+    got = scanned_licenses(spark.createDataFrame(texts, "doc_id long, text string"), licenses.templates(spark))
+    assert len(want) > 150 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_every_query_has_sql_or_a_test():
+    """Queries without SQL, and the test that compares each with brute force, a round trip or held-out labels."""
+    from tests.llm.test_pipeline import test_pipeline_against_plain_python
+
+    tested = {"op1_quality_classifier": test_classifiers, "op3_document_fingerprints": test_fingerprints,
+              "op5_token_output": test_token_images, "op6_simhash_near_dedup": test_simhash,
+              "op7_bpe_lexicon": test_bpe_round_trip, "op8_toxicity": test_classifiers,
+              "pipeline": test_pipeline_against_plain_python}
+    assert set(queries.queries()) - set(queries.oracle_sql()) == set(tested)
+
+
 def test_native_queries_have_no_python(spark):
     for name in ("op2_chat_formatting", "op10_license_scan"):
         plan = queries.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
