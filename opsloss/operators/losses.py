@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import minus_hours, ts_literal
@@ -137,10 +137,38 @@ def daily_losses_raw_by_day(event_logs: DataFrame, dims: DataFrame) -> DataFrame
     """M1 for every date at once, with the opt-in upper bound.
 
     Report ``R`` (midnight) covers ``[R - 24h, R)``, i.e. the calendar day
-    before ``R``; the many-date form is a plain group by that day, no range
-    join. The unbounded reference window is only offered per report date
-    (``daily_losses_raw``), since it would pair every event with all later
-    report dates.
+    before ``R``; the many-date form is a plain group by that day.
     """
     ev = event_logs.withColumn("report_date", F.date_add(F.to_date("start_time"), 1))
     return calculate_losses(aggregate_per_operation(ev, "report_date"), dims)
+
+
+def per_operation_since(event_logs: DataFrame) -> DataFrame:
+    """E1 for every report date, window without upper bound (S3): ``report_date``, operation, count, mean, sum.
+
+    Report ``R`` (midnight) covers all events from the day before ``R`` on. Events are first reduced to one partial row
+    for each operation and day; a window that runs from the last day back adds them up (counts and sums
+    of days are additive, so this is exact), and a day's row stands for all report days back to the operation's
+    day before it. Report dates run from the day after the first event to the day after the last one. No event is paired
+    with report dates; an operation's window holds its days, however many events they have.
+    """
+    days = (event_logs.withColumn("_day", F.to_date("start_time")).filter(F.col("_day").isNotNull())
+            .groupBy("operation_name", "_day")
+            .agg(F.count(F.lit(1)).alias("_n"), F.count("duration_seconds").alias("_timed"),
+                 F.sum("duration_seconds").alias("_total")))
+    first = days.agg(F.min("_day").alias("_first"))
+    back = Window.partitionBy("operation_name").orderBy(F.desc("_day"))
+    upto = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since = days.withColumns({"_n": F.sum("_n").over(upto), "_timed": F.sum("_timed").over(upto),
+                              "_total": F.sum("_total").over(upto), "_before": F.lead("_day").over(back)})
+    gap = F.sequence(F.date_add(F.coalesce("_before", F.date_sub("_first", 1)), 1), F.col("_day"))
+    return since.crossJoin(F.broadcast(first)).select(          # one row on the right
+        F.explode(gap).alias("_d"), "operation_name", "_n", "_timed", "_total").select(
+        F.date_add("_d", 1).alias("report_date"), "operation_name", F.col("_n").alias("event_count"),
+        F.try_divide(F.col("_total").cast("double"), F.col("_timed").cast("double")).alias("avg_duration_sec"),
+        F.col("_total").cast("bigint").alias("total_duration_sec"))
+
+
+def daily_losses_raw_every_date(event_logs: DataFrame, dims: DataFrame) -> DataFrame:
+    """M1 for every report date at once, with the reference's unbounded window."""
+    return calculate_losses(per_operation_since(event_logs), dims)

@@ -2,47 +2,57 @@
 
 The remote text generation and chat delivery are not built; what is built
 is the text each of them is fed with, for every anomaly and every report,
-as ordinary columns (F17), in a form of our own: ``name=value`` facts. The
-number formats are fixed: ``.0f`` seconds, ``.1f`` minutes, ``,.2f`` money.
+as ordinary columns (F17): the columns of ``reports.top_anomalies`` in their
+order, each as ``column=value``. The number formats are fixed: ``.0f``
+seconds, ``,.2f`` money, ``.1f`` minutes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import formatting as fmt
 
 
-def _fact(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f"{name}="), value)
+def _plain(column: str) -> Column:
+    return F.col(column).cast("string")
+
+
+# The format of each column of top_anomalies that a text may hold.
+FORMATS: dict[str, Callable[[str], Column]] = {
+    "operation_name": _plain,
+    "avg_duration_sec": fmt.whole,
+    "norm_seconds": _plain,
+    "delta_sec": fmt.whole,
+    "hourly_rate": fmt.money,
+    "total_loss": fmt.money,
+    "event_count": _plain,
+}
+
+
+def facts(columns: Iterable[str]) -> list[Column]:
+    """``column=value`` for each of the columns, in the order given."""
+    return [F.concat(F.lit(f"{c}="), FORMATS[c](c)) for c in columns]
 
 
 def prompt_text() -> Column:
-    """The facts of one anomaly row (columns of ``top_anomalies``) as ``name=value`` pairs."""
-    mean, norm = F.col("avg_duration_sec"), F.col("norm_seconds")
-    return F.concat_ws(
-        "; ",
-        _fact("loss", fmt.money("total_loss")),
-        _fact("events", F.col("event_count").cast("string")),
-        _fact("over_norm_s", fmt.whole("delta_sec")),
-        _fact("norm_s", norm.cast("string")),
-        _fact("norm_min", fmt.one_decimal(norm.cast("double") / F.lit(60.0))),
-        _fact("mean_s", fmt.whole(mean)),
-        _fact("mean_min", fmt.one_decimal(mean / F.lit(60.0))),
-        _fact("operation", F.col("operation_name")),
-    )
+    """One anomaly row as text: all its facts, then its two durations in minutes."""
+    minutes = [F.concat(F.lit(f"{label}="), fmt.one_decimal(F.col(c).cast("double") / F.lit(60.0)))
+               for label, c in (("avg_duration_min", "avg_duration_sec"), ("norm_min", "norm_seconds"))]
+    return F.concat_ws("; ", *facts(FORMATS), *minutes)
 
 
 def fallback_text() -> Column:
     """Deterministic text used when no generated hypotheses are available."""
-    return F.concat_ws("; ", F.lit("cause=unknown"), _fact("over_norm_s", fmt.whole("delta_sec")),
-                       _fact("operation", F.col("operation_name")))
+    return F.concat_ws("; ", *facts(["operation_name", "delta_sec"]), F.lit("cause=unknown"))
 
 
 def caption_text(total_loss: Column | str = "total_loss") -> Column:
     """Delivery caption with the report's total loss."""
-    return _fact("total_loss", fmt.money(total_loss))
+    return F.concat(F.lit("total_loss="), fmt.money(total_loss))
 
 
 def anomaly_prompts(anomalies: DataFrame, key: str = "report_date") -> DataFrame:

@@ -44,6 +44,14 @@ def stamp_snapshot(df: DataFrame, synced_at, column: str = "updated_at") -> Data
     return df.withColumn(column, ts_literal(synced_at))
 
 
-def last_write_per_key(df: DataFrame, key: str | Sequence[str], load_col: str = "load_id") -> DataFrame:
-    """C2 for appended marts: the rows of the latest load per sort key."""
-    return latest_by_key(df, key, version=load_col)
+def changed_rows(src: DataFrame, log: DataFrame, key: str, version: str = "updated_at") -> DataFrame:
+    """Rows of a source snapshot that the log's latest versions do not hold (new keys and changed values).
+
+    Source and latest view are compared by all columns, nulls equal, in one join on the key; keys missing
+    from the source are kept as they are (S17: deletes do not propagate)."""
+    latest = latest_by_key(log, key, version).select(*[F.col(c).alias(f"_old_{c}") for c in src.columns])
+    same = F.col(key) == F.col(f"_old_{key}")
+    for c in src.columns:
+        if c != key:
+            same = same & F.col(c).eqNullSafe(F.col(f"_old_{c}"))
+    return src.join(latest, same, "left_anti")

@@ -8,16 +8,19 @@ data. Column names are aliased identically on both sides.
 from __future__ import annotations
 
 import datetime as _dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampNTZType
 
 from .. import schemas as S
 from ..functions.rounding import round_n
 from ..functions.rounding import sql_round_n as R
 from ..operators import calibration as C
 from ..operators import equipment as E
+from ..operators import histogram as H
 from ..operators import joins as J
 from ..operators import losses as L
 from ..operators import narrative as N
@@ -28,12 +31,14 @@ from ..session import fresh_dir
 from ..sources import adapters as A
 from ..sources import dims as D
 from ..sources import ingest as I
+from ..sources import snapshots as SN
 from ..sources import storage as ST
 from ..sources import tables as T
 from ..streaming import aggregates as SA
 from ..streaming import ingest as SI
 from . import jobs as JB
 from . import oracle as O
+from . import requests as RQ
 from .models import Models
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,6 +154,27 @@ register("daily_losses_raw_bounded_by_day", O.with_(O.base_ctes(upto="dims") + [
     _raw_by_day)
 register("daily_losses_raw_lineitem", _raw_sql("lineitem"))(_raw("lineitem"))
 
+# Every report date, each with its own window without upper bound.
+RAW_ALL_CTES = O.base_ctes(upto="dims") + [
+    ("dates", """
+  SELECT cast(unnest(generate_series(min(cast(start_time as date)) + 1, max(cast(start_time as date)) + 1,
+                                     INTERVAL 1 DAY)) as date) AS report_date FROM event_logs"""),
+    ("per_op", """
+  SELECT report_date, operation_name, cast(count(*) as bigint) AS event_count,
+         avg(duration_seconds) AS avg_duration_sec,
+         cast(sum(duration_seconds) as bigint) AS total_duration_sec
+  FROM dates JOIN event_logs ON start_time >= cast(report_date as timestamp) - INTERVAL 24 HOURS
+  GROUP BY report_date, operation_name"""),
+    ("losses", RAW_SELECT.replace("SELECT p.operation_name", "SELECT p.report_date, p.operation_name", 1))]
+
+
+def _raw_all(spark, d, source="events"):
+    m = _m(spark, d, source)
+    return Rp.losses_raw(m.event_logs, m.dims)
+
+
+register("daily_losses_raw_every_date", O.with_(RAW_ALL_CTES, "SELECT * FROM losses"))(_raw_all)
+
 
 # ================================================================ equipment
 
@@ -238,6 +264,10 @@ register("top_anomalies_raw", O.with_(raw_report_ctes() + [("top", TOP)], "SELEC
     lambda spark, d: Rp.top_anomalies(_raw_losses(spark, d), TOP_N))
 
 
+register("top_anomalies_raw_every_date", O.with_(RAW_ALL_CTES + [("top", TOP)], "SELECT * FROM top"))(
+    lambda spark, d: Rp.build_daily_report("raw", None, TOP_N, event_logs=_m(spark, d).event_logs, dims=_m(spark, d).dims).anomalies)
+
+
 def _pulse(spark, d):
     return Rp.report_pulse(_marts_losses(spark, d), TOP_N)
 
@@ -266,13 +296,14 @@ def _analysis(spark, d):
 
 
 TOP_ROW = ("t1", "  SELECT * FROM top WHERE rank = 1")
+FALLBACK = f"'operation_name=' || operation_name || '; delta_sec=' || {whole_sql('delta_sec')} || '; cause=unknown'"
 ANALYSIS = f"""
-  SELECT report_date, 1 AS line_no, 'loss=' || {money_sql('total_loss')} AS line FROM t1
-  UNION ALL SELECT report_date, 2, 'norm_s=' || cast(norm_seconds as varchar) FROM t1
-  UNION ALL SELECT report_date, 3, 'mean_s=' || {whole_sql('avg_duration_sec')} FROM t1
-  UNION ALL SELECT report_date, 4, 'operation=' || operation_name FROM t1
-  UNION ALL
-  SELECT report_date, 5, 'cause=unknown; over_norm_s=' || {whole_sql('delta_sec')} || '; operation=' || operation_name FROM t1
+  SELECT report_date, 1 AS line_no, 'operation_name=' || operation_name AS line FROM t1
+  UNION ALL SELECT report_date, 2, 'avg_duration_sec=' || {whole_sql('avg_duration_sec')} FROM t1
+  UNION ALL SELECT report_date, 3, 'norm_seconds=' || cast(norm_seconds as varchar) FROM t1
+  UNION ALL SELECT report_date, 4, 'delta_sec=' || {whole_sql('delta_sec')} FROM t1
+  UNION ALL SELECT report_date, 5, 'total_loss=' || {money_sql('total_loss')} FROM t1
+  UNION ALL SELECT report_date, 6, {FALLBACK} FROM t1
   UNION ALL
   SELECT report_date, 1, 'anomalies=0' FROM totals
   WHERE report_date NOT IN (SELECT report_date FROM t1)"""
@@ -283,17 +314,16 @@ register("report_analysis_lines", O.with_(marts_report_ctes() + [TOP_ROW], ANALY
 
 register("anomaly_prompt_text", O.with_(marts_report_ctes(), f"""
   SELECT report_date, rank, operation_name,
-         'loss=' || {money_sql('total_loss')} || '; events=' || cast(event_count as varchar)
-         || '; over_norm_s=' || {whole_sql('delta_sec')} || '; norm_s=' || cast(norm_seconds as varchar)
-         || '; norm_min=' || {one_decimal_sql('cast(norm_seconds as double) / 60.0::double')}
-         || '; mean_s=' || {whole_sql('avg_duration_sec')}
-         || '; mean_min=' || {one_decimal_sql('avg_duration_sec / 60.0::double')}
-         || '; operation=' || operation_name AS prompt_text
+         'operation_name=' || operation_name || '; avg_duration_sec=' || {whole_sql('avg_duration_sec')}
+         || '; norm_seconds=' || cast(norm_seconds as varchar) || '; delta_sec=' || {whole_sql('delta_sec')}
+         || '; hourly_rate=' || {money_sql('hourly_rate')} || '; total_loss=' || {money_sql('total_loss')}
+         || '; event_count=' || cast(event_count as varchar)
+         || '; avg_duration_min=' || {one_decimal_sql('avg_duration_sec / 60.0::double')}
+         || '; norm_min=' || {one_decimal_sql('cast(norm_seconds as double) / 60.0::double')} AS prompt_text
   FROM top"""))(lambda spark, d: N.anomaly_prompts(Rp.top_anomalies(_marts_losses(spark, d), TOP_N)))
 
 register("anomaly_fallback_text", O.with_(marts_report_ctes(), f"""
-  SELECT report_date, rank, operation_name,
-         'cause=unknown; over_norm_s=' || {whole_sql('delta_sec')} || '; operation=' || operation_name AS fallback_text
+  SELECT report_date, rank, operation_name, {FALLBACK} AS fallback_text
   FROM top"""))(lambda spark, d: N.anomaly_fallbacks(Rp.top_anomalies(_marts_losses(spark, d), TOP_N)))
 
 register("report_caption", O.with_(marts_report_ctes(), f"""
@@ -565,78 +595,180 @@ register("dq_violations", O.with_(O.base_ctes(upto="event_logs") + O.telemetry_c
 
 
 
-def _event_batches(spark, d) -> str:
-    path = fresh_dir(spark, "requests_events")
-    I.write_event_batches(T.table(spark, d, "events"), path)
+def _requests(spark, d, kind: str) -> str:
+    path = fresh_dir(spark, f"requests_{kind}")
+    write = RQ.write_event_requests if kind == "events" else RQ.write_reading_requests
+    write(T.table(spark, d, "events"), path)
     return path
 
 
-def _reading_batches(spark, d) -> str:
-    path = fresh_dir(spark, "requests_readings")
-    I.write_reading_batches(T.table(spark, d, "events"), path)
-    return path
+def _judged(spark, d, kind):
+    return I.validated(I.read_lines(spark, _requests(spark, d, kind)), kind)
+
+
+TELEMETRY_BATCHED = O.TELEMETRY.replace("SELECT ts,", f"SELECT event_id // {RQ.ROWS} AS batch_id, ts,", 1)
+EVENTS_BATCHED = ("SELECT event_id // {} AS batch_id, event_logs.* FROM event_logs JOIN "
+                  "(SELECT event_id, 'CASE-' || lpad(cast(event_id as varchar), cast(greatest({}, length(cast(event_id as varchar))) as integer), '0') AS case_id "
+                  "FROM events) USING (case_id)").format(RQ.ROWS, A.CASE_WIDTH)
 
 
-def _validated_readings(spark, d):
-    return I.validate(I.read_batches(spark, _reading_batches(spark, d), S.READING_BATCH),
-                      "readings", S.READING_REQUIRED)
+def _judged_sql(table: str, missing: str, null: str) -> str:
+    """What becomes of each request: NULL, or why it is rejected, and how many rows it says to have."""
+    rule = lambda r: f"batch_id % {r[0]} = {r[1]}"
+    return f"""
+  SELECT batch_id, CASE WHEN {rule(RQ.CUT)} THEN 'corrupt' WHEN {rule(RQ.EMPTY)} THEN 'empty'
+           WHEN count(*) FILTER (WHERE {missing}) > 0 THEN 'missing_required'
+           WHEN {rule(RQ.NULLS)} AND count(*) FILTER (WHERE {null}) > 0 THEN 'null_value' END AS reject_reason,
+         CASE WHEN {rule(RQ.CUT)} OR {rule(RQ.EMPTY)} THEN 0 ELSE count(*) END AS row_count
+  FROM {table} GROUP BY batch_id"""
 
 
-TELEMETRY_BATCHED = O.TELEMETRY.replace("SELECT ts,", "SELECT event_id // 100 AS batch_id, ts,", 1)
-BAD_BATCHES = """
-  SELECT batch_id, cast(count(*) as bigint) AS row_count FROM tb GROUP BY batch_id
-  HAVING count(*) FILTER (WHERE metric_value IS NULL) > 0"""
+HAS_DEFAULT = " OR ".join(f"{f} = {v!r}" for f, v in S.READING_DEFAULTS.items())
+READING_CTES = [("tb", TELEMETRY_BATCHED), ("judged", _judged_sql("tb", "metric_value IS NULL", HAS_DEFAULT))]
+EVENT_CTES = O.base_ctes(upto="event_logs") + [("eb", EVENTS_BATCHED), ("judged", _judged_sql("eb", "false", "false"))]
 TEL_COLS = ", ".join(f"date_trunc('millisecond', ts) AS ts" if f.name == "ts" else f.name
                      for f in S.TELEMETRY.fields)
 EVT_COLS = ", ".join(f"date_trunc('second', {f.name}) AS {f.name}" if f.name in ("start_time", "end_time")
                      else f.name for f in S.EVENT_LOGS.fields)
+IN_EVENTS = f"SELECT {EVT_COLS}%s FROM eb WHERE batch_id IN (SELECT batch_id FROM judged WHERE reject_reason IS NULL)"
+IN_READINGS = f"SELECT {TEL_COLS}%s FROM tb WHERE batch_id IN (SELECT batch_id FROM judged WHERE reject_reason IS NULL)"
+REJECTS = """
+  SELECT CASE WHEN reject_reason <> 'corrupt' THEN batch_id END AS batch_id,
+         cast(CASE WHEN reject_reason <> 'corrupt' THEN 0 END as bigint) AS batch_part, reject_reason,
+         cast(row_count as bigint) AS row_count
+  FROM judged WHERE reject_reason IS NOT NULL"""
+
+register("ingest_events_json", O.with_(EVENT_CTES, IN_EVENTS % ""))(
+    lambda spark, d: I.accepted(_judged(spark, d, "events"), "events"))
+register("ingest_telemetry_defaults", O.with_(READING_CTES, IN_READINGS % ""))(
+    lambda spark, d: I.accepted(_judged(spark, d, "readings"), "readings"))
+register("ingest_rejects", O.with_(READING_CTES, REJECTS))(
+    lambda spark, d: I.rejected(_judged(spark, d, "readings"), "readings"))
+
+
+def _ingest_again(spark, d):
+    """A1-A4 with a broken first run (data written, never published), a run, a repeated run and a late file."""
+    wh, landing = JB.new_warehouse(spark), fresh_dir(spark, "landing")
+    events = T.table(spark, d, "events")
+    half = F.expr(f"event_id div {RQ.ROWS}") % 2 == 0
+    RQ.write_reading_requests(events.filter(half), landing)
+    publish = SN.publish
+    try:
+        SN.publish = _broken
+        JB.ingest_job(spark, landing, wh, "readings")
+    except RuntimeError:
+        pass
+    finally:
+        SN.publish = publish
+    runs = [JB.ingest_job(spark, landing, wh, "readings"), JB.ingest_job(spark, landing, wh, "readings")]
+    RQ.write_reading_requests(events.filter(~half), landing)
+    runs.append(JB.ingest_job(spark, landing, wh, "readings"))
+    stored = JB.read_telemetry(spark, wh.path("raw", I.TABLES["readings"])).agg(F.count("*").alias("stored_rows"))
+    rejects = JB.ingest_rejects(spark, wh, "readings").agg(F.count("*").alias("stored_rejects"))
+    said = [(i + 1, r["inserted"], r["rejected_batches"]) for i, r in enumerate(runs)]
+    runs = spark.createDataFrame(said, "run int, inserted long, rejected_batches long")
+    return runs.crossJoin(F.broadcast(stored)).crossJoin(F.broadcast(rejects))
+
+
+def _broken(*args, **kwargs):
+    raise RuntimeError("the first run fails before it publishes")
+
+
+register("ingest_job_repeated", O.with_(READING_CTES, """
+  SELECT run, cast(coalesce(sum(row_count) FILTER (WHERE reject_reason IS NULL AND batch_id % 2 = part), 0) as bigint) AS inserted,
+         cast(count(*) FILTER (WHERE reject_reason IS NOT NULL AND batch_id % 2 = part) as bigint) AS rejected_batches,
+         cast(sum(row_count) FILTER (WHERE reject_reason IS NULL) as bigint) AS stored_rows,
+         cast(count(*) FILTER (WHERE reject_reason IS NOT NULL) as bigint) AS stored_rejects
+  FROM judged, (VALUES (1, 0), (2, -1), (3, 1)) AS r(run, part) GROUP BY run"""))(_ingest_again)
+
+
+def _streamed(spark, d, kind):
+    return SI.stream_ingest(spark, _requests(spark, d, kind), fresh_dir(spark, f"stream_ingest_{kind}"), kind)[0]
+
+
+register("stream_event_ingest", O.with_(EVENT_CTES, IN_EVENTS % ", strftime(start_time, '%Y%m') AS month"))(
+    lambda spark, d: SI.ingested_rows(spark, _streamed(spark, d, "events"), "events"))
+register("stream_telemetry_ingest", O.with_(READING_CTES, IN_READINGS % ", strftime(ts, '%Y%m') AS month"))(
+    lambda spark, d: SI.ingested_rows(spark, _streamed(spark, d, "readings"), "readings"))
+register("stream_ingest_rejects", O.with_(READING_CTES, REJECTS))(
+    lambda spark, d: SI.ingested_rejects(spark, _streamed(spark, d, "readings"), "readings"))
+
+
+def _stream_counts(spark, d):
+    """A3: what two runs of one stream say they took in; the second finds the other half of the requests."""
+    landing, out = fresh_dir(spark, "landing"), fresh_dir(spark, "stream_counts")
+    events = T.table(spark, d, "events")
+    half, said = F.expr(f"event_id div {RQ.ROWS}") % 2 == 0, []
+    for run, part in ((1, half), (2, ~half)):
+        RQ.write_reading_requests(events.filter(part), landing)
+        _, n = SI.stream_ingest(spark, landing, out, "readings")
+        said.append((run, n["inserted"], n["rejected_batches"]))
+    return spark.createDataFrame(said, "run int, inserted long, rejected_batches long")
+
+
+register("stream_ingest_counts", O.with_(READING_CTES, """
+  SELECT run, cast(coalesce(sum(row_count) FILTER (WHERE reject_reason IS NULL AND batch_id % 2 = part), 0) as bigint) AS inserted,
+         cast(count(*) FILTER (WHERE reject_reason IS NOT NULL AND batch_id % 2 = part) as bigint) AS rejected_batches
+  FROM judged, (VALUES (1, 0), (2, 1)) AS r(run, part) GROUP BY run"""))(_stream_counts)
 
-register("ingest_events_json", O.with_(O.base_ctes(upto="event_logs"), f"SELECT {EVT_COLS} FROM event_logs"))(
-    lambda spark, d: I.accepted_events(I.validate(
-        I.read_batches(spark, _event_batches(spark, d), S.EVENT_BATCH), "rows", S.EVENT_REQUIRED)))
+register("stream_equipment_health", O.with_(O.telemetry_ctes("health"), "SELECT * FROM health"))(
+    lambda spark, d: SA.stream_equipment_health(spark, d))
 
-register("ingest_telemetry_defaults", O.with_(
-    [("tb", TELEMETRY_BATCHED), ("bad", BAD_BATCHES)],
-    f"SELECT {TEL_COLS} FROM tb WHERE batch_id NOT IN (SELECT batch_id FROM bad)"))(
-    lambda spark, d: I.accepted_readings(_validated_readings(spark, d)))
+register("stream_daily_losses", O.with_(O.base_ctes(), "SELECT * FROM mart"))(
+    lambda spark, d: SA.stream_daily_losses(spark, d, _m(spark, d).dims))
 
-register("ingest_rejects", O.with_(
-    [("tb", TELEMETRY_BATCHED), ("bad", BAD_BATCHES)],
-    "SELECT batch_id, cast(0 as bigint) AS batch_part, 'missing_required' AS reject_reason, row_count FROM bad"))(
-    lambda spark, d: I.rejected(_validated_readings(spark, d), "readings"))
 
+def _day_parts(spark, d, kind):
+    """The events in four parts by day, newest first; yields after each part is in the landing folder."""
+    ev, src = T.table(spark, d, "events"), fresh_dir(spark, f"{kind}_in")
+    cuts = [None, _dt.datetime(2024, 1, 8), _dt.datetime(2024, 1, 15), _dt.datetime(2024, 1, 23), None]
+    for lo, hi in reversed(list(zip(cuts, cuts[1:]))):
+        part = ev if lo is None else ev.filter(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
+        part = part if hi is None else part.filter(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
+        part.write.mode("append").parquet(src)
+        yield SA.file_stream(spark, src, ev.schema)
 
-def _stream_ingest(kind):
-    def q(spark, d):
-        batches = _event_batches(spark, d) if kind == "events" else _reading_batches(spark, d)
-        root = SI.stream_ingest(spark, batches, fresh_dir(spark, f"stream_ingest_{kind}"), kind)
-        return SI.ingested_rows(spark, root, kind)
-    return q
+
+def _stream_late(spark, d):
+    """J3 over four runs, the newest days first, so that every later run brings late readings only."""
+    out = fresh_dir(spark, "stream_late_out")
+    for stream in _day_parts(spark, d, "stream_late"):
+        SA.run_health(stream, out, fold_at=2)
+    return SA.health_mart(spark, out)
 
 
-def _stream_rejects(spark, d):
-    root = SI.stream_ingest(spark, _reading_batches(spark, d), fresh_dir(spark, "stream_ingest_rej"), "readings")
-    return SI.ingested_rejects(spark, root, "readings")
+register("stream_health_late_days", O.with_(O.telemetry_ctes("health"), "SELECT * FROM health"))(_stream_late)
 
 
-register("stream_event_ingest", O.with_(O.base_ctes(upto="event_logs"),
-         f"SELECT {EVT_COLS}, strftime(start_time, '%Y%m') AS month FROM event_logs"))(_stream_ingest("events"))
+def _stream_restated(spark, d):
+    """J4 over four runs of late days; between them all norms and a rate change and one operation has no norm, and the
+    last refresh has the true dimensions again."""
+    out, dims = fresh_dir(spark, "stream_restated"), _m(spark, d).dims
+    worse = (dims.withColumn("norm_seconds", F.floor(F.col("norm_seconds") / 2).cast("int"))
+             .withColumn("hourly_rate", F.col("hourly_rate") + 1).filter(F.col("operation_name") != "view"))
+    for i, stream in enumerate(_day_parts(spark, d, "stream_restated")):
+        SA.run_losses(stream, out, fold_at=2)
+        SA.refresh_losses(spark, out, worse if i == 1 else dims)
+    SA.refresh_losses(spark, out, worse)
+    SA.refresh_losses(spark, out, dims)
+    return SA.losses_mart(spark, out)
 
-register("stream_telemetry_ingest", O.with_(
-    [("tb", TELEMETRY_BATCHED), ("bad", BAD_BATCHES)],
-    f"SELECT {TEL_COLS}, strftime(ts, '%Y%m') AS month FROM tb "
-    "WHERE batch_id NOT IN (SELECT batch_id FROM bad)"))(_stream_ingest("readings"))
 
-register("stream_ingest_rejects", O.with_(
-    [("tb", TELEMETRY_BATCHED), ("bad", BAD_BATCHES)],
-    "SELECT batch_id, cast(0 as bigint) AS batch_part, 'missing_required' AS reject_reason, row_count FROM bad"))(
-    _stream_rejects)
+register("stream_losses_changed_norms", O.with_(O.base_ctes(), "SELECT * FROM mart"))(_stream_restated)
 
-register("stream_equipment_health", O.with_(O.telemetry_ctes("health"), "SELECT * FROM health"))(
-    lambda spark, d: SA.stream_equipment_health(spark, d))
 
-register("stream_daily_losses", O.with_(O.base_ctes(), "SELECT * FROM mart"))(
-    lambda spark, d: SA.stream_daily_losses(spark, d, _m(spark, d).dims))
+def _stream_calibration(spark, d):
+    """E6 from the streamed histogram alone: no fact is read again."""
+    out = fresh_dir(spark, "stream_calibration")
+    for stream in _day_parts(spark, d, "stream_calibration"):
+        SA.run_losses(stream, out, fold_at=1)
+    return C.norm_calibration(H.calibration_stats(SA.histogram(spark, out), *CALIBRATION["events"]), _m(spark, d).stg_norms)
+
+
+register("norm_calibration_from_histogram", _calibration_sql(NORM_CALIBRATION_FINAL))(_stream_calibration)
+
+register("mart_daily_losses_from_histogram_lineitem", O.with_(O.base_ctes("lineitem"), "SELECT * FROM mart"))(
+    lambda spark, d: H.mart_daily_losses(H.daily_histogram(_m(spark, d, "lineitem").stg_events), _m(spark, d, "lineitem").dims))
 
 
 # ================================================================ dimension load and versioning
@@ -670,33 +802,47 @@ register("latest_order_per_customer", """
         "o_custkey", version="o_orderdate", tiebreak=["o_orderkey"], keep_version=True))
 
 
+def _sync_log(spark, log, src, at):
+    """One sync of a source dimension into its log: the rows that are new or differ."""
+    schema = StructType(list(src.schema.fields) + [StructField("updated_at", TimestampNTZType())])
+    new = V.stamp_snapshot(V.changed_rows(src, SN.read(spark, log, schema), src.columns[0]), at)
+    parts = SN.stage(new, log)
+    SN.update(spark, log, lambda base: ((*base.parts, *parts), None))
+    return SN.read(spark, log, schema)
+
+
 def _resync(spark, d):
-    """C3 + A10 + S17: two snapshots of a source dimension appended to a
-    versioned log; the second misses the rows deleted at source. The latest
-    view keeps every row, at its newest version."""
+    """C3 + A10 + S17: two syncs of a source dimension; the second misses the rows deleted at source and changes nothing.
+    The latest view keeps every row, and the log has not grown."""
     src = T.table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     log = fresh_dir(spark, "dim_customer_log")
-    V.stamp_snapshot(src, SYNC_TIMES[0]).write.mode("append").parquet(log)
-    V.stamp_snapshot(src.filter(F.col("c_acctbal") >= 0), SYNC_TIMES[1]).write.mode("append").parquet(log)
-    return V.latest_by_key(spark.read.parquet(log), "c_custkey")
+    _sync_log(spark, log, src, SYNC_TIMES[0])
+    rows = _sync_log(spark, log, src.filter(F.col("c_acctbal") >= 0), SYNC_TIMES[1])
+    n = rows.agg(F.count("*").alias("log_rows"))
+    return V.latest_by_key(rows, "c_custkey").crossJoin(F.broadcast(n))
 
 
 register("dims_resync_idempotent",
-         "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")(_resync)
+         "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, count(*) OVER () AS log_rows FROM customer")(_resync)
 
 
 def _resync_changed(spark, d):
-    """The second snapshot carries other values, so the older version must lose."""
+    """Three syncs; the second one carries other values for some rows, the third some of those again. The log holds
+    the changed rows only, the latest view the last values."""
     src = T.table(spark, d, "customer").select("c_custkey", "c_acctbal")
     log = fresh_dir(spark, "dim_customer_changed")
-    later = src.filter(F.col("c_acctbal") >= 0).withColumn("c_acctbal", F.col("c_acctbal") - 10000.0)
-    V.stamp_snapshot(later, SYNC_TIMES[1]).write.mode("append").parquet(log)
-    V.stamp_snapshot(src, SYNC_TIMES[0]).write.mode("append").parquet(log)
-    return V.latest_by_key(spark.read.parquet(log), "c_custkey")
+    _sync_log(spark, log, src, SYNC_TIMES[0])
+    less = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") - 10000.0).otherwise(F.col("c_acctbal"))
+    _sync_log(spark, log, src.withColumn("c_acctbal", less), SYNC_TIMES[1])
+    back = F.when(F.col("c_acctbal") >= 5000, F.col("c_acctbal")).otherwise(less)
+    rows = _sync_log(spark, log, src.withColumn("c_acctbal", back), SYNC_TIMES[1] + _dt.timedelta(days=1))
+    n = rows.agg(F.count("*").alias("log_rows"))
+    return V.latest_by_key(rows, "c_custkey").crossJoin(F.broadcast(n))
 
 
 register("dims_resync_changed", """
-  SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal - 10000.0::double ELSE c_acctbal END AS c_acctbal
+  SELECT c_custkey, CASE WHEN c_acctbal >= 0 AND c_acctbal < 5000 THEN c_acctbal - 10000.0::double ELSE c_acctbal END AS c_acctbal,
+         (SELECT count(*) + count(*) FILTER (WHERE c_acctbal >= 0) + count(*) FILTER (WHERE c_acctbal >= 5000) FROM customer) AS log_rows
   FROM customer""")(_resync_changed)
 
 
@@ -840,19 +986,27 @@ RETENTION_ASOF = _dt.datetime(2025, 1, 15, 12, 0)
 
 
 def _partition_rewrite(spark, d):
-    """The full mart is written, then one month is rebuilt from the
-    facts of that month only; dynamic overwrite must leave every other month."""
+    """The full mart is written, then one month is rebuilt from its facts without those of one ship mode; all
+    other months must keep their rows, and a reader of the old version still sees all of it."""
     m = _m(spark, d, "lineitem")
     wh = JB.new_warehouse(spark)
-    ST.overwrite_partitions(m.mart_daily_losses, wh.mart_losses, "mart_daily_losses")
-    nxt = (REWRITE_MONTH.replace(day=28) + _dt.timedelta(days=4)).replace(day=1)
-    month = m.mart_daily_losses.filter((F.col("event_date") >= F.lit(REWRITE_MONTH)) &
-                                       (F.col("event_date") < F.lit(nxt)))
-    ST.overwrite_partitions(month, wh.mart_losses, "mart_daily_losses")
-    return JB.read_mart(spark, wh.mart_losses, S.MART_DAILY_LOSSES)
+    JB.build_marts(m, wh)
+    before = JB.read_mart(spark, wh.mart_losses, S.MART_DAILY_LOSSES)
+    fewer = A.lineitem_to_event_logs(T.table(spark, d, "lineitem").filter("l_linenumber > 2"))
+    JB.build_marts(Models(spark, d, "lineitem", event_logs=fewer), wh, REWRITE_MONTH, REWRITE_MONTH)
+    return JB.read_mart(spark, wh.mart_losses, S.MART_DAILY_LOSSES).withColumn("version", F.lit("new")).unionByName(
+        before.withColumn("version", F.lit("old")))
 
 
-register("mart_partition_rewrite", O.with_(O.base_ctes("lineitem"), "SELECT * FROM mart"))(_partition_rewrite)
+IN_MONTH = f"strftime(event_date, '%Y%m') = '{REWRITE_MONTH:%Y%m}'"
+FEWER = [(f"fewer_{n}" if n in ("event_logs", "stg_events", "enriched", "mart") else n,
+          re.sub(r"\b(event_logs|stg_events|enriched)\b", r"fewer_\1", q).replace("FROM lineitem", "FROM lineitem WHERE l_linenumber > 2"))
+         for n, q in O.base_ctes("lineitem")]
+register("mart_partition_rewrite", O.with_(
+    O.base_ctes("lineitem") + [c for c in FEWER if c[0].startswith("fewer_")], f"""
+  SELECT *, 'old' AS version FROM mart
+  UNION ALL SELECT *, 'new' FROM mart WHERE NOT ({IN_MONTH})
+  UNION ALL SELECT *, 'new' FROM fewer_mart WHERE {IN_MONTH}"""))(_partition_rewrite)
 
 
 REBUILD_BEFORE = _dt.date(1997, 1, 1)
@@ -872,23 +1026,6 @@ register("mart_rebuild_from_fewer_facts", O.with_(
     O.base_ctes("lineitem"), f"SELECT * FROM mart WHERE event_date < DATE '{REBUILD_BEFORE}'"))(_rebuild)
 
 
-def _stream_late(spark, d):
-    """J3 over four runs, the newest days first, so that every later run brings late readings only."""
-    ev = T.table(spark, d, "events")
-    src, out = fresh_dir(spark, "stream_late_in"), fresh_dir(spark, "stream_late_out")
-    cuts = [None, _dt.datetime(2024, 1, 8), _dt.datetime(2024, 1, 15), _dt.datetime(2024, 1, 23), None]
-    for lo, hi in reversed(list(zip(cuts, cuts[1:]))):
-        part = ev if lo is None else ev.filter(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
-        part = part if hi is None else part.filter(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
-        part.write.mode("append").parquet(src)
-        SA.run_update_stream(SA.health_stats_stream(SA.file_stream(spark, src, ev.schema)),
-                             f"{out}/data", f"{out}/_checkpoint", E.STATS_KEYS, compact_every=3)
-    return SA.health_mart(spark, out)
-
-
-register("stream_health_late_days", O.with_(O.telemetry_ctes("health"), "SELECT * FROM health"))(_stream_late)
-
-
 def _retention(spark, d):
     wh = JB.new_warehouse(spark)
     path = wh.path("raw", "scada_telemetry")

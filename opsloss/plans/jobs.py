@@ -5,7 +5,8 @@ rebuild the touched mart months, run the data-quality checks and gate, then
 write the report tables. Every intermediate result that later steps read is
 a written table under the warehouse root (a folder in the shared
 ``spark.checkpoint.dir`` unless given), so a lost executor costs a task
-retry, and a failed job is rerun from its last written table.
+retry. Facts, dimensions and marts are snapshot tables: a step's rows become
+visible at once when it is complete, and a failed job is simply run again.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from ..operators import narrative as N
 from ..operators import versioning as V
 from ..operators import joins as J
 from ..session import fresh_dir
+from ..sources import snapshots as SN
 from ..sources import storage as ST
 from .models import Models
 
@@ -57,53 +59,76 @@ def new_warehouse(spark: SparkSession) -> Warehouse:
 
 
 def create_tables(spark: SparkSession, wh: Warehouse) -> None:
-    """The six tables exist (empty, with schema) before any job step runs."""
-    ST.run_concurrently([
-        lambda: ST.create_if_absent(spark, wh.path("raw", "event_logs"), schemas.EVENT_LOGS),
-        lambda: ST.create_if_absent(spark, wh.path("raw", "scada_telemetry"), schemas.TELEMETRY),
-        lambda: ST.create_if_absent(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES),
-        lambda: ST.create_if_absent(spark, wh.mart_health, schemas.MART_EQUIPMENT_HEALTH),
-        lambda: ST.create_if_absent(spark, wh.dim_norms, schemas.NORMS_VERSIONED, partitioned=False),
-        lambda: ST.create_if_absent(spark, wh.dim_rates, schemas.RATES_VERSIONED, partitioned=False),
-    ])
+    """The six tables exist (empty) before any job step runs."""
+    for path in (wh.path("raw", "event_logs"), wh.path("raw", "scada_telemetry"), wh.mart_losses, wh.mart_health,
+                 wh.dim_norms, wh.dim_rates):
+        ST.create_if_absent(spark, path)
 
 
 # ---------------------------------------------------------------- M15
 
-def sync_dims(norms_src: DataFrame, rates_src: DataFrame, wh: Warehouse, synced_at: _dt.datetime) -> dict[str, int]:
-    """M15 (A10, E10): append a stamped snapshot of each non-empty source; the rows written of each."""
+REDUCE_EVERY = 16      # appended folders after which a dimension's log is reduced
+
+
+def read_dim(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A versioned dimension log."""
+    return SN.read(spark, path, schema)
+
+
+def _append_dim(rows: DataFrame, path: str, name: str) -> int:
     from pyspark.sql import Observation
 
-    done = {}
-    for src, path, name in ((rates_src, wh.dim_rates, "rates"), (norms_src, wh.dim_norms, "norms")):
+    seen = Observation(name)
+    parts = SN.stage(rows.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    n = int(seen.get["n"])
+    if n:
+        SN.update(rows.sparkSession, path, lambda base: ((*base.parts, *parts), None))
+    return n
+
+
+def sync_dims(norms_src: DataFrame, rates_src: DataFrame, wh: Warehouse, synced_at: _dt.datetime) -> dict[str, int]:
+    """M15 (A10, E10, C3): append the stamped rows of each non-empty source that are new or differ from the
+    latest version; the rows appended of each. A sync without changes appends nothing, so the log grows with the changes only, and after
+    ``REDUCE_EVERY`` appended folders it is reduced to the latest versions."""
+    spark, done = norms_src.sparkSession, {}
+    for src, path, name, schema in ((rates_src, wh.dim_rates, "rates", schemas.RATES_VERSIONED),
+                                    (norms_src, wh.dim_norms, "norms", schemas.NORMS_VERSIONED)):
         if src.isEmpty():
             continue
-        seen = Observation(name)
-        V.stamp_snapshot(src, synced_at).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
-        done[name] = int(seen.get["n"])
+        log = read_dim(spark, path, schema)
+        done[name] = _append_dim(V.stamp_snapshot(V.changed_rows(src, log, "id"), synced_at), path, name)
+        if len(SN.current(spark, path).parts) >= REDUCE_EVERY:
+            reduce_dim(spark, path, schema)
     return done
 
 
+def reduce_dim(spark: SparkSession, path: str, schema) -> int:
+    """Replace a dimension's log by its latest version per id; the rows kept. Folders appended meanwhile stay."""
+    base = SN.current(spark, path)
+    log = SN.read(spark, path, schema, at=base)
+    parts = SN.stage(V.latest_by_key(log.withColumn("_at", F.col("updated_at")), "id")
+                     .withColumnRenamed("_at", "updated_at").select(*[f.name for f in schema.fields]), path)
+    old = set(base.parts)
+    now = SN.update(spark, path, lambda new: ((*parts, *[p for p in new.parts if p not in old]), None))
+    return SN.read(spark, path, schema, at=now).count()
+
+
 # ---------------------------------------------------------------- A5-A8
 
 def list_rates(spark: SparkSession, wh: Warehouse) -> DataFrame:
     """The current rates by id."""
-    return V.latest_by_key(spark.read.schema(schemas.RATES_VERSIONED).parquet(wh.dim_rates), "id").orderBy("id")
+    return V.latest_by_key(read_dim(spark, wh.dim_rates, schemas.RATES_VERSIONED), "id").orderBy("id")
 
 
 def list_norms(spark: SparkSession, wh: Warehouse) -> DataFrame:
     """The current norms by id."""
-    return V.latest_by_key(spark.read.schema(schemas.NORMS_VERSIONED).parquet(wh.dim_norms), "id").orderBy("id")
+    return V.latest_by_key(read_dim(spark, wh.dim_norms, schemas.NORMS_VERSIONED), "id").orderBy("id")
 
 
 def _create(requests: DataFrame, existing: DataFrame, unique: str, schema, path: str, at: _dt.datetime) -> int:
-    from pyspark.sql import Observation
-
     new = J.assign_ids(J.new_rows_only(requests, existing, unique, "request_seq"), existing, "id", "request_seq")
     rows = V.stamp_snapshot(new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]), at)
-    seen = Observation("created")
-    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
-    return int(seen.get["n"])
+    return _append_dim(rows, path, "created")
 
 
 def create_rates(spark: SparkSession, requests: DataFrame, wh: Warehouse, at: _dt.datetime) -> int:
@@ -119,11 +144,8 @@ def create_norms(spark: SparkSession, requests: DataFrame, wh: Warehouse, at: _d
 
 
 def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The month-partitioned event log with its fixed schema (also when empty)."""
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    full = StructType(list(schemas.EVENT_LOGS.fields) + [StructField(ST.MONTH, StringType())])
-    return spark.read.schema(full).parquet(path)
+    """The stored event log, with ``month``."""
+    return SN.read(spark, path, schemas.EVENT_LOGS, with_month=True)
 
 
 def warehouse_models(spark: SparkSession, sf_dir: str, wh: Warehouse, source: str = "events",
@@ -136,8 +158,8 @@ def warehouse_models(spark: SparkSession, sf_dir: str, wh: Warehouse, source: st
         facts = read_event_logs(spark, wh.path("raw", "event_logs"))
         tel = read_telemetry(spark, wh.path("raw", "scada_telemetry"))
     return Models(spark, sf_dir, source,
-                  norms_versioned=spark.read.schema(schemas.NORMS_VERSIONED).parquet(wh.dim_norms),
-                  rates_versioned=spark.read.schema(schemas.RATES_VERSIONED).parquet(wh.dim_rates),
+                  norms_versioned=read_dim(spark, wh.dim_norms, schemas.NORMS_VERSIONED),
+                  rates_versioned=read_dim(spark, wh.dim_rates, schemas.RATES_VERSIONED),
                   event_logs=facts, telemetry=tel)
 
 
@@ -162,24 +184,23 @@ def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None, un
     """Rebuild both marts for the months of ``since`` to ``until`` (all when ``since`` is None, to the last
     one when ``until`` is None).
 
-    The range is snapped to whole months, so each rewritten month partition is complete; other
-    months are left alone.
+    The range is snapped to whole months, so each rewritten month is complete; other months are left
+    alone. Each mart changes at once, when all its new months are written; months of the range that have
+    no rows any more go with the same pointer.
     """
     if since is not None:
         models = bounded_models(models, since, until)
     losses, health = models.mart_daily_losses, models.mart_equipment_health
+    stale: dict[str, list[str]] = {wh.mart_losses: [], wh.mart_health: []}
     if since is not None:
         lo, last = month_start(since), until.strftime("%Y%m") if until else None
         losses = _in_months(losses, "event_date", lo, until)
         health = _in_months(health, "reading_date", lo, until)
-        # every month of the range is rebuilt; one that has no rows any more must not stay
-        for path in (wh.mart_losses, wh.mart_health):
-            for m in list_months(models.spark, path):
-                if m >= lo.strftime("%Y%m") and (last is None or m <= last):
-                    ST.delete_path(models.spark, f"{path.rstrip('/')}/{ST.MONTH}={m}")
+        stale = {path: [m for m in ST.list_months(models.spark, path)
+                        if m >= lo.strftime("%Y%m") and (last is None or m <= last)] for path in stale}
     ST.run_concurrently([
-        lambda: ST.overwrite_partitions(losses, wh.mart_losses, "mart_daily_losses", whole=since is None),
-        lambda: ST.overwrite_partitions(health, wh.mart_health, "mart_equipment_health", whole=since is None),
+        lambda: ST.overwrite_partitions(losses, wh.mart_losses, "mart_daily_losses", since is None, stale[wh.mart_losses]),
+        lambda: ST.overwrite_partitions(health, wh.mart_health, "mart_equipment_health", since is None, stale[wh.mart_health]),
     ])
 
 
@@ -194,14 +215,10 @@ def _in_months(mart: DataFrame, day: str, since: _dt.date, until: _dt.date | Non
 def read_mart(spark: SparkSession, path: str, schema, keep_month: bool = False) -> DataFrame:
     """A stored mart with its fixed schema (an empty mart reads as empty).
 
-    ``keep_month`` keeps the partition column, so date filters applied later
+    ``keep_month`` keeps the folder column, so date filters applied later
     (``month_bound`` in the report readers) prune whole months.
     """
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    full = StructType(list(schema.fields) + [StructField(ST.MONTH, StringType())])
-    cols = [f.name for f in schema.fields] + ([ST.MONTH] if keep_month else [])
-    return spark.read.schema(full).parquet(path).select(*cols)
+    return SN.read(spark, path, schema, with_month=keep_month)
 
 
 # ---------------------------------------------------------------- M16 / M17
@@ -213,14 +230,12 @@ def daily_run(spark: SparkSession, sf_dir: str | None, synced_at: _dt.datetime,
     """Sync → marts → checks → gate → report tables.
 
     ``dims``: the source's current (norms, rates), synced with the stamp ``synced_at``. ``mode``: the
-    report reads the ``marts`` or the ``raw`` log (one date only).
+    report reads the ``marts`` or the ``raw`` log.
 
     ``report_date=None`` back-fills reports for every date of the mart and
     checks all facts; with a date only that date's month is rebuilt and its
     facts checked (the stored marts are checked whole).
     """
-    if mode == "raw" and report_date is None:
-        raise ValueError("raw mode needs a report date")
     wh = wh or new_warehouse(spark)
     create_tables(spark, wh)
     sync_dims(*dims, wh, synced_at)
@@ -286,68 +301,69 @@ def norm_calibration_run(spark: SparkSession, sf_dir: str, asof: _dt.datetime, o
 # ---------------------------------------------------------------- A17
 
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """A month-partitioned telemetry table with its fixed schema (also when empty)."""
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    full = StructType(list(schemas.TELEMETRY.fields) + [StructField(ST.MONTH, StringType())])
-    return spark.read.schema(full).parquet(path)
+    """The stored telemetry, with ``month``."""
+    return SN.read(spark, path, schemas.TELEMETRY, with_month=True)
 
 
 def apply_retention(spark: SparkSession, path: str, asof: _dt.datetime, years: int = 1) -> dict[str, list[str]]:
-    """A17 on a month-partitioned telemetry table, in place; work is one month.
+    """A17 on the stored telemetry; work is one month.
 
-    * months wholly past the horizon are dropped as partition folders (a
-      metadata operation, no data read);
-    * the one boundary month is filtered row by row: copied to a staging
-      folder, then written back over its own partition (dynamic overwrite);
+    * months wholly past the horizon leave the table's next version (no data read);
+    * the one boundary month is filtered row by row into a new folder;
     * later months are not touched.
-    Re-running with the same ``asof`` is a no-op on the result.
+    ``snapshots.vacuum`` frees the disk. Re-running with the same ``asof`` is a no-op on the result.
     """
-    cutoff = ST.years_before(asof, years)
-    boundary = cutoff.strftime("%Y%m")
-    months = list_months(spark, path)
+    boundary = ST.years_before(asof, years).strftime("%Y%m")
+    base = SN.current(spark, path)
+    months = sorted({p.month for p in base.of() if p.month})
     expired = [m for m in months if m < boundary]
-    for m in expired:
-        ST.delete_path(spark, f"{path.rstrip('/')}/{ST.MONTH}={m}")
+    old = {p for p in base.of() if p.month is not None and p.month <= boundary}
+    parts = []
     if boundary in months:
-        part = read_telemetry(spark, path).filter(F.col(ST.MONTH) == F.lit(boundary))
-        staging = fresh_dir(spark, "retention_staging")
-        ST.retention_filter(part, asof, years).write.mode("overwrite").parquet(staging)
-        kept = read_telemetry(spark, staging)
-        if kept.isEmpty():
-            ST.delete_path(spark, f"{path.rstrip('/')}/{ST.MONTH}={boundary}")
-        else:
-            ST.overwrite_partitions(kept, path, "scada_telemetry")
+        part = SN.read(spark, path, schemas.TELEMETRY, with_month=True,
+                       at=SN.Snapshot(base.number, tuple(p for p in base.of() if p.month == boundary)))
+        parts = SN.stage(ST._layout(ST.retention_filter(part, asof, years), "scada_telemetry"), path, (ST.MONTH,))
+    if old:
+        SN.update(spark, path, lambda now: ((*[p for p in now.parts if p not in old], *parts), None))
     return {"dropped": expired, "rewritten": [boundary] if boundary in months else []}
 
 
-def list_months(spark: SparkSession, path: str) -> list[str]:
-    """Partition values of a month-partitioned table (a folder listing, bounded by months)."""
-    return [n.split("=", 1)[1] for n in ST.list_dirs(spark, path) if n.startswith(f"{ST.MONTH}=")]
+# ---------------------------------------------------------------- A1-A4 as a job
 
+FILE, REJECT = "file", "reject"
 
-# ---------------------------------------------------------------- A1-A4 as a job
 
 def ingest_job(spark: SparkSession, batch_dir: str, wh: Warehouse, kind: str = "events") -> dict[str, int]:
-    """Validate request files, append accepted rows (month-partitioned), write
-    rejects; returns ``{"inserted": n, "rejected_batches": m}``.
+    """Take the request files of ``batch_dir`` that no earlier run has taken: accepted rows, one record per rejected
+    batch and the list of the files; returns ``{"inserted": n, "rejected_batches": m, "files": k}``.
 
-    The counts are collected with ``Observation`` during the writes
-    themselves, so no extra pass over the data is made for them.
+    The files are parsed once; rows and rejects go through one write. Rows, rejects and file list become part of the
+    table with one pointer, so a run that fails leaves nothing behind and can be repeated, and a repeated
+    run finds no new files. A file is known by its path, size and time of change.
     """
     from pyspark.sql import Observation
 
     from ..sources import ingest as I
 
-    if kind == "events":
-        v = I.validate(I.read_batches(spark, batch_dir, schemas.EVENT_BATCH), "rows", schemas.EVENT_REQUIRED)
-        rows, field, table = I.accepted_events(v), "rows", "event_logs"
-    else:
-        v = I.validate(I.read_batches(spark, batch_dir, schemas.READING_BATCH), "readings",
-                       schemas.READING_REQUIRED)
-        rows, field, table = I.accepted_readings(v), "readings", "scada_telemetry"
-    inserted, rejected = Observation("inserted"), Observation("rejected")
-    ST.append(rows.observe(inserted, F.count(F.lit(1)).alias("n")), wh.path("raw", table), table)
-    I.rejected(v, field).observe(rejected, F.count(F.lit(1)).alias("n")) \
-        .write.mode("append").parquet(wh.path("rejects", table))
-    return {"inserted": int(inserted.get["n"]), "rejected_batches": int(rejected.get["n"])}
+    root = wh.path("raw", I.TABLES[kind])
+    base = SN.current(spark, root)
+    found = I.request_files(spark, batch_dir)
+    new = found.join(SN.read(spark, root, I.FILES, FILE, at=base), found.columns, "left_anti")
+    paths = [r.path for r in new.select("path").collect()]       # file names only, as any reader lists them
+    if not paths:
+        return {"inserted": 0, "rejected_batches": 0, "files": 0}
+    items = I.items(I.validated(I.read_lines(spark, paths), kind), kind)
+    seen, is_row = Observation("ingest"), F.col(SN.KIND) == SN.ROW
+    items = items.observe(seen, F.count_if(is_row).alias("rows"), F.count_if(~is_row).alias("rejects"))
+    order = [SN.KIND, ST.MONTH, *ST.SORT_KEYS[I.TABLES[kind]]]
+    parts = SN.stage(items.sortWithinPartitions(*order), root, (SN.KIND, ST.MONTH))
+    parts += SN.stage(new, root, kind=FILE)
+    SN.publish(spark, root, base, (*base.parts, *parts))          # a second run at the same time fails here
+    return {"inserted": int(seen.get["rows"]), "rejected_batches": int(seen.get["rejects"]), "files": len(paths)}
+
+
+def ingest_rejects(spark: SparkSession, wh: Warehouse, kind: str = "events") -> DataFrame:
+    """The rejected batches of all runs: batch_id, batch_part, reject_reason, row_count."""
+    from ..sources import ingest as I
+
+    return SN.read(spark, wh.path("raw", I.TABLES[kind]), I.BATCH, REJECT)

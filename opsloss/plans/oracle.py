@@ -92,13 +92,12 @@ ENRICHED = """
            / 3600.0::double * d.hourly_rate AS loss
   FROM stg_events e JOIN dims d ON e.operation_name = d.operation_name"""
 
-_SUM_DELTA = "sum(greatest(cast(duration_seconds as bigint) - cast(norm_seconds as bigint), 0))"
 MART = f"""
   SELECT event_date, operation_name, role_name, cast(count(*) as bigint) AS event_count,
          {R('avg(duration_seconds)', 2)} AS avg_duration_sec,
          norm_seconds, hourly_rate,
-         {R(f'cast({_SUM_DELTA} as double) / cast(count(*) as double)', 2)} AS delta_sec,
-         {R(f'cast({_SUM_DELTA} as double) / 3600.0::double * hourly_rate', 2)} AS total_loss,
+         {R('avg(delta_sec)', 2)} AS delta_sec,
+         {R('sum(loss)', 2)} AS total_loss,
          {R('CASE WHEN stddev_pop(duration_seconds) > 0 THEN (avg(duration_seconds) - cast(norm_seconds as double)) / stddev_pop(duration_seconds) ELSE 0.0 END', 3)} AS z_score
   FROM enriched
   GROUP BY event_date, operation_name, role_name, hourly_rate, norm_seconds"""

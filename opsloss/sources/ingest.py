@@ -1,11 +1,13 @@
-"""Batch ingest of request bodies (A1-A4) and their producer.
+"""Ingest of request bodies (A1-A4), batch and streamed alike.
 
 A request is one JSON line ``{"batch_id": n, "rows": [...]}`` (events) or
-``{"batch_id": n, "readings": [...]}`` (telemetry). Ingest reads the lines
-with a fixed schema in PERMISSIVE mode, validates each batch as a whole
-(S28: one bad or incomplete row rejects the batch), explodes accepted
-batches into rows, fills the optional reading fields with their defaults,
-and appends. No deduplication (S20). Everything is row-parallel: no group,
+``{"batch_id": n, "readings": [...]}`` (telemetry). Lines are parsed with a
+fixed schema in PERMISSIVE mode and each batch is judged as a whole (S28: one
+bad or incomplete row rejects the batch). An optional field may be missing
+and then takes its default, but an explicit ``null`` in it is invalid; the
+typed parse cannot tell the two apart, so such lines are looked at once more as VARIANT.
+Accepted batches become rows, rejected ones a single record, in one
+``explode``; no deduplication (S20). Everything is row-parallel: no group,
 no shuffle on the ingest path.
 """
 
@@ -15,82 +17,79 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
 from .. import schemas as S
-from .adapters import events_to_event_logs, events_to_telemetry
+from ..functions.dates import month_key
+from .snapshots import KIND, MONTH, ROW
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 JSON_OPTIONS = {"timestampNTZFormat": TS_FORMAT, "timestampFormat": TS_FORMAT}
-ROWS_PER_BATCH = 100
+PARSE_OPTIONS = JSON_OPTIONS | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": S.CORRUPT}
 
+TABLES = {"events": "event_logs", "readings": "scada_telemetry"}
+FIELD = {"events": "rows", "readings": "readings"}
+SCHEMA = {"events": S.EVENT_BATCH, "readings": S.READING_BATCH}
+REQUIRED = {"events": S.EVENT_REQUIRED, "readings": S.READING_REQUIRED}
+DEFAULTS: dict[str, dict] = {"events": {}, "readings": S.READING_DEFAULTS}
+STORED = {"events": S.EVENT_LOGS, "readings": S.TELEMETRY}
+TIME = {"events": "start_time", "readings": "ts"}
 
-# ---------------------------------------------------------------- producer
+BATCH = StructType([StructField("batch_id", LongType()), StructField("batch_part", LongType()),
+                    StructField("reject_reason", StringType()), StructField("row_count", LongType())])
+FILES = StructType([StructField("path", StringType()), StructField("bytes", LongType()),
+                    StructField("changed", TimestampType())])
 
-def batch_key(event_id: str = "event_id", rows_per_batch: int = ROWS_PER_BATCH) -> Column:
-    """Batch of a source row: ``event_id div n`` (at most ``n`` rows while ids are unique)."""
-    return F.expr(f"`{event_id}` div {int(rows_per_batch)}")
 
+# ---------------------------------------------------------------- reading
 
-def _bounded_parts(rows: DataFrame, rows_per_batch: int) -> DataFrame:
-    """Add ``batch_part`` so that no (batch_id, batch_part) group exceeds ``rows_per_batch``.
+def request_files(spark: SparkSession, batch_dir: str) -> DataFrame:
+    """path, bytes, changed of the files in a landing folder (a listing; no file is opened)."""
+    listed = spark.read.format("binaryFile").load(batch_dir)
+    return listed.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("changed"))
 
-    Batches within the bound (all of them while ids are unique) keep part 0.
-    An oversized batch (duplicated ids: one id could cover a third of the
-    table) is found from a pre-aggregated count per batch and split by a
-    per-row unique id into parts of at most ``rows_per_batch`` rows, so no
-    request is ever collected beyond the bound.
-    """
-    from ..operators.joins import sized_broadcast
 
-    oversized = rows.groupBy("batch_id").count().filter(F.col("count") > rows_per_batch) \
-                    .select("batch_id", F.lit(True).alias("_big"))
-    tagged = rows.join(sized_broadcast(oversized), "batch_id", "left")
-    part = F.when(F.col("_big"), F.floor(F.monotonically_increasing_id() / F.lit(rows_per_batch)) + 1)
-    return tagged.withColumn("batch_part", F.coalesce(part, F.lit(0)).cast("bigint")).drop("_big")
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.text(path)
 
 
-def _write_batches(rows: DataFrame, field: str, out_dir: str, fields: list[str],
-                   rows_per_batch: int = ROWS_PER_BATCH) -> None:
-    parts = _bounded_parts(rows, rows_per_batch)
-    batches = parts.groupBy("batch_id", "batch_part").agg(F.collect_list(F.struct(*fields)).alias(field))
-    batches.select(F.to_json(F.struct("batch_id", "batch_part", field), JSON_OPTIONS).alias("value")) \
-           .write.mode("overwrite").text(out_dir)
+def stream_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.text(path)
 
 
-def write_event_batches(events: DataFrame, out_dir: str, rows_per_batch: int = ROWS_PER_BATCH) -> None:
-    """Request bodies for the event endpoint, built from the ``events`` table."""
-    src = events.withColumn("batch_id", batch_key("event_id", rows_per_batch))
-    rows = events_to_event_logs(src, keep=("batch_id",))
-    _write_batches(rows, "rows", out_dir, [f.name for f in S.EVENT_ROW.fields], rows_per_batch)
+# ---------------------------------------------------------------- judging
 
+def parse(lines: DataFrame, kind: str) -> DataFrame:
+    """One row per request: the batch schema's columns and the line itself; blank lines are skipped."""
+    batch = F.from_json("value", SCHEMA[kind], PARSE_OPTIONS)
+    return lines.filter(F.trim("value") != "").select(batch.alias("b"), "value").select("b.*", "value")
 
-def write_reading_batches(events: DataFrame, out_dir: str, rows_per_batch: int = ROWS_PER_BATCH) -> None:
-    """Request bodies for the telemetry endpoint. Optional fields equal to
-    their default are left out (NULL fields are not written by ``to_json``),
-    so ingest must restore them; a missing value makes the batch invalid."""
-    src = events.withColumn("batch_id", batch_key("event_id", rows_per_batch))
-    rows = events_to_telemetry(src, keep=("batch_id",))
-    for name, default in S.READING_DEFAULTS.items():
-        rows = rows.withColumn(name, F.when(F.col(name) == F.lit(default), F.lit(None)).otherwise(F.col(name)))
-    rows = rows.withColumn("quality", F.col("quality").cast("int"))
-    _write_batches(rows, "readings", out_dir, [f.name for f in S.READING.fields], rows_per_batch)
 
+def explicit_null(kind: str) -> Column:
+    """The line has a ``null`` in an optional field of some row. Only lines with the word are parsed again."""
+    if not DEFAULTS[kind]:
+        return F.lit(False)
+    any_of = " OR ".join(f"is_variant_null(try_variant_get(r, '$.{f}', 'variant'))" for f in DEFAULTS[kind])
+    found = f"exists(try_variant_get(try_parse_json(value), '$.{FIELD[kind]}', 'array<variant>'), r -> {any_of})"
+    return F.col("value").contains("null") & F.coalesce(F.expr(found), F.lit(False))
 
-# ---------------------------------------------------------------- ingest
 
-def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
-    return (spark.read.schema(schema).options(**JSON_OPTIONS)
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", S.CORRUPT).json(path))
-
-
-def reject_reason(field: str, required: list[str]) -> Column:
+def reject_reason(kind: str) -> Column:
     """A3/A4: why a batch is rejected, or NULL when it is accepted."""
-    arr = F.col(field)
-    missing = F.exists(arr, lambda r: reduce(lambda a, b: a | b, [r[c].isNull() for c in required]))
+    arr = F.col(FIELD[kind])
+    missing = F.exists(arr, lambda r: reduce(lambda a, b: a | b, [r[c].isNull() for c in REQUIRED[kind]]))
     return (F.when(F.col(S.CORRUPT).isNotNull(), F.lit("corrupt"))
              .when(arr.isNull() | (F.size(arr) == 0), F.lit("empty"))
-             .when(missing, F.lit("missing_required")))
+             .when(missing, F.lit("missing_required"))
+             .when(explicit_null(kind), F.lit("null_value")))
+
+
+def validated(lines: DataFrame, kind: str) -> DataFrame:
+    """The requests with ``reject_reason``."""
+    return parse(lines, kind).withColumn("reject_reason", reject_reason(kind)).drop("value")
+
 
+# ---------------------------------------------------------------- rows
 
 # Precision of the stored time columns (seconds for the event
 # log, milliseconds for telemetry); finer input is truncated on ingest.
@@ -106,35 +105,44 @@ def to_storage_precision(df: DataFrame) -> DataFrame:
     return df
 
 
-def validate(batches: DataFrame, field: str, required: list[str]) -> DataFrame:
-    return batches.withColumn("reject_reason", reject_reason(field, required))
+def _item(kind: str, label: str, row: Column | None, reason: Column | None = None, size: Column | None = None) -> Column:
+    """One record: the batch's columns, the stored table's columns."""
+    batch = {"batch_id": F.col("batch_id"), "batch_part": F.col("batch_part"), "reject_reason": reason, "row_count": size}
+    fields = [F.lit(label).alias(KIND)]
+    fields += [(F.lit(None) if batch[f.name] is None else batch[f.name]).cast(f.dataType).alias(f.name) for f in BATCH.fields]
+    for f in STORED[kind].fields:
+        value = F.lit(None) if row is None else row[f.name]
+        if row is not None and f.name in DEFAULTS[kind]:
+            value = F.coalesce(value, F.lit(DEFAULTS[kind][f.name]))
+        fields.append(value.cast(f.dataType).alias(f.name))
+    return F.struct(*fields)
 
 
-def accepted_events(validated: DataFrame) -> DataFrame:
-    """A1: rows of accepted event batches, in the event_logs schema."""
-    ok = validated.filter(F.col("reject_reason").isNull())
-    return to_storage_precision(ok.select(F.explode("rows").alias("r")).select(
-        *[F.col(f"r.{f.name}").cast(f.dataType).alias(f.name) for f in S.EVENT_LOGS.fields]))
+def items(batches: DataFrame, kind: str) -> DataFrame:
+    """One record per accepted row, one per rejected batch, with ``kind`` and ``month`` (a single pass)."""
+    field = FIELD[kind]
+    rows = F.transform(F.col(field), lambda r: _item(kind, ROW, r))
+    reject = _item(kind, "reject", None, F.col("reject_reason"), F.coalesce(F.size(field), F.lit(0)))
+    out = batches.select(F.explode(F.when(F.col("reject_reason").isNull(), rows).otherwise(F.array(reject))).alias("i"))
+    return to_storage_precision(out.select("i.*")).withColumn(MONTH, month_key(TIME[kind]))
 
 
-def accepted_readings(validated: DataFrame) -> DataFrame:
-    """A2: rows of accepted reading batches, defaults filled, telemetry schema."""
-    ok = validated.filter(F.col("reject_reason").isNull())
-    r = ok.select(F.explode("readings").alias("r")).select("r.*")
-    for name, default in S.READING_DEFAULTS.items():
-        r = r.withColumn(name, F.coalesce(F.col(name), F.lit(default)))
-    return to_storage_precision(r.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.TELEMETRY.fields]))
+def accepted(batches: DataFrame, kind: str) -> DataFrame:
+    """A1/A2: rows of accepted batches, defaults filled, in the stored table's schema."""
+    ok = batches.filter(F.col("reject_reason").isNull())
+    rows = ok.select(F.explode(F.transform(F.col(FIELD[kind]), lambda r: _item(kind, ROW, r))).alias("i")).select("i.*")
+    return to_storage_precision(rows.select(*[f.name for f in STORED[kind].fields]))
 
 
-def rejected(validated: DataFrame, field: str) -> DataFrame:
+def rejected(batches: DataFrame, kind: str) -> DataFrame:
     """A3/A4: one row per rejected batch with its reason and size."""
-    return validated.filter(F.col("reject_reason").isNotNull()).select(
+    return batches.filter(F.col("reject_reason").isNotNull()).select(
         "batch_id", "batch_part", "reject_reason",
-        F.coalesce(F.size(field), F.lit(0)).cast("bigint").alias("row_count"))
+        F.coalesce(F.size(FIELD[kind]), F.lit(0)).cast("bigint").alias("row_count"))
 
 
-def ingest_report(validated: DataFrame, field: str) -> DataFrame:
+def ingest_report(batches: DataFrame, kind: str) -> DataFrame:
     """A3: per batch, ``inserted`` rows (0 when rejected)."""
-    return validated.select(
-        "batch_id", "batch_part", F.col("reject_reason").isNull().alias("accepted"),
-        F.when(F.col("reject_reason").isNull(), F.size(field)).otherwise(F.lit(0)).cast("bigint").alias("inserted"))
+    ok = F.col("reject_reason").isNull()
+    return batches.select("batch_id", "batch_part", ok.alias("accepted"),
+                          F.when(ok, F.size(FIELD[kind])).otherwise(F.lit(0)).cast("bigint").alias("inserted"))

@@ -1,24 +1,24 @@
 """Table layout and sinks.
 
-Facts and marts are Parquet tables partitioned by month (``yyyyMM``) and
-sorted within files by their sort key, so date predicates prune partitions
-and min/max statistics prune row groups. Marts are rebuilt by dynamic
-partition overwrite: only the months present in the new frame are replaced
-(the "last write per key wins" of C2 without a version column).
+Facts and marts are snapshot tables (``snapshots``): Parquet in month folders (``yyyyMM``), sorted within
+files by their sort key, so date predicates prune folders and min/max statistics prune row groups. A run
+writes new folders beside the old ones and then names its version in a pointer. Marts are rebuilt by
+months: the version keeps the folders of all other months (the "last write per key wins" of C2 without
+a version column), and nothing is deleted before the new version is in place.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_key, ts_literal
-
-MONTH = "month"
+from . import snapshots as SN
+from .snapshots import MONTH, delete_path, list_dirs, path_exists  # noqa: F401
 
 # Sort keys of the stored tables.
 SORT_KEYS = {
@@ -46,24 +46,66 @@ def _layout(df: DataFrame, table: str) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, table: str) -> None:
-    """A1/A2/A10 sink: append, partitioned by month."""
-    _layout(df, table).write.mode("append").partitionBy(MONTH).parquet(path)
+    """A1/A2 sink: append, in month folders. Rows stay in the tasks that have them; ``compact`` clusters later."""
+    parts = SN.stage(_layout(df, table), path, (MONTH,))
+    SN.update(df.sparkSession, path, lambda base: ((*base.parts, *parts), None))
 
 
-def overwrite_partitions(df: DataFrame, path: str, table: str, whole: bool = False) -> None:
-    """Replace only the months present in ``df`` (dynamic overwrite), or with ``whole``
-    the table, so that months without rows any more disappear. Rows are dealt by month first (AQE splits a
-    large month), so a month is a few files, not one for each task."""
+def overwrite_partitions(df: DataFrame, path: str, table: str, whole: bool = False, months: Iterable[str] = ()) -> None:
+    """Replace the months present in ``df`` and those of ``months`` (which may have no rows any more), or
+    with ``whole`` the table. Rows are dealt by month first (AQE splits a large month), so a month is a few
+    files, not one for each task. Readers see the old version until the new one is complete."""
     d = df if MONTH in df.columns else with_month(df, table)
-    _layout(d.hint("rebalance", MONTH), table).write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic") \
-        .partitionBy(MONTH).parquet(path)
+    parts = SN.stage(_layout(d.hint("rebalance", MONTH), table), path, (MONTH,))
+    gone = set(months) | {p.month for p in parts}
+    SN.update(df.sparkSession, path, lambda base: (
+        (*[p for p in base.parts if not whole and p.month not in gone], *parts), None))
+
+
+def create_if_absent(spark: SparkSession, path: str) -> None:
+    """An empty table, left alone when it exists."""
+    base = SN.current(spark, path)
+    if not base.number:
+        SN.publish(spark, path, base, ())
 
 
-def create_if_absent(spark: SparkSession, path: str, schema, partitioned: bool = True) -> None:
-    """An empty table with the schema, left alone when it exists."""
-    df = spark.createDataFrame([], schema)
-    w = df.withColumn(MONTH, F.lit(None).cast("string")).write.partitionBy(MONTH) if partitioned else df.write
-    w.mode("ignore").parquet(path)
+def list_months(spark: SparkSession, path: str) -> list[str]:
+    """The months a table has rows of, from its pointer."""
+    return sorted({p.month for p in SN.current(spark, path).of() if p.month})
+
+
+def compact(spark: SparkSession, path: str, table: str, schema, file_bytes: int = 128 << 20) -> dict[str, int]:
+    """Merge the small files of each month into files of about ``file_bytes``, clustered by the sort key.
+
+    Months with no more files than their bytes need, in one folder, are left alone. The others are read in one
+    job, dealt by ranges of (month, sort key) whose number follows from the bytes, and published in
+    place of the old folders; months written meanwhile keep their new folders too. A key that holds a third of
+    a month is split by the rest of the sort key. Returns the files of each rewritten month before.
+    """
+    base = SN.current(spark, path)
+    sizes: dict[str, list[int]] = {}
+    folders: dict[str, int] = {}
+    for p in base.of():
+        fs, place = SN.file_system(spark, f"{path}/{p.path}")
+        sizes.setdefault(p.month, []).extend(st.getLen() for st in fs.listStatus(place) if st.getPath().getName().endswith(".parquet"))
+        folders[p.month] = folders.get(p.month, 0) + 1
+    need = {m: max(1, -(-sum(x) // file_bytes)) for m, x in sizes.items()}
+    todo = sorted(m for m, x in sizes.items() if folders[m] > 1 or len(x) > 2 * need[m])
+    if not todo:
+        return {}
+    old = SN.Snapshot(base.number, tuple(p for p in base.of() if p.month in todo))
+    rows = SN.read(spark, path, schema, with_month=True, at=old)
+    dealt = rows.repartitionByRange(sum(need[m] for m in todo), MONTH, *SORT_KEYS[table])
+    parts = SN.stage(_layout(dealt, table), path, (MONTH,))
+    gone = {p.path for p in old.parts}
+
+    def change(now: SN.Snapshot):
+        if not gone <= {p.path for p in now.parts}:
+            raise RuntimeError(f"{path}: a month was rewritten during its compaction")
+        return (*[p for p in now.parts if p.path not in gone], *parts), None
+
+    SN.update(spark, path, change)
+    return {m: len(sizes[m]) for m in todo}
 
 
 def month_bound(df: DataFrame, since: _dt.date | _dt.datetime | None = None,
@@ -79,38 +121,6 @@ def month_bound(df: DataFrame, since: _dt.date | _dt.datetime | None = None,
     return df
 
 
-def read_months(spark: SparkSession, path: str, since: _dt.date | None = None,
-                until: _dt.date | None = None) -> DataFrame:
-    """Read a month-partitioned table; bounds become partition predicates."""
-    df = spark.read.parquet(path)
-    if since is not None:
-        df = df.filter(F.col(MONTH) >= F.lit(since.strftime("%Y%m")))
-    if until is not None:
-        df = df.filter(F.col(MONTH) <= F.lit(until.strftime("%Y%m")))
-    return df
-
-
-def _file_system(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def list_dirs(spark: SparkSession, path: str) -> list[str]:
-    """Names of the folders in ``path``, sorted (none if it does not exist)."""
-    fs, p = _file_system(spark, path)
-    return sorted(st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()) if fs.exists(p) else []
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _file_system(spark, path)
-    return fs.exists(p)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    fs, p = _file_system(spark, path)
-    fs.delete(p, True)
-
-
 def years_before(asof: _dt.datetime, years: int) -> _dt.datetime:
     """The same day ``years`` earlier; 28 February for a leap day."""
     try:

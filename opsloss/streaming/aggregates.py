@@ -1,39 +1,35 @@
 """Structured Streaming forms of the daily models.
 
-Both run a 1-day tumbling window over event time without a watermark (late
-rows of any age count), in ``update`` mode, and persist each micro-batch's updated groups with
-``foreachBatch`` into a result table tagged by the batch id, one folder per batch.
-The read side takes the latest batch per group key (C1), so a group that is
-updated by several micro-batches ends with its final value, and a replayed
-batch after a failure replaces its own folder. Every ``COMPACT_EVERY`` batches the
-table is reduced to the latest row per group, so it stays within the mart's
-size plus the updates of that many batches however long the stream runs. With
-``trigger(availableNow=True)`` the result equals the batch model on the
-same rows.
-
-Windows need a TIMESTAMP column; the NTZ event time is cast to it in the
-UTC session zone (a no-op on the value).
+Both streams keep no state: each micro-batch adds its partial aggregates to a table (``partials``), and the
+marts are made from the merged partials. Event time needs no watermark, late days just add to their
+month. On the same rows the result equals the batch models.
+
+* Health (J3): per key count, sum, squared deviations from the batch's own mean, extremes and state counts;
+  merging shifts the deviations to the common mean (no cancellation of large squares).
+* Losses (J4): an exact histogram (date, operation, duration, n). Durations are whole seconds below a day, so
+  an operation has at most 86,399 rows a date however many events it has. No norm and no rate is part of it:
+  marts follow today's dimensions (S18), and ``refresh_losses`` restates the dates of an operation whose norm,
+  role or rate changed from the histogram alone. Calibration reads the same histogram.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..functions.expressions import clipped_delta_int, issue_flag, loss, z_score
+from .. import schemas as S
+from ..functions.expressions import issue_flag
 from ..functions.rounding import round_n
+from ..operators import histogram as H
 from ..operators.equipment import STATS_KEYS
-from ..operators.joins import sized_broadcast
-from ..operators.losses import MART_KEYS
-from ..operators.versioning import latest_by_key
+from ..operators.staging import stg_event_logs, stg_telemetry
 from ..session import fresh_dir
+from ..sources import snapshots as SN
 from ..sources.adapters import events_to_event_logs, events_to_telemetry
-from ..sources.storage import delete_path, list_dirs, path_exists
-from ..operators.staging import stg_event_logs, stg_telemetry
-
-BATCH_COL = "_batch_id"
-PART_COL = "_part"
-COMPACT_EVERY = 20
+from ..sources.snapshots import MONTH
+from ..functions.dates import month_key
+from . import partials as P
 
 
 def file_stream(spark: SparkSession, directory: str, schema, glob: str = "*.parquet",
@@ -51,131 +47,125 @@ def event_stream(spark: SparkSession, sf_dir: str, name: str = "events", max_fil
     return file_stream(spark, sf_dir, schema, f"{name}.parquet", max_files)
 
 
-def _upsert_sink(out_dir: str, keys: list[str], compact_every: int = COMPACT_EVERY):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn(BATCH_COL, F.lit(batch_id).cast("bigint")) \
-             .write.mode("overwrite").parquet(f"{out_dir}/{PART_COL}=b{batch_id}")
-        if batch_id % compact_every == compact_every - 1:
-            compact(batch.sparkSession, out_dir, keys, batch_id)
-    return write
-
-
-def compact(spark: SparkSession, out_dir: str, keys: list[str], batch_id: int) -> None:
-    """One folder with the latest row per group in place of all others.
-
-    Folders are removed only after the new one is complete. A failure in between leaves rows
-    twice, which the read side takes once; a second call finishes the work.
-    """
-    own = f"{PART_COL}=c{batch_id}"
-    parts = [p for p in list_dirs(spark, out_dir) if p.startswith(f"{PART_COL}=")]
-    old = [f"{out_dir}/{p}" for p in parts if p != own]
-    if not (own in parts and path_exists(spark, f"{out_dir}/{own}/_SUCCESS")):
-        rows = spark.read.option("basePath", out_dir).parquet(*old).drop(PART_COL)
-        # the batch id stays, so that later updates and repeated rows are told apart as before
-        last = latest_by_key(rows.withColumn("_kept", F.col(BATCH_COL)), keys, version=BATCH_COL)
-        last.withColumnRenamed("_kept", BATCH_COL).write.mode("overwrite").parquet(f"{out_dir}/{own}")
-    for path in old:
-        delete_path(spark, path)
-
-
-def run_update_stream(agg: DataFrame, out_dir: str, checkpoint: str, keys: list[str],
-                      processing_time: str | None = None, compact_every: int = COMPACT_EVERY):
-    """Start the stream over groups of ``keys``. By default it drains what is available and stops
-    (``availableNow``); with ``processing_time`` (e.g. ``"1 minute"``) it keeps
-    running and the started query is returned."""
-    w = (agg.writeStream.outputMode("update")
-         .foreachBatch(_upsert_sink(out_dir, keys, compact_every))
-         .option("checkpointLocation", checkpoint))
-    if processing_time:
-        return w.trigger(processingTime=processing_time).start()
-    # A drain-and-stop run needs no watermark-only batch at the end: it would
-    # only evict state, which the next run's first batch does anyway. The
-    # query clones the session conf at start, so the change is scoped to it.
-    key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    spark = agg.sparkSession
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        q = w.trigger(availableNow=True).start()
-    finally:
-        spark.conf.set(key, before)
-    q.awaitTermination()
-    return None
-
-
-def _latest(spark: SparkSession, out_dir: str, keys: list[str]) -> DataFrame:
-    return latest_by_key(spark.read.parquet(out_dir).drop(PART_COL), keys, version=BATCH_COL)
-
-
 # ---------------------------------------------------------------- J3
 
-def health_stats_stream(events: DataFrame) -> DataFrame:
-    """Streaming E3 over the telemetry adapter: 1-day windows per device and metric.
+COUNTED = ["warning_count", "maintenance_count", "idle_count"]
+HEALTH_PARTIAL = StructType(
+    [f for f in S.MART_EQUIPMENT_HEALTH.fields if f.name in STATS_KEYS]
+    + [f for f in S.MART_EQUIPMENT_HEALTH.fields if f.name in ("reading_count", "min_value", "max_value", *COUNTED)]
+    + [StructField("total", S.D), StructField("spread", S.D)])
 
-    No watermark: a late reading, however old, still counts (a watermark would drop it). The state is one
-    row for each group of the mart, so it is as large as the mart, not as the readings."""
-    stg = stg_telemetry(events_to_telemetry(events)).withColumn("event_time", F.col("ts").cast("timestamp"))
+
+def health_partial(readings: DataFrame) -> DataFrame:
+    """E3 of one micro-batch: per key count, sum, squared deviations from its mean, extremes, state counts."""
     st = F.col("equipment_state")
-    return (stg.groupBy(F.window("event_time", "1 day"), *[k for k in STATS_KEYS if k != "reading_date"])
+    return (stg_telemetry(readings).groupBy(*STATS_KEYS)
             .agg(F.count(F.lit(1)).alias("reading_count"),
-                 F.avg("metric_value").alias("avg_value"),
                  F.min("metric_value").alias("min_value"),
                  F.max("metric_value").alias("max_value"),
-                 F.stddev_pop("metric_value").alias("stddev_value"),
-                 F.count_if(st == "warning").alias("warning_count"),
-                 F.count_if(st == "maintenance").alias("maintenance_count"),
-                 F.count_if(st == "idle").alias("idle_count"))
-            .withColumn("reading_date", F.to_date(F.col("window.start")))
-            .drop("window"))
+                 *[F.count_if(st == c.removesuffix("_count")).alias(c) for c in COUNTED],
+                 F.sum("metric_value").alias("total"),
+                 (F.var_pop("metric_value") * F.count(F.lit(1))).alias("spread"))
+            .withColumn(MONTH, month_key("reading_date")))
 
 
-def stream_equipment_health(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> DataFrame:
-    """J3 end to end: run the stream to completion, return the health mart it built."""
-    out_dir = out_dir or fresh_dir(spark, "stream_health")
-    run_update_stream(health_stats_stream(event_stream(spark, sf_dir)), f"{out_dir}/data", f"{out_dir}/_checkpoint",
-                      STATS_KEYS)
-    return health_mart(spark, out_dir)
+def merge_health(parts: DataFrame) -> DataFrame:
+    """One partial row per key. The common mean comes from a window over a key's few partials; the final sums use
+    the same partitioning, so there is one shuffle."""
+    w = Window.partitionBy(*STATS_KEYS, MONTH)
+    n, total = F.col("reading_count"), F.col("total")
+    off = total / n - F.sum(total).over(w) / F.sum(n).over(w)
+    return (parts.withColumn("spread", F.col("spread") + n * off * off)
+            .groupBy(*STATS_KEYS, MONTH)
+            .agg(F.sum("reading_count").alias("reading_count"), F.min("min_value").alias("min_value"),
+                 F.max("max_value").alias("max_value"), *[F.sum(c).alias(c) for c in COUNTED],
+                 F.sum("total").alias("total"), F.sum("spread").alias("spread")))
+
+
+def run_health(events: DataFrame, out_dir: str, processing_time: str | None = None, fold_at: int = P.FOLD):
+    """Add the new events' readings to the partials under ``out_dir``."""
+    return P.run(events_to_telemetry(events), f"{out_dir}/partials", f"{out_dir}/_checkpoint", health_partial, merge_health,
+                 HEALTH_PARTIAL, processing_time, fold_at)
 
 
 def health_mart(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The health mart that the stream writing to ``out_dir`` has built so far."""
-    s = _latest(spark, f"{out_dir}/data", STATS_KEYS)
-    return s.select(
+    """The health mart of all readings that the stream writing to ``out_dir`` has taken in."""
+    m = merge_health(P.read(spark, f"{out_dir}/partials", HEALTH_PARTIAL))
+    n = F.col("reading_count")
+    m = m.withColumns({"avg_value": F.col("total") / n, "stddev_value": F.sqrt(F.col("spread") / n)})
+    return m.select(
         *STATS_KEYS, "reading_count",
         *[round_n(c, 3).alias(c) for c in ("avg_value", "min_value", "max_value", "stddev_value")],
-        "warning_count", "maintenance_count", "idle_count",
-        issue_flag("warning_count", "maintenance_count").alias("has_issues"),
+        *COUNTED, issue_flag("warning_count", "maintenance_count").alias("has_issues"),
     )
 
 
+def stream_equipment_health(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> DataFrame:
+    """J3 end to end: run the stream to completion, return the health mart it built."""
+    out_dir = out_dir or fresh_dir(spark, "stream_health")
+    run_health(event_stream(spark, sf_dir), out_dir)
+    return health_mart(spark, out_dir)
+
+
 # ---------------------------------------------------------------- J4
 
-def daily_losses_stream(events: DataFrame, dims: DataFrame) -> DataFrame:
-    """Streaming E2: staged events ⋈ broadcast static dims, 1-day windows per mart key; late events
-    count (see ``health_stats_stream``)."""
-    stg = stg_event_logs(events_to_event_logs(events)).join(sized_broadcast(dims), "operation_name", "inner")
-    stg = stg.withColumn("event_time", F.col("start_time").cast("timestamp"))
-    keys = [k for k in MART_KEYS if k != "event_date"]
-    return (stg.groupBy(F.window("event_time", "1 day"), *keys)
-            .agg(F.count(F.lit(1)).alias("event_count"),
-                 F.avg("duration_seconds").alias("_avg"),
-                 F.stddev_pop("duration_seconds").alias("_sd"),
-                 F.sum(clipped_delta_int("duration_seconds", "norm_seconds")).alias("_sum_delta"))
-            .withColumn("event_date", F.to_date(F.col("window.start")))
-            .drop("window"))
+DIMS = StructType([StructField("operation_name", S.S), StructField("norm_seconds", S.I),
+                   StructField("role_name", S.S), StructField("hourly_rate", S.D)])
+
+
+def run_losses(events: DataFrame, out_dir: str, processing_time: str | None = None, fold_at: int = P.FOLD):
+    """Add the new events' durations to the histogram under ``out_dir``."""
+    return P.run(events_to_event_logs(events), f"{out_dir}/partials", f"{out_dir}/_checkpoint",
+                 lambda rows: H.daily_histogram(stg_event_logs(rows)), H.merge, H.HISTOGRAM, processing_time, fold_at)
+
+
+def histogram(spark: SparkSession, out_dir: str, months: list[str] | None = None) -> DataFrame:
+    """date, operation, duration, n of all events taken in (a key may have several rows)."""
+    return P.read(spark, f"{out_dir}/partials", H.HISTOGRAM, months)
+
+
+def refresh_losses(spark: SparkSession, out_dir: str, dims: DataFrame) -> dict[str, int]:
+    """Bring the stored loss mart up to date with the histogram and today's dimensions.
+
+    Recomputed are the (date, operation) rows that new partials touch, and all dates of operations whose norm, role or rate differs
+    from the one the mart was made with (including operations that gained or lost a norm). Months with such rows are
+    written anew from the histogram, the others keep their folders; dimensions and marts become visible together.
+    Returns how many keys and months were recomputed."""
+    root, source = f"{out_dir}/mart", f"{out_dir}/partials"
+    base, now = SN.current(spark, root), SN.current(spark, source)
+    dims = dims.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in DIMS.fields])
+    before = SN.read(spark, root, DIMS, "dims", at=base)
+    changed = dims.exceptAll(before).unionByName(before.exceptAll(dims)).select("operation_name").distinct()
+    used = set(base.notes.get("partials", []))
+    fresh = SN.Snapshot(now.number, tuple(p for p in now.parts if p.path not in used))
+    every = P.read(spark, source, H.HISTOGRAM, at=now)
+    columns = [MONTH, "event_date", "operation_name"]
+    keys = (P.read(spark, source, H.HISTOGRAM, at=fresh).select(*columns)
+            .unionByName(every.join(changed, "operation_name", "left_semi").select(*columns)).distinct())
+    path = fresh_dir(spark, "loss_keys")
+    keys.write.parquet(path)
+    keys = spark.read.schema(keys.schema).parquet(path)
+    months = sorted(r[0] for r in keys.select(MONTH).distinct().collect())       # months, not rows
+    on = ["event_date", "operation_name"]
+    touched = P.read(spark, source, H.HISTOGRAM, months, now).join(keys.select(*on), on, "left_semi")
+    old = SN.Snapshot(base.number, tuple(p for p in base.of() if p.month in months))
+    kept = SN.read(spark, root, S.MART_DAILY_LOSSES, at=old).join(keys.select(*on), on, "left_anti")
+    rows = kept.unionByName(H.mart_daily_losses(touched, dims)).withColumn(MONTH, month_key("event_date"))
+    parts = SN.stage(rows.hint("rebalance", MONTH).sortWithinPartitions(*on), root, (MONTH,)) if months else []
+    parts += SN.stage(dims, root, kind="dims")
+    SN.publish(spark, root, base, (*[p for p in base.of() if p.month not in months], *parts),
+               {"partials": sorted(p.path for p in now.parts)})
+    return {"keys": keys.count(), "months": len(months)}
+
+
+def losses_mart(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The loss mart as of the last ``refresh_losses``."""
+    return SN.read(spark, f"{out_dir}/mart", S.MART_DAILY_LOSSES)
 
 
 def stream_daily_losses(spark: SparkSession, sf_dir: str, dims: DataFrame, out_dir: str | None = None) -> DataFrame:
     """J4 end to end; the result has the mart's columns and values."""
     out_dir = out_dir or fresh_dir(spark, "stream_losses")
-    run_update_stream(daily_losses_stream(event_stream(spark, sf_dir), dims),
-                      f"{out_dir}/data", f"{out_dir}/_checkpoint", MART_KEYS)
-    a = _latest(spark, f"{out_dir}/data", MART_KEYS)
-    return a.select(
-        "event_date", "operation_name", "role_name", "event_count",
-        round_n("_avg", 2).alias("avg_duration_sec"),
-        "norm_seconds", "hourly_rate",
-        round_n(F.col("_sum_delta") / F.col("event_count"), 2).alias("delta_sec"),
-        round_n(loss("_sum_delta", "hourly_rate"), 2).alias("total_loss"),
-        round_n(z_score("_avg", "norm_seconds", "_sd"), 3).alias("z_score"),
-    )
+    run_losses(event_stream(spark, sf_dir), out_dir)
+    refresh_losses(spark, out_dir, dims)
+    return losses_mart(spark, out_dir)

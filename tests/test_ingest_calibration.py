@@ -30,20 +30,20 @@ def test_event_batches(spark):
         json.dumps({"batch_id": 4, "rows": [dict(EVENT, duration_seconds="abc")]}),
         "not json at all",
     ])
-    v = I.validate(I.read_batches(spark, d, S.EVENT_BATCH), "rows", S.EVENT_REQUIRED).cache()
-    acc = I.accepted_events(v).collect()
+    v = I.validated(I.read_lines(spark, d), "events").cache()
+    acc = I.accepted(v, "events").collect()
     assert len(acc) == 1 and acc[0].duration_seconds == 300 and acc[0].start_time == dt.datetime(2024, 1, 1, 10)
-    reasons = {(r.batch_id, r.reject_reason) for r in I.rejected(v, "rows").collect()}
+    reasons = {(r.batch_id, r.reject_reason) for r in I.rejected(v, "events").collect()}
     assert (2, "empty") in reasons and (3, "missing_required") in reasons
     assert sum(1 for _, why in reasons if why == "corrupt") == 2
-    rep = {r.batch_id: r.inserted for r in I.ingest_report(v, "rows").collect() if r.batch_id}
+    rep = {r.batch_id: r.inserted for r in I.ingest_report(v, "events").collect() if r.batch_id}
     assert rep[1] == 1 and rep[2] == 0
 
 
 def test_reading_defaults(spark):
     d = _write(spark, [json.dumps({"batch_id": 1, "readings": [READING, dict(READING, quality=64, unit="bar")]})])
-    v = I.validate(I.read_batches(spark, d, S.READING_BATCH), "readings", S.READING_REQUIRED)
-    rows = sorted(I.accepted_readings(v).collect(), key=lambda r: r.quality)
+    v = I.validated(I.read_lines(spark, d), "readings")
+    rows = sorted(I.accepted(v, "readings").collect(), key=lambda r: r.quality)
     assert (rows[0].quality, rows[0].unit) == (64, "bar")
     r = rows[1]
     assert (r.equipment_name, r.unit, r.equipment_state, r.source_system, r.quality) == ("", "", "running", "scada", 192)
@@ -77,18 +77,66 @@ def test_recommendation_rounds_half_even(spark):
     assert [r[0] for r in df.select(recommended_norm("m", "s")).collect()] == [10, 12]
 
 
-def test_producer_bounds_batches_with_duplicate_ids(spark):
-    from pyspark.sql import functions as F
-    from opsloss.sources.tables import table
-    from tests.conftest import SF_SMALL
-    ev = table(spark, SF_SMALL, "events")
-    dup = ev.withColumn("event_id", F.when(F.col("event_id") < 400, F.lit(7)).otherwise(F.col("event_id")))
-    d = fresh_dir(spark, "dup_batches")
-    I.write_event_batches(dup, d, rows_per_batch=100)
-    b = I.read_batches(spark, d, S.EVENT_BATCH)
-    sizes = [r[0] for r in b.select(F.size("rows")).collect()]
-    assert max(sizes) <= 100 and sum(sizes) == 1000
-    assert b.filter("batch_id = 0").count() >= 4          # the hot batch was split into parts
+def test_null_is_not_missing(spark):
+    """An optional field may be missing, not null; in a required field either is a missing value."""
+    d = _write(spark, [
+        json.dumps({"batch_id": 1, "readings": [READING]}),
+        json.dumps({"batch_id": 2, "readings": [READING, dict(READING, unit=None)]}),
+        json.dumps({"batch_id": 3, "readings": [dict(READING, quality=None)]}),
+        json.dumps({"batch_id": 4, "readings": [dict(READING, metric_value=None)]}),
+        json.dumps({"batch_id": 5, "readings": [dict(READING, unit="null", equipment_name="\"unit\": null")]}),
+        json.dumps({"batch_id": 6, "readings": None}),
+        json.dumps({"batch_id": 7, "readings": [dict(READING, note=None)]}),
+        json.dumps({"batch_id": 8, "readings": [dict(READING, unit={"unit": None})]}),
+        "", "   ",
+    ])
+    v = I.validated(I.read_lines(spark, d), "readings")
+    reasons = {r.batch_id: r.reject_reason for r in v.collect()}
+    assert {k: x for k, x in reasons.items() if k != 8} == {
+        1: None, 2: "null_value", 3: "null_value", 4: "missing_required", 5: None, 6: "empty", 7: None}
+    assert I.accepted(v, "readings").filter("unit = 'null'").count() == 1
+
+
+def test_ingest_job_takes_each_file_once(spark, monkeypatch):
+    from opsloss.plans import jobs as JB
+    from opsloss.sources import snapshots as SN
+    wh = JB.new_warehouse(spark)
+    d = _write(spark, [json.dumps({"batch_id": 1, "rows": [EVENT, EVENT]}), json.dumps({"batch_id": 2, "rows": []}), "cut off {"])
+    root = wh.path("raw", "event_logs")
+    with monkeypatch.context() as m:                                  # fails when all data are written
+        m.setattr(SN, "publish", lambda *a, **k: (_ for _ in ()).throw(OSError("disk")))
+        for _ in range(2):
+            try:
+                JB.ingest_job(spark, d, wh)
+                raise AssertionError("must fail")
+            except OSError:
+                pass
+    assert JB.read_event_logs(spark, root).count() == 0 and JB.ingest_rejects(spark, wh).count() == 0
+    assert JB.ingest_job(spark, d, wh) == {"inserted": 2, "rejected_batches": 2, "files": 1}
+    assert JB.ingest_job(spark, d, wh) == {"inserted": 0, "rejected_batches": 0, "files": 0}
+    with open(os.path.join(d, "part2.json"), "w") as f:
+        f.write(json.dumps({"batch_id": 3, "rows": [dict(EVENT, start_time="2024-03-01T10:00:00.000000")]}) + "\n")
+    assert JB.ingest_job(spark, d, wh) == {"inserted": 1, "rejected_batches": 0, "files": 1}
+    rows = JB.read_event_logs(spark, root)
+    assert sorted(str(r.month) for r in rows.collect()) == ["202401", "202401", "202403"]
+    assert {(r.batch_id, r.reject_reason, r.row_count) for r in JB.ingest_rejects(spark, wh).collect()} == {(2, "empty", 0), (None, "corrupt", 0)}
+    # what the broken runs wrote is named by no pointer, and vacuum removes it
+    assert len(SN.vacuum(spark, root, keep=1, older_than=0)) == 4 and JB.read_event_logs(spark, root).count() == 3
+
+
+def test_ingest_job_parses_once(spark):
+    """One job reads the requests: rows, rejects and counts come from the same write."""
+    from opsloss.plans import jobs as JB
+    wh = JB.new_warehouse(spark)
+    d = _write(spark, [json.dumps({"batch_id": i, "rows": [EVENT] * (i % 3)}) for i in range(30)])
+    seen = []
+    real = I.read_lines
+    try:
+        I.read_lines = lambda *a: seen.append(a) or real(*a)
+        out = JB.ingest_job(spark, d, wh)
+    finally:
+        I.read_lines = real
+    assert len(seen) == 1 and out == {"inserted": 30, "rejected_batches": 10, "files": 1}
 
 
 def test_stream_ingest_single_pass_and_restart(spark):
@@ -97,10 +145,12 @@ def test_stream_ingest_single_pass_and_restart(spark):
                        json.dumps({"batch_id": 2, "batch_part": 0, "rows": []}),
                        "garbage"])
     out = fresh_dir(spark, "stream_ingest_test")
-    root = SI.stream_ingest(spark, d, out, "events")
+    root, n = SI.stream_ingest(spark, d, out, "events")
+    assert n == {"batches": 1, "inserted": 1, "rejected_batches": 2}
     assert SI.ingested_rows(spark, root).count() == 1
     assert {r.reject_reason for r in SI.ingested_rejects(spark, root).collect()} == {"empty", "corrupt"}
     with open(os.path.join(d, "part2.json"), "w") as f:                 # a new request arrives
         f.write(json.dumps({"batch_id": 3, "batch_part": 0, "rows": [EVENT, EVENT]}) + "\n")
-    SI.stream_ingest(spark, d, out, "events")                           # restart from the checkpoint
+    _, n = SI.stream_ingest(spark, d, out, "events")                    # restart from the checkpoint
+    assert (n["inserted"], n["rejected_batches"]) == (2, 0)
     assert SI.ingested_rows(spark, root).count() == 3                  # old files not re-ingested

@@ -55,9 +55,11 @@ def test_query_matches_oracle(spark, duck, name):
     assert a == b
 
 
-def test_every_query_has_an_oracle():
+def test_every_query_of_the_domain_has_an_oracle():
     import __spark_entry__ as e
-    assert set(e.queries()) == set(e.oracle_sql())
+    from opsloss.plans import catalog
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
 
 
 def test_entry(spark):

@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from opsloss import schemas as S
 from opsloss.functions.rounding import round_n
 from opsloss.operators import losses as L
 from opsloss.operators import staging
@@ -81,32 +82,47 @@ def test_stream_health_restart_equals_batch(spark):
     latest batch per key must equal the batch mart over both files."""
     from opsloss.operators import equipment as E
     from opsloss.session import fresh_dir
+    from opsloss.sources import snapshots as SN
     from opsloss.sources.adapters import events_to_telemetry
     from opsloss.streaming import aggregates as SA
+    from opsloss.streaming import partials as P
     from tests.conftest import SF_SMALL
 
     src = fresh_dir(spark, "stream_src")
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     ev.write.mode("append").parquet(src)
     out = fresh_dir(spark, "stream_out")
-    stream = lambda: SA.health_stats_stream(SA.file_stream(spark, src, ev.schema))      # noqa: E731
-    SA.run_update_stream(stream(), f"{out}/data", f"{out}/_checkpoint", E.STATS_KEYS)
+    SA.run_health(SA.file_stream(spark, src, ev.schema), out)
     later = ev.withColumn("event_id", F.col("event_id") + 1_000_000) \
               .withColumn("value", F.col("value") + 1.0)                      # same days, new readings
     later.write.mode("append").parquet(src)
-    SA.run_update_stream(stream(), f"{out}/data", f"{out}/_checkpoint", E.STATS_KEYS)
-    got = SA._latest(spark, f"{out}/data", E.STATS_KEYS)
-    both = ev.unionByName(later)
-    ref = E.telemetry_daily_stats(staging.stg_telemetry(events_to_telemetry(both)))
-    cols = ["reading_count", "warning_count", "maintenance_count", "idle_count"]
-    a = sorted(got.select(*E.STATS_KEYS, *cols, round_n("avg_value", 6).alias("avg")).collect())
-    b = sorted(ref.select(*E.STATS_KEYS, *cols, round_n("avg_value", 6).alias("avg")).collect())
+    SA.run_health(SA.file_stream(spark, src, ev.schema), out)
+    both = E.mart_equipment_health(E.telemetry_daily_stats(staging.stg_telemetry(events_to_telemetry(ev.unionByName(later)))))
+    a, b = (sorted(map(str, x.select(*both.columns).collect())) for x in (SA.health_mart(spark, out), both))
     assert a == b and len(a) > 0
-    assert spark.read.parquet(f"{out}/data").select("_batch_id").distinct().count() == 2
+    # folding partials and merging them again changes nothing
+    P.fold(spark, f"{out}/partials", SA.merge_health, SA.HEALTH_PARTIAL, fold_at=1)
+    assert len(SN.current(spark, f"{out}/partials").parts) == 1
+    assert sorted(map(str, SA.health_mart(spark, out).select(*both.columns).collect())) == b
+
+
+def test_merged_spread_does_not_cancel(spark):
+    """Values far from zero with a small spread: sums of squares in doubles would lose it."""
+    from opsloss.operators import equipment as E
+    from opsloss.streaming import aggregates as SA
+    import datetime as dt
+    rows = [(dt.datetime(2024, 1, 1, i), "E", "n", "m", 1e9 + i % 3, "u", "running", "scada", 192) for i in range(24)]
+    df = spark.createDataFrame(rows, S.TELEMETRY)
+    parts = [SA.health_partial(df.filter(f"hour(ts) % 4 = {k}")) for k in range(4)]
+    both = parts[0]
+    for x in parts[1:]:
+        both = both.unionByName(x)
+    (m,) = SA.merge_health(both).collect()
+    (want,) = E.telemetry_daily_stats(staging.stg_telemetry(df)).collect()
+    assert abs((m.spread / m.reading_count) ** 0.5 - want.stddev_value) < 1e-6 and m.reading_count == 24
 
 
 def test_stream_losses_restart_equals_batch(spark):
-    from opsloss.sources import storage as ST
     from opsloss.plans.models import Models
     from opsloss.session import fresh_dir
     from opsloss.streaming import aggregates as SA
@@ -119,17 +135,10 @@ def test_stream_losses_restart_equals_batch(spark):
     out = fresh_dir(spark, "stream_out_losses")
     for part in (ev, later):
         part.write.mode("append").parquet(src)
-        SA.run_update_stream(SA.daily_losses_stream(SA.file_stream(spark, src, ev.schema), m.dims),
-                             f"{out}/data", f"{out}/_checkpoint", L.MART_KEYS, compact_every=2)
-    # two batches, then one folder with one row per group; compacting again changes nothing
-    assert ST.list_dirs(spark, f"{out}/data") == ["_part=c1"]
-    SA.compact(spark, f"{out}/data", L.MART_KEYS, 1)
-    assert spark.read.parquet(f"{out}/data").count() == SA._latest(spark, f"{out}/data", L.MART_KEYS).count()
-    got = SA._latest(spark, f"{out}/data", L.MART_KEYS)
+        SA.run_losses(SA.file_stream(spark, src, ev.schema), out)
+    SA.refresh_losses(spark, out, m.dims)
     from opsloss.sources.adapters import events_to_event_logs
     ref = L.mart_daily_losses(L.ops_enriched(staging.stg_event_logs(events_to_event_logs(ev.unionByName(later))),
                                              m.dims))
-    a = sorted(got.select("event_date", "operation_name", "event_count",
-                          round_n(F.col("_sum_delta") / 3600.0 * F.col("hourly_rate"), 2).alias("loss")).collect())
-    b = sorted(ref.select("event_date", "operation_name", "event_count", F.col("total_loss").alias("loss")).collect())
+    a, b = (sorted(map(str, x.select(*ref.columns).collect())) for x in (SA.losses_mart(spark, out), ref))
     assert a == b and len(a) > 0
