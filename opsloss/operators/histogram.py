@@ -15,11 +15,11 @@ from pyspark.sql.types import StructField, StructType
 
 from .. import schemas as S
 from ..functions.dates import month_key
-from ..functions.expressions import clipped_delta_int, loss, recommended_norm, z_score
+from ..functions.expressions import clipped_delta_int, recommended_norm
 from ..functions.rounding import round_n
 from ..sources.snapshots import MONTH
 from .joins import DEFAULT_MAX_BROADCAST_BYTES, sized_broadcast
-from .losses import MART_KEYS
+from .losses import MART_KEYS, finish_mart
 
 HISTOGRAM = StructType([StructField("event_date", S.DT), StructField("operation_name", S.S),
                         StructField("duration_seconds", S.I), StructField("n", S.L)])
@@ -57,14 +57,7 @@ def mart_daily_losses(hist: DataFrame, dims: DataFrame, max_bytes: int = DEFAULT
         F.sum(clipped_delta_int("duration_seconds", "norm_seconds") * F.col("n")).alias("_sum_delta"))
     agg = agg.withColumns({"_avg": F.col("_total").cast("double") / F.col("event_count"),
                            "_sd": F.sqrt(_spread("event_count", "_total", "_squares").cast("double")) / F.col("event_count")})
-    return agg.select(
-        "event_date", "operation_name", "role_name", "event_count",
-        round_n("_avg", 2).alias("avg_duration_sec"),
-        "norm_seconds", "hourly_rate",
-        round_n(F.col("_sum_delta") / F.col("event_count"), 2).alias("delta_sec"),
-        round_n(loss("_sum_delta", "hourly_rate"), 2).alias("total_loss"),
-        round_n(z_score("_avg", "norm_seconds", "_sd"), 3).alias("z_score"),
-    )
+    return finish_mart(agg)
 
 
 def calibration_stats(hist: DataFrame, asof: _dt.datetime, lookback_days: int = 30) -> DataFrame:

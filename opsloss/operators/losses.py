@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import minus_hours, ts_literal
@@ -59,20 +59,34 @@ def mart_daily_losses(enriched: DataFrame) -> DataFrame:
     integer sum is exact and order-free, so the result does not depend on
     partitioning. ``z`` uses the population stddev of the group, unrounded.
     """
-    agg = enriched.groupBy(*MART_KEYS).agg(
+    return finish_mart(enriched.groupBy(*MART_KEYS).agg(*mart_aggregates()))
+
+
+def mart_aggregates() -> list[Column]:
+    """What ``finish_mart`` needs of the enriched events of one ``MART_KEYS`` group."""
+    return [
         F.count(F.lit(1)).alias("event_count"),
         F.avg("duration_seconds").alias("_avg"),
         F.stddev_pop("duration_seconds").alias("_sd"),
         F.sum(clipped_delta_int("duration_seconds", "norm_seconds")).alias("_sum_delta"),
-    )
-    return agg.select(
-        "event_date", "operation_name", "role_name", "event_count",
+    ]
+
+
+def mart_columns() -> list[Column]:
+    """The mart's columns over ``MART_KEYS`` and ``mart_aggregates``."""
+    return [
+        F.col("event_date"), F.col("operation_name"), F.col("role_name"), F.col("event_count"),
         round_n("_avg", 2).alias("avg_duration_sec"),
-        "norm_seconds", "hourly_rate",
+        F.col("norm_seconds"), F.col("hourly_rate"),
         round_n(F.col("_sum_delta") / F.col("event_count"), 2).alias("delta_sec"),
         round_n(loss("_sum_delta", "hourly_rate"), 2).alias("total_loss"),
         round_n(z_score("_avg", "norm_seconds", "_sd"), 3).alias("z_score"),
-    )
+    ]
+
+
+def finish_mart(agg: DataFrame) -> DataFrame:
+    """The mart's rows from its groups."""
+    return agg.select(*mart_columns())
 
 
 # ---------------------------------------------------------------- M1

@@ -1,10 +1,12 @@
 """Data-quality checks (L1-L8) and the report gate.
 
 Each check has a "failing rows" form (zero rows = pass) and a one-row
-summary form; ``dq_summary`` unions the summaries of every declared check
-into one small frame. Checks are single aggregation passes: not-null counts
-every column of a model in one scan, uniqueness is a grouped count with
-partial aggregation (a hot key is pre-counted per map task).
+summary form. Three ways to the summary of all declared checks:
+
+* ``dq_summary``: every check by itself, over any frames;
+* ``dq_summary_fused``: the standard model graph in one scan of each fact table;
+* ``WriteChecks``: the jobs' way. The checks of rows are observed metrics of the mart writes, so
+  they cost no scan at all; only key uniqueness reads the stored marts.
 """
 
 from __future__ import annotations
@@ -12,10 +14,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..schemas import EQUIPMENT_STATES
+from ..session import observed
 
 # The declared not-null tests per model (36 column tests).
 NOT_NULL_TESTS = {
@@ -52,11 +55,6 @@ def null_counts(df: DataFrame, model: str, columns: Sequence[str]) -> DataFrame:
                          F.col("null_count").cast("bigint").alias("null_count"))
 
 
-def null_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """L1 failing rows: any listed column is NULL."""
-    return df.filter(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns]))
-
-
 # ---------------------------------------------------------------- L2 / L3
 
 def duplicate_keys(df: DataFrame, columns: Sequence[str], sep: str = "::") -> DataFrame:
@@ -144,123 +142,139 @@ class QualityGateError(RuntimeError):
     pass
 
 
-def gate(summary: DataFrame) -> None:
-    """Raise before any report is written if a check failed.
+def verdict(summary: DataFrame) -> DataFrame:
+    """L7 as one row: whether reports may be written, the checks that failed and their failing rows."""
+    bad = F.col("failures") > 0
+    return summary.agg((F.count_if(bad) == 0).alias("passed"), F.count_if(bad).alias("failed_checks"),
+                       F.coalesce(F.sum(F.when(bad, F.col("failures"))), F.lit(0)).cast("bigint").alias("failures"),
+                       F.array_sort(F.collect_list(F.when(bad, F.concat_ws(
+                           "", "check_name", F.lit(":"), "model", F.lit("."), "column_name", F.lit("="),
+                           F.col("failures").cast("string"))))).alias("failing"))
 
-    The summary is one row per check (a few dozen), so reading the failing
-    ones on the driver is bounded.
-    """
-    failing = summary.filter(F.col("failures") > 0).collect()
-    if failing:
-        names = ", ".join(f"{r.check_name}:{r.model}.{r.column_name}={r.failures}" for r in failing)
-        raise QualityGateError(f"data-quality checks failed: {names}")
 
+def gate(found: DataFrame) -> None:
+    """Raise before any report is written unless the verdict is that all checks passed."""
+    v = found.first()
+    if not v.passed:
+        raise QualityGateError(f"data-quality checks failed: {', '.join(v.failing)}")
 
-# ---------------------------------------------------------------- fused evaluation
 
-def _row_counts(df: DataFrame, specs: list[tuple[str, str, str, Column]]) -> DataFrame:
-    """Row-level checks of one frame in a single aggregation pass.
+# ---------------------------------------------------------------- checks of rows
 
-    ``specs``: (check_name, model, column_name, failing-row predicate).
-    """
-    counts = df.agg(*[F.count_if(p).alias(f"_c{i}") for i, (_, _, _, p) in enumerate(specs)])
-    return _unpivot(counts, specs)
+Spec = tuple[str, str, str, Column]
 
 
-def _unpivot(counts: DataFrame, specs) -> DataFrame:
-    pairs = ", ".join(f"'{c}', '{m}', '{col}', cast(`_c{i}` as bigint)" for i, (c, m, col, _) in enumerate(specs))
+def row_checks(model: str, matched: Column | None = None) -> list[Spec]:
+    """(check_name, model, column_name, failing-row predicate) of every declared check of a model's rows; with ``matched``
+    only rows for which it holds are judged."""
+    specs: list[Spec] = [("not_null", model, c, F.col(c).isNull()) for c in NOT_NULL_TESTS[model]]
+    d = F.col("duration_seconds")
+    if model == "stg_event_logs":
+        specs.append(("duration_in_range", model, "duration_seconds", (d <= MIN_DURATION_EXCLUSIVE) | (d >= MAX_DURATION_EXCLUSIVE)))
+    if model == "stg_telemetry":
+        specs.append(("accepted_values", model, "equipment_state", ~F.col("equipment_state").isin(*EQUIPMENT_STATES)))
+    if model == "mart_daily_losses":
+        specs.append(("no_negative_losses", model, "total_loss", F.col("total_loss") < 0))
+    return specs if matched is None else [(c, m, col, matched & p) for c, m, col, p in specs]
+
+
+def _unpivot(counts: DataFrame, specs: Sequence[tuple]) -> DataFrame:
+    """One row (check_name, model, column_name, failures) for each of the columns ``_c0``, ``_c1``, ..."""
+    pairs = ", ".join(f"'{s[0]}', '{s[1]}', '{s[2]}', cast(coalesce(`_c{i}`, 0) as bigint)" for i, s in enumerate(specs))
     return counts.selectExpr(f"stack({len(specs)}, {pairs}) as (check_name, model, column_name, failures)")
 
 
-def _keyed_checks(df: DataFrame, key_cols: Sequence[str], dup_model: str,
-                  specs: list[tuple[str, str, str, Column]]) -> DataFrame:
-    """Row checks and the composite-key uniqueness check of one frame, in one
-    grouped pass: count rows and failing rows per key (partial aggregation
-    before the shuffle), then sum; keys seen more than once are duplicates."""
-    key = F.concat_ws("::", *[F.col(c).cast("string") for c in key_cols])
-    g = df.groupBy(key.alias("_key")).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.count_if(p).alias(f"_g{i}") for i, (_, _, _, p) in enumerate(specs)])
-    totals = g.agg(*[F.sum(f"_g{i}").alias(f"_c{i}") for i in range(len(specs))],
-                   F.count_if(F.col("_n") > 1).alias(f"_c{len(specs)}"))
-    return _unpivot(totals, list(specs) + [("unique_combination", dup_model, "::".join(key_cols), None)])
+def _row_counts(df: DataFrame, specs: list[Spec]) -> DataFrame:
+    """Checks of one frame's rows in a single aggregation pass."""
+    return _unpivot(df.agg(*[F.count_if(s[3]).alias(f"_c{i}") for i, s in enumerate(specs)]), specs)
 
 
-def dq_summary_fused(stg_events: DataFrame, dims: DataFrame, stg_norms: DataFrame, stg_rates: DataFrame,
-                     stg_telemetry: DataFrame, stats: DataFrame, mart: DataFrame,
-                     health: DataFrame | None = None) -> DataFrame:
-    """``dq_summary`` of the standard model graph, each input consumed once.
-
-    * Staged and enriched events: one scan of the facts, pre-aggregated per
-      operation (row count, null counts, range violations). The enriched
-      model is ``stg ⋈ dims`` on the operation, so its counts are the
-      per-operation counts times the number of matching dimension rows
-      (pre-counted per operation), summed — exact, duplicates included —
-      without scanning or joining the facts a second time.
-    * Staged telemetry: null counts and accepted values in one scan.
-    * Stats and health: the health mart is a 1:1 projection of the stats, so
-      both models' null checks and the health key's uniqueness come from one
-      grouped pass (``health`` may be given when it is a stored table).
-    * Loss mart: null counts, negative losses and key uniqueness in one
-      grouped pass.
-    """
-    from .joins import sized_broadcast
+def _key(columns: Sequence[str]) -> Column:
+    return F.concat_ws("::", *[F.col(c).cast("string") for c in columns])
 
-    parts: list[DataFrame] = []
 
-    # ---- events: staged + enriched + duration range
-    stg_cols = NOT_NULL_TESTS["stg_event_logs"]
-    enr_cols = NOT_NULL_TESTS["int_operations_enriched"]
-    d = F.col("duration_seconds")
-    fact_cols = list(dict.fromkeys(stg_cols + [c for c in enr_cols if c in stg_events.columns]))
-    dim_cols = [c for c in enr_cols if c not in stg_events.columns]
-    per_op = stg_events.groupBy("operation_name").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count_if((d <= MIN_DURATION_EXCLUSIVE) | (d >= MAX_DURATION_EXCLUSIVE)).alias("_range"),
-        *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in fact_cols],
-    )
-    dim_counts = dims.groupBy("operation_name").agg(
-        F.count(F.lit(1)).alias("_m"), *[F.count_if(F.col(c).isNull()).alias(f"_dnull_{c}") for c in dim_cols])
-    j = per_op.join(sized_broadcast(dim_counts), "operation_name", "left")
-    m = F.coalesce(F.col("_m"), F.lit(0))
-    aggs = [F.sum(f"_null_{c}") for c in stg_cols] + [F.sum("_range")]
-    specs = [("not_null", "stg_event_logs", c, None) for c in stg_cols] + \
-            [("duration_in_range", "stg_event_logs", "duration_seconds", None)]
-    for c in enr_cols:
-        e = F.col(f"_null_{c}") * m if c in fact_cols else F.col("_n") * F.coalesce(F.col(f"_dnull_{c}"), F.lit(0))
-        aggs.append(F.sum(e))
-        specs.append(("not_null", "int_operations_enriched", c, None))
-    totals = j.agg(*[F.coalesce(a, F.lit(0)).alias(f"_c{i}") for i, a in enumerate(aggs)])
-    parts.append(_unpivot(totals, specs))
-
-    # ---- dimensions (tiny)
+def _dim_checks(stg_norms: DataFrame, stg_rates: DataFrame) -> list[DataFrame]:
+    """Checks of the two dimensions (tiny)."""
+    parts = []
     for model, frame in (("stg_process_norms", stg_norms), ("stg_rates", stg_rates)):
-        parts.append(_row_counts(frame, [("not_null", model, c, F.col(c).isNull())
-                                         for c in NOT_NULL_TESTS[model]]))
+        parts.append(_row_counts(frame, row_checks(model)))
         for c in UNIQUE_TESTS[model]:
             parts.append(duplicate_summary(frame, model, [c]).select(
                 F.lit("unique").alias("check_name"), "model", "column_name",
                 F.col("duplicate_keys").alias("failures")))
+    return parts
+
+
+# ---------------------------------------------------------------- one scan of each fact table
+
+def _two_levels(base: DataFrame, keys: Sequence[str], row_specs: list[Spec], group_specs: list[Spec], model: str,
+                aggregates: list[Column], columns: list[Column], matched: Column | None) -> DataFrame:
+    """All checks of a fact table and the mart made from it in one plan without branches: rows are counted in the
+    mart's groups, groups (projected to the mart's ``columns``) in its keys, keys in one row."""
+    exists = F.lit(True) if matched is None else F.col("_exists")
+    g = base.groupBy(*keys).agg(
+        *aggregates, *[F.count_if(s[3]).alias(f"_r{i}") for i, s in enumerate(row_specs)],
+        (F.lit(True) if matched is None else F.bool_or(matched)).alias("_exists"))
+    g = g.select(*columns, "_exists", *[f"_r{i}" for i in range(len(row_specs))])
+    k = g.groupBy(_key(COMPOSITE_UNIQUE_TESTS[model]).alias("_key")).agg(
+        F.count_if(exists).alias("_n"), *[F.sum(f"_r{i}").alias(f"_r{i}") for i in range(len(row_specs))],
+        *[F.count_if(exists & s[3]).alias(f"_g{i}") for i, s in enumerate(group_specs)])
+    sums = [f"_r{i}" for i in range(len(row_specs))] + [f"_g{i}" for i in range(len(group_specs))]
+    total = k.agg(*[F.sum(c).alias(f"_c{i}") for i, c in enumerate(sums)], F.count_if(F.col("_n") > 1).alias(f"_c{len(sums)}"))
+    return _unpivot(total, [*row_specs, *group_specs, ("unique_combination", model, "::".join(COMPOSITE_UNIQUE_TESTS[model]))])
 
-    # ---- telemetry staging + accepted values
-    tel_specs = [("not_null", "stg_telemetry", c, F.col(c).isNull()) for c in NOT_NULL_TESTS["stg_telemetry"]]
-    tel_specs.append(("accepted_values", "stg_telemetry", "equipment_state",
-                      ~F.col("equipment_state").isin(*EQUIPMENT_STATES)))
-    parts.append(_row_counts(stg_telemetry, tel_specs))
-
-    # ---- stats + health
-    st_specs = [("not_null", "int_telemetry_daily_stats", c, F.col(c).isNull())
-                for c in NOT_NULL_TESTS["int_telemetry_daily_stats"]]
-    h_specs = [("not_null", "mart_equipment_health", c, F.col(c).isNull())
-               for c in NOT_NULL_TESTS["mart_equipment_health"]]
-    hk = COMPOSITE_UNIQUE_TESTS["mart_equipment_health"]
-    if health is None:
-        parts.append(_keyed_checks(stats, hk, "mart_equipment_health", st_specs + h_specs))
-    else:
-        parts.append(_row_counts(stats, st_specs))
-        parts.append(_keyed_checks(health, hk, "mart_equipment_health", h_specs))
-
-    # ---- loss mart
-    m_specs = [("not_null", "mart_daily_losses", c, F.col(c).isNull()) for c in NOT_NULL_TESTS["mart_daily_losses"]]
-    m_specs.append(("no_negative_losses", "mart_daily_losses", "total_loss", F.col("total_loss") < 0))
-    parts.append(_keyed_checks(mart, COMPOSITE_UNIQUE_TESTS["mart_daily_losses"], "mart_daily_losses", m_specs))
+
+def dq_summary_fused(stg_events: DataFrame, dims: DataFrame, stg_norms: DataFrame, stg_rates: DataFrame,
+                     stg_telemetry: DataFrame) -> DataFrame:
+    """``dq_summary`` of the standard model graph, each fact table scanned once.
+
+    * Events: staged rows are left-joined with the dimensions, so staged, enriched and mart checks come from
+      one grouping; a staged row that meets several dimension rows is judged as staged once.
+    * Telemetry: staged, stats and health checks from one grouping (the health mart is a projection of the stats).
+    """
+    from . import equipment as E
+    from . import losses as L
+    from .joins import sized_broadcast
+
+    nth = F.row_number().over(Window.partitionBy("operation_name").orderBy("role_name", "norm_seconds", "hourly_rate"))
+    events = stg_events.join(sized_broadcast(dims.withColumn("_nth", nth)), "operation_name", "left")
+    matched = F.col("_nth").isNotNull()
+    staged = F.coalesce(F.col("_nth"), F.lit(1)) == 1
+    parts = [_two_levels(events, L.MART_KEYS, row_checks("stg_event_logs", staged) + row_checks("int_operations_enriched", matched),
+                         row_checks("mart_daily_losses"), "mart_daily_losses", L.mart_aggregates(), L.mart_columns(), matched)]
+    parts += _dim_checks(stg_norms, stg_rates)
+    # null checks of the stats see the unrounded average, which is null exactly when the rounded one is
+    parts.append(_two_levels(stg_telemetry, E.STATS_KEYS, row_checks("stg_telemetry"),
+                             row_checks("int_telemetry_daily_stats") + row_checks("mart_equipment_health"), "mart_equipment_health",
+                             E.stats_aggregates(), E.health_columns(), None))
     return reduce(DataFrame.unionByName, parts)
+
+
+# ---------------------------------------------------------------- checks of the mart writes
+
+class WriteChecks:
+    """The checks of rows as observed metrics of the jobs that write the marts.
+
+    ``watch`` is given every model's frame while the plans are built (``Models(..., watch=checks.watch)``); when the
+    marts are written, the counts of failing rows are there. A task that runs again after a lost executor may count
+    its rows twice, which changes the size of a failure but never makes one."""
+
+    def __init__(self):
+        self._seen: dict[str, tuple[Observation, list[Spec]]] = {}
+
+    def watch(self, model: str, frame: DataFrame) -> DataFrame:
+        specs = row_checks(model)
+        observation = Observation(model)
+        self._seen[model] = (observation, specs)
+        return frame.observe(observation, *[F.count_if(s[3]).alias(f"_c{i}") for i, s in enumerate(specs)])
+
+    def summary(self, stg_norms: DataFrame, stg_rates: DataFrame, mart: DataFrame, health: DataFrame) -> DataFrame:
+        """One row per declared check, after the writes: observed counts, dimension checks, key uniqueness of the stored marts."""
+        spark = mart.sparkSession
+        rows = [(s[0], s[1], s[2], observed(o, f"_c{i}")) for o, specs in self._seen.values() for i, s in enumerate(specs)]
+        parts = [spark.createDataFrame(rows, "check_name string, model string, column_name string, failures long"),
+                 *_dim_checks(stg_norms, stg_rates)]
+        for model, frame in (("mart_daily_losses", mart), ("mart_equipment_health", health)):
+            parts.append(duplicate_summary(frame, model, COMPOSITE_UNIQUE_TESTS[model]).select(
+                F.lit("unique_combination").alias("check_name"), "model", "column_name", F.col("duplicate_keys").alias("failures")))
+        return reduce(DataFrame.unionByName, parts)

@@ -493,10 +493,9 @@ def _dq_models(spark, d, source="events"):
 
 
 def _dq_not_null(spark, d):
-    from functools import reduce
-    ms = _dq_models(spark, d)
-    return reduce(DataFrame.unionByName,
-                  [Q.null_counts(ms[m], m, cols) for m, cols in Q.NOT_NULL_TESTS.items()])
+    """L1 of every model from one scan of each fact table."""
+    found = _m(spark, d).dq_summary().filter("check_name = 'not_null'")
+    return found.select("model", "column_name", F.col("failures").alias("null_count"))
 
 
 register("dq_not_null", O.with_(_dq_ctes(), _not_null_sql()))(_dq_not_null)
@@ -973,6 +972,31 @@ def _weekly_etl(spark, d):
 
 
 register("daily_etl_run", _SQL["report_pulse"])(_daily_etl)
+
+
+def _gate_verdict(spark, d):
+    """L7 as the daily job gives it: facts with missing case ids and unknown states; no report may be written."""
+    wh, m = JB.new_warehouse(spark), _m(spark, d)
+    events = m.event_logs.withColumn("case_id", F.when(F.col("duration_seconds") % 7 != 0, F.col("case_id")))
+    tel = m.telemetry.withColumn("equipment_state", F.when(F.col("equipment_id") == "EQ-003", "melting").otherwise(F.col("equipment_state")))
+    try:
+        JB.daily_run(spark, d, SYNC_TIMES[1], D.sample_rows(spark), wh, facts=(events, tel))
+        raise AssertionError("the gate must trip")
+    except Q.QualityGateError:
+        reports = ST.list_dirs(spark, wh.path("reports"))
+    found = spark.read.parquet(wh.path("checks", "verdict"))
+    return found.select("passed", "failed_checks", "failures", F.array_join("failing", " ").alias("failing"),
+                        F.lit(len(reports)).alias("reports_written"))
+
+
+register("daily_gate_verdict", O.with_(O.base_ctes(upto="enriched") + O.telemetry_ctes("stg_telemetry") + [("f", """
+  SELECT 'accepted_values:stg_telemetry.equipment_state' AS name, count(*) AS n FROM stg_telemetry WHERE equipment_id = 'EQ-003'
+  UNION ALL SELECT 'not_null:int_operations_enriched.case_id', count(*) FROM enriched WHERE duration_seconds % 7 = 0
+  UNION ALL SELECT 'not_null:stg_event_logs.case_id', count(*) FROM stg_events WHERE duration_seconds % 7 = 0""")], """
+  SELECT false AS passed, count(*) AS failed_checks, cast(sum(n) as bigint) AS failures,
+         string_agg(name || '=' || cast(n as varchar), ' ' ORDER BY name) AS failing, 0 AS reports_written FROM f"""))(_gate_verdict)
+register("daily_etl_run_raw_every_date", O.with_(RAW_ALL_CTES + [("totals", TOTALS), ("top", TOP)], PULSE))(
+    lambda spark, d: spark.read.parquet(JB.daily_run(spark, d, SYNC_TIMES[1], D.sample_rows(spark), _synced_before(spark), mode="raw")["pulse"]))
 register("daily_etl_run_raw", O.with_(
     _raw_ctes("events", _dt.datetime.combine(INSIDE_DAY, _dt.time())) +
     [("losses", f"  SELECT DATE '{INSIDE_DAY}' AS report_date, * FROM ({RAW_SELECT})"), ("totals", TOTALS), ("top", TOP)],

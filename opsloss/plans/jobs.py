@@ -24,7 +24,7 @@ from ..operators import reports as Rp
 from ..operators import narrative as N
 from ..operators import versioning as V
 from ..operators import joins as J
-from ..session import fresh_dir
+from ..session import fresh_dir, observed
 from ..sources import snapshots as SN
 from ..sources import storage as ST
 from .models import Models
@@ -80,7 +80,7 @@ def _append_dim(rows: DataFrame, path: str, name: str) -> int:
 
     seen = Observation(name)
     parts = SN.stage(rows.observe(seen, F.count(F.lit(1)).alias("n")), path)
-    n = int(seen.get["n"])
+    n = observed(seen, "n")
     if n:
         SN.update(rows.sparkSession, path, lambda base: ((*base.parts, *parts), None))
     return n
@@ -149,11 +149,11 @@ def read_event_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def warehouse_models(spark: SparkSession, sf_dir: str, wh: Warehouse, source: str = "events",
-                     stored_facts: bool = False) -> Models:
+                     stored_facts: bool = False, given: tuple[DataFrame, DataFrame] | None = None) -> Models:
     """Models over the warehouse dimensions; with ``stored_facts`` the facts
     are the warehouse's month-partitioned tables (filled by ``ingest_job``)
     instead of the adapters over ``sf_dir``."""
-    facts = tel = None
+    facts, tel = given or (None, None)
     if stored_facts:
         facts = read_event_logs(spark, wh.path("raw", "event_logs"))
         tel = read_telemetry(spark, wh.path("raw", "scada_telemetry"))
@@ -169,18 +169,27 @@ def month_start(d: _dt.date) -> _dt.date:
     return d.replace(day=1)
 
 
-def bounded_models(models: Models, since: _dt.date, until: _dt.date | None = None) -> Models:
-    """The same model graph over facts from ``since``'s month to ``until``'s month (to the end when None):
-    month predicates prune a partitioned fact table (adapter facts are bounded by
-    the date filters applied to the marts)."""
+def next_month(d: _dt.date) -> _dt.date:
+    return month_start(month_start(d) + _dt.timedelta(days=31))
+
+
+def bounded_models(models: Models, since: _dt.date, until: _dt.date | None = None, watch=None) -> Models:
+    """The same model graph over facts from ``since``'s month to ``until``'s month (to the end when None). The time
+    bounds reach the Parquet scan; month predicates prune a stored fact table."""
     lo = month_start(since)
+
+    def between(facts: DataFrame, time: str) -> DataFrame:
+        facts = ST.month_bound(facts, lo, until).filter(F.col(time) >= F.lit(lo).cast("timestamp_ntz"))
+        return facts if until is None else facts.filter(F.col(time) < F.lit(next_month(until)).cast("timestamp_ntz"))
+
     return Models(models.spark, models.sf_dir, models.source,
                   norms_versioned=models.norms_versioned, rates_versioned=models.rates_versioned,
-                  event_logs=ST.month_bound(models.event_logs, lo, until),
-                  telemetry=ST.month_bound(models.telemetry, lo, until))
+                  event_logs=between(models.event_logs, "start_time"),
+                  telemetry=between(models.telemetry, "ts"), watch=watch or models.watch)
 
 
-def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None, until: _dt.date | None = None) -> None:
+def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None, until: _dt.date | None = None,
+                watch=None) -> None:
     """Rebuild both marts for the months of ``since`` to ``until`` (all when ``since`` is None, to the last
     one when ``until`` is None).
 
@@ -189,7 +198,10 @@ def build_marts(models: Models, wh: Warehouse, since: _dt.date | None = None, un
     no rows any more go with the same pointer.
     """
     if since is not None:
-        models = bounded_models(models, since, until)
+        models = bounded_models(models, since, until, watch)
+    elif watch is not None:
+        models = Models(models.spark, models.sf_dir, models.source, models.norms_versioned, models.rates_versioned,
+                        models.event_logs, models.telemetry, watch)
     losses, health = models.mart_daily_losses, models.mart_equipment_health
     stale: dict[str, list[str]] = {wh.mart_losses: [], wh.mart_health: []}
     if since is not None:
@@ -209,7 +221,7 @@ def _in_months(mart: DataFrame, day: str, since: _dt.date, until: _dt.date | Non
     mart = mart.filter(F.col(day) >= F.lit(since))
     if until is None:
         return mart
-    return mart.filter(F.col(day) < F.lit(month_start(month_start(until) + _dt.timedelta(days=31))))
+    return mart.filter(F.col(day) < F.lit(next_month(until)))
 
 
 def read_mart(spark: SparkSession, path: str, schema, keep_month: bool = False) -> DataFrame:
@@ -226,11 +238,12 @@ def read_mart(spark: SparkSession, path: str, schema, keep_month: bool = False)
 def daily_run(spark: SparkSession, sf_dir: str | None, synced_at: _dt.datetime, dims: tuple[DataFrame, DataFrame],
               wh: Warehouse | None = None, report_date: _dt.date | None = None, source: str = "events",
               top_n: int = Rp.DEFAULT_TOP_N, stored_facts: bool = False,
-              report_format: str = "parquet", mode: str = "marts") -> dict[str, str]:
+              report_format: str = "parquet", mode: str = "marts",
+              facts: tuple[DataFrame, DataFrame] | None = None) -> dict[str, str]:
     """Sync → marts → checks → gate → report tables.
 
     ``dims``: the source's current (norms, rates), synced with the stamp ``synced_at``. ``mode``: the
-    report reads the ``marts`` or the ``raw`` log.
+    report reads the ``marts`` or the ``raw`` log. ``facts``: (event log, telemetry) to use instead of the source's.
 
     ``report_date=None`` back-fills reports for every date of the mart and
     checks all facts; with a date only that date's month is rebuilt and its
@@ -239,21 +252,17 @@ def daily_run(spark: SparkSession, sf_dir: str | None, synced_at: _dt.datetime,
     wh = wh or new_warehouse(spark)
     create_tables(spark, wh)
     sync_dims(*dims, wh, synced_at)
-    models = every = warehouse_models(spark, sf_dir, wh, source, stored_facts)
-    if report_date is not None:
-        # staging checks cover what this run rebuilds (earlier months were
-        # checked by earlier runs); a back-fill (no date) checks everything
-        models = bounded_models(models, report_date, report_date)
-    build_marts(models, wh, report_date, report_date)
+    every = warehouse_models(spark, sf_dir, wh, source, stored_facts, facts)
+    # the checks of rows are counted while the marts are written: staging checks cover what this run
+    # rebuilds (earlier months were checked by earlier runs); a back-fill (no date) checks everything
+    checks = Q.WriteChecks()
+    build_marts(every, wh, report_date, report_date, checks.watch)
 
     mart = read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES, keep_month=True)
     health = read_mart(spark, wh.mart_health, schemas.MART_EQUIPMENT_HEALTH)
-    # staging checks scan the facts once each; mart checks read the stored marts, and the
-    # stats model is checked through the stored health mart (a 1:1 projection of it)
-    summary = Q.dq_summary_fused(models.stg_events, models.dims, models.stg_norms, models.stg_rates,
-                                 models.stg_telemetry, health, mart, health=health)
-    summary.write.mode("overwrite").parquet(wh.path("checks", "dq_summary"))
-    Q.gate(spark.read.parquet(wh.path("checks", "dq_summary")))
+    checks.summary(every.stg_norms, every.stg_rates, mart, health).write.mode("overwrite").parquet(wh.path("checks", "dq_summary"))
+    Q.verdict(spark.read.parquet(wh.path("checks", "dq_summary"))).write.mode("overwrite").parquet(wh.path("checks", "verdict"))
+    Q.gate(spark.read.parquet(wh.path("checks", "verdict")))
 
     r = Rp.build_daily_report(mode, report_date, top_n, mart=mart, event_logs=every.event_logs, dims=every.dims)
     tables = {
@@ -359,7 +368,7 @@ def ingest_job(spark: SparkSession, batch_dir: str, wh: Warehouse, kind: str = "
     parts = SN.stage(items.sortWithinPartitions(*order), root, (SN.KIND, ST.MONTH))
     parts += SN.stage(new, root, kind=FILE)
     SN.publish(spark, root, base, (*base.parts, *parts))          # a second run at the same time fails here
-    return {"inserted": int(seen.get["rows"]), "rejected_batches": int(seen.get["rejects"]), "files": len(paths)}
+    return {"inserted": observed(seen, "rows"), "rejected_batches": observed(seen, "rejects"), "files": len(paths)}
 
 
 def ingest_rejects(spark: SparkSession, wh: Warehouse, kind: str = "events") -> DataFrame:

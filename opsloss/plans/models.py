@@ -7,6 +7,7 @@ until an action, and Catalyst inlines the whole chain into one plan (the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,12 @@ from ..sources import adapters, dims
 class Models:
     def __init__(self, spark: SparkSession, sf_dir: str, source: str = "events",
                  norms_versioned: DataFrame | None = None, rates_versioned: DataFrame | None = None,
-                 event_logs: DataFrame | None = None, telemetry: DataFrame | None = None):
+                 event_logs: DataFrame | None = None, telemetry: DataFrame | None = None,
+                 watch: Callable[[str, DataFrame], DataFrame] | None = None):
         """``event_logs`` / ``telemetry`` replace the adapters, e.g. with the
-        month-partitioned warehouse tables (``jobs.warehouse_models``)."""
+        month-partitioned warehouse tables (``jobs.warehouse_models``). ``watch(model, frame)`` may attach
+        observed metrics to the frames of the fact models (``quality.WriteChecks``)."""
+        self.watch = watch or (lambda model, frame: frame)
         self.spark, self.sf_dir, self.source = spark, sf_dir, source
         self._norms_v, self._rates_v = norms_versioned, rates_versioned
         self._facts, self._tel = event_logs, telemetry
@@ -49,11 +53,11 @@ class Models:
     # staging
     @cached_property
     def stg_events(self) -> DataFrame:
-        return staging.stg_event_logs(self.event_logs)
+        return self.watch("stg_event_logs", staging.stg_event_logs(self.event_logs))
 
     @cached_property
     def stg_telemetry(self) -> DataFrame:
-        return staging.stg_telemetry(self.telemetry)
+        return self.watch("stg_telemetry", staging.stg_telemetry(self.telemetry))
 
     @cached_property
     def stg_norms(self) -> DataFrame:
@@ -70,27 +74,27 @@ class Models:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return losses.ops_enriched(self.stg_events, self.dims)
+        return self.watch("int_operations_enriched", losses.ops_enriched(self.stg_events, self.dims))
 
     @cached_property
     def telemetry_stats(self) -> DataFrame:
-        return equipment.telemetry_daily_stats(self.stg_telemetry)
+        return self.watch("int_telemetry_daily_stats", equipment.telemetry_daily_stats(self.stg_telemetry))
 
     # marts
     @cached_property
     def mart_daily_losses(self) -> DataFrame:
-        return losses.mart_daily_losses(self.enriched)
+        return self.watch("mart_daily_losses", losses.mart_daily_losses(self.enriched))
 
     @cached_property
     def mart_equipment_health(self) -> DataFrame:
-        return equipment.mart_equipment_health(self.telemetry_stats)
+        return self.watch("mart_equipment_health", equipment.mart_equipment_health(self.telemetry_stats))
 
     def dq_summary(self) -> DataFrame:
         """L1-L6 over this graph, one pass per fact source (``quality.dq_summary_fused``)."""
         from ..operators.quality import dq_summary_fused
 
         return dq_summary_fused(self.stg_events, self.dims, self.stg_norms, self.stg_rates,
-                                self.stg_telemetry, self.telemetry_stats, self.mart_daily_losses)
+                                self.stg_telemetry)
 
     def quality_models(self) -> dict[str, DataFrame]:
         return {

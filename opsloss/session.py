@@ -97,4 +97,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def observed(observation, name: str) -> int:
+    """An observed count after its job. Where Spark sees that a frame has no rows it drops the step that
+    would count them, and the observation holds nothing: the count is 0."""
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        return int(observation.get.get(name) or 0)
+    except Py4JJavaError as e:
+        if "java.lang.AssertionError" not in str(e.java_exception):
+            raise
+        return 0
+
+
 _FALLBACK: dict[str, str] = {}

@@ -88,13 +88,13 @@ def test_quality_checks_catch_defects(spark):
     assert (dup.duplicate_keys, dup.duplicate_rows) == (1, 2)
     summary = Q.dq_summary({"stg_telemetry": stg, "mart_equipment_health": health})
     with pytest.raises(Q.QualityGateError):
-        Q.gate(summary)
+        Q.gate(Q.verdict(summary))
 
 
 def test_gate_passes_on_clean_data(spark):
     from opsloss.plans.models import Models
     from tests.conftest import SF_SMALL
-    Q.gate(Q.dq_summary(Models(spark, SF_SMALL).quality_models()))
+    Q.gate(Q.verdict(Q.dq_summary(Models(spark, SF_SMALL).quality_models())))
 
 
 def test_negative_loss_and_duration_checks(spark):
@@ -118,18 +118,15 @@ def test_fused_summary_counts_defects(spark):
     ev = spark.createDataFrame([("c1", "A", dt.date(2024, 1, 1), 5), (None, "A", dt.date(2024, 1, 1), 7),
                                 (None, "Z", dt.date(2024, 1, 1), 7)],
                                "case_id string, operation_name string, event_date date, duration_seconds int")
-    dims = spark.createDataFrame([("A", 10, None), ("A", 12, 3.0)],
-                                 "operation_name string, norm_seconds int, hourly_rate double")
+    dims = spark.createDataFrame([("A", 10, "r", None), ("A", 12, "r", 3.0)],
+                                 "operation_name string, norm_seconds int, role_name string, hourly_rate double")
     enriched = ev.join(dims, "operation_name")
     empty_n = spark.createDataFrame([], "norm_id int, operation_name string, norm_seconds int")
     empty_r = spark.createDataFrame([], "tariff_id int, role_name string, hourly_rate double")
     tel = spark.createDataFrame([], TEL).withColumn("reading_date", F.to_date("ts"))
-    from opsloss.operators import equipment as E
-    stats = E.telemetry_daily_stats(tel)
-    mart = spark.createDataFrame([], "event_date date, operation_name string, event_count bigint, "
-                                 "avg_duration_sec double, norm_seconds int, total_loss double")
-    fused = {(r.model, r.column_name): r.failures for r in
-             Q.dq_summary_fused(ev, dims, empty_n, empty_r, tel, stats, mart).collect()}
+    fused = {(r.model, r.column_name): r.failures for r in Q.dq_summary_fused(ev, dims, empty_n, empty_r, tel).collect()}
+    assert fused[("stg_event_logs", "case_id")] == 2                # staged rows count once, with or without a norm
+    assert fused[("mart_daily_losses", "operation_name::event_date")] == 1     # two norms: two rows under one key
     plain = {(r.model, r.column_name): r.failures for r in
              Q.null_counts(enriched, "int_operations_enriched",
                            ["case_id", "operation_name", "event_date", "norm_seconds", "hourly_rate"])
@@ -170,3 +167,52 @@ def test_rounding_keeps_non_finite_and_large(spark):
     rows = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e16,), (1e300,), (None,), (1.2345,)], "x double")
     got = [r[0] for r in rows.select(round_n("x", 3)).collect()]
     assert got[0] != got[0] and got[1:] == [float("inf"), 1e16, 1e300, None, 1.235]
+
+
+def test_observed_checks_equal_the_plain_summary(spark):
+    """Facts with defects: what the mart writes observe is what each check counts by itself."""
+    from opsloss.plans import jobs as JB
+    from opsloss.plans.models import Models
+    from opsloss import schemas
+    from tests.conftest import SF_SMALL
+    m = Models(spark, SF_SMALL)
+    ev = m.event_logs.withColumn("case_id", F.when(F.col("duration_seconds") % 5 != 0, F.col("case_id")))
+    tel = m.telemetry.withColumn("equipment_state", F.when(F.col("equipment_id") != "EQ-001", F.col("equipment_state")).otherwise(F.lit("lost")))
+    broken = Models(spark, SF_SMALL, event_logs=ev, telemetry=tel)
+    wh, checks = JB.new_warehouse(spark), Q.WriteChecks()
+    JB.build_marts(broken, wh, watch=checks.watch)
+    got = checks.summary(broken.stg_norms, broken.stg_rates, JB.read_mart(spark, wh.mart_losses, schemas.MART_DAILY_LOSSES),
+                         JB.read_mart(spark, wh.mart_health, schemas.MART_EQUIPMENT_HEALTH))
+    want = sorted(map(tuple, Q.dq_summary(broken.quality_models()).collect()))
+    assert sorted(map(tuple, got.collect())) == want == sorted(map(tuple, broken.dq_summary().collect()))
+    assert sum(r[3] > 0 for r in want) == 3
+
+
+def test_daily_run_reads_each_fact_once(spark):
+    """Rows that pass a counter on their way out of the fact tables, over a whole daily job with its checks and reports."""
+    from opsloss.plans import jobs as JB
+    from opsloss.plans.models import Models
+    from opsloss.sources import dims as D
+    from tests.conftest import SF_SMALL
+    m = Models(spark, SF_SMALL)
+
+    def counted(facts):
+        seen = spark.sparkContext.accumulator(0)
+
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+        return facts.mapInArrow(run, facts.schema), seen
+
+    (ev, n_ev), (tel, n_tel) = counted(m.event_logs), counted(m.telemetry)
+    JB.daily_run(spark, SF_SMALL, dt.datetime(2024, 2, 1), D.sample_rows(spark), facts=(ev, tel))
+    assert (n_ev.value, n_tel.value) == (1000, 1000)
+
+
+def test_fused_summary_scans_each_fact_once(spark):
+    from opsloss.plans.models import Models
+    from tests.conftest import SF_SMALL
+    for name, frame in (("all", Models(spark, SF_SMALL).dq_summary()),):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 2, name          # events as event log, events as telemetry
