@@ -5,11 +5,13 @@
     python -m opsloss retain    --warehouse DIR [--asof YYYY-MM-DD]
     python -m opsloss calibrate --sf-dir DIR --out DIR [--asof YYYY-MM-DD] [--lookback-days 30]
     python -m opsloss ingest    --batches DIR --warehouse DIR [--kind events|readings]
+    python -m opsloss stream    --events DIR --readings DIR --warehouse DIR --norms N --rates R
+    python -m opsloss maintain  --warehouse DIR
 
 Run it with ``spark-submit`` on a cluster (the master comes from there) or
 with ``--master local[N]``. Dates are parsed strictly (F16); a bad date exits
 with status 1. Without ``--date`` the daily job reports today, with
-``--all-dates`` it back-fills every date of the marts; without ``--week-start``
+``--all-dates`` it back-fills every date of the marts or the raw log; without ``--week-start``
 the weekly job reports last week (F15). ``--norms`` and ``--rates`` are folders
 in the format ``--dims-format``, or tables of ``--jdbc-url``. Facts come from
 ``--sf-dir``, or with ``--stored-facts`` from the warehouse.
@@ -53,10 +55,17 @@ def main(argv: list[str] | None = None) -> int:
         job.add_argument("--warehouse")
         job.add_argument("--source", default="events", choices=["events", "lineitem"])
         job.add_argument("--mode", default="raw", choices=["raw", "marts"])
+    r = sub.add_parser("stream")
+    r.add_argument("--events")
+    r.add_argument("--readings")
+    r.add_argument("--warehouse", required=True)
+    for job in (d, w, r):
         job.add_argument("--norms", required=True)
         job.add_argument("--rates", required=True)
         job.add_argument("--dims-format", default="parquet")
         job.add_argument("--jdbc-url")
+    u = sub.add_parser("maintain")
+    u.add_argument("--warehouse", required=True)
     t = sub.add_parser("retain")
     t.add_argument("--warehouse", required=True)
     t.add_argument("--asof")
@@ -74,8 +83,8 @@ def main(argv: list[str] | None = None) -> int:
 
     # arguments are validated before any Spark work starts
     today = _dt.datetime.now(_dt.timezone.utc).date()
-    if a.cmd == "daily" and a.all_dates and (a.date or a.mode == "raw"):
-        p.error("--all-dates needs --mode marts and no --date")
+    if a.cmd == "daily" and a.all_dates and a.date:
+        p.error("--all-dates takes no --date")
     report_date = None if getattr(a, "all_dates", False) else _date(getattr(a, "date", None)) or today
     week = _date(getattr(a, "week_start", None)) or previous_week_monday(today)
     asof = _dt.datetime.combine(_date(getattr(a, "asof", None)) or today, _dt.time())
@@ -86,7 +95,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = build_session(a.master)
     wh = J.Warehouse(a.warehouse) if getattr(a, "warehouse", None) else None
-    if a.cmd in ("daily", "weekly"):
+    if a.cmd in ("daily", "weekly", "stream"):
         now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         dims = read_source(spark, a.norms, a.rates, *(("jdbc",) if a.jdbc_url else (a.dims_format,)),
                            **({"url": a.jdbc_url} if a.jdbc_url else {}))
@@ -96,6 +105,10 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "weekly":
         out = J.weekly_run(spark, a.sf_dir, now, dims, wh, week_start=week, source=a.source,
                            stored_facts=a.stored_facts, mode=a.mode)
+    elif a.cmd == "stream":
+        out = J.stream_run(spark, {k: v for k, v in (("events", a.events), ("readings", a.readings)) if v}, wh, now, dims)
+    elif a.cmd == "maintain":
+        out = J.maintain(spark, wh)
     elif a.cmd == "retain":
         out = J.apply_retention(spark, wh.path("raw", "scada_telemetry"), asof)
     elif a.cmd == "calibrate":

@@ -11,11 +11,12 @@ import datetime as _dt
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, TimestampNTZType
 
 from .. import schemas as S
+from ..functions.dates import try_parse_date, week_start
 from ..functions.rounding import round_n
 from ..functions.rounding import sql_round_n as R
 from ..operators import calibration as C
@@ -51,6 +52,7 @@ RAW_REPORT_TS = {"events": _dt.datetime(2024, 1, 2), "lineitem": _dt.datetime(19
 CALIBRATION = {"events": (_dt.datetime(2024, 1, 31), C.LOOKBACK_DAYS),
                "lineitem": (_dt.datetime(2001, 11, 5), 2500)}
 TOP_N = Rp.DEFAULT_TOP_N
+SYNC_TIMES = (_dt.datetime(2024, 1, 1, 6, 0), _dt.datetime(2024, 1, 2, 6, 0))
 
 _Q: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -732,7 +734,7 @@ def _stream_late(spark, d):
     """J3 over four runs, the newest days first, so that every later run brings late readings only."""
     out = fresh_dir(spark, "stream_late_out")
     for stream in _day_parts(spark, d, "stream_late"):
-        SA.run_health(stream, out, fold_at=2)
+        SA.run_health(A.events_to_telemetry(stream), out, fold_at=2)
     return SA.health_mart(spark, out)
 
 
@@ -746,7 +748,7 @@ def _stream_restated(spark, d):
     worse = (dims.withColumn("norm_seconds", F.floor(F.col("norm_seconds") / 2).cast("int"))
              .withColumn("hourly_rate", F.col("hourly_rate") + 1).filter(F.col("operation_name") != "view"))
     for i, stream in enumerate(_day_parts(spark, d, "stream_restated")):
-        SA.run_losses(stream, out, fold_at=2)
+        SA.run_losses(A.events_to_event_logs(stream), out, fold_at=2)
         SA.refresh_losses(spark, out, worse if i == 1 else dims)
     SA.refresh_losses(spark, out, worse)
     SA.refresh_losses(spark, out, dims)
@@ -760,10 +762,33 @@ def _stream_calibration(spark, d):
     """E6 from the streamed histogram alone: no fact is read again."""
     out = fresh_dir(spark, "stream_calibration")
     for stream in _day_parts(spark, d, "stream_calibration"):
-        SA.run_losses(stream, out, fold_at=1)
+        SA.run_losses(A.events_to_event_logs(stream), out, fold_at=1)
     return C.norm_calibration(H.calibration_stats(SA.histogram(spark, out), *CALIBRATION["events"]), _m(spark, d).stg_norms)
 
 
+def _streamed_marts(spark, d):
+    """J1-J4 as the job runs them: two rounds of new requests of both kinds, from JSON lines to both marts."""
+    wh, landing = JB.new_warehouse(spark), {k: fresh_dir(spark, f"landing_{k}") for k in ("events", "readings")}
+    events, half = T.table(spark, d, "events"), F.expr(f"event_id div {RQ.ROWS}") % 2 == 0
+    for at, part in zip(SYNC_TIMES, (half, ~half)):
+        RQ.write_event_requests(events.filter(part), landing["events"])
+        RQ.write_reading_requests(events.filter(part), landing["readings"])
+        JB.stream_run(spark, landing, wh, at, D.sample_rows(spark))
+    return wh
+
+
+ACCEPTED = "(SELECT batch_id FROM judged WHERE reject_reason IS NULL)"
+STREAMED_EVENTS = ([c for c in EVENT_CTES if c[0] != "stg_events"]
+                   + [("taken", f"SELECT * EXCLUDE (batch_id) FROM eb WHERE batch_id IN {ACCEPTED}"),
+                      ("stg_norms", O.STG_NORMS), ("stg_rates", O.STG_RATES), ("dims", O.DIMS),
+                      ("stg_events", O.STG_EVENTS.replace("FROM event_logs", "FROM taken")), ("enriched", O.ENRICHED), ("mart", O.MART)])
+STREAMED_READINGS = READING_CTES + [
+    ("telemetry", f"SELECT * EXCLUDE (batch_id) FROM tb WHERE batch_id IN {ACCEPTED}"), *O.telemetry_ctes()[1:]]
+register("stream_run_losses", O.with_(STREAMED_EVENTS, "SELECT * FROM mart"))(
+    lambda spark, d: JB.streamed_losses(spark, _streamed_marts(spark, d)))
+register("stream_run_health", O.with_(STREAMED_READINGS, "SELECT * FROM health"))(
+    lambda spark, d: JB.streamed_health(spark, _streamed_marts(spark, d)))
+
 register("norm_calibration_from_histogram", _calibration_sql(NORM_CALIBRATION_FINAL))(_stream_calibration)
 
 register("mart_daily_losses_from_histogram_lineitem", O.with_(O.base_ctes("lineitem"), "SELECT * FROM mart"))(
@@ -776,7 +801,6 @@ register("mart_daily_losses_from_histogram_lineitem", O.with_(O.base_ctes("linei
 # Fixed parameters: nations of this region are "missing" in the rate table,
 # so their suppliers' norms are rejected by the foreign-key check.
 DROPPED_REGION = 4
-SYNC_TIMES = (_dt.datetime(2024, 1, 1, 6, 0), _dt.datetime(2024, 1, 2, 6, 0))
 
 NATION_RATES = "  SELECT cast(n_nationkey as integer) AS id, n_name AS role_name, " \
                "400.0::double + 20.0::double * n_regionkey AS hourly_rate FROM nation"
@@ -862,6 +886,78 @@ register("rates_created_and_listed", O.with_([("rates", NATION_RATES)], """
     FROM customer WHERE c_mktsegment NOT IN (SELECT role_name FROM rates)) WHERE rn = 1"""))(_create_rates)
 
 
+def _create_norms(spark, d):
+    """A7 + A8: the suppliers' norms are stored, the parts requested as norms (many without a role, some
+    under a name that exists), all listed."""
+    rates, norms = _bed(spark, d)
+    wh = JB.new_warehouse(spark)
+    JB.sync_dims(norms, rates, wh, SYNC_TIMES[0])
+    asked = T.table(spark, d, "part").select(
+        F.col("p_partkey").alias("request_seq"), F.col("p_name").alias("operation_name"),
+        F.col("p_size").cast("int").alias("norm_seconds"), (F.col("p_partkey") % 40).cast("int").alias("role_id"))
+    JB.create_norms(spark, asked, wh, SYNC_TIMES[1])
+    return JB.list_norms(spark, wh)
+
+
+register("norms_created_and_listed", O.with_([("norms", SUPPLIER_NORMS)], """
+  SELECT * FROM norms UNION ALL
+  SELECT cast((SELECT max(id) FROM norms) + row_number() OVER (ORDER BY p_partkey) as integer), p_name,
+         cast(p_size as integer), cast(p_partkey % 40 as integer) FROM (
+    SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part
+    WHERE p_partkey % 40 IN (SELECT n_nationkey FROM nation) AND p_name NOT IN (SELECT operation_name FROM norms)) WHERE rn = 1"""))(
+    _create_norms)
+
+
+def _dims_from_files(spark, d):
+    """Six empty tables, dimensions read from a user's CSV files and synced, then a sync from empty
+    files, which changes nothing; what the loss models read."""
+    wh, place = JB.new_warehouse(spark), fresh_dir(spark, "dim_files")
+    JB.create_tables(spark, wh)
+    rates, norms = _bed(spark, d)
+    for name, frame in (("norms", norms), ("rates", rates), ("none_norms", norms.limit(0)), ("none_rates", rates.limit(0))):
+        frame.write.option("header", True).csv(f"{place}/{name}")
+    JB.sync_dims(*D.read_source(spark, f"{place}/norms", f"{place}/rates", "csv"), wh, SYNC_TIMES[0])
+    JB.sync_dims(*D.read_source(spark, f"{place}/none_norms", f"{place}/none_rates", "csv"), wh, SYNC_TIMES[1])
+    JB.create_tables(spark, wh)
+    return JB.warehouse_models(spark, d, wh).dims
+
+
+register("dims_from_files", O.with_([("rates", NATION_RATES), ("norms", SUPPLIER_NORMS)], """
+  SELECT n.operation_name, n.norm_seconds, n.role_id, r.role_name, r.hourly_rate
+  FROM norms n JOIN rates r ON n.role_id = r.id"""))(_dims_from_files)
+
+
+def _calibration_csv(spark, d):
+    """The calibration as it stands in the CSV file, written twice over the same run date."""
+    out = fresh_dir(spark, "calibration_csv")
+    asof, lookback = CALIBRATION["events"]
+    for _ in range(2):
+        path = JB.norm_calibration_run(spark, d, asof, out, lookback)
+    kinds = "operation_name string, event_count long, mean_sec double, median_sec double, std_sec double, p75_sec double, " \
+            "recommended_norm_sec int, current_norm_sec int, delta_sec int, delta_pct double"
+    return spark.read.schema(kinds).option("header", True).option("enforceSchema", False).csv(path)
+
+
+register("calibration_csv", _SQL["norm_calibration"])(_calibration_csv)
+
+
+def _strict_dates(spark, d):
+    """F15, F16 over texts: ISO dates pass, other forms of the same date do not; the week before each."""
+    o = T.table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"))
+    k = F.col("o_orderkey") % 4
+    text = (F.when(k == 0, F.col("iso")).when(k == 1, F.replace("iso", F.lit("-"), F.lit("/")))
+            .when(k == 2, F.concat("iso", F.lit("x"))).otherwise(F.concat(F.lit(" "), "iso")))
+    day = try_parse_date("text")
+    return o.withColumn("text", text).select("o_orderkey", "text", day.alias("day"), F.date_sub(week_start(day), 7).alias("week_before"))
+
+
+register("strict_dates", """
+  SELECT o_orderkey, text, day, cast(date_trunc('week', day) as date) - 7 AS week_before FROM (
+    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN iso WHEN 1 THEN replace(iso, '-', '/') WHEN 2 THEN iso || 'x' ELSE ' ' || iso END AS text,
+           CASE WHEN o_orderkey % 4 = 0 THEN cast(iso as date) END AS day
+    FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders))""")(_strict_dates)
+
+
 def _fk(spark, d):
     rates, norms = _bed(spark, d)
     nation = T.table(spark, d, "nation").filter(F.col("n_regionkey") != DROPPED_REGION)
@@ -1050,6 +1146,29 @@ register("mart_rebuild_from_fewer_facts", O.with_(
     O.base_ctes("lineitem"), f"SELECT * FROM mart WHERE event_date < DATE '{REBUILD_BEFORE}'"))(_rebuild)
 
 
+def _compacted(spark, d):
+    """The event log appended in four runs, compacted, appended to once more, compacted again. Rows by
+    month and operation, whether each file is sorted by the sort key, and whether a month is one folder."""
+    facts, path = _m(spark, d, "lineitem").event_logs, fresh_dir(spark, "compacted")
+    for i in range(5):
+        ST.append(facts.filter(F.pmod(F.xxhash64("case_id"), F.lit(5)) == i), path, "event_logs")
+        if i >= 3:
+            ST.compact(spark, path, "event_logs", S.EVENT_LOGS)
+    parts = SN.current(spark, path).of()
+    rows = JB.read_event_logs(spark, path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    key = F.struct(*ST.SORT_KEYS["event_logs"])
+    before = F.lag(key).over(Window.partitionBy("file").orderBy("at"))
+    rows = rows.withColumn("unsorted", F.coalesce(before > key, F.lit(False)))
+    return rows.groupBy("month", "operation_name").agg(
+        F.count("*").alias("n"), F.sum("duration_seconds").alias("seconds"), F.count_if("unsorted").alias("unsorted"),
+        F.lit(len(parts) == len({p.month for p in parts})).alias("one_folder_a_month"))
+
+
+register("facts_compacted", O.with_(O.base_ctes("lineitem", upto="event_logs"), """
+  SELECT strftime(start_time, '%Y%m') AS month, operation_name, count(*) AS n, cast(sum(duration_seconds) as bigint) AS seconds,
+         cast(0 as bigint) AS unsorted, true AS one_folder_a_month FROM event_logs GROUP BY 1, 2"""))(_compacted)
+
+
 def _retention(spark, d):
     wh = JB.new_warehouse(spark)
     path = wh.path("raw", "scada_telemetry")

@@ -376,3 +376,54 @@ def ingest_rejects(spark: SparkSession, wh: Warehouse, kind: str = "events") ->
     from ..sources import ingest as I
 
     return SN.read(spark, wh.path("raw", I.TABLES[kind]), I.BATCH, REJECT)
+
+
+# ---------------------------------------------------------------- J1-J4 as a job
+
+def stream_run(spark: SparkSession, requests: dict[str, str], wh: Warehouse, synced_at: _dt.datetime,
+               dims: tuple[DataFrame, DataFrame]) -> dict[str, dict[str, int]]:
+    """One round of the streams: take in the new request files of both kinds (``requests``: kind to folder), add their rows to the
+    partials, sync the dimensions and bring the loss mart up to date. Each stream goes on from its own checkpoint,
+    so a round that fails is run again, and a round without news only syncs. Returns what each step did."""
+    from ..streaming import aggregates as SA
+    from ..streaming import ingest as SI
+
+    done: dict[str, dict[str, int]] = {}
+    for kind, folder in requests.items():
+        root, done[kind] = SI.stream_ingest(spark, folder, wh.path("streams", kind), kind)
+        run = SA.run_losses if kind == "events" else SA.run_health
+        run(SI.rows_stream(spark, root, kind), wh.path("streams", f"{kind}_mart"))
+    done["dims"] = sync_dims(*dims, wh, synced_at)
+    if "events" in requests:
+        m = warehouse_models(spark, None, wh)
+        done["losses"] = SA.refresh_losses(spark, wh.path("streams", "events_mart"), m.dims)
+    return done
+
+
+def streamed_losses(spark: SparkSession, wh: Warehouse) -> DataFrame:
+    from ..streaming import aggregates as SA
+
+    return SA.losses_mart(spark, wh.path("streams", "events_mart"))
+
+
+def streamed_health(spark: SparkSession, wh: Warehouse) -> DataFrame:
+    from ..streaming import aggregates as SA
+
+    return SA.health_mart(spark, wh.path("streams", "readings_mart"))
+
+
+# ---------------------------------------------------------------- upkeep
+
+def maintain(spark: SparkSession, wh: Warehouse, keep: int = 2, older_than: float = 7 * 86400) -> dict[str, dict]:
+    """Compact the fact tables, reduce the dimensions' logs, and free the data of old versions and failed runs."""
+    facts = {"event_logs": schemas.EVENT_LOGS, "scada_telemetry": schemas.TELEMETRY}
+    out: dict[str, dict] = {t: {"compacted": ST.compact(spark, wh.path("raw", t), t, s)} for t, s in facts.items()}
+    for path, schema in ((wh.dim_norms, schemas.NORMS_VERSIONED), (wh.dim_rates, schemas.RATES_VERSIONED)):
+        if len(SN.current(spark, path).parts) > 1:
+            out[os.path.basename(path)] = {"kept": reduce_dim(spark, path, schema)}
+    for path in (*[wh.path("raw", t) for t in facts], wh.dim_norms, wh.dim_rates, wh.mart_losses, wh.mart_health,
+                 *[wh.path("streams", f"{k}_mart", x) for k in ("events", "readings") for x in ("partials", "mart")]):
+        gone = SN.vacuum(spark, path, keep, older_than)
+        if gone:
+            out.setdefault(os.path.relpath(path, wh.root), {})["vacuumed"] = len(gone)
+    return out

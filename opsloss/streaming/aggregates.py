@@ -82,9 +82,9 @@ def merge_health(parts: DataFrame) -> DataFrame:
                  F.sum("total").alias("total"), F.sum("spread").alias("spread")))
 
 
-def run_health(events: DataFrame, out_dir: str, processing_time: str | None = None, fold_at: int = P.FOLD):
-    """Add the new events' readings to the partials under ``out_dir``."""
-    return P.run(events_to_telemetry(events), f"{out_dir}/partials", f"{out_dir}/_checkpoint", health_partial, merge_health,
+def run_health(telemetry: DataFrame, out_dir: str, processing_time: str | None = None, fold_at: int = P.FOLD):
+    """Add the new readings of a telemetry stream to the partials under ``out_dir``."""
+    return P.run(telemetry, f"{out_dir}/partials", f"{out_dir}/_checkpoint", health_partial, merge_health,
                  HEALTH_PARTIAL, processing_time, fold_at)
 
 
@@ -103,7 +103,7 @@ def health_mart(spark: SparkSession, out_dir: str) -> DataFrame:
 def stream_equipment_health(spark: SparkSession, sf_dir: str, out_dir: str | None = None) -> DataFrame:
     """J3 end to end: run the stream to completion, return the health mart it built."""
     out_dir = out_dir or fresh_dir(spark, "stream_health")
-    run_health(event_stream(spark, sf_dir), out_dir)
+    run_health(events_to_telemetry(event_stream(spark, sf_dir)), out_dir)
     return health_mart(spark, out_dir)
 
 
@@ -113,9 +113,9 @@ DIMS = StructType([StructField("operation_name", S.S), StructField("norm_seconds
                    StructField("role_name", S.S), StructField("hourly_rate", S.D)])
 
 
-def run_losses(events: DataFrame, out_dir: str, processing_time: str | None = None, fold_at: int = P.FOLD):
-    """Add the new events' durations to the histogram under ``out_dir``."""
-    return P.run(events_to_event_logs(events), f"{out_dir}/partials", f"{out_dir}/_checkpoint",
+def run_losses(event_logs: DataFrame, out_dir: str, processing_time: str | None = None, fold_at: int = P.FOLD):
+    """Add the new events of an event-log stream to the histogram under ``out_dir``."""
+    return P.run(event_logs, f"{out_dir}/partials", f"{out_dir}/_checkpoint",
                  lambda rows: H.daily_histogram(stg_event_logs(rows)), H.merge, H.HISTOGRAM, processing_time, fold_at)
 
 
@@ -166,6 +166,6 @@ def losses_mart(spark: SparkSession, out_dir: str) -> DataFrame:
 def stream_daily_losses(spark: SparkSession, sf_dir: str, dims: DataFrame, out_dir: str | None = None) -> DataFrame:
     """J4 end to end; the result has the mart's columns and values."""
     out_dir = out_dir or fresh_dir(spark, "stream_losses")
-    run_losses(event_stream(spark, sf_dir), out_dir)
+    run_losses(events_to_event_logs(event_stream(spark, sf_dir)), out_dir)
     refresh_losses(spark, out_dir, dims)
     return losses_mart(spark, out_dir)

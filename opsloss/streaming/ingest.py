@@ -98,3 +98,10 @@ def ingested_rows(spark: SparkSession, root: str, kind: str = "events") -> DataF
 
 def ingested_rejects(spark: SparkSession, root: str, kind: str = "events") -> DataFrame:
     return _read(spark, root, kind).filter(F.col(KIND) == "reject").select(*[f.name for f in I.BATCH.fields])
+
+
+def rows_stream(spark: SparkSession, root: str, kind: str = "events") -> DataFrame:
+    """The accepted rows of a streaming ingest as a stream of their own, in the stored table's schema."""
+    full = StructType(list(I.STORED[kind].fields) + [StructField(KIND, StringType()), StructField(MONTH, StringType())])
+    rows = spark.readStream.schema(full).parquet(root).filter(F.col(KIND) == ROW)
+    return rows.select(*[f.name for f in I.STORED[kind].fields])

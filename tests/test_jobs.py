@@ -10,6 +10,7 @@ from opsloss.plans import jobs as JB
 from opsloss.plans.models import Models
 from opsloss.session import fresh_dir
 from opsloss.sources import dims as D
+from opsloss.sources import adapters as A
 from opsloss.sources import storage as ST
 from tests.conftest import SF_SMALL
 
@@ -291,9 +292,9 @@ def test_stream_partials_are_added_once(spark, monkeypatch):
 
         monkeypatch.setattr(SN, "publish", once)
         try:
-            SA.run_losses(SA.file_stream(spark, src, ev.schema), out, fold_at=1)
+            SA.run_losses(A.events_to_event_logs(SA.file_stream(spark, src, ev.schema)), out, fold_at=1)
         except Exception:  # noqa: BLE001
-            SA.run_losses(SA.file_stream(spark, src, ev.schema), out, fold_at=1)
+            SA.run_losses(A.events_to_event_logs(SA.file_stream(spark, src, ev.schema)), out, fold_at=1)
         monkeypatch.setattr(SN, "publish", real)
     m = Models(spark, SF_SMALL)
     total = SA.histogram(spark, out).agg(F.sum("n")).first()[0]

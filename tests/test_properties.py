@@ -12,6 +12,7 @@ from opsloss.functions.rounding import round_n
 from opsloss.operators import losses as L
 from opsloss.operators import staging
 from opsloss.operators.versioning import latest_by_key
+from opsloss.sources import adapters as A
 
 SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -92,11 +93,11 @@ def test_stream_health_restart_equals_batch(spark):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     ev.write.mode("append").parquet(src)
     out = fresh_dir(spark, "stream_out")
-    SA.run_health(SA.file_stream(spark, src, ev.schema), out)
+    SA.run_health(A.events_to_telemetry(SA.file_stream(spark, src, ev.schema)), out)
     later = ev.withColumn("event_id", F.col("event_id") + 1_000_000) \
               .withColumn("value", F.col("value") + 1.0)                      # same days, new readings
     later.write.mode("append").parquet(src)
-    SA.run_health(SA.file_stream(spark, src, ev.schema), out)
+    SA.run_health(A.events_to_telemetry(SA.file_stream(spark, src, ev.schema)), out)
     both = E.mart_equipment_health(E.telemetry_daily_stats(staging.stg_telemetry(events_to_telemetry(ev.unionByName(later)))))
     a, b = (sorted(map(str, x.select(*both.columns).collect())) for x in (SA.health_mart(spark, out), both))
     assert a == b and len(a) > 0
@@ -135,7 +136,7 @@ def test_stream_losses_restart_equals_batch(spark):
     out = fresh_dir(spark, "stream_out_losses")
     for part in (ev, later):
         part.write.mode("append").parquet(src)
-        SA.run_losses(SA.file_stream(spark, src, ev.schema), out)
+        SA.run_losses(A.events_to_event_logs(SA.file_stream(spark, src, ev.schema)), out)
     SA.refresh_losses(spark, out, m.dims)
     from opsloss.sources.adapters import events_to_event_logs
     ref = L.mart_daily_losses(L.ops_enriched(staging.stg_event_logs(events_to_event_logs(ev.unionByName(later))),
