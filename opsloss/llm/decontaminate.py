@@ -11,8 +11,8 @@ length; with one row a band and 64 bands at least one value agrees with probabil
 in the whole document.
 
 Documents are signed and verified where they are read: no shuffle. Items are sent to the tasks in
-sets of about ``ITEMS``, one pass over the documents each, so what is sent stays bounded however large
-the benchmark grows.
+sets of about ``ITEMS`` and ``ITEM_BYTES``, one pass over the documents each, so what is sent stays bounded however
+large the benchmark grows. A single item is never split.
 
 Defined cases: a null text has no shingles and matches nothing; an item of fewer than five words has
 none either and is never reported; items that repeat an id and a text are one item; repeated documents
@@ -33,6 +33,7 @@ WORDS = 5
 THRESHOLD = 0.8
 HASHES = 64
 ITEMS = 20_000
+ITEM_BYTES = 32 << 20
 CHUNK = 1 << 19
 _ODD = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1))
 
@@ -128,10 +129,14 @@ class Index:
         return out
 
 
-def item_sets(benchmark: DataFrame, items: int = ITEMS):
-    """The benchmark as indexes of about ``items`` items each."""
+def item_sets(benchmark: DataFrame, items: int = ITEMS, size: int = ITEM_BYTES):
+    """The benchmark as indexes of at most about ``items`` items and ``size`` bytes each."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).distinct()
-    parts = max(1, -(-rows.count() // items))
+    rows = rows.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
+    # dealt by a hash, with room for its unevenness
+    n, total, large = rows.agg(F.count("*"), F.coalesce(F.sum(F.least("bytes", F.lit(size))), F.lit(0)),
+                               F.count_if(F.col("bytes") > size)).first()
+    parts = max(1, -(-n // items), -(-2 * total // size) if total > size else 1) + large
     for i in range(parts):
         yield Index([(r["item_id"], r["text"]) for r in
                      rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).collect()])

@@ -7,7 +7,8 @@ those behind it, so the outputs along a path add up to the word's index, and the
 word's ids. The automaton is a handful of integer arrays in one file, which Spark ships to the
 executors and every worker memory-maps. Batches are encoded by their distinct pre-tokens: all of them
 walk the automaton together, one numpy step for each byte. A word that is not in it is merged exactly,
-pair by pair in rank order, as byte-pair encoding defines; pairs wait in a heap, so that a word of a
+pair by pair in rank order, as byte-pair encoding defines: short words of a batch all together, each by its
+pair of lowest rank in one numpy step; in a longer one pairs wait in a heap, so that a word of a
 million bytes (no blanks in a whole text) takes n log n steps. Words above ``WORD`` bytes
 never enter the lexicon, which bounds the file and what the driver holds in bytes.
 
@@ -78,6 +79,13 @@ class Vocabulary:
         self.size = np.array([len(b) for b in self.bytes], dtype=np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.decimal = [str(i) for i in range(size)]
+        # the merges as arrays, sorted by pair, and the ids by rank
+        pairs = np.array([a * size + b for a, b in self.merges], dtype=np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.ranks = pairs[order], np.array([r for r, _ in self.merges.values()], dtype=np.int64)[order]
+        self.merged = np.zeros(len(spec["model"]["merges"]), dtype=np.int64)
+        self.merged[self.ranks] = np.array([i for _, i in self.merges.values()], dtype=np.int64)[order]
+        self.none = len(self.merged)                       # the rank of a pair that is not merged
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-token: the pair of lowest rank is merged, leftmost first, until none is left."""
@@ -95,6 +103,62 @@ class Vocabulary:
             s[at:at + 2] = [best[1]]
         return s
 
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a * len(self.bytes) + b
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.ranks[at], self.none)
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many pre-tokens one after the other, and how many each has.
+
+        In every round each word merges its pair of lowest rank, all places of it from the left. That is the order of
+        ``merge``: a pair that holds a merged id ranks behind the merge that made the id, so none of lower rank can
+        appear while places of this one are left."""
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        done_word, done_ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(length > WORD).tolist():
+            ids = self.merge(words[i])
+            done_word.append(np.full(len(ids), i))
+            done_ids.append(np.array(ids, dtype=np.int64))
+        short = np.flatnonzero(length <= WORD)
+        s = np.array(self.letters, dtype=np.int64)[np.frombuffer(b"".join([words[i] for i in short.tolist()]), dtype=np.uint8)]
+        word = np.repeat(short, length[short])
+        rank = np.full(len(s), self.none)                  # of the pair that begins here
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        if len(self.pairs):
+            rank[inner] = self._rank(s[inner], s[inner + 1])
+        while len(s):
+            begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            size = np.diff(np.concatenate([begin, [len(s)]]))
+            best = np.minimum.reduceat(rank, begin)
+            over = best == self.none
+            if over.any():                                 # nothing left to merge in these words
+                out = np.repeat(over, size)
+                done_word.append(word[out])
+                done_ids.append(s[out])
+                s, word, rank = s[~out], word[~out], rank[~out]
+                best, size = best[~over], size[~over]
+                if not len(s):
+                    break
+            at = np.flatnonzero(rank == np.repeat(best, size))
+            # places that overlap (a pair of one id twice): every other one of a run, from the left
+            run = np.arange(len(at))
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], at[1:] != at[:-1] + 1]), run, 0))
+            at = at[(run - first) % 2 == 0]
+            s[at] = self.merged[rank[at]]
+            stay = np.ones(len(s), dtype=bool)
+            stay[at + 1] = False
+            place = np.cumsum(stay)[at] - 1
+            s, word, rank = s[stay], word[stay], rank[stay]
+            new = np.unique(np.concatenate([place, place[place > 0] - 1]))
+            rank[new] = self.none
+            new = new[new + 1 < len(s)]
+            new = new[word[new] == word[new + 1]]
+            rank[new] = self._rank(s[new], s[new + 1])
+        owner, ids = np.concatenate(done_word), np.concatenate(done_ids)
+        order = np.argsort(owner, kind="stable")
+        return ids[order], np.bincount(owner, minlength=len(words))
+
     def _merge_long(self, s: list[int]) -> list[int]:
         """The same order of merges by a heap of (rank, place); a merged id stands at its pair's first place."""
         n, merges = len(s), self.merges
@@ -273,7 +337,10 @@ def build_lexicon(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: i
             break
         at, room = r["level"], room - r["words"]
     top = counted.filter(level >= at).collect() if at is not None else []
-    raw = Transducer.compile({bytes(r["piece"]): vocabulary.merge(bytes(r["piece"])) for r in top}).to_bytes()
+    words = [bytes(r["piece"]) for r in top]
+    ids, size = vocabulary.merge_all(words)
+    ends = np.cumsum(size).tolist()
+    raw = Transducer.compile({w: ids[e - n:e].tolist() for w, n, e in zip(words, size.tolist(), ends)}).to_bytes()
     return ship(spark, raw)
 
 
@@ -303,7 +370,7 @@ class Encoder:
         known, unseen = self.merged.known, np.flatnonzero(at < 0)
         own = [words[i] for i in unseen.tolist()]
         new = [w for w in own if w not in known]
-        self.merged.add(new, [self.vocabulary.merge(w) for w in new])
+        self.merged.add_all(new, *self.vocabulary.merge_all(new))
         # one table of ids: the lexicon's, then those merged here
         flat = np.concatenate([self.lexicon.ids, self.merged.flat[:self.merged.used()]])
         begin, size = np.empty(len(words), dtype=np.int64), np.empty(len(words), dtype=np.int64)

@@ -121,16 +121,21 @@ class Pieces:
         return len(self.known)
 
     def add(self, pieces: list[bytes], ids: list[list[int]]) -> None:
-        n, size = len(self.known), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        while n + len(ids) + 1 > len(self.edge):
+        self.add_all(pieces, np.array([i for x in ids for i in x], dtype=np.int32),
+                     np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+
+    def add_all(self, pieces: list[bytes], flat: np.ndarray, size: np.ndarray) -> None:
+        """``flat``: the ids of all pieces one after the other, ``size`` of each."""
+        n = len(self.known)
+        while n + len(size) + 1 > len(self.edge):
             self.edge = np.concatenate([self.edge, np.zeros_like(self.edge)])
         edge = self.edge[n] + np.cumsum(size)
-        while len(ids) and edge[-1] > len(self.flat):
+        while len(size) and edge[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if len(ids):
-            self.flat[self.edge[n]:edge[-1]] = [i for x in ids for i in x]
-            self.edge[n + 1:n + 1 + len(ids)] = edge
-            self.known.update(zip(pieces, range(n, n + len(ids))))
+        if len(size):
+            self.flat[self.edge[n]:edge[-1]] = flat
+            self.edge[n + 1:n + 1 + len(size)] = edge
+            self.known.update(zip(pieces, range(n, n + len(size))))
 
     def used(self) -> int:
         return int(self.edge[len(self.known)])
