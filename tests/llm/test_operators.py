@@ -403,6 +403,16 @@ def test_bpe_long_words(spark):
                    [(1, long), (2, long), (3, "x" * 100_000)]}
 
 
+def test_words_merged_together_as_one_by_one():
+    v, rng = lexicon.vocabulary("byte_bpe_50k.json"), random.Random(1)
+    words = [bytes(rng.choice(b"aaaabbe nt\xc3\xa9 ") for _ in range(rng.randrange(1, 70))) for _ in range(1500)]
+    words += [b"a" * n for n in range(1, 80)] + [rng.choice([b"international", b" the", b"\xff\xfe", b"aaaaaa"]) * rng.randrange(1, 6) for _ in range(300)]
+    ids, size = v.merge_all(words)
+    ends = np.cumsum(size)
+    assert all(ids[e - n:e].tolist() == v.merge(w) for w, n, e in zip(words, size, ends)) and ends[-1] == len(ids)
+    assert [len(x) for x in v.merge_all([])] == [0, 0]
+
+
 def test_transducer_shares_suffixes():
     words = [w.encode() for w in ("tap", "taps", "top", "tops", "t", "stop", "stops", "é")]
     t = lexicon.Transducer.compile({w: [i, i + 1] for i, w in enumerate(words)})
