@@ -11,6 +11,9 @@ writers one wins and the other one looks at the new version and decides anew. A
 complete pointer and keeps reading its folders whatever is published later, until ``vacuum`` removes
 folders that no kept pointer names. A job that fails before its pointer has changed nothing.
 
+This needs a file system on which creating a file fails if it exists (HDFS, local disks, object stores with
+conditional writes); elsewhere a table may have one writer at a time.
+
 The pointer holds one line for each data folder (months and runs, not rows or files), so it stays small;
 ``storage.compact`` merges the folders of a month.
 """
