@@ -93,7 +93,7 @@ def vectors(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
             t = Tokens(b.column("text"), TERM)
             known = np.array([find(w, -1) for w in t.distinct.to_pylist()], dtype=np.int64)
             n = np.bincount(t.row, minlength=b.num_rows)
-            term = known[t.code] if len(t.code) else t.code
+            term = known[t.code] if len(t.row) else t.row
             key, tf = np.unique((t.row * size + term)[term >= 0], return_counts=True)
             ends = np.searchsorted(key, np.arange(b.num_rows + 1) * size).astype(np.int32)
             out = pa.RecordBatch.from_arrays(

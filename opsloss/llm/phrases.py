@@ -73,27 +73,25 @@ def shards(docs: DataFrame, n: int) -> DataFrame:
 
 
 class Block:
-    """Texts of several languages: word numbers, and hashes of the phrases that begin at each word."""
+    """Texts of several languages: hashes of the phrases that begin at each word."""
 
     def __init__(self, langs: pa.Array, texts: pa.Array):
-        t = Tokens(texts, WORD)
-        self.words = t.distinct.to_pylist()
+        t = self.tokens = Tokens(texts, WORD)
         coded = langs.dictionary_encode()
         self.langs = coded.dictionary.to_pylist()
         self.lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[t.row]
-        self.code = t.code
         # words of one piece: of one text, with no break between them
-        breaks = np.concatenate([[0], np.cumsum(BREAK[t.raw])]) if len(t.raw) else np.zeros(1, np.int64)
-        self.same = (t.row[1:] == t.row[:-1]) & (breaks[t.begin[1:]] == breaks[t.begin[:-1]])
+        breaks = np.concatenate([[0], np.cumsum(BREAK[t.raw], dtype=np.int32)]) if len(t.raw) else np.zeros(1, np.int32)
+        here = breaks[t.begin]
+        same = (t.row[1:] == t.row[:-1]) & (here[1:] == here[:-1])
         seed = np.array([xxhash.xxh3_64_intdigest(x.encode(), 7) for x in self.langs], dtype=U)
-        word = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], dtype=U)
-        self.word = word[self.code] if len(word) else np.zeros(0, U)
-        self.h = [None, mix(self.word ^ seed[self.lang])] if len(self.lang) else [None, np.zeros(0, U)]
-        self.fits = [None, np.ones(len(self.code), dtype=bool)]
+        word = t.hashes()
+        self.h = [None, mix(word ^ seed[self.lang]) if len(word) else word]
+        self.fits = [None, np.ones(len(word), dtype=bool)]
         for k in range(2, LONGEST + 1):
-            m = max(0, len(self.code) - k + 1)
-            self.h.append(mix(self.h[-1][:m] * U(0x9E3779B97F4A7C15) + self.word[k - 1:k - 1 + m]))
-            self.fits.append(self.fits[-1][:m] & self.same[k - 2:k - 2 + m] if m else np.zeros(0, bool))
+            m = max(0, len(word) - k + 1)
+            self.h.append(mix(self.h[-1][:m] * U(0x9E3779B97F4A7C15) + word[k - 1:k - 1 + m]))
+            self.fits.append(self.fits[-1][:m] & same[k - 2:k - 2 + m] if m else np.zeros(0, bool))
 
     def count(self, step: int, notes: np.ndarray, lengths: list[int], cycle: int):
         """Record batches of COUNTED: the phrases of the given lengths that are within their cycle."""
@@ -113,6 +111,7 @@ class Block:
 
     def name(self, noted: np.ndarray, longest: int):
         """Record batches of NAMED: the phrases whose hash is noted, as words, and the number of all words (words 0)."""
+        code, words = self.tokens.code, self.tokens.distinct.to_pylist()
         for k in range(1, longest + 1):
             at = np.flatnonzero(self.fits[k] & noted[(self.h[k] & U(len(noted) - 1)).astype(np.int64)])
             if not len(at):
@@ -121,10 +120,10 @@ class Block:
             for i in range(k):
                 if i:
                     ids = np.unique(ids, return_inverse=True)[1]
-                ids = ids << 32 | self.code[at + i]
+                ids = ids << 32 | code[at + i]
             _, first, hits = np.unique(ids, return_index=True, return_counts=True)
             where = at[first]
-            parts = [[self.words[c] for c in self.code[where + i]] for i in range(k)]
+            parts = [[words[c] for c in code[where + i]] for i in range(k)]
             yield self._named([self.langs[x] for x in self.lang[where]], k, [b" ".join(x).decode() for x in zip(*parts)], hits)
         if len(self.lang):
             yield self._named(self.langs, 0, [""] * len(self.langs), np.bincount(self.lang, minlength=len(self.langs)))
