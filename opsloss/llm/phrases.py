@@ -34,12 +34,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from opsloss.llm.common import cut, small_batches
+from opsloss.llm.common import cut, slices, small_batches
 from opsloss.llm.textvec import U, mix
 from opsloss.llm.tokens import Tokens, byte_class
 from opsloss.session import fresh_dir
@@ -52,7 +53,7 @@ COVER = 100                 # per cent of a candidate's count that a longer one
 SHARDS = 4
 SLOTS = 1 << 26             # most bytes of the table of notes
 FIRST = 1 << 16             # its first size
-BLOCK = 4 << 20             # bytes of text counted together in a task
+BLOCK = 5 << 19             # bytes of text counted together in a task
 SPREAD = 64                 # buckets of the first ranking step
 BREAK = byte_class(b".,;:!?\x0a\x0b\x0c\x0d")
 WORD = ~(BREAK | byte_class(b" \t"))
@@ -135,17 +136,26 @@ class Block:
                                           ["lang", "words", "phrase", "hits"])
 
 
+def _blocks(batches):
+    """The rows of the batches in lists of slices with about ``BLOCK`` bytes of text (a longer text by itself)."""
+    held, size = [], 0
+    for b in batches:
+        length = pc.binary_length(b.column("text")).to_numpy()
+        for lo, hi in slices(length.tolist(), BLOCK):
+            n = int(length[lo:hi].sum())
+            if held and size + n > BLOCK:
+                yield held
+                held, size = [], 0
+            held.append(b.slice(lo, hi - lo))
+            size += n
+    if held:
+        yield held
+
+
 def _over_blocks(shard: DataFrame, work, schema: str) -> DataFrame:
     """``work(Block)`` for some megabytes of text at a time."""
     def run(batches):
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= BLOCK:
-                yield from work(_block(held))
-                held, size = [], 0
-        if held:
+        for held in _blocks(batches):
             yield from work(_block(held))
 
     return shard.select("lang", "text").mapInArrow(run, schema)
