@@ -11,8 +11,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_SF_DIR = "/root/testdata/sf0.01"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
