@@ -13,9 +13,10 @@ and is counted for a whole cycle after they have.
   makes every reported count exact. A frequent phrase could only be lost if it shares its hash with one whose cycle began earlier
   and has few occurrences in each of both cycles: for 10^11 candidates, a few hundred of which share a hash at all,
   the chance is below 1 in 100.
-* The notes that tasks need are a table of bytes (by hash of language and words): the last scan before which
-  a phrase with this hash reached the threshold. It grows with the noted phrases, by fours, up to ``SLOTS`` bytes. A collision
-  only counts a phrase that need not be counted.
+* The notes that tasks need are a table of bytes for each length (by hash of language and words): the last scan before which
+  a phrase with this hash reached the threshold. Its size follows from the words of the first shard, up to ``SLOTS`` bytes
+  in all, and stays: a collision counts a phrase that need not be counted, which is harmless only if it goes on for a
+  whole cycle. So a note never goes away, and none of another length, which is scanned at other times, takes its place.
 * The state (h, words, start, count, reached) is a written table, renewed with every scan by
   one aggregation of the old state and the scan's counts. Tasks add up their own counts first, so a word
   or pair in every document costs a row a task. Phrases that stayed below the threshold for their whole
@@ -51,13 +52,14 @@ LEAST = 100
 TOP = 2000
 COVER = 100                 # per cent of a candidate's count that a longer one needs to cover it
 SHARDS = 4
-SLOTS = 1 << 26             # most bytes of the table of notes
-FIRST = 1 << 16             # its first size
+SLOTS = 1 << 26             # most bytes of the tables of notes
+FIRST = 1 << 16             # least bytes of one
 BLOCK = 5 << 19             # bytes of text counted together in a task
 SPREAD = 64                 # buckets of the first ranking step
 BREAK = byte_class(b".,;:!?\x0a\x0b\x0c\x0d")
 WORD = ~(BREAK | byte_class(b" \t"))
 SPARE = 32                  # slots for a phrase in the table of the last scan
+OTHER = 32                  # a phrase has two there: by its hash, and by its hash without this many low bits
 STATE = "h long, words int, start int, count long, reached int"
 COUNTED = "h long, words int, hits long"
 NAMED = "lang string, words int, phrase string, hits long"
@@ -76,7 +78,7 @@ def shards(docs: DataFrame, n: int) -> DataFrame:
 class Block:
     """Texts of several languages: hashes of the phrases that begin at each word."""
 
-    def __init__(self, langs: pa.Array, texts: pa.Array):
+    def __init__(self, langs: pa.Array, texts: pa.Array, longest: int = LONGEST):
         t = self.tokens = Tokens(texts, WORD)
         coded = langs.dictionary_encode()
         self.langs = coded.dictionary.to_pylist()
@@ -89,7 +91,7 @@ class Block:
         word = t.hashes()
         self.h = [None, mix(word ^ seed[self.lang]) if len(word) else word]
         self.fits = [None, np.ones(len(word), dtype=bool)]
-        for k in range(2, LONGEST + 1):
+        for k in range(2, longest + 1):
             m = max(0, len(word) - k + 1)
             self.h.append(mix(self.h[-1][:m] * U(0x9E3779B97F4A7C15) + word[k - 1:k - 1 + m]))
             self.fits.append(self.fits[-1][:m] & same[k - 2:k - 2 + m] if m else np.zeros(0, bool))
@@ -101,7 +103,8 @@ class Block:
                 keys = self.h[1]
             else:
                 m = len(self.fits[k])
-                note = notes[(self.h[k - 1] & U(len(notes) - 1)).astype(np.int64)]
+                table = notes[k - 2]
+                note = table[(self.h[k - 1] & U(len(table) - 1)).astype(np.int64)]
                 a, b = note[:m], note[1:m + 1]
                 keys = self.h[k][self.fits[k] & (a > 0) & (b > 0) & (np.maximum(a, b).astype(np.int64) - 1 + cycle > step)]
             if len(keys):
@@ -114,7 +117,9 @@ class Block:
         """Record batches of NAMED: the phrases whose hash is noted, as words, and the number of all words (words 0)."""
         code, words = self.tokens.code, self.tokens.distinct.to_pylist()
         for k in range(1, longest + 1):
-            at = np.flatnonzero(self.fits[k] & noted[(self.h[k] & U(len(noted) - 1)).astype(np.int64)])
+            mask = U(len(noted) - 1)
+            at = np.flatnonzero(self.fits[k] & noted[(self.h[k] & mask).astype(np.int64)])
+            at = at[noted[(self.h[k][at] >> U(OTHER) & mask).astype(np.int64)]]
             if not len(at):
                 continue
             ids = self.lang[at]                         # exact number of the phrase: language, then word by word
@@ -152,29 +157,29 @@ def _blocks(batches):
         yield held
 
 
-def _over_blocks(shard: DataFrame, work, schema: str) -> DataFrame:
-    """``work(Block)`` for some megabytes of text at a time."""
+def _over_blocks(shard: DataFrame, work, schema: str, longest: int) -> DataFrame:
+    """``work(Block)`` for some megabytes of text at a time, with phrases of up to ``longest`` words."""
     def run(batches):
         for held in _blocks(batches):
-            yield from work(_block(held))
+            yield from work(_block(held, longest))
 
     return shard.select("lang", "text").mapInArrow(run, schema)
 
 
 def scan(shard: DataFrame, step: int, shared, lengths: list[int], cycle: int) -> DataFrame:
     """The counts of one shard; ``shared``: the broadcast notes."""
-    return _over_blocks(shard, lambda block: block.count(step, shared.value, lengths, cycle), COUNTED)
+    return _over_blocks(shard, lambda block: block.count(step, shared.value, lengths, cycle), COUNTED, max(lengths))
 
 
 def recount(dealt: DataFrame, shared, longest: int, least: int) -> DataFrame:
     """lang, words, phrase, count of the frequent phrases, by their words; words 0: all words of lang."""
-    named = _over_blocks(dealt, lambda block: block.name(shared.value, longest), NAMED)
+    named = _over_blocks(dealt, lambda block: block.name(shared.value, longest), NAMED, longest)
     counts = named.groupBy("lang", "words", "phrase").agg(F.sum("hits").alias("count"))
     return counts.filter((F.col("count") >= least) | (F.col("words") == 0))
 
 
-def _block(batches) -> Block:
-    return Block(*(pa.concat_arrays([b.column(name) for b in batches]) for name in ("lang", "text")))
+def _block(batches, longest: int) -> Block:
+    return Block(*(pa.concat_arrays([b.column(name) for b in batches]) for name in ("lang", "text")), longest)
 
 
 def merge(state: DataFrame | None, counted: DataFrame, step: int, cycle: int, least: int) -> DataFrame:
@@ -193,9 +198,10 @@ def merge(state: DataFrame | None, counted: DataFrame, step: int, cycle: int, le
             .select("h", "words", "start", "count", "reached"))
 
 
-def _maps(state: DataFrame, size: int):
-    """Rows (words, reached, slots) of the noted phrases: the distinct slots of a table of ``size``, made of bit maps."""
-    slot = F.pmod(F.col("h"), F.lit(size))
+def _maps(state: DataFrame, size: int, without: int = 0):
+    """Rows (words, reached, slots) of the noted phrases: the distinct slots of a table of ``size``, made of bit maps.
+    The slot comes from the hash ``without`` some low bits."""
+    slot = F.pmod(F.shiftrightunsigned("h", without), F.lit(size))
     maps = (state.groupBy("words", "reached", F.bitmap_bucket_number(slot).alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect())
     for r in maps:
@@ -205,23 +211,30 @@ def _maps(state: DataFrame, size: int):
         yield r.words, r.reached, at % size
 
 
+def table(words: int, least: int) -> np.ndarray:
+    """Empty notes, a row for each length: at least two slots for each phrase of one length that can reach the threshold
+    in a text of so many words."""
+    size, most = 1, max(1, SLOTS // (LONGEST - 1))
+    while size < most and size < max(FIRST, 2 * words // least):
+        size *= 2
+    return np.zeros((LONGEST - 1, size), dtype=np.uint8)
+
+
 def note(state: DataFrame, notes: np.ndarray, since: int) -> tuple[np.ndarray, list[int]]:
     """The notes with the phrases that reached the threshold from scan ``since`` on, and their lengths. Bit maps reach
-    the driver, no phrases. A table that would get more than an eighth full is made anew, four times as large."""
+    the driver, no phrases."""
     new, lengths = notes.copy(), set()
-    found = _maps(state.filter((F.col("reached") >= since) & (F.col("words") < LONGEST)), len(notes))
+    found = _maps(state.filter((F.col("reached") >= since) & (F.col("words") < LONGEST)), notes.shape[1])
     for words, reached, at in sorted(found, key=lambda x: x[1]):
         lengths.add(words)
-        new[at] = reached + 1
-    if np.count_nonzero(new) * 8 > len(new) and len(new) < SLOTS:
-        return note(state, np.zeros(min(SLOTS, 4 * len(new)), dtype=np.uint8), 0)[0], sorted(lengths)
+        new[words - 1, at] = reached + 1
     return new, sorted(lengths)
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cycle: int = SHARDS) -> DataFrame:
     """lang, words, phrase, count: every phrase with at least ``least`` occurrences; words 0: all words of lang."""
     spark = docs.sparkSession
-    dealt, state, old, notes = shards(docs, cycle), None, None, np.zeros(min(FIRST, SLOTS), dtype=np.uint8)
+    dealt, state, old, notes = shards(docs, cycle), None, None, table(0, least)
     last = {1: cycle}                                   # each length is scanned before this step
     step = 0
     while step < max(last.values()):
@@ -236,6 +249,8 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, c
             if old is not None:
                 delete_path(spark, old)
             old = place
+            if not step:                                # words alone so far, and no note
+                notes = table(cycle * (state.agg(F.sum("count")).first()[0] or 0), least)
             notes, found = note(state, notes, step + 1)
             for k in found:
                 if k < longest:
@@ -246,8 +261,9 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, c
     while size < min(want, SLOTS):
         size *= 2
     noted = np.zeros(size, dtype=bool)
-    for _, _, at in _maps(frequent, size):
-        noted[at] = True
+    for without in (0, OTHER):
+        for _, _, at in _maps(frequent, size, without):
+            noted[at] = True
     return recount(dealt, spark.sparkContext.broadcast(noted), longest, least)
 
 

@@ -132,6 +132,14 @@ def test_phrases_survive_a_full_table_of_notes(spark, monkeypatch):
     assert got == mine_brute([(r[2], r[1]) for r in rows], 4, 2000)
 
 
+def test_phrases_counted_by_a_collision_are_counted_for_a_whole_cycle(spark, monkeypatch):
+    """With small tables many phrases are candidates early, by the notes of others; none of them may be lost later."""
+    monkeypatch.setattr(phrases, "FIRST", 64)
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    got = mined(phrases.collocations(wide(spark, rows).repartition(4), least=3, top=10**6))
+    assert got == mine_brute([(r[2], r[1]) for r in rows], 3, 10**6)
+
+
 def test_phrases_of_an_empty_table(spark):
     assert phrases.collocations(wide(spark, [])).count() == 0
     assert phrases.collocations(wide(spark, [(1, None, None), (2, " . ", "en")])).count() == 0
