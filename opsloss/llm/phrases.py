@@ -116,18 +116,18 @@ class Block:
     def name(self, noted: np.ndarray, longest: int):
         """Record batches of NAMED: the phrases whose hash is noted, as words, and the number of all words (words 0)."""
         code, words = self.tokens.code, self.tokens.distinct.to_pylist()
+        mask = U(len(noted) - 1)
+        number = np.zeros(len(self.lang), dtype=np.int64)       # exact number of the phrase that begins here, -1: not noted
         for k in range(1, longest + 1):
-            mask = U(len(noted) - 1)
             at = np.flatnonzero(self.fits[k] & noted[(self.h[k] & mask).astype(np.int64)])
             at = at[noted[(self.h[k][at] >> U(OTHER) & mask).astype(np.int64)]]
+            at = at[number[at] >= 0]                            # a frequent phrase begins with a frequent one
             if not len(at):
-                continue
-            ids = self.lang[at]                         # exact number of the phrase: language, then word by word
-            for i in range(k):
-                if i:
-                    ids = np.unique(ids, return_inverse=True)[1]
-                ids = ids << 32 | code[at + i]
-            _, first, hits = np.unique(ids, return_index=True, return_counts=True)
+                break
+            ids = (self.lang if k == 1 else number)[at] << 32 | code[at + k - 1]
+            _, first, same, hits = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+            number = np.full(len(self.lang), -1, dtype=np.int64)
+            number[at] = same
             where = at[first]
             parts = [[words[c] for c in code[where + i]] for i in range(k)]
             yield self._named([self.langs[x] for x in self.lang[where]], k, [b" ".join(x).decode() for x in zip(*parts)], hits)
@@ -183,15 +183,12 @@ def _block(batches, longest: int) -> Block:
 
 
 def merge(state: DataFrame | None, counted: DataFrame, step: int, cycle: int, least: int) -> DataFrame:
-    """The state after a scan: hits count while the phrase is within the cycle that began with its first scan."""
-    new = counted.select("h", "words", F.lit(None).cast("int").alias("start"), F.lit(0).cast("long").alias("count"),
-                         F.lit(None).cast("int").alias("reached"), "hits")
+    """The state after a scan. A phrase below the threshold is within the cycle that began with its first scan, or it has
+    left; of the others the count does not matter any more (``recount`` has the exact one)."""
+    one = counted.select("h", "words", F.lit(step).alias("start"), F.col("hits").alias("count"), F.lit(None).cast("int").alias("reached"))
     if state is not None:
-        new = state.withColumn("hits", F.lit(0).cast("long")).unionByName(new)
-    one = new.groupBy("h", "words").agg(
-        F.coalesce(F.max("start"), F.lit(step)).alias("start"),
-        F.sum("count").alias("count"), F.max("reached").alias("reached"), F.sum("hits").alias("hits"))
-    one = one.withColumn("count", F.col("count") + F.when(F.col("start") + cycle > step, F.col("hits")).otherwise(0))
+        one = state.unionByName(one)
+    one = one.groupBy("h", "words").agg(F.min("start").alias("start"), F.sum("count").alias("count"), F.max("reached").alias("reached"))
     over = (F.col("start") + cycle <= step + 1) & (F.col("count") < least)
     return (one.filter(~over)
             .withColumn("reached", F.coalesce("reached", F.when(F.col("count") >= least, step + 1)))
