@@ -81,6 +81,16 @@ def test_exact_dedup_has_no_python_worker(spark):
     assert any("rocksdb" in f or f.endswith((".zip", ".changelog")) for _, _, fs in os.walk(f"{folder}/state/state") for f in fs)
 
 
+def test_exact_dedup_sets_no_disk_aside_for_its_state(spark):
+    """A store for each partition: with space set aside, 211 of them took 0.9 GB for 2 MB of state."""
+    path, sc = fresh_dir(spark, "t_docs"), spark.sparkContext
+    wide(spark, [(*r, "en") for r in DUPS]).write.parquet(path)
+    exactdedup.ingest(spark, path, fresh_dir(spark, "t_state"))
+    local = sc._jvm.org.apache.spark.util.Utils.getLocalDir(sc._jsc.sc().conf())
+    stores = [os.lstat(f"{at}/{f}") for at, _, fs in os.walk(local) for f in fs if f.startswith("MANIFEST-")]
+    assert stores and all(512 * x.st_blocks <= x.st_size + 65536 for x in stores)
+
+
 # ---------------------------------------------------------------- phrase mining
 
 def mine_brute(rows, least, top, cover=100):
