@@ -17,10 +17,13 @@ and is counted for a whole cycle after they have.
   a phrase with this hash reached the threshold. Its size follows from the words of the first shard, up to ``SLOTS`` bytes
   in all, and stays: a collision counts a phrase that need not be counted, which is harmless only if it goes on for a
   whole cycle. So a note never goes away, and none of another length, which is scanned at other times, takes its place.
-* The state (h, words, start, count, reached) is a written table, renewed with every scan by
-  one aggregation of the old state and the scan's counts. Tasks add up their own counts first, so a word
-  or pair in every document costs a row a task. Phrases that stayed below the threshold for their whole
-  cycle leave the state.
+* The shards hold each text with the hashes of its words, so texts are cut into words once. Hashes and counts are dealt
+  over buckets by hash, about ``BUCKET`` words of the corpus to a bucket, and travel as sorted arrays: a row holds what
+  one task has counted for a bucket and length.
+* The state is a written table of such arrays (hashes, start, count, reached), renewed with every scan by
+  merging the old state and the scan's counts bucket by bucket. Tasks add up their own counts first, so a word
+  or pair in every document costs an entry a task. Phrases that stayed below the threshold for their whole
+  cycle leave the state. Counts stop at the threshold there.
 * The driver sees the notes as bit maps (at most SLOTS bits a scan) and never a phrase. A scan's state and broadcast go when
   the next state is written.
 
@@ -28,7 +31,8 @@ and is counted for a whole cycle after they have.
 themselves, in exact decimal arithmetic, and drops candidates covered by a longer one.
 
 Defined cases: null texts are empty, a null lang is ``und``, repeated rows count as often as they stand
-there, ties are broken by count and phrase bytes, empty tables give an empty result.
+there, ties are broken by count and phrase bytes, empty tables give an empty result. The hashes of one text must fit
+in 2 GB (8 bytes for a word and 8 for a break), as those of any text below 256 MB do.
 """
 
 from __future__ import annotations
@@ -54,83 +58,136 @@ COVER = 100                 # per cent of a candidate's count that a longer one
 SHARDS = 4
 SLOTS = 1 << 26             # most bytes of the tables of notes
 FIRST = 1 << 16             # least bytes of one
-BLOCK = 5 << 19             # bytes of text counted together in a task
+BLOCK = 5 << 19             # bytes of text cut into words, or named, together in a task
+KEYS = 3 << 20              # hashes that a task holds until it adds them up
+BUCKET = 1 << 20            # words of the corpus to a bucket
+BUCKETS = 16                # and least buckets
 SPREAD = 64                 # buckets of the first ranking step
 BREAK = byte_class(b".,;:!?\x0a\x0b\x0c\x0d")
 WORD = ~(BREAK | byte_class(b" \t"))
 SPARE = 32                  # slots for a phrase in the table of the last scan
 OTHER = 32                  # a phrase has two there: by its hash, and by its hash without this many low bits
-STATE = "h long, words int, start int, count long, reached int"
-COUNTED = "h long, words int, hits long"
+STEP = U(0x9E3779B97F4A7C15)
+DEALT = "lang string, text string, shard int, hashes binary, n long"
+COUNTED = "bucket int, words int, h binary, count binary"
+STATE = "bucket int, words int, h binary, start binary, count binary, reached binary, new binary"
+REACHED = "h long, words int, reached int"
 NAMED = "lang string, words int, phrase string, hits long"
 
 
 def shards(docs: DataFrame, n: int) -> DataFrame:
-    """lang and text, dealt into n folders by a hash of the row; no shuffle."""
+    """DEALT, in n folders by a hash of the row; no shuffle. ``hashes``: 64 bits for each word of the text, which its
+    language is part of, and 0 before the first word of each piece; ``n``: the number of words."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"),
                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("shard"))
-    return cut(rows, "phrase_shards", partition="shard")
+
+    def run(batches):
+        for b in batches:
+            for lo, hi in slices(pc.binary_length(b.column("text")).to_numpy().tolist(), BLOCK):
+                part = b.slice(lo, hi - lo)
+                hashes, n_words = hashed(part.column("lang"), part.column("text"))
+                yield pa.RecordBatch.from_arrays([*part.columns, hashes, n_words], ["lang", "text", "shard", "hashes", "n"])
+
+    # a word's hash takes 8 bytes each time; zstd finds them again where snappy does not
+    return cut(rows.mapInArrow(run, DEALT), "phrase_shards", partition="shard", compression="zstd")
+
+
+def hashed(langs: pa.Array, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """``hashes`` and ``n`` of each text."""
+    t = Tokens(texts, WORD)
+    coded = langs.dictionary_encode()
+    seed = np.array([xxhash.xxh3_64_intdigest(x.encode(), 7) for x in coded.dictionary.to_pylist()], dtype=U)
+    # words of one piece: of one text, with no break between them
+    breaks = np.concatenate([[0], np.cumsum(BREAK[t.raw], dtype=np.int32)]) if len(t.raw) else np.zeros(1, np.int32)
+    here = breaks[t.begin]
+    opens = np.ones(len(t.begin), dtype=bool)
+    opens[1:] = (t.row[1:] != t.row[:-1]) | (here[1:] != here[:-1])
+    place = np.concatenate([[0], np.cumsum(1 + opens.astype(np.int64))])     # after the word before
+    stream = np.zeros(int(place[-1]), dtype=U)
+    if len(t.begin):
+        stream[place[1:] - 1] = np.maximum(mix(t.hashes() ^ seed[coded.indices.to_numpy(zero_copy_only=False)[t.row]]), U(1))
+    first = np.searchsorted(t.begin, t.at)
+    offsets = (8 * place[first]).astype(np.int32)
+    return (pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(stream)]),
+            pa.array(np.diff(first), pa.int64()))
+
+
+def stream(hashes: pa.Array) -> np.ndarray:
+    """The hashes of all texts of a column, one after the other."""
+    at = np.frombuffer(hashes.buffers()[1], dtype=np.int32)[hashes.offset:hashes.offset + len(hashes) + 1]
+    lo, hi = (int(at[0]), int(at[-1])) if len(hashes) else (0, 0)
+    return np.frombuffer(hashes.buffers()[2], dtype=U, count=(hi - lo) // 8, offset=lo) if hi > lo else np.zeros(0, U)
+
+
+def candidates(words: np.ndarray, step: int, notes: np.ndarray, lengths: list[int], cycle: int):
+    """Length and hashes of the phrases of the given lengths that are within their cycle. A phrase is a candidate since
+    the last of the notes of all its parts was made."""
+    at = np.flatnonzero(words)
+    h = words[at]
+    since = np.zeros(len(at), dtype=np.uint8)
+    if 1 in lengths:
+        yield 1, h
+    for k in range(1, max(lengths)):
+        note = notes[k - 1][(h & U(notes.shape[1] - 1)).astype(np.int64)]
+        found = np.flatnonzero(note)
+        at, h, since = at[found], h[found], np.maximum(note[found], since[found])
+        next_too = np.flatnonzero(at[1:] == at[:-1] + 1)
+        at, since = at[next_too], np.maximum(since[next_too], since[next_too + 1])
+        h = mix(h[next_too] * STEP + words[at + k])
+        if k + 1 in lengths:
+            yield k + 1, h[since.astype(np.int64) - 1 + cycle > step]
+
+
+def _counted(keys: np.ndarray, words: int, buckets: int, least: int) -> pa.RecordBatch:
+    """COUNTED of some hashes: for each bucket the distinct ones, ascending, and how often they occur (up to ``least``)."""
+    h, hits = np.unique(keys, return_counts=True)
+    hits = np.minimum(hits, least).astype(np.min_scalar_type(least))
+    lows = [-(-(b << 32) // buckets) << 32 for b in range(1, buckets)]
+    cuts = np.concatenate([[0], np.searchsorted(h, np.array(lows, dtype=U)), [len(h)]])
+    full = np.flatnonzero(np.diff(cuts))
+    ends = np.concatenate([cuts[full], [len(h)]])
+    blobs = [pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+             for x in (h, hits)]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), words), pa.int32()), *blobs],
+                                      ["bucket", "words", "h", "count"])
 
 
 class Block:
-    """Texts of several languages: hashes of the phrases that begin at each word."""
+    """Texts of several languages with the hashes of their words."""
 
-    def __init__(self, langs: pa.Array, texts: pa.Array, longest: int = LONGEST):
+    def __init__(self, langs: pa.Array, texts: pa.Array, hashes: np.ndarray):
         t = self.tokens = Tokens(texts, WORD)
         coded = langs.dictionary_encode()
         self.langs = coded.dictionary.to_pylist()
         self.lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[t.row]
-        # words of one piece: of one text, with no break between them
-        breaks = np.concatenate([[0], np.cumsum(BREAK[t.raw], dtype=np.int32)]) if len(t.raw) else np.zeros(1, np.int32)
-        here = breaks[t.begin]
-        same = (t.row[1:] == t.row[:-1]) & (here[1:] == here[:-1])
-        seed = np.array([xxhash.xxh3_64_intdigest(x.encode(), 7) for x in self.langs], dtype=U)
-        word = t.hashes()
-        self.h = [None, mix(word ^ seed[self.lang]) if len(word) else word]
-        self.fits = [None, np.ones(len(word), dtype=bool)]
-        for k in range(2, longest + 1):
-            m = max(0, len(word) - k + 1)
-            self.h.append(mix(self.h[-1][:m] * U(0x9E3779B97F4A7C15) + word[k - 1:k - 1 + m]))
-            self.fits.append(self.fits[-1][:m] & same[k - 2:k - 2 + m] if m else np.zeros(0, bool))
-
-    def count(self, step: int, notes: np.ndarray, lengths: list[int], cycle: int):
-        """Record batches of COUNTED: the phrases of the given lengths that are within their cycle."""
-        for k in lengths:
-            if k == 1:
-                keys = self.h[1]
-            else:
-                m = len(self.fits[k])
-                table = notes[k - 2]
-                note = table[(self.h[k - 1] & U(len(table) - 1)).astype(np.int64)]
-                a, b = note[:m], note[1:m + 1]
-                keys = self.h[k][self.fits[k] & (a > 0) & (b > 0) & (np.maximum(a, b).astype(np.int64) - 1 + cycle > step)]
-            if len(keys):
-                h, hits = np.unique(keys, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(np.full(len(h), k), pa.int32()), pa.array(hits, pa.int64())],
-                    ["h", "words", "hits"])
+        at = np.flatnonzero(hashes)
+        self.word = hashes[at]
+        self.joined = at[1:] == at[:-1] + 1                     # with the next word, in one piece
 
     def name(self, noted: np.ndarray, longest: int):
-        """Record batches of NAMED: the phrases whose hash is noted, as words, and the number of all words (words 0)."""
-        code, words = self.tokens.code, self.tokens.distinct.to_pylist()
+        """Record batches of NAMED: the phrases whose hash is noted, as words, and the number of all words (words 0). A
+        frequent phrase has frequent parts, so a longer one needs both parts noted."""
+        code, words = self.tokens.code, self.tokens.distinct
         mask = U(len(noted) - 1)
-        number = np.zeros(len(self.lang), dtype=np.int64)       # exact number of the phrase that begins here, -1: not noted
+        at, h, number = np.arange(len(self.word)), self.word, self.lang   # number: which phrase, without its last word
         for k in range(1, longest + 1):
-            at = np.flatnonzero(self.fits[k] & noted[(self.h[k] & mask).astype(np.int64)])
-            at = at[noted[(self.h[k][at] >> U(OTHER) & mask).astype(np.int64)]]
-            at = at[number[at] >= 0]                            # a frequent phrase begins with a frequent one
+            here = np.flatnonzero(noted[(h & mask).astype(np.int64)])
+            here = here[noted[(h[here] >> U(OTHER) & mask).astype(np.int64)]]
+            at, h = at[here], h[here]
             if not len(at):
                 break
-            ids = (self.lang if k == 1 else number)[at] << 32 | code[at + k - 1]
-            _, first, same, hits = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
-            number = np.full(len(self.lang), -1, dtype=np.int64)
-            number[at] = same
+            ids = number[here] << 32 | code[at + k - 1]
+            _, first, number, hits = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
             where = at[first]
-            parts = [[words[c] for c in code[where + i]] for i in range(k)]
-            yield self._named([self.langs[x] for x in self.lang[where]], k, [b" ".join(x).decode() for x in zip(*parts)], hits)
+            parts = [words.take(pa.array(code[where + i])) for i in range(k)]
+            phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ", words.type)) if k > 1 else parts[0]
+            yield self._named([self.langs[x] for x in self.lang[where]], k, phrases.cast(pa.large_string()).cast(pa.string()), hits)
+            nexts = np.flatnonzero((at[1:] == at[:-1] + 1) & self.joined[at[:-1]])
+            at, number = at[nexts], number[nexts]
+            h = mix(h[nexts] * STEP + self.word[at + k])
         if len(self.lang):
             yield self._named(self.langs, 0, [""] * len(self.langs), np.bincount(self.lang, minlength=len(self.langs)))
 
@@ -157,49 +214,98 @@ def _blocks(batches):
         yield held
 
 
-def _over_blocks(shard: DataFrame, work, schema: str, longest: int) -> DataFrame:
-    """``work(Block)`` for some megabytes of text at a time, with phrases of up to ``longest`` words."""
+def scan(shard: DataFrame, step: int, shared, lengths: list[int], cycle: int, buckets: int, least: int) -> DataFrame:
+    """COUNTED of one shard; ``shared``: the broadcast notes."""
     def run(batches):
-        for held in _blocks(batches):
-            yield from work(_block(held, longest))
-
-    return shard.select("lang", "text").mapInArrow(run, schema)
+        held = {k: [] for k in lengths}
+        flush = lambda: [_counted(np.concatenate(v), k, buckets, least) for k, v in held.items() if v]
+        for b in batches:
+            for k, h in candidates(stream(b.column("hashes")), step, shared.value, lengths, cycle):
+                if len(h):
+                    held[k].append(h)
+            if sum(len(h) for v in held.values() for h in v) >= KEYS:
+                yield from flush()
+                held = {k: [] for k in lengths}
+        yield from flush()
 
-
-def scan(shard: DataFrame, step: int, shared, lengths: list[int], cycle: int) -> DataFrame:
-    """The counts of one shard; ``shared``: the broadcast notes."""
-    return _over_blocks(shard, lambda block: block.count(step, shared.value, lengths, cycle), COUNTED, max(lengths))
+    return shard.select("hashes").mapInArrow(run, COUNTED)
 
 
 def recount(dealt: DataFrame, shared, longest: int, least: int) -> DataFrame:
     """lang, words, phrase, count of the frequent phrases, by their words; words 0: all words of lang."""
-    named = _over_blocks(dealt, lambda block: block.name(shared.value, longest), NAMED, longest)
-    counts = named.groupBy("lang", "words", "phrase").agg(F.sum("hits").alias("count"))
-    return counts.filter((F.col("count") >= least) | (F.col("words") == 0))
-
+    def run(batches):
+        for held in _blocks(batches):
+            langs, texts = (pa.concat_arrays([b.column(name) for b in held]) for name in ("lang", "text"))
+            yield from Block(langs, texts, np.concatenate([stream(b.column("hashes")) for b in held])).name(shared.value, longest)
 
-def _block(batches, longest: int) -> Block:
-    return Block(*(pa.concat_arrays([b.column(name) for b in batches]) for name in ("lang", "text")), longest)
+    counts = dealt.select("lang", "text", "hashes").mapInArrow(run, NAMED).groupBy("lang", "words", "phrase").agg(F.sum("hits").alias("count"))
+    return counts.filter((F.col("count") >= least) | (F.col("words") == 0))
 
 
 def merge(state: DataFrame | None, counted: DataFrame, step: int, cycle: int, least: int) -> DataFrame:
     """The state after a scan. A phrase below the threshold is within the cycle that began with its first scan, or it has
-    left; of the others the count does not matter any more (``recount`` has the exact one)."""
-    one = counted.select("h", "words", F.lit(step).alias("start"), F.col("hits").alias("count"), F.lit(None).cast("int").alias("reached"))
-    if state is not None:
-        one = state.unionByName(one)
-    one = one.groupBy("h", "words").agg(F.min("start").alias("start"), F.sum("count").alias("count"), F.max("reached").alias("reached"))
-    over = (F.col("start") + cycle <= step + 1) & (F.col("count") < least)
-    return (one.filter(~over)
-            .withColumn("reached", F.coalesce("reached", F.when(F.col("count") >= least, step + 1)))
-            .select("h", "words", "start", "count", "reached"))
-
-
-def _maps(state: DataFrame, size: int, without: int = 0):
-    """Rows (words, reached, slots) of the noted phrases: the distinct slots of a table of ``size``, made of bit maps.
+    left; of the others the count does not matter any more (``recount`` has the exact one). ``new``: the hashes of those that
+    reached the threshold in this scan."""
+    kinds = {"h": U, "start": np.uint8, "count": np.min_scalar_type(least), "reached": np.uint8}     # reached 0: not yet
+
+    def run(table: pa.Table) -> pa.Table:
+        out, words = [], table.column("words").to_numpy()
+        column = {c: table.column(c).combine_chunks() for c in kinds}
+        read = lambda c, i: np.frombuffer(column[c][int(i)].as_buffer(), dtype=kinds[c])
+        counts = table.column("start").is_null().to_numpy()
+        for k in np.unique(words):
+            h, start, count, reached = (np.concatenate([read(c, i) for i in np.flatnonzero((words == k) & ~counts)] or [np.zeros(0, t)])
+                                        for c, t in kinds.items())
+            found = np.flatnonzero((words == k) & counts)
+            if len(found):
+                key, hits = (np.concatenate([read(c, i) for i in found]) for c in ("h", "count"))
+                order = np.argsort(key)
+                key = key[order]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                key, hits = key[first], np.minimum(np.add.reduceat(hits[order].astype(np.int64), first), least)
+                at = np.searchsorted(h, key)
+                old = at < len(h)
+                old[old] = h[at[old]] == key[old]
+                count = count.astype(np.int64)
+                count[at[old]] = np.minimum(count[at[old]] + hits[old], least)
+                at = at[~old]
+                h, start, count, reached = (np.insert(x, at, v) for x, v in (
+                    (h, key[~old]), (start, np.uint8(step)), (count, hits[~old]), (reached, np.uint8(0))))
+            new = (reached == 0) & (count >= least)
+            reached = np.where(new, np.uint8(step + 1), reached)
+            stay = (start.astype(np.int64) + cycle > step + 1) | (count >= least)
+            out.append((table.column("bucket")[0].as_py(), int(k), *(x[stay].astype(t).tobytes() for x, t in zip((h, start, count, reached), kinds.values())),
+                        h[new].tobytes()))
+        names = ("bucket", "words", *kinds, "new")
+        types = (pa.int32(), pa.int32(), *[pa.binary()] * (len(kinds) + 1))
+        return pa.table({n: pa.array(v, t) for n, t, v in zip(names, types, zip(*out))})
+
+    rows = counted if state is None else state.drop("new").unionByName(counted, allowMissingColumns=True)
+    for c in ("start", "reached"):
+        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("binary"))
+    return rows.select("bucket", "words", *kinds).groupBy("bucket").applyInArrow(run, STATE)
+
+
+def reached(state: DataFrame, step: int | None = None) -> DataFrame:
+    """REACHED: a row for each phrase in the state that has reached the threshold (with ``step``, in the scan of this number)."""
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                h = np.frombuffer(r["h"], dtype=np.int64)
+                when = np.frombuffer(r["reached"], dtype=np.uint8) if "reached" in r else np.full(len(h), step + 1, dtype=np.uint8)
+                h, when = h[when > 0], when[when > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), r["words"]), pa.int32()), pa.array(when, pa.int32())],
+                                                 ["h", "words", "reached"])
+
+    rows = state.select("words", "h", "reached") if step is None else state.select("words", F.col("new").alias("h"))
+    return rows.mapInArrow(run, REACHED)
+
+
+def _maps(found: DataFrame, size: int, without: int = 0):
+    """Rows (words, reached, slots) of the phrases of REACHED: the distinct slots of a table of ``size``, made of bit maps.
     The slot comes from the hash ``without`` some low bits."""
     slot = F.pmod(F.shiftrightunsigned("h", without), F.lit(size))
-    maps = (state.groupBy("words", "reached", F.bitmap_bucket_number(slot).alias("bucket"))
+    maps = (found.groupBy("words", "reached", F.bitmap_bucket_number(slot).alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect())
     for r in maps:
         bits = np.unpackbits(np.frombuffer(r.bits, dtype=np.uint8), bitorder="little")
@@ -217,28 +323,29 @@ def table(words: int, least: int) -> np.ndarray:
     return np.zeros((LONGEST - 1, size), dtype=np.uint8)
 
 
-def note(state: DataFrame, notes: np.ndarray, since: int) -> tuple[np.ndarray, list[int]]:
-    """The notes with the phrases that reached the threshold from scan ``since`` on, and their lengths. Bit maps reach
+def note(state: DataFrame, notes: np.ndarray, step: int) -> tuple[np.ndarray, list[int]]:
+    """The notes with the phrases that reached the threshold in scan ``step``, and their lengths. Bit maps reach
     the driver, no phrases."""
     new, lengths = notes.copy(), set()
-    found = _maps(state.filter((F.col("reached") >= since) & (F.col("words") < LONGEST)), notes.shape[1])
-    for words, reached, at in sorted(found, key=lambda x: x[1]):
+    for words, when, at in _maps(reached(state.filter(F.col("words") < LONGEST), step), notes.shape[1]):
         lengths.add(words)
-        new[words - 1, at] = reached + 1
+        new[words - 1, at] = when + 1
     return new, sorted(lengths)
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cycle: int = SHARDS) -> DataFrame:
     """lang, words, phrase, count: every phrase with at least ``least`` occurrences; words 0: all words of lang."""
     spark = docs.sparkSession
-    dealt, state, old, notes = shards(docs, cycle), None, None, table(0, least)
+    dealt, state, old = shards(docs, cycle), None, None
+    total = dealt.agg(F.sum("n")).first()[0] or 0
+    notes, buckets = table(total, least), max(BUCKETS, total // BUCKET)
     last = {1: cycle}                                   # each length is scanned before this step
     step = 0
     while step < max(last.values()):
         lengths = [k for k in sorted(last) if step < last[k]]
         if lengths:
             shared = spark.sparkContext.broadcast(notes)
-            counted = scan(dealt.filter(F.col("shard") == step % cycle), step, shared, lengths, cycle)
+            counted = scan(dealt.filter(F.col("shard") == step % cycle), step, shared, lengths, cycle, buckets, least)
             place = fresh_dir(spark, "phrase_state")
             merge(state, counted, step, cycle, least).write.parquet(place)
             state = spark.read.schema(STATE).parquet(place)
@@ -246,14 +353,12 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, c
             if old is not None:
                 delete_path(spark, old)
             old = place
-            if not step:                                # words alone so far, and no note
-                notes = table(cycle * (state.agg(F.sum("count")).first()[0] or 0), least)
-            notes, found = note(state, notes, step + 1)
+            notes, found = note(state, notes, step)
             for k in found:
                 if k < longest:
                     last[k + 1] = step + 1 + cycle
         step += 1
-    frequent = state.filter(F.col("reached").isNotNull())
+    frequent = cut(reached(state), "phrase_reached")
     size, want = 1, SPARE * frequent.count()
     while size < min(want, SLOTS):
         size *= 2

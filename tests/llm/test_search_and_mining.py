@@ -150,6 +150,24 @@ def test_phrases_counted_by_a_collision_are_counted_for_a_whole_cycle(spark, mon
     assert got == mine_brute([(r[2], r[1]) for r in rows], 3, 10**6)
 
 
+def test_phrases_travel_as_arrays_by_bucket(spark):
+    """A scan hands on, and the state holds, a row for each task, bucket and length at most, not one for each phrase."""
+    rows = [(i, " ".join(f"w{(i * j) % 97}" for j in range(60)) + ". " + "a b " * 9, "en") for i in range(300)]
+    dealt = phrases.shards(wide(spark, rows).coalesce(2), 1)
+    shared = spark.sparkContext.broadcast(phrases.table(0, 2) + 1)         # every phrase is a candidate
+    counted = phrases.scan(dealt, 0, shared, [1, 2, 3], 1, 4, 2)
+    state = phrases.merge(None, counted, 0, 1, 2)
+    tasks = counted.rdd.getNumPartitions()
+    assert counted.count() <= 12 * tasks and state.count() <= 12
+    n = collections.Counter()
+    for _, text, _ in rows:
+        for piece in text.split("."):
+            w = piece.split()
+            n.update(tuple(w[i:i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1))
+    want = collections.Counter(len(p) for p, a in n.items() if a >= 2)
+    assert {r.words: r.n for r in phrases.reached(state).groupBy("words").agg({"h": "count"}).toDF("words", "n").collect()} == want
+
+
 def test_phrases_of_an_empty_table(spark):
     assert phrases.collocations(wide(spark, [])).count() == 0
     assert phrases.collocations(wide(spark, [(1, None, None), (2, " . ", "en")])).count() == 0
