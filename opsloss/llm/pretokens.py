@@ -14,6 +14,7 @@ pieces as the pattern (tests compare with the library). A piece is identified by
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 U = np.uint64
 LOW = np.array([0] + [2 ** (8 * i) - 1 for i in range(1, 9)], dtype=U)
@@ -77,8 +78,8 @@ def split(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
         offset = np.flatnonzero(begin)
         cuts = np.concatenate([[0], ends])
         return raw, offset, np.searchsorted(offset, cuts)
-    width = 1 + (point >= 0x80).astype(np.int64) + (point >= 0x800) + (point >= 0x10000)
-    byte = np.concatenate([[0], np.cumsum(width)])
+    # a code point begins at every byte that does not continue one; also the end
+    byte = np.flatnonzero(np.append((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80, True))
     at = np.flatnonzero(begin)
     return raw, byte[at], np.searchsorted(at, np.concatenate([[0], ends]))
 
@@ -97,20 +98,18 @@ def distinct(raw: bytes, offset: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         seen: dict[bytes, int] = {}
         number = [seen.setdefault(raw[a:a + s], len(seen)) for a, s in zip(begin[long].tolist(), size[long].tolist())]
         lo[long], hi[long] = np.array(number, dtype=U), U(0)
-    # sort by a mix of both words and the size, then compare the words themselves
+    # number by a mix of both words and the size, then compare the words themselves
     small = np.minimum(size, 17).astype(U)
     h = lo * U(0x9E3779B97F4A7C15) ^ (hi + small) * U(0xBF58476D1CE4E5B9)
     h ^= h >> U(29)
-    order = np.argsort(h, kind="stable")
-    hs, ls, is_, ss = h[order], lo[order], hi[order], small[order]
-    same = hs[1:] == hs[:-1]
-    equal = (ls[1:] == ls[:-1]) & (is_[1:] == is_[:-1]) & (ss[1:] == ss[:-1])
-    if (same & ~equal).any():                              # two pieces with one hash: order by the words
-        order = np.lexsort((small, hi, lo))
+    index, values = pd.factorize(h)
+    pick = np.empty(len(values), dtype=np.int64)
+    pick[index] = np.arange(n)
+    mate = pick[index]
+    if (lo[mate] != lo).any() or (hi[mate] != hi).any() or (small[mate] != small).any():
+        order = np.lexsort((small, hi, lo))                # two pieces with one hash: order by the words
         ls, is_, ss = lo[order], hi[order], small[order]
-        equal = (ls[1:] == ls[:-1]) & (is_[1:] == is_[:-1]) & (ss[1:] == ss[:-1])
-    new = np.concatenate([[True], ~equal])
-    index = np.empty(n, dtype=np.int64)
-    index[order] = np.cumsum(new) - 1
-    pick = order[new]
+        new = np.concatenate([[True], (ls[1:] != ls[:-1]) | (is_[1:] != is_[:-1]) | (ss[1:] != ss[:-1])])
+        index[order] = np.cumsum(new) - 1
+        pick = order[new]
     return [raw[a:a + s] for a, s in zip(begin[pick].tolist(), size[pick].tolist())], index

@@ -22,6 +22,7 @@ doc_id, text); rows without an id come first; an empty table gives no image and
 from __future__ import annotations
 
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,8 @@ from opsloss.session import fresh_dir
 BLOCK = 1 << 16
 IMAGE_IDS = 1 << 19
 CHUNK = 1 << 20
-CACHE = 200_000
+CACHE = 400_000          # pieces a worker keeps, and the most ids of theirs
+CACHE_IDS = 1 << 22
 MAGIC = b"FWBP"
 
 
@@ -86,13 +88,15 @@ class Image:
         self.first = np.append(np.frombuffer(self.raw[at + 8 * docs:at + 16 * docs], "<u8"), np.uint64(self.n)).astype(np.int64)
 
     def ids(self, lo: int, hi: int) -> np.ndarray:
-        """Ids lo .. hi - 1; only the blocks that hold them are unpacked."""
+        """Ids lo .. hi - 1; only the bytes that hold them are unpacked (eight ids fill whole bytes)."""
         if lo >= hi:
             return np.zeros(0, np.uint32)
-        a, b = lo // self.block, (hi - 1) // self.block
-        got = [unpack(self.raw[int(self.offsets[i]):int(self.offsets[i + 1])], self.bits,
-                      min(self.block, self.n - i * self.block)) for i in range(a, b + 1)]
-        return np.concatenate(got)[lo - a * self.block:hi - a * self.block]
+        got, skip = [], lo % self.block % 8
+        for i in range(lo // self.block, (hi - 1) // self.block + 1):
+            base, at = i * self.block, int(self.offsets[i])
+            x, y = max(lo - base, 0) // 8 * 8, min(hi - base, self.block)
+            got.append(unpack(self.raw[at + x * self.bits // 8:at - (-y * self.bits // 8)], self.bits, y - x))
+        return np.concatenate(got)[skip:]
 
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.first[i]), int(self.first[i + 1]))
@@ -140,6 +144,13 @@ class Pieces:
     def used(self) -> int:
         return int(self.edge[len(self.known)])
 
+    def keep(self, which: np.ndarray) -> None:
+        """Forget all pieces but those with these numbers; they are numbered anew, in this order."""
+        names, size = list(self.known), np.diff(self.edge)[which]
+        flat, _ = spread(self.flat, self.edge[which], size)
+        self.clear()
+        self.add_all([names[i] for i in which.tolist()], flat, size)
+
 
 def spread(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs flat[begin[i]:begin[i] + size[i]] one after the other, and where each begins."""
@@ -168,6 +179,7 @@ class LibraryEncoder:
         self.letter = {ord(c): c for c in own} | dict(zip((b for b in range(256) if chr(b) not in own),
                                                           (c for c in letters if ord(c) > 255)))
         self.pieces, self.cache = Pieces(), cache
+        self.uses = np.zeros(0, dtype=np.int64)             # of each piece: in how many slices it stood, halved when others go
 
     def whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -177,6 +189,13 @@ class LibraryEncoder:
         tokenize, letter = self.tok.model.tokenize, self.letter
         self.pieces.add(new, [[t.id for t in tokenize(w.decode("latin-1").translate(letter))] for w in new])
 
+    def forget(self) -> None:
+        """Make room: the more used half of the cache stays, within half of the ids."""
+        order = np.argsort(-self.uses[:len(self.pieces)], kind="stable")[:self.cache // 2]
+        which = np.sort(order[np.cumsum(np.diff(self.pieces.edge)[order]) <= CACHE_IDS // 2])
+        self.pieces.keep(which)
+        self.uses = self.uses[which] // 2
+
     def encode(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (and the end)."""
         odd = [i for i, t in enumerate(docs) if any(s in t for s in self.special)]
@@ -191,13 +210,17 @@ class LibraryEncoder:
             return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         raw, offset, cuts = pretokens.split(docs)
         words, index = pretokens.distinct(raw, offset)
-        if len(self.pieces) > self.cache:
-            self.pieces.clear()
-        known = self.pieces.known
-        new = [w for w in words if w not in known]
-        if new:
-            self.learn(new)
-        place = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))[index]
+        if len(self.pieces) > self.cache or self.pieces.used() > CACHE_IDS:
+            self.forget()
+        number = np.fromiter(map(self.pieces.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = np.arange(len(self.pieces), len(self.pieces) + len(new))
+            self.learn([words[i] for i in new.tolist()])
+        if len(self.uses) < len(self.pieces):
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.pieces.edge) - len(self.uses), dtype=np.int64)])
+        self.uses[number] += 1
+        place = number[index]
         begin = self.pieces.edge[place]
         ids, where = spread(self.pieces.flat, begin, self.pieces.edge[place + 1] - begin)
         return ids, where[cuts]

@@ -319,6 +319,40 @@ def test_bit_packing(bits, tmp_path):
     assert (image.document(1) == ids[66_000:]).all() and (image.ids(10, 65_999) == ids[10:65_999]).all()
 
 
+@pytest.mark.parametrize("bits", [3, 11, 16])
+def test_a_range_of_ids_unpacks_its_own_bytes(bits, monkeypatch):
+    unpacked, unpack = [], tokenfile.unpack
+    monkeypatch.setattr(tokenfile, "unpack", lambda raw, bits, n: unpacked.append(n) or unpack(raw, bits, n))
+    ids = np.random.default_rng(bits).integers(0, 2**bits, 2 * tokenfile.BLOCK + 77, dtype=np.uint64).astype(np.uint32)
+    image = tokenfile.Image(tokenfile.build_image(ids, np.array([1]), np.array([0]), bits))
+    for edge in (0, 9, 1000, tokenfile.BLOCK, 2 * tokenfile.BLOCK, len(ids)):
+        for lo in range(max(0, edge - 10), min(len(ids), edge + 10)):
+            for n in (0, 1, 7, 8, 30):
+                unpacked.clear()
+                hi = min(lo + n, len(ids))
+                assert (image.ids(lo, hi) == ids[lo:hi]).all() and sum(unpacked) <= hi - lo + 8
+    assert (image.ids(5, len(ids)) == ids[5:]).all()
+
+
+def test_token_cache_keeps_what_is_used(monkeypatch):
+    tok, enc, learned = library(), tokenfile.LibraryEncoder(tokenfile.token_file(), cache=20), collections.Counter()
+    learn = enc.learn
+    monkeypatch.setattr(enc, "learn", lambda new: learned.update(new) or learn(new))
+    rare = ["".join(chr(97 + int(c)) for c in f"{i:03}" * 3) for i in range(500)]
+    for i in range(0, len(rare), 5):
+        texts = ["the cat sat on the mat", "", " " + " ".join(rare[i:i + 5]), "the cat"]
+        ids, cuts = enc.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(enc.pieces) <= 20 + 11
+    assert len(learned) == 506 and set(learned.values()) == {1}
+    monkeypatch.setattr(tokenfile, "CACHE_IDS", 200)
+    for i in range(30):
+        texts = ["the cat", rare[i] * 20, rare[i]]
+        ids, cuts = enc.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert enc.pieces.used() <= 200 + len(ids)
+
+
 def test_simhash(spark, docs, rows):
     def brute(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", low(text))
@@ -357,7 +391,7 @@ def test_components(spark):
     assert got == {x: r for x, r in parent.items() if any(x in p and p[0] != p[1] for p in pairs)}
 
 
-def test_pretokens_match_the_pattern():
+def test_pretokens_match_the_pattern(monkeypatch):
     import public_tokenizers
     import regex
 
@@ -369,6 +403,10 @@ def test_pretokens_match_the_pattern():
         assert [raw[offset[i]:offset[i + 1]].decode() for i in range(cuts[k], cuts[k + 1])] == pattern.findall(t)
     words, index = pretokens.distinct(raw, offset)
     assert [words[i] for i in index] == [raw[a:b] for a, b in zip(offset, offset[1:])] and len(set(words)) == len(words)
+    with monkeypatch.context() as m:                        # pieces that share a hash are told apart
+        m.setattr(pretokens.pd, "factorize", lambda h: (np.zeros(len(h), dtype=np.int64), h[:1]))
+        words, index = pretokens.distinct(raw, offset)
+    assert [words[i] for i in index] == [raw[a:b] for a, b in zip(offset, offset[1:])] and len(set(words)) == len(words)
 
 
 def test_bpe_round_trip(spark, docs, rows):
